@@ -30,7 +30,7 @@ _SAME = [(a, a) for a in _AXES]
 
 def block_of(term: str) -> str:
     for block, names in TERM_NAMES.items():
-        if term in names:
+        if term == block or term in names:
             return block
     raise ValueError(f"unknown term {term!r}")
 

@@ -1,3 +1,4 @@
 """All registered queries."""
-from aerofield.plans import queries_lines  # noqa: F401
+from aerofield.plans import queries_lines, queries_maps, queries_models  # noqa: F401
+from aerofield.plans.queries_models import flagship  # noqa: F401
 from aerofield.plans.registry import ENTRIES  # noqa: F401

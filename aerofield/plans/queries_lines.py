@@ -285,10 +285,10 @@ def _(spark, sf):
     return segments.downsample(src.samples(spark, sf), 300).select("rn")
 
 
-@query("w8_line_errors", "W8", sql=sql(f"""SELECT rn, {r('e - avg(e) OVER (PARTITION BY flight, line)', 'err', 5)},
-    {r('avg(e) OVER (PARTITION BY flight, line) - e', 'flipped', 5)}
+@query("w8_line_errors", "W8", sql=sql(f"""SELECT rn, {r('e - avg(e) OVER (PARTITION BY flight, line)', 'err', 7)},
+    {r('avg(e) OVER (PARTITION BY flight, line) - e', 'flipped', 7)}
     FROM (SELECT *, mag_1_c - mag_1_uc AS e FROM samples)""", "samples"))
 def _(spark, sf):
     df = stats.line_errors(src.samples(spark, sf), "mag_1_c", "mag_1_uc")
     df = stats.line_errors(df, "mag_1_c", "mag_1_uc", "flipped", flip=True)
-    return df.select("rn", *rounded(5, err=F.col("err"), flipped=F.col("flipped")))
+    return df.select("rn", *rounded(7, err=F.col("err"), flipped=F.col("flipped")))

@@ -58,8 +58,8 @@ VIEWS = {
         FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events))""",
     "numbered": """SELECT *, row_number() OVER (PARTITION BY flight, line ORDER BY rn) - 1 AS pos,
         count(*) OVER (PARTITION BY flight, line) AS n_line FROM samples""",
-    "lines": """SELECT flight, line, min(tt) + (max(tt) - min(tt)) * 0.1 AS t_start,
-        max(tt) - (max(tt) - min(tt)) * 0.1 AS t_end, 'parts' AS map_name
+    "lines": """SELECT flight, line, min(tt) + (max(tt) - min(tt)) * 0.02 AS t_start,
+        max(tt) - (max(tt) - min(tt)) * 0.02 AS t_end, 'parts' AS map_name
         FROM samples GROUP BY flight, line""",
     "flight_events": """SELECT flight, tt, 'Error in leg ' || CAST(line AS VARCHAR) AS event
         FROM samples WHERE event_type = 'error'""",

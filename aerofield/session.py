@@ -37,3 +37,11 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     if df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df
+
+
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to shared scratch storage and read back: cuts the lineage of
+    iterative work and survives the loss of executors."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
