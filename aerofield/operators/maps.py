@@ -33,24 +33,28 @@ def cells_of_arrays(df: DataFrame, degrees: bool = True) -> DataFrame:
 
 # ---- geometry -------------------------------------------------------------
 
-def median_step(cells: DataFrame, axis: str, index: str, into: str) -> DataFrame:
-    """Median absolute step of one axis per map; 0 for a single value."""
-    values = cells.select("map_id", axis).distinct()
-    w = Window.partitionBy("map_id").orderBy(axis)
-    steps = values.withColumn("_d", F.abs(F.col(axis) - F.lag(axis).over(w)))
-    return steps.groupBy("map_id").agg(F.coalesce(F.median("_d"), F.lit(0.0)).alias(into))
+def _median_step(values: Column) -> Column:
+    """Median absolute step of a sorted array; 0 for a single value."""
+    steps = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.size(values) - 1, F.lit(1))),
+                                     lambda i: F.abs(F.get(values, i) - F.get(values, i - 1))))
+    n = F.size(steps)
+    middle = (F.get(steps, F.floor((n - 1) / 2).cast("int")) + F.get(steps, F.floor(n / 2).cast("int"))) / 2
+    return F.when(F.size(values) < 2, F.lit(0.0)).otherwise(middle)
 
 
 def map_meta(cells: DataFrame) -> DataFrame:
-    """Limits, resolution and shape per map, from the distinct axis values."""
-    lims = cells.groupBy("map_id").agg(
-        *[f(c).alias(f"{c}_{n}") for c in ("xx", "yy", "alt") for n, f in (("min", F.min), ("max", F.max))],
-        *[f(c).alias(f"{c}_{n}") for c in ("ix", "iy", "iz") for n, f in (("min", F.min), ("max", F.max))],
-        F.count_distinct("ix").alias("nx"), F.count_distinct("iy").alias("ny"), F.count_distinct("iz").alias("nz"))
-    out = lims
-    for axis, index, name in (("xx", "ix", "dx"), ("yy", "iy", "dy"), ("alt", "iz", "dz")):
-        out = out.join(median_step(cells, axis, index, name), "map_id")
-    return out
+    """Limits, resolution and shape per map, from one aggregate that keeps only
+    the distinct axis values."""
+    axes = (("xx", "ix", "x"), ("yy", "iy", "y"), ("alt", "iz", "z"))
+    got = cells.groupBy("map_id").agg(
+        *[F.array_sort(F.collect_set(a)).alias(f"_{a}") for a, _, _ in axes],
+        *[f(i).alias(f"{i}_{n}") for _, i, _ in axes for n, f in (("min", F.min), ("max", F.max))],
+        *[F.size(F.collect_set(i)).cast("long").alias(f"n{k}") for _, i, k in axes])
+    return got.select(
+        "map_id", *[F.array_min(f"_{a}").alias(f"{a}_min") for a, _, _ in axes],
+        *[F.array_max(f"_{a}").alias(f"{a}_max") for a, _, _ in axes],
+        *[f"{i}_{n}" for _, i, _ in axes for n in ("min", "max")], "nx", "ny", "nz",
+        *[_median_step(F.col(f"_{a}")).alias(f"d{k}") for a, _, k in axes])
 
 
 def limits(cells: DataFrame, buffer_percent: float = 0.0) -> DataFrame:
@@ -75,13 +79,9 @@ def gap_counts(cells: DataFrame) -> DataFrame:
 def full_grid(cells: DataFrame) -> DataFrame:
     """All cells of each map's axes, null where the table has none."""
     keep = [c for c in cells.columns if c not in (*CELL, "xx", "yy", "alt")]
-    xs = cells.groupBy("map_id", "ix").agg(F.min("xx").alias("xx"))
-    ys = cells.groupBy("map_id", "iy").agg(F.min("yy").alias("yy"))
-    zs = cells.groupBy("map_id", "iz").agg(F.min("alt").alias("alt"))
-    rows = lambda d, i, a: d.groupBy("map_id").agg(F.collect_list(F.struct(i, a)).alias(f"_{i}"))
-    axes = rows(xs, "ix", "xx").join(rows(ys, "iy", "yy"), "map_id").join(rows(zs, "iz", "alt"), "map_id")
-    grid = axes
-    for i in ("iz", "iy", "ix"):
+    pairs = (("iz", "alt"), ("iy", "yy"), ("ix", "xx"))
+    grid = cells.groupBy("map_id").agg(*[F.collect_set(F.struct(i, a)).alias(f"_{i}") for i, a in pairs])
+    for i, _ in pairs:
         grid = grid.withColumn(f"_e{i}", F.explode(f"_{i}"))
         if i == "iy":
             # a map's rows are spread before its columns are expanded
@@ -399,6 +399,7 @@ def _with_edge_weights(j: DataFrame) -> DataFrame:
     over the largest such distance in the overlap."""
     grid = full_grid(j.select(F.lit("_").alias("map_id"), "iz", "iy", "ix", "xx", "yy",
                               F.lit(0.0).alias("alt"), "_va", "_vb")).fillna(False, ["_va", "_vb"])
+    grid = materialized(grid, "overlap")
     overlap = grid.filter("_va AND _vb").select(*CELL)
     out = j
     for flag, name in (("_va", "_wa"), ("_vb", "_wb")):
@@ -483,6 +484,7 @@ def fill_gaps(cells: DataFrame, k: int = 3) -> DataFrame:
     """Gaps of full grids filled with the mean of the ``k`` nearest valid cells of
     their level (``k = 1`` copies), in coordinates of each map's steps."""
     gap = is_gap(F.col("val"))
+    cells = materialized(cells, "grid")
     near = nearest_cells(cells.filter(gap).select(*CELL), cells.filter(~gap).select(*CELL, "val"),
                          cells.select(*CELL), k, map_meta(cells))
     filled = near.groupBy(*CELL).agg(F.avg("val").alias("_f"))

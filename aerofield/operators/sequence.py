@@ -117,28 +117,28 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, into: str = "me
     Equal values are counted first; a histogram of the distinct values finds the
     bins holding the middle ranks, and only those bins are ranked.
     """
-    v = F.col("_v")
+    v = F.col("_mv")
     counted = (df.filter(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_c")))
-    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                      F.sum("_c").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
+               .groupBy(*keys, F.col(value).cast("double").alias("_mv"))
+               .agg(F.count(F.lit(1)).alias("_mc")))
+    span = counted.groupBy(*keys).agg(F.min("_mv").alias("_mlo"), F.max("_mv").alias("_mhi"),
+                                      F.sum("_mc").alias("_mn"))
+    width = F.col("_mhi") - F.col("_mlo")
     binned = counted.join(span, list(keys)).withColumn(
-        "_bin", F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width * bins),
+        "_mbin", F.when(width > 0, F.least(F.floor((v - F.col("_mlo")) / width * bins),
                                           F.lit(bins - 1))).otherwise(F.lit(0)))
-    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"))
-    run = Window.partitionBy(*keys).orderBy("_bin")
-    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    chosen = (per_bin.withColumn("_end", F.sum("_bc").over(run))
-              .withColumn("_base", F.col("_end") - F.col("_bc"))
-              .filter((F.col("_base") < upper) & (F.col("_end") >= lower))
-              .select(*keys, "_bin", "_base"))
-    ranked = (binned.join(chosen, [*keys, "_bin"])
-              .withColumn("_last", F.col("_base") + F.sum("_c").over(
-                  Window.partitionBy(*keys, "_bin").orderBy("_v")))
-              .withColumn("_first", F.col("_last") - F.col("_c")))
-    hits = ranked.filter((F.col("_first") < upper) & (F.col("_last") >= lower))
-    low = F.min(F.when((F.col("_first") < lower) & (F.col("_last") >= lower), v))
-    high = F.max(F.when((F.col("_first") < upper) & (F.col("_last") >= upper), v))
+    per_bin = binned.groupBy(*keys, "_mbin").agg(F.sum("_mc").alias("_mbc"), F.max("_mn").alias("_mn"))
+    run = Window.partitionBy(*keys).orderBy("_mbin")
+    lower, upper = F.floor((F.col("_mn") + 1) / 2), F.floor((F.col("_mn") + 2) / 2)
+    chosen = (per_bin.withColumn("_mend", F.sum("_mbc").over(run))
+              .withColumn("_mbase", F.col("_mend") - F.col("_mbc"))
+              .filter((F.col("_mbase") < upper) & (F.col("_mend") >= lower))
+              .select(*keys, "_mbin", "_mbase"))
+    ranked = (binned.join(chosen, [*keys, "_mbin"])
+              .withColumn("_mlast", F.col("_mbase") + F.sum("_mc").over(
+                  Window.partitionBy(*keys, "_mbin").orderBy("_mv")))
+              .withColumn("_mfirst", F.col("_mlast") - F.col("_mc")))
+    hits = ranked.filter((F.col("_mfirst") < upper) & (F.col("_mlast") >= lower))
+    low = F.min(F.when((F.col("_mfirst") < lower) & (F.col("_mlast") >= lower), v))
+    high = F.max(F.when((F.col("_mfirst") < upper) & (F.col("_mlast") >= upper), v))
     return hits.groupBy(*keys).agg(((low + high) / 2).alias(into))

@@ -19,7 +19,7 @@ def _(spark, sf):
     abs(xx - lag(xx) OVER (PARTITION BY map_id ORDER BY xx)) AS d FROM (SELECT DISTINCT map_id, xx FROM cells_type))
     GROUP BY 1""", "cells_type"))
 def _(spark, sf):
-    return maps.median_step(src.map_cells(spark, sf, "type"), "xx", "ix", "dx").select("map_id", *rounded(dx=F.col("dx")))
+    return maps.map_meta(src.map_cells(spark, sf, "type")).select("map_id", *rounded(dx=F.col("dx")))
 
 
 @query("a12_map_limits", "A12", sql=sql(f"""SELECT map_id, {r('min(yy) - 0.05 * (max(yy) - min(yy))', 'lat_min')},
@@ -128,38 +128,38 @@ def points(spark, sf, name="parts"):
 
 
 @query("j3_map_values", "J3", sql=sql(squares("cells") + located("SELECT rn, xx AS x, yy AS y FROM samples")
-    + f"SELECT rn, {r(blend(), 'map_val')} FROM pt {_JOIN}", "samples", "cells"))
+    + f"SELECT rn, {r(blend(), 'map_val', 9)} FROM pt {_JOIN}", "samples", "cells"))
 def _(spark, sf):
-    return maps.lookup(points(spark, sf), src.map_cells(spark, sf)).select("rn", *rounded(map_val=F.col("map_val")))
+    return maps.lookup(points(spark, sf), src.map_cells(spark, sf)).select("rn", *rounded(9, map_val=F.col("map_val")))
 
 
-@query("j3_irregular_axes", "J3", sql=sql(squares("cells") + located("SELECT rn, sqrt(xx * xx) AS x, yy AS y FROM samples")
+@query("j3_irregular_axes", "J3", sql=sql(squares("cells") + located("SELECT rn, xx AS x, sqrt(yy) * 4.9 AS y FROM samples")
     + f""", un AS (SELECT rn, (x * x - jx * jx) / ((jx + 1) * (jx + 1) - jx * jx) AS tx, ty, jx, jy FROM pt)
-    SELECT rn, {r(blend(), 'map_val', 5)} FROM un {_JOIN}""", "samples", "cells"))
+    SELECT rn, {r(blend(), 'map_val', 7)} FROM un {_JOIN}""", "samples", "cells"))
 def _(spark, sf):
     # columns at the squares of their index
     cells = src.map_cells(spark, sf).withColumn("xx", F.col("xx") * F.col("xx"))
-    pts = points(spark, sf).withColumn("x", F.col("x") * F.col("x"))
-    return maps.lookup(pts, cells, regular=False).select("rn", *rounded(5, map_val=F.col("map_val")))
+    pts = points(spark, sf).withColumns({"x": F.col("x") * F.col("x"), "y": F.sqrt("y") * 4.9})
+    return maps.lookup(pts, cells, regular=False).select("rn", *rounded(7, map_val=F.col("map_val")))
 
 
 @query("j4_level_values", "J4", sql=sql(squares("cells_levels") + located("SELECT rn, xx AS x, yy AS y, alt AS z FROM samples")
     + f""", lo AS (SELECT * FROM sq WHERE iz = 0), hi AS (SELECT * FROM sq WHERE iz = 1)
-    SELECT rn, {r(f"{blend(s='lo')} * (1.0 - (z - 300.0) / 100.0) + {blend(s='hi')} * ((z - 300.0) / 100.0)", 'map_val', 5)} FROM pt
+    SELECT rn, {r(f"{blend(s='lo')} * (1.0 - (z - 300.0) / 100.0) + {blend(s='hi')} * ((z - 300.0) / 100.0)", 'map_val', 7)} FROM pt
     LEFT JOIN lo ON lo.ix = jx AND lo.iy = jy LEFT JOIN hi ON hi.ix = jx AND hi.iy = jy""", "samples", "cells_levels"))
 def _(spark, sf):
     got = maps.lookup(points(spark, sf, "deep"), src.map_cells(spark, sf, "levels"), levels=True)
-    return got.select("rn", *rounded(5, map_val=F.col("map_val")))
+    return got.select("rn", *rounded(7, map_val=F.col("map_val")))
 
 
 @query("j5_vector_map_values", "J5", sql=sql(""", vc AS (SELECT *, val AS bx, val * 0.5 + ix AS by_, iy - val / 10.0 AS bz FROM cells)"""
     + squares("vc", ("bx", "by_", "bz")) + located("SELECT rn, xx AS x, yy AS y FROM samples")
-    + f"SELECT rn, {r(blend('bx'), 'bx', 5)}, {r(blend('by_'), 'by', 5)}, {r(blend('bz'), 'bz', 5)} FROM pt {_JOIN}", "samples", "cells"))
+    + f"SELECT rn, {r(blend('bx'), 'bx', 9)}, {r(blend('by_'), 'by', 9)}, {r(blend('bz'), 'bz', 9)} FROM pt {_JOIN}", "samples", "cells"))
 def _(spark, sf):
     v = F.col("val")
     cells = src.map_cells(spark, sf).withColumns({"bx": v, "by": v * 0.5 + F.col("ix"), "bz": F.col("iy") - v / 10.0})
     got = maps.lookup(points(spark, sf), cells, ("bx", "by", "bz"), ("bx", "by", "bz"))
-    return got.select("rn", *rounded(5, bx=F.col("bx"), by=F.col("by"), bz=F.col("bz")))
+    return got.select("rn", *rounded(9, bx=F.col("bx"), by=F.col("by"), bz=F.col("bz")))
 
 
 @query("j6_nearest_cells", "J6", sql=sql(f"""SELECT rn, {r('val', 'map_val')} FROM samples s LEFT JOIN cells c
@@ -190,32 +190,32 @@ def _(spark, sf):
 @query("j12_resampled_map", "J12", sql=sql(squares("cells") + located("""SELECT iy, ix, iy * 0.5 AS y, ix * 0.5 AS x FROM
     generate_series(0, 53) AS a(iy), generate_series(0, 104) AS b(ix)""")
     + f""", v AS (SELECT pt.iy, pt.ix, CASE WHEN jx IS NULL OR jy IS NULL THEN 0.0 ELSE {blend()} END AS val FROM pt {_JOIN})
-    SELECT iy, ix, {r('val', 'val', 5)}, coalesce(val <> 0, false) AS mask FROM v""", "cells"))
+    SELECT iy, ix, {r('val', 'val', 9)}, coalesce(val <> 0, false) AS mask FROM v""", "cells"))
 def _(spark, sf):
     cells = src.map_cells(spark, sf)
     half = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: i * 0.5)
     axes = cells.select("map_id").distinct().withColumns({"new_yy": half(53), "new_xx": half(104)})
-    return maps.resample(cells, axes).select("iy", "ix", *rounded(5, val=F.col("val")), "mask")
+    return maps.resample(cells, axes).select("iy", "ix", *rounded(9, val=F.col("val")), "mask")
 
 
 @query("j14_map_slope", "J14", sql=sql(squares("cells") + located("""SELECT rn, d, s, xx + CASE WHEN d = 'x' THEN s * 0.25 ELSE 0 END AS x,
     yy + CASE WHEN d = 'y' THEN s * 0.25 ELSE 0 END AS y FROM samples, (VALUES ('x', -1.0), ('x', 1.0), ('y', -1.0), ('y', 1.0)) AS o(d, s)""")
     + f""", v AS (SELECT rn, d, s, {blend()} AS val FROM pt {_JOIN})
-    SELECT rn, {r("CASE WHEN count(val) FILTER (d = 'y') = 2 THEN sum(val * s) FILTER (d = 'y') / 0.5 END", 'slope_y', 4)},
-    {r("CASE WHEN count(val) FILTER (d = 'x') = 2 THEN sum(val * s) FILTER (d = 'x') / 0.5 END", 'slope_x', 4)} FROM v GROUP BY rn""", "samples", "cells"))
+    SELECT rn, {r("CASE WHEN count(val) FILTER (d = 'y') = 2 THEN sum(val * s) FILTER (d = 'y') / 0.5 END", 'slope_y', 9)},
+    {r("CASE WHEN count(val) FILTER (d = 'x') = 2 THEN sum(val * s) FILTER (d = 'x') / 0.5 END", 'slope_x', 9)} FROM v GROUP BY rn""", "samples", "cells"))
 def _(spark, sf):
     got = maps.slope(points(spark, sf), src.map_cells(spark, sf), 0.25)
-    return got.select("rn", *rounded(4, slope_y=F.col("slope_y"), slope_x=F.col("slope_x")))
+    return got.select("rn", *rounded(9, slope_y=F.col("slope_y"), slope_x=F.col("slope_x")))
 
 
 @query("j15_predicted_field", "J15", sql=sql(", dc AS (SELECT *, ix * 0.001 AS deriv FROM cells)" + squares("dc", ("val", "deriv"))
     + located("SELECT rn, xx AS x, yy AS y, alt AS z, mag_1_uc, igrf, diurnal FROM samples")
     + f""", p AS (SELECT rn, mag_1_uc, {blend()} + (z - 300.0) * {blend('deriv')} + igrf + diurnal AS predicted FROM pt {_JOIN})
-    SELECT rn, {r('predicted', 'predicted', 4)}, {r('mag_1_uc - predicted', 'residual', 4)} FROM p""", "samples", "cells"))
+    SELECT rn, {r('predicted', 'predicted', 9)}, {r('mag_1_uc - predicted', 'residual', 9)} FROM p""", "samples", "cells"))
 def _(spark, sf):
     cells = src.map_cells(spark, sf).withColumn("deriv", F.col("ix") * 0.001)
     got = maps.predicted_field(points(spark, sf), cells, "mag_1_uc", "deriv", "igrf", "diurnal")
-    return got.select("rn", *rounded(4, predicted=F.col("predicted"), residual=F.col("residual")))
+    return got.select("rn", *rounded(9, predicted=F.col("predicted"), residual=F.col("residual")))
 
 
 @query("p20_core_field_change", "P20", sql=sql(f"""SELECT iz, iy, ix, {r('val - (ix * 0.5 + iy) + ix * 0.25 * (iz + 1)', 'val', 5)} FROM cells_levels""", "cells_levels"))
@@ -300,7 +300,7 @@ def _(spark, sf):
 
 
 @query("p19_enriched_flight", "P19", sql=sql(design_view() + squares("cells") + located("SELECT *, xx AS x, yy AS y FROM design")
-    + f"""SELECT rn, 2031 AS year, {r("CASE WHEN flight = 'F1' THEN rn % 13 + 1.0 ELSE igrf END", 'igrf', 4)}, {r(blend(), 'mag_map', 5)},
+    + f"""SELECT rn, 2031 AS year, {r("CASE WHEN flight = 'F1' THEN rn % 13 + 1.0 ELSE igrf END", 'igrf', 4)}, {r(blend(), 'mag_map', 9)},
     {r(f"CASE WHEN flight = 'F0' THEN mag_1_uc - ({_DOT}) ELSE mag_1_c END", 'mag_1_c', 5)} FROM pt {_JOIN}""", "numbered", "cells"))
 def _(spark, sf):
     raw = src.samples(spark, sf)
@@ -309,4 +309,4 @@ def _(spark, sf):
                            "lon": F.col("xx"), "lat": F.col("yy")})
     core = raw.select("rn", (F.col("rn") % 13 + 1.0).alias("f"))
     got = enrich.enrich(raw, {"year": 2031}, core, src.map_cells(spark, sf), "parts", _COEF)
-    return got.select("rn", "year", *rounded(4, igrf=F.col("igrf")), *rounded(5, mag_map=F.col("mag_map"), mag_1_c=F.col("mag_1_c")))
+    return got.select("rn", "year", *rounded(4, igrf=F.col("igrf")), *rounded(9, mag_map=F.col("mag_map")), *rounded(5, mag_1_c=F.col("mag_1_c")))

@@ -17,7 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream."""
+    return (spark.readStream.schema(table(spark, sf_dir, "events").schema)
+            .option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+
+
+def samples(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Flights of 2500 samples; ten lines per flight flown in legs of 100 samples,
     so that a line returns in up to three contiguous legs."""
     e = F.col("event_id")
@@ -25,7 +31,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = (e % 97 + 1).cast("double")
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
     flight_no = F.floor(e / FLIGHT_ROWS)
-    base = table(spark, sf_dir, "events").select(
+    base = (table(spark, sf_dir, "events") if events is None else events).select(
         e.alias("rn"),
         F.concat(F.lit("F"), flight_no.cast("string")).alias("flight"),
         (flight_no * 100 + F.floor(e / LEG_ROWS) % 10).alias("line"),
@@ -56,6 +62,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("ins_alt", F.col("alt") + F.col("rn") % 5 - 2.0)
 
 
+def filter_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three filters' estimates and covariance diagonals for every sample; the
+    last one has no eighteenth state."""
+    rn = F.col("rn")
+    states = lambda n, f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+    size = lambda i: F.when(i < 2, F.lit(1e-8)).otherwise(F.lit(0.1))
+    est = lambda i: ((rn + F.col("f") * 3 + i * 5) % 11 - 5) * size(i)
+    var = lambda i: F.pow(((rn + i) % 7 + 1) * size(i), F.lit(2.0))
+    many = samples(spark, sf_dir).select("flight", "line", "rn", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("f"), F.lit(n).alias("filter")) for i, n in enumerate(("ekf", "mpf", "nekf"))])).alias("s")
+        ).select("flight", "line", "rn", "s.*")
+    both = lambda f: F.when(F.col("f") < 2, states(18, f)).otherwise(states(17, f))
+    return many.select("filter", "flight", "line", "rn", both(est).alias("x"), both(var).alias("p_diag"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dimension: each line's time range, a fiftieth narrower at both ends."""
     span = samples(spark, sf_dir).groupBy("flight", "line").agg(
