@@ -88,12 +88,12 @@ def _stream(spark, sf):
 
 @query("r2_r3_step_and_variance", "R2", "R3", "W15", sql=sql(f"""SELECT flight, rn, {r('coalesce(tt - lag(tt) OVER w, 0.1)', 'step', 5)},
     {r('''CASE WHEN row_number() OVER w > 10 THEN least(greatest(avg(e * e) OVER (PARTITION BY flight ORDER BY tt, rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)
-    - 0.25, 1.0), 400.0) ELSE 4.0 END''', 'variance', 5)} FROM (SELECT *, mag_1_uc - mag_1_c AS e FROM samples)
+    - 0.25, 1.0), 400.0) ELSE 4.0 END''', 'variance', 9)} FROM (SELECT *, mag_1_uc - mag_1_c AS e FROM samples)
     WINDOW w AS (PARTITION BY flight ORDER BY tt, rn)""", "samples"))
 def _(spark, sf):
     stream = _stream(spark, sf).withColumns({"resid": F.col("e"), "hph": F.lit(0.25)})
     got = live.run_available(live.steps_and_variance(stream, 0.1, 4.0, 1.0, 400.0))
-    return got.select("flight", "rn", *rounded(5, step=F.col("step"), variance=F.col("variance")))
+    return got.select("flight", "rn", *rounded(5, step=F.col("step")), *rounded(9, variance=F.col("variance")))
 
 
 @query("r4_live_map_residual", "R4", "J3", sql=sql(squares("cells") + located("SELECT rn, mag_1_uc, xx AS x, yy AS y FROM samples")
@@ -109,11 +109,11 @@ def _closed(slot: str, length: int) -> str:
 
 
 @query("r5_tumbling_errors", "R5", "A1", sql=sql(f""", s AS (SELECT flight, line, mag_1_uc - mag_1_c AS e, CAST(floor((tt + 1704067200) / 21600) AS BIGINT) * 21600 AS slot FROM samples)
-    SELECT slot, flight, line, count(*) AS n, {r('sqrt(avg(e * e))', 'rmse', 5)}, {r('avg(abs(e))', 'mae', 5)}, {r('stddev_pop(e)', 'std', 5)} FROM s {_closed('slot', 21600)} GROUP BY 1, 2, 3""", "samples"))
+    SELECT slot, flight, line, count(*) AS n, {r('sqrt(avg(e * e))', 'rmse', 9)}, {r('avg(abs(e))', 'mae', 9)}, {r('stddev_pop(e)', 'std', 9)} FROM s {_closed('slot', 21600)} GROUP BY 1, 2, 3""", "samples"))
 def _(spark, sf):
     got = live.run_available(live.windowed_errors(_stream(spark, sf), "e", "6 hours"))
     return got.select(F.unix_seconds("window.start").alias("slot"), "flight", "line", "n",
-                      *rounded(5, rmse=F.col("rmse"), mae=F.col("mae"), std=F.col("std")))
+                      *rounded(9, rmse=F.col("rmse"), mae=F.col("mae"), std=F.col("std")))
 
 
 @query("r5_sliding_errors", "R5", "A1", sql=sql(f""", s AS (SELECT flight, line, mag_1_uc - mag_1_c AS e, (CAST(floor((tt + 1704067200) / 10800) AS BIGINT) - back) * 10800 AS slot
@@ -132,8 +132,8 @@ def _(spark, sf):
 
 @query("r6_live_legs", "R6", "W5", sql=sql(f""", g AS (SELECT *, CASE WHEN tt - lag(tt) OVER w < 7200 THEN 0 ELSE 1 END AS fresh FROM samples WINDOW w AS (PARTITION BY flight, line ORDER BY tt)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY flight, line ORDER BY tt, rn ROWS UNBOUNDED PRECEDING) AS leg FROM g)
-    SELECT flight, line, count(*) AS n, {r('min(tt)', 't_start', 5)}, {r('max(tt)', 't_end', 5)} FROM s GROUP BY flight, line, leg
+    SELECT flight, line, count(*) AS n, {r('min(tt)', 't_start')}, {r('max(tt)', 't_end')} FROM s GROUP BY flight, line, leg
     HAVING max(tt) + 7200 <= (SELECT max(tt) FROM samples) - 600""", "samples"))
 def _(spark, sf):
     got = live.run_available(live.live_legs(_stream(spark, sf), "2 hours"))
-    return got.select("flight", "line", "n", *rounded(5, t_start=F.col("t_start"), t_end=F.col("t_end")))
+    return got.select("flight", "line", "n", *rounded(t_start=F.col("t_start"), t_end=F.col("t_end")))

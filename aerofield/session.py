@@ -33,9 +33,12 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Mark ``df`` for broadcast if it holds at most ``rows`` rows, else leave the
-    join to the optimizer.  The check reads no more than ``rows + 1`` rows."""
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
+    join to the optimizer.  The rows counted are kept, so a dimension that is
+    itself an aggregate is computed once."""
+    held = df.persist()
+    if held.limit(rows + 1).count() <= rows:
+        return F.broadcast(held)
+    held.unpersist()
     return df
 
 

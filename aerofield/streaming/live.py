@@ -51,7 +51,7 @@ class StepAndVariance(StatefulProcessor):
     """Per flight: time since the previous sample, and the measurement variance
     from the previous ten residuals."""
 
-    def __init__(self, first_step: float, start: float, low: float, high: float, depth: int, idle_ms: int):
+    def __init__(self, first_step: float, start: float, low: float, high: float, depth: int, idle_ms: int | None):
         self.first_step, self.start, self.low, self.high = first_step, start, low, high
         self.depth, self.idle_ms = depth, idle_ms
 
@@ -79,15 +79,16 @@ class StepAndVariance(StatefulProcessor):
 
 
 def steps_and_variance(stream: DataFrame, first_step: float = 0.1, start: float = 1.0, low: float = 0.0,
-                       high: float = 1e9, depth: int = 10, idle_ms: int = 3_600_000) -> DataFrame:
+                       high: float = 1e9, depth: int = 10, idle_ms: int | None = None) -> DataFrame:
     """Stream of (flight, rn, step, variance) from (flight, rn, tt, resid, hph).
-    State of a flight idle for ``idle_ms`` is dropped."""
+    State of a flight idle for ``idle_ms`` is dropped; such a clock keeps an
+    available-now run going, so leave it out there."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     out = T.StructType([T.StructField("flight", T.StringType()), T.StructField("rn", T.LongType()),
                         T.StructField("step", T.DoubleType()), T.StructField("variance", T.DoubleType())])
     slim = stream.select("flight", "rn", "tt", "resid", "hph")
     return slim.groupBy("flight").transformWithStateInPandas(
-        StepAndVariance(first_step, start, low, high, depth, idle_ms), out, "Append", "ProcessingTime")
+        StepAndVariance(first_step, start, low, high, depth, idle_ms), out, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def live_map_residual(points: DataFrame, cells: DataFrame, measured: str = "measured") -> DataFrame:
