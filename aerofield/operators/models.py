@@ -9,7 +9,8 @@ import math
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from aerofield.functions import compensation as comp
 from aerofield.functions.filters import butterworth
@@ -19,16 +20,49 @@ from aerofield.operators.segments import shuffle_key, trim_lines
 from aerofield.operators.sequence import LINE, block_rows, number_rows, with_group_stats
 
 ONE = "_one"
+REALS = T.ArrayType(T.DoubleType())
+
+
+def _sum_arrays(partial: DataFrame, keys=(), column: str = "gram") -> DataFrame:
+    """Elementwise sums of the arrays (and ``n``) of each key."""
+    flat = partial.select(*keys, "n", F.posexplode(column).alias("_i", "_v"))
+    summed = flat.groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"), F.sum("n").alias("n"))
+    return summed.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(
+        F.collect_list(F.struct("_i", "_v"))).alias("_r")).select(*keys, "n", F.col("_r._v").alias(column))
 
 
 def gram(df: DataFrame, columns: list[str], keys=()) -> DataFrame:
     """Sums of all pairwise products per key, as the packed upper triangle, with
-    the column sums first."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    sums = [F.sum(F.col(c)) for c in columns] + [F.sum(F.col(a) * F.col(b)) for a, b in pairs]
-    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                *[s.alias(f"_g{i}") for i, s in enumerate(sums)])
-    return agg.select(*keys, "n", F.array(*[f"_g{i}" for i in range(len(sums))]).alias("gram"))
+    the column sums first.  Rows with a missing value are left out.
+
+    Each task multiplies its Arrow batches as matrices and passes on one small
+    partial sum per key, so the shuffle does not grow with the rows.
+    """
+    upper = np.triu_indices(len(columns))
+    schema = T.StructType([df.schema[k] for k in keys] + [
+        T.StructField("n", T.LongType()), T.StructField("gram", REALS)])
+
+    def partials(batches):
+        acc = {}
+
+        def emit():
+            rows = [(*key, n, np.concatenate([s, g[upper]])) for key, (n, s, g) in acc.items()]
+            acc.clear()
+            return pd.DataFrame(rows, columns=schema.names)
+        for pdf in batches:
+            x = pdf[columns].to_numpy(dtype=float)
+            whole = ~np.isnan(x).any(axis=1)
+            groups = pdf.groupby(list(keys), sort=False, dropna=False).indices if keys else {(): slice(None)}
+            for key, rows in groups.items():
+                part = x[rows][whole[rows]]
+                key = key if isinstance(key, tuple) else (key,)
+                n, s, g = acc.get(key, (0, 0.0, 0.0))
+                acc[key] = (n + len(part), s + part.sum(axis=0), g + part.T @ part)
+            if len(acc) > 4096:
+                yield emit()
+        if acc:
+            yield emit()
+    return _sum_arrays(df.select(*keys, *[F.col(c).cast("double") for c in columns]).mapInPandas(partials, schema), keys)
 
 
 def unpack_gram(packed, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +97,12 @@ def ridge_by_key(df: DataFrame, xs: list[str], y: str, keys=LINE, ridge: float =
     """Coefficients (``coef``) per key: one solve per Gram row, in batches."""
     size = len(xs)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(REALS)
     def fit(packed):
         out = []
         for p in packed:
             _, g = unpack_gram(p, size + 1)
             out.append(solve(g[:size, :size], g[:size, size], ridge).tolist())
-        import pandas as pd
         return pd.Series(out)
     return gram(df, [*xs, y], keys).select(*keys, "n", fit("gram").alias("coef"))
 
@@ -347,15 +380,22 @@ def centred_gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np
     """Row count, plain and line-centred Gram matrices, from one pass: the lines'
     sums correct their own products."""
     size = len(columns)
-    per_line = gram(df, columns, LINE)
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    g = F.col("gram")
-    row = per_line.agg(F.sum("n").alias("n"),
-                       *[F.sum(g[size + k]).alias(f"_g{k}") for k in range(len(pairs))],
-                       *[F.sum(g[i] * g[j] / F.col("n")).alias(f"_m{k}") for k, (i, j) in enumerate(pairs)]).first()
-    plain, mean = (unpack_gram([0.0] * size + [row[f"{p}{k}"] for k in range(len(pairs))], size)[1]
-                   for p in ("_g", "_m"))
-    return row["n"], plain, plain - mean
+    upper = np.triu_indices(size)
+
+    def both(batches):
+        for pdf in batches:
+            n, plain, centred = 0, np.zeros(len(upper[0])), np.zeros(len(upper[0]))
+            for count, packed in zip(pdf["n"], pdf["gram"]):
+                if count:
+                    sums, full = unpack_gram(packed, size)
+                    n, plain = n + count, plain + full[upper]
+                    centred = centred + (full - np.outer(sums, sums) / count)[upper]
+            yield pd.DataFrame({"n": [n], "gram": [np.concatenate([plain, centred])]})
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("gram", REALS)])
+    row = _sum_arrays(gram(df, columns, LINE).select("n", "gram").mapInPandas(both, schema)).first()
+    pad, half = [0.0] * size, len(upper[0])
+    plain, centred = (unpack_gram([*pad, *part], size)[1] for part in (row["gram"][:half], row["gram"][half:]))
+    return row["n"], plain, centred
 
 
 def drop_importance(df: DataFrame, xs: list[str], y: str, ridge: float = 0.0) -> list[tuple[int, str, float]]:

@@ -326,19 +326,50 @@ def flagship(spark, sf):
 query("m3_line_error_spread", "M1", "M3")(flagship)
 
 
-@query("w17_band_passed_mag", "W17", "S6")
-def _(spark, sf):
-    got = filtering.zero_phase(numbered(spark, sf), ["mag_1_uc", "alt"], butterworth(0.1, 0.9, 10.0), keep=["rn"])
-    return got.select("flight", "line", "rn", *rounded(5, mag_1_uc=F.col("mag_1_uc"), alt=F.col("alt")))
+def _taps(sections, n: int) -> str:
+    """Impulse response values of a filter as SQL rows (j, h)."""
+    import numpy as np
+    x = np.zeros(n)
+    x[0] = 1.0
+    return ", ".join(f"({i}, {v!r}::DOUBLE)" for i, v in enumerate(sections.recurse(x)[0].tolist()))
+
+
+def _zero_phase_sql(sections, column: str) -> str:
+    """Direct convolution of the odd-extended line, forward and backward."""
+    pad, gain = sections.pad, f"{sections.gain!r}::DOUBLE"
+    return f""", taps(j, h) AS (VALUES {_taps(sections, 420)}),
+    x AS (SELECT line, n_line, pos, CAST({column} AS DOUBLE) AS v, first_value({column}) OVER w AS v0,
+    last_value({column}) OVER (PARTITION BY line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v1
+    FROM numbered WINDOW w AS (PARTITION BY line ORDER BY pos)),
+    e AS (SELECT line, n_line, pos, v FROM x UNION ALL SELECT line, n_line, -pos, 2 * v0 - v FROM x WHERE pos BETWEEN 1 AND {pad}
+    UNION ALL SELECT line, n_line, 2 * (n_line - 1) - pos, 2 * v1 - v FROM x WHERE pos BETWEEN n_line - 1 - {pad} AND n_line - 2),
+    d AS (SELECT *, first_value(v) OVER (PARTITION BY line ORDER BY pos) AS v0 FROM e),
+    f AS (SELECT a.line, a.n_line, a.pos, {gain} * any_value(a.v0) + sum(h * (b.v - b.v0)) AS v FROM d a JOIN d b ON a.line = b.line AND b.pos <= a.pos
+    JOIN taps ON j = a.pos - b.pos GROUP BY 1, 2, 3),
+    g AS (SELECT *, first_value(v) OVER (PARTITION BY line ORDER BY pos DESC) AS v0 FROM f),
+    z AS (SELECT a.line, a.pos, {gain} * any_value(a.v0) + sum(h * (b.v - b.v0)) AS v FROM g a JOIN g b ON a.line = b.line AND b.pos >= a.pos
+    JOIN taps ON j = b.pos - a.pos WHERE a.pos BETWEEN 0 AND a.n_line - 1 GROUP BY 1, 2)
+    SELECT rn, """ + r("z.v", column, 5) + " FROM z JOIN numbered n ON n.line = z.line AND n.pos = z.pos"
+
+
+_BAND, _LOW = butterworth(0.1, 0.9, 10.0), butterworth(0.0, 0.2, 10.0)
+
+
+@query("w17_band_passed_mag", "W17", sql=sql(_zero_phase_sql(_BAND, "mag_1_uc"), "numbered"))
+def _(spark, sf):
+    got = filtering.zero_phase(numbered(spark, sf), ["mag_1_uc"], _BAND, keep=["rn"])
+    return got.select("rn", *rounded(5, mag_1_uc=F.col("mag_1_uc")))
 
 
-@query("w17_low_passed_currents", "W17")
+@query("w17_low_passed_currents", "W17", sql=sql(_zero_phase_sql(_LOW, "cur_strb").replace("AS cur_strb FROM", "AS lpf_cur_strb FROM"), "numbered"))
 def _(spark, sf):
     got = filtering.low_pass_currents(numbered(spark, sf), ["cur_strb"], 10.0, ["rn"])
     return got.select("rn", *rounded(5, lpf_cur_strb=F.col("lpf_cur_strb")))
 
 
-@query("w18_causal_filter", "W18")
+@query("w18_causal_filter", "W18", sql=sql(f""", taps(j, h) AS (VALUES {_taps(butterworth(0.0, 0.9, 10.0), 320)})
+    SELECT a.rn, {r('sum(h * b.mag_1_uc)', 'mag_1_uc', 5)} FROM numbered a JOIN numbered b ON a.line = b.line AND b.pos <= a.pos
+    JOIN taps ON j = a.pos - b.pos GROUP BY a.rn""", "numbered"))
 def _(spark, sf):
     got = filtering.causal(numbered(spark, sf), ["mag_1_uc"], butterworth(0.0, 0.9, 10.0), keep=["rn"])
     return got.select("rn", *rounded(5, mag_1_uc=F.col("mag_1_uc")))
@@ -364,17 +395,41 @@ def _(spark, sf):
 _FEATS = ["mag_2_uc", "alt", "cur_strb", "igrf"]
 
 
-@query("m5_partial_least_squares", "M5")
+# statistics of two features a, b and the target y over a selection, standardized products included
+def _two(where: str = "TRUE", a: str = "mag_2_uc", b: str = "alt", y: str = "mag_1_uc") -> str:
+    return f"""SELECT avg({a}) AS ma, stddev_pop({a}) AS sa, avg({b}) AS mb, stddev_pop({b}) AS sb, avg({y}) AS my, stddev_pop({y}) AS sy,
+    corr({a}, {b}) AS c, corr({a}, {y}) AS ca, corr({b}, {y}) AS cb, count(*) AS n FROM fit WHERE {where}"""
+
+
+# first PLS component: direction (ca, cb), score variance 1 +- c, regression on it
+_PLS = """, k AS (SELECT *, ca / sqrt(ca * ca + cb * cb) AS wa, cb / sqrt(ca * ca + cb * cb) AS wb FROM t),
+    q AS (SELECT *, (ca * wa + cb * wb) / (1 + 2 * wa * wb * c) AS q FROM k)"""
+_PLS_HAT = "((mag_2_uc - ma) / sa * wa + (alt - mb) / sb * wb) * q * sy + my"
+_AB = ["mag_2_uc", "alt"]
+
+
+@query("m5_partial_least_squares", "M5", "M3", sql=sql(f""", fit AS (SELECT * FROM samples), t AS ({_two()}){_PLS}
+    SELECT rn, {r(_PLS_HAT, 'y_hat', 5)} FROM samples, q""", "samples"))
 def _(spark, sf):
     df = src.samples(spark, sf)
-    model = models.pls_fit(df, _FEATS, "mag_1_uc", 3)
-    return models.score(df, model, "mag_1_uc").groupBy("flight", "line").agg(F.round(F.stddev_pop("err"), 5).alias("err_std"))
+    model = models.pls_fit(df, _AB, "mag_1_uc", 1)
+    return models.score(df, model, "mag_1_uc").select("rn", *rounded(5, y_hat=F.col("y_hat")))
 
 
-@query("m6_elastic_net", "M6")
+@query("m5_all_components", "M5")
 def _(spark, sf):
-    model = models.elastic_net_fit(src.samples(spark, sf), _FEATS, "mag_1_uc", 0.1, 0.5)
-    return coef_frame(spark, model.names, model.coef)
+    df = src.samples(spark, sf)
+    sets = models.pls_fit(df, _FEATS, "mag_1_uc", 4, every_k=True)
+    rows = [(k + 1, n, float(v)) for k, b in enumerate(sets) for n, v in zip(_FEATS, b)]
+    return spark.createDataFrame(rows, "components int, term string, value double")
+
+
+# one standardized feature: soft threshold of the correlation, then shrinkage
+@query("m6_elastic_net", "M6", sql=sql(f"""SELECT 'mag_2_uc' AS term, {r('sign(c) * greatest(abs(c) - 0.1 * 0.5, 0) / (1 + 0.1 * 0.5)', 'value', 5)}
+    FROM (SELECT corr(mag_2_uc, mag_1_uc) AS c FROM samples)""", "samples"))
+def _(spark, sf):
+    model = models.elastic_net_fit(src.samples(spark, sf), ["mag_2_uc"], "mag_1_uc", 0.1, 0.5)
+    return coef_frame(spark, model.names, model.coef).select("term", *rounded(5, value=F.col("value")))
 
 
 @query("m7_elastic_net_cv", "M7")
@@ -395,13 +450,17 @@ def _(spark, sf):
     return out
 
 
-@query("m10_train_and_test_lines", "M10", "J1", "M8")
+@query("m10_train_and_test_lines", "M10", "J1", "M8", sql=sql(f""", picked AS (SELECT s.* FROM samples s JOIN lines l ON s.flight = l.flight
+    AND s.line = l.line AND s.tt BETWEEN l.t_start AND l.t_end), fit AS (SELECT *, mag_1_uc - mag_1_c AS d FROM picked),
+    t AS ({_two('line % 2 = 0', y='d')}){_PLS}, e AS (SELECT flight, line, {_PLS_HAT} - d AS e FROM fit, q WHERE line % 2 = 1)
+    SELECT flight, line, count(*) AS n, {r('stddev_pop(e)', 'err_std', 5)} FROM e GROUP BY 1, 2""", "lines"))
 def _(spark, sf):
     lines = src.lines(spark, sf)
-    chosen = [x["line"] for x in lines.select("line").orderBy("line").limit(10).collect()]
+    every_line = [x["line"] for x in lines.select("line").collect()]
+    part = lambda odd: [n for n in every_line if n % 2 == odd]
     _, scored = models.train_and_test(src.samples(spark, sf), lines, src.flights(spark, sf),
-                                      chosen[:6], chosen[6:], "TL")
-    return scored.groupBy("flight", "line").agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_pop("err"), 4).alias("err_std"))
+                                      part(0), part(1), "plsr", xs=_AB, k=1)
+    return scored.groupBy("flight", "line").agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_pop("err"), 5).alias("err_std"))
 
 
 @query("m9_whitened_features", "M9", "T3")
@@ -422,54 +481,102 @@ def _(spark, sf):
     return models.project(df, ["mag_1_uc", "mag_2_uc"], axes, norm).select("rn", *rounded(5, pc_0=F.col("pc_0")))
 
 
-@query("m11_permutation_importance", "M11", "T2")
-def _(spark, sf):
+_SHUFFLE = "CAST('0x' || substr(md5('7:' || CAST(rn AS VARCHAR)), 1, 15) AS BIGINT)"
+# two standardized features: coefficients from the correlations
+_IMPORTANCE = f""", fit AS (SELECT * FROM samples), t AS ({_two()}),
+    b AS (SELECT *, (ca - cb * c) / (1 - c * c) * sy / sa AS ba, (cb - ca * c) / (1 - c * c) * sy / sb AS bb FROM t),
+    o AS (SELECT flight, line, mag_1_uc, mag_2_uc, alt, row_number() OVER (ORDER BY rn) AS p FROM samples),
+    d AS (SELECT mag_2_uc AS pa, alt AS pb, row_number() OVER (ORDER BY {_SHUFFLE}) AS p FROM samples),
+    e AS (SELECT flight, line, ba * (pa - ma) + bb * (alt - mb) + my - mag_1_uc AS e0, ba * (mag_2_uc - ma) + bb * (pb - mb) + my - mag_1_uc AS e1
+    FROM o JOIN d USING (p), b),
+    v AS (SELECT e0 - avg(e0) OVER (PARTITION BY flight, line) AS e0, e1 - avg(e1) OVER (PARTITION BY flight, line) AS e1 FROM e),
+    imp AS (SELECT 0 AS idx, 'mag_2_uc' AS feature, sqrt(avg(e0 * e0)) AS err_std FROM v UNION ALL SELECT 1, 'alt', sqrt(avg(e1 * e1)) FROM v) """
+
+
+def _importance(spark, sf):
     df = src.samples(spark, sf)
-    model = models.linear_fit(df, _FEATS, "mag_1_uc", kind_x="standardize", kind_y="standardize")
-    return models.permutation_importance(df, model, "mag_1_uc", 7).select("idx", "feature", *rounded(5, err_std=F.col("err_std")))
+    model = models.linear_fit(df, _AB, "mag_1_uc", kind_x="standardize", kind_y="standardize")
+    return models.permutation_importance(df, model, "mag_1_uc", 7)
 
 
-@query("m12_drop_importance", "M12", "T2")
+@query("m11_permutation_importance", "M11", "T2", sql=sql(_IMPORTANCE + f"SELECT idx, feature, {r('err_std', 'err_std', 5)} FROM imp", "samples"))
 def _(spark, sf):
-    rows = models.drop_importance(src.samples(spark, sf), _FEATS, "mag_1_uc", 0.025)
+    return _importance(spark, sf).select("idx", "feature", *rounded(5, err_std=F.col("err_std")))
+
+
+def _dropped_sql(i: int, gone: str, left: str) -> str:
+    return f"""SELECT {i} AS idx, '{gone}' AS feature, {r('sqrt(avg(e * e))', 'err_std', 5)} FROM (SELECT b * {left} - mag_1_uc
+    - avg(b * {left} - mag_1_uc) OVER (PARTITION BY flight, line) AS e FROM samples,
+    (SELECT sum({left} * mag_1_uc) / (sum({left} * {left}) + 0.025) AS b FROM samples))"""
+
+
+@query("m12_drop_importance", "M12", sql=sql(_dropped_sql(0, "mag_2_uc", "alt") + " UNION ALL " + _dropped_sql(1, "alt", "mag_2_uc"), "samples"))
+def _(spark, sf):
+    rows = models.drop_importance(src.samples(spark, sf), _AB, "mag_1_uc", 0.025)
     return spark.createDataFrame(rows, "idx int, feature string, err_std double").select("idx", "feature", *rounded(5, err_std=F.col("err_std")))
 
 
-@query("m13_rolling_refit", "M13")
+@query("m13_rolling_refit", "M13", sql=sql(f""", o AS (SELECT row_number() OVER (ORDER BY rn) - 1 AS p, count(*) OVER () AS n, mag_2_uc AS x, mag_1_uc AS y FROM samples),
+    c AS (SELECT w, sum(x * y) / (sum(x * x) + 0.025) AS b FROM o, LATERAL (SELECT unnest(generate_series(0, 49)) AS w) WHERE p >= w AND p < w + n - 49 GROUP BY w),
+    a AS (SELECT sum(x * y) / (sum(x * x) + 0.025) AS b, sum(x * x) AS xx FROM o)
+    SELECT 'mag_2_uc' AS term, {r('(SELECT stddev_pop(b) FROM c) * 1e6', 'sigma', 3)}, {r('avg((y - b * x) * (y - b * x)) / any_value(xx) * 1e6', 'p0', 5)} FROM o, a""", "samples"))
 def _(spark, sf):
-    df = src.samples(spark, sf)
-    sigma, p0, _ = models.rolling_fit(df, _FEATS, "mag_1_uc", 50, 0.025)
-    rows = [(n, float(sigma[i]), float(p0[i, i])) for i, n in enumerate(_FEATS)]
-    return spark.createDataFrame(rows, "term string, sigma double, p0 double")
+    sigma, p0, _ = models.rolling_fit(src.samples(spark, sf), ["mag_2_uc"], "mag_1_uc", 50, 0.025)
+    return spark.createDataFrame([("mag_2_uc", float(sigma[0]) * 1e6, float(p0[0, 0]) * 1e6)], "term string, sigma double, p0 double").select(
+        "term", *rounded(3, sigma=F.col("sigma")), *rounded(5, p0=F.col("p0")))
 
 
-@query("m14_saved_model", "M14")
+@query("m14_saved_model", "M14", sql=sql(f"SELECT rn, {r('(mag_2_uc - ma) / sa * b', 'y_hat', 5)} FROM samples, (SELECT avg(mag_2_uc) AS ma, stddev_pop(mag_2_uc) AS sa, corr(mag_2_uc, mag_1_uc) * stddev_pop(mag_1_uc) AS b FROM samples)", "samples"))
 def _(spark, sf):
     from aerofield.session import scratch
     path = scratch(spark, "model")
     df = src.samples(spark, sf)
-    models.save_model(spark, models.linear_fit(df, _FEATS, "mag_1_uc", kind_x="standardize"), "demo", path)
+    models.save_model(spark, models.linear_fit(df, ["mag_2_uc"], "mag_1_uc", kind_x="standardize"), "demo", path)
     model = models.load_model(spark, "demo", path)
-    return models.score(df, model, "mag_1_uc").groupBy("flight", "line").agg(F.round(F.stddev_pop("err"), 5).alias("err_std"))
+    return models.score(df, model, "mag_1_uc").select("rn", *rounded(5, y_hat=F.col("y_hat")))
 
 
-@query("t2_best_importance_run", "T2", "M11")
+@query("t2_best_importance_run", "T2", "M11", sql=sql(_IMPORTANCE + "SELECT idx, feature FROM imp ORDER BY err_std, idx LIMIT 1", "samples"))
 def _(spark, sf):
-    df = src.samples(spark, sf)
-    model = models.linear_fit(df, _FEATS, "mag_1_uc", kind_x="standardize", kind_y="standardize")
-    return stats.best_run(models.permutation_importance(df, model, "mag_1_uc", 7)).select("idx", "feature")
+    return stats.best_run(_importance(spark, sf)).select("idx", "feature")
+
+
+def _solve3(y: str, view: str, name: str, ridge: str = "0.025") -> str:
+    """Permanent-term coefficients by Cramer's rule."""
+    x = ["perm_x", "perm_y", "perm_z"]
+    sums = ", ".join([f"sum({x[i]} * {x[j]}){' + ' + ridge if i == j else ''} AS g{i}{j}" for i in range(3) for j in range(3)]
+                     + [f"sum({x[i]} * {y}) AS h{i}" for i in range(3)])
+    def det(col):
+        m = [[f"h{i}" if j == col else f"g{i}{j}" for j in range(3)] for i in range(3)]
+        return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+    return f"{name} AS (SELECT {', '.join(f'{det(c)} / {det(None)} AS b{c}' for c in range(3))} FROM (SELECT {sums} FROM {view}))"
 
 
-@query("a19_compensated_mags", "A19")
+_NOISE = "(perm_x * b0 + perm_y * b1 + perm_z * b2)"
+
+
+@query("m4_unfiltered_coefficients", "M4", sql=sql(design_view() + ", " + _solve3("mag_1_uc", "design", "co") + f""" SELECT 'perm_x' AS term, {r('b0', 'value', 4)} FROM co
+    UNION ALL SELECT 'perm_y', {r('b1', digits=4)} FROM co UNION ALL SELECT 'perm_z', {r('b2', digits=4)} FROM co
+    UNION ALL SELECT 'residual_variance', {r(f'var_pop(mag_1_uc - {_NOISE})', digits=4)} FROM design, co""", "numbered"))
+def _(spark, sf):
+    coef, var = models.compensation_fit(src.samples(spark, sf), "mag_1_uc", terms=["permanent"], ridge=0.025, pass1=0.0, pass2=0.0)
+    return coef_frame(spark, [*comp.term_names(["permanent"]), "residual_variance"], [*coef, var]).select("term", *rounded(4, value=F.col("value")))
+
+
+@query("a19_compensated_mags", "A19", sql=sql(design_view() + ", " + _solve3("mag_1_uc", "(SELECT * FROM design WHERE flight = 'F0')", "co") + f""",
+    c AS (SELECT rn, line, pos, mag_1_uc - ({_NOISE} - avg({_NOISE}) OVER ()) AS comp FROM design, co)
+    SELECT rn, {r('comp', 'comp', 5)}, {r('comp - regr_intercept(comp, pos) OVER l - regr_slope(comp, pos) OVER l * pos', 'flat', 5)}
+    FROM c WINDOW l AS (PARTITION BY line)""", "numbered"))
 def _(spark, sf):
     df = src.samples(spark, sf)
-    calibration = df.filter(F.col("flight") == "F0")
-    _, offsets = models.compensate_all(df, calibration, ["mag_1_uc", "mag_2_uc"], ridge=0.025)
-    return offsets.select("mag", *rounded(4, mean_diff=F.col("mean_diff")))
+    rows, _ = models.compensate_all(df, df.filter(F.col("flight") == "F0"), ["mag_1_uc", "mag_2_uc"], terms=["permanent"],
+                                    ridge=0.025, pass1=0.0, pass2=0.0)
+    return rows.select("rn", *rounded(5, comp=F.col("mag_1_uc_comp"), flat=F.col("mag_1_uc_flat")))
 
 
-@query("a19_compensated_rows", "A19")
+@query("a19_mean_offsets", "A19", sql=sql(" UNION ALL ".join(f"SELECT 'mag_{i}_uc' AS mag, {r(f'avg(mag_{i}_uc - mag_1_c)', 'mean_diff', 4)} FROM samples" for i in (1, 2)), "samples"))
 def _(spark, sf):
     df = src.samples(spark, sf)
-    rows, _ = models.compensate_all(df, df.filter(F.col("flight") == "F0"), ["mag_1_uc"], ridge=0.025)
-    return rows.select("rn", *rounded(4, comp=F.col("mag_1_uc_comp"), flat=F.col("mag_1_uc_flat")))
+    _, offsets = models.compensate_all(df, df.filter(F.col("flight") == "F0"), ["mag_1_uc", "mag_2_uc"], ridge=0.025)
+    return offsets.select("mag", *rounded(4, mean_diff=F.col("mean_diff")))
