@@ -1,7 +1,7 @@
 """Finite differences and lags along a line."""
 from pyspark.sql import Column, DataFrame, functions as F
 
-from aerofield.operators.sequence import LINE, blockwise
+from aerofield.operators.sequence import blockwise
 
 REACH = {"backward": 2, "forward": 2, "central": 1, "central2": 1, "backward2": 3,
          "forward2": 3, "fourth": 2, "central4": 2}

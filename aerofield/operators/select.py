@@ -1,9 +1,9 @@
 """Line selection, targets and feature assembly."""
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from aerofield.operators.sequence import LINE, block_rows, blockwise, number_rows
+from aerofield.operators.sequence import LINE, blockwise
 from aerofield.session import small
 
 

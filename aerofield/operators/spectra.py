@@ -9,7 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from aerofield.functions.fourier import power_spectrum, transform_arrays, window_values
+from aerofield.functions.fourier import power_spectrum, transform_arrays
 from aerofield.operators.sequence import LINE, block_rows, exact_median, number_rows, with_group_stats
 
 

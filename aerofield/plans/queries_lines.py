@@ -45,7 +45,8 @@ def _(spark, sf):
     "SELECT flight, rn, row_number() OVER (PARTITION BY flight ORDER BY tt NULLS LAST, rn) - 1 AS place FROM samples",
     "samples"))
 def _(spark, sf):
-    return ingest.time_places(src.samples(spark, sf)).select("flight", "rn", F.col("pos").alias("place"))
+    got = ingest.time_places(src.samples(spark, sf).select("flight", "rn", "tt"))
+    return got.select("flight", "rn", F.col("pos").alias("place"))
 
 
 @query("s6_flight_meta", "S6", sql=sql("""SELECT flight, count(*) AS n,

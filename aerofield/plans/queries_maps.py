@@ -1,7 +1,6 @@
 """Registered queries: map geometry, lookups, combination and filling."""
 from pyspark.sql import functions as F
 
-from aerofield.functions import compensation as comp
 from aerofield.operators import enrich, maps
 from aerofield.plans.queries_models import _COEF, _DOT, design_view
 from aerofield.plans.registry import query, r, rounded, sql

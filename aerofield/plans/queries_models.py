@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from aerofield.functions import attitude, compensation as comp
 from aerofield.functions.filters import butterworth
-from aerofield.operators import differences, filtering, models, segments, select, sequence, stats
-from aerofield.plans.queries_lines import KEY, numbered
+from aerofield.operators import differences, filtering, models, segments, select, stats
+from aerofield.plans.queries_lines import numbered
 from aerofield.plans.registry import query, r, rounded, sql
 from aerofield.sources import adapters as src
 

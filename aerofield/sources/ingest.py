@@ -1,10 +1,8 @@
 """Flight text files, ingest rules, and flight tables."""
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from aerofield.operators.sequence import blockwise, exact_median, number_rows
-from aerofield.session import small
+from aerofield.session import materialized, small
 
 
 def read_flight_text(spark: SparkSession, path: str) -> DataFrame:
@@ -60,25 +58,30 @@ def sort_by_time(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("tt").asc_nulls_last(), "rn")
 
 
-def time_places(df: DataFrame, tick: float = 4096.0) -> DataFrame:
-    """Place of each sample in its flight's time order (``pos``), found through
-    blocks of time so that one flight is ranked by many tasks."""
-    from pyspark.sql import Window
-    keyed = df.withColumn("_tb", F.coalesce(F.floor(F.col("tt") / tick), F.lit(2 ** 62)))
-    counts = keyed.groupBy("flight", "_tb").agg(F.count(F.lit(1)).alias("_n"))
-    prior = Window.partitionBy("flight").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("flight", "_tb", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_s"))
-    inside = Window.partitionBy("flight", "_tb").orderBy(F.col("tt").asc_nulls_last(), "rn")
-    return (keyed.join(starts, ["flight", "_tb"])
-            .withColumn("pos", F.col("_s") + F.row_number().over(inside) - 1).drop("_tb", "_s"))
-
+def time_places(df: DataFrame) -> DataFrame:
+    """Place of each sample in its flight's time order (``pos``), nulls last and
+    equal times by row id.
 
-def assign_rows(df: DataFrame, tick: float = 4096.0) -> DataFrame:
+    The rows are range-partitioned on (flight, time, row id), so neither a long
+    flight nor a stuck clock makes a large partition, and stored; each stored
+    partition is then ranked on its own and shifted by the rows before it.
+    """
+    order = ["flight", F.col("tt").asc_nulls_last(), "rn"]
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    held = materialized(ranged, "by-time")
+    counts = held.groupBy("flight", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    prior = Window.partitionBy("flight").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("flight", "_part", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_s"))
+    inside = Window.partitionBy("flight", "_part").orderBy(F.col("tt").asc_nulls_last(), "rn")
+    return (held.join(starts, ["flight", "_part"])
+            .withColumn("pos", F.col("_s") + F.row_number().over(inside) - 1).drop("_part", "_s"))
+
+
+def assign_rows(df: DataFrame) -> DataFrame:
     """Give ingested rows their permanent ids: dense per flight in time order, then
     offset by flight so that they are unique over the table.  ``df`` needs a
     provisional unique ``rn`` for equal times."""
-    from pyspark.sql import Window
-    placed = time_places(df, tick)
+    placed = time_places(df)
     sizes = df.groupBy("flight").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("flight", F.coalesce(F.sum("_n").over(
         Window.orderBy("flight").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))

@@ -223,3 +223,27 @@ def test_extended_axis(spark):
     assert [x["xx"] for x in got] == [-3, -2, -1, 0, 1, 2, 3] and [x["i"] for x in got if x["original"]] == [2, 3, 4]
     plain = maps.extended_axis(axis, "xx", lim).orderBy("i").collect()
     assert [x["xx"] for x in plain] == [-2, -1, 0, 1, 2]
+
+
+def test_time_places_with_a_stuck_clock(spark):
+    rows = [("F", i, 5.0 if i % 2 else None) for i in range(40)] + [("F", 40, 1.0), ("G", 41, 2.0)]
+    got = ingest.time_places(spark.createDataFrame(rows, "flight string, rn long, tt double")).toPandas().set_index("rn")["pos"]
+    want = [40, *range(1, 40, 2), *range(0, 40, 2)]
+    assert got[want].tolist() == list(range(41)) and got[41] == 0
+
+
+def test_saved_flight_tables_and_paths(spark, tmp_path):
+    df = spark.createDataFrame([("F", i, LAT, LAT, 300.0) for i in range(3)], "flight string, rn long, lat double, lon double, alt double")
+    name = f"flt_{abs(hash(str(tmp_path)))}"
+    ingest.save_flight(df, name)
+    ingest.save_flight(df.limit(1), name)
+    assert spark.table(name).count() == 3
+    ingest.save_flight(df.limit(1), name, overwrite=True)
+    assert spark.table(name).count() == 1
+    spark.sql(f"DROP TABLE {name}")
+    ingest.write_path(df, str(tmp_path / "path"))
+    text = spark.read.json(str(tmp_path / "path"))
+    assert text.count() == 3 and text.first()["geometry"]["coordinates"][2] == 300.0
+    with pytest.raises(ValueError):
+        ingest.export_path(df, units="km")
+    assert not ingest.write_samples(df.limit(0), str(tmp_path / "none"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from aerofield.functions.filters import butterworth
 from aerofield.operators import filtering, models
-from aerofield.operators.sequence import number_rows
 
 
 def _filtfilt(f, x):
