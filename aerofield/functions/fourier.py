@@ -32,6 +32,17 @@ def transform_arrays(re: pd.Series, im: pd.Series) -> pd.DataFrame:
     return _complex_frame(_by_length(rows, lambda m: np.fft.fft(m, axis=1)))
 
 
+@F.pandas_udf(COMPLEX)
+def transform_placed(at: pd.Series, re: pd.Series, im: pd.Series, size: pd.Series) -> pd.DataFrame:
+    """Transform of values placed at indices of zero arrays of a given size."""
+    rows = []
+    for a, b, c, n in zip(at, re, im, size):
+        full = np.zeros(int(n), dtype=complex)
+        full[np.asarray(a, int)] = np.asarray(b, float) + 1j * np.asarray(c, float)
+        rows.append(full)
+    return _complex_frame(_by_length(rows, lambda m: np.fft.fft(m, axis=1)))
+
+
 @F.pandas_udf(COMPLEX)
 def invert_arrays(re: pd.Series, im: pd.Series) -> pd.DataFrame:
     rows = [np.asarray(a, float) + 1j * np.asarray(b, float) for a, b in zip(re, im)]

@@ -7,10 +7,11 @@ holds more than about the square root of the line.
 """
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from aerofield.functions.fourier import power_spectrum, transform_arrays
+from aerofield.functions.fourier import power_spectrum, transform_placed
 from aerofield.operators.sequence import LINE, block_rows, exact_median, number_rows, with_group_stats
+from aerofield.session import materialized
 
 
 def _gathered(df: DataFrame, keys: list[str], order: str, **values: Column) -> DataFrame:
@@ -20,49 +21,97 @@ def _gathered(df: DataFrame, keys: list[str], order: str, **values: Column) -> D
 
 
 def line_transform(df: DataFrame, column: str, keys=LINE, pos: str = "pos", total: str = "n_line") -> DataFrame:
-    """Discrete Fourier transform of each line: rows (keys, k, re, im, n).
+    """Discrete Fourier transform of each line: rows (keys, k, re, im, n).  ``total``
+    may exceed the rows present; the rest counts as zeros.
 
-    With n = p q, sample t = q a + b and bin k = c + p d: transform over a for
-    each b, turn by exp(-2 pi i b c / n), transform over b for each c.
+    Lines of one block are transformed as one array, longer ones in two rounds.
+    A long line without balanced factors is turned into a convolution with a chirp
+    of the next power of two, which has them.
     """
     size = block_rows(df.sparkSession)
-    slim = df.select(*keys, F.col(pos).alias("_t"), F.col(total).alias("n"), F.col(column).cast("double").alias("_x"))
-
-    @F.pandas_udf("long")
-    def factor(n):
-        return n.map(lambda v: _factor(int(v), size))
-    lengths = slim.groupBy(*keys).agg(F.max("n").alias("n"))
-    plan = lengths.withColumn("_p", factor("n")).withColumn("_q", (F.col("n") / F.col("_p")).cast("long")).drop("n")
-    rows = slim.join(plan, list(keys)).withColumns({"_a": F.floor(F.col("_t") / F.col("_q")), "_b": F.col("_t") % F.col("_q")})
-    meta = [*keys, "n", "_p", "_q"]
-    first = _gathered(rows, [*meta, "_b"], "_a", re=F.col("_x"), im=F.lit(0.0))
-    first = first.withColumn("_f", transform_arrays("re", "im"))
-    one = first.select(*meta, "_b", F.posexplode(F.arrays_zip("_f.re", "_f.im")).alias("_c", "_z"))
-    # lines of one block need no second round
-    angle = F.lit(-2 * math.pi) * (F.col("_b") * F.col("_c") % F.col("n")) / F.col("n")
-    re, im = F.col("_z.re"), F.col("_z.im")
-    turned = one.withColumns({"re": re * F.cos(angle) - im * F.sin(angle), "im": re * F.sin(angle) + im * F.cos(angle)})
-    short = one.filter("_q = 1").select(*keys, "n", F.col("_c").cast("long").alias("k"), re.alias("re"), im.alias("im"))
-    if lengths.agg(F.max("n")).first()[0] in (None,) or lengths.filter(F.col("n") > size).isEmpty():
-        return short
-    second = _gathered(turned.filter("_q > 1"), [*meta, "_c"], "_b", re=F.col("re"), im=F.col("im"))
-    second = second.withColumn("_f", transform_arrays("re", "im"))
-    long = second.select(*meta, "_c", F.posexplode(F.arrays_zip("_f.re", "_f.im")).alias("_d", "_z"))
-    return short.unionByName(long.select(*keys, "n", (F.col("_c") + F.col("_p") * F.col("_d")).alias("k"),
-                                         F.col("_z.re").alias("re"), F.col("_z.im").alias("im")))
+    rows = df.select(*keys, F.col(pos).alias("_t"), F.col(total).cast("long").alias("n"),
+                     F.col(column).cast("double").alias("re"), F.lit(0.0).alias("im"))
+    longest = rows.agg(F.max("n")).first()[0]
+    if longest is None or longest <= size:
+        whole = _gathered(rows, [*keys, "n"], "_t", at=F.col("_t"), re=F.col("re"), im=F.col("im"))
+        return _bins(whole.withColumn("_f", transform_placed("at", "re", "im", "n")), [*keys, "n"], "k")
+    split = F.udf(lambda n: _factor(n, size), T.LongType())
+    plan = rows.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_c")).withColumn("_q", split("n")).drop("_c")
+    plan = materialized(plan, "lengths")
+    rows = rows.join(plan, [*keys, "n"])
+    direct = _two_rounds(rows.filter("_q > 0"), keys)
+    return direct.unionByName(_by_chirp(rows.filter("_q = 0").drop("_q"), plan.filter("_q = 0").drop("_q"), keys))
 
 
 def _factor(n: int, size: int) -> int:
-    """First-round length of a line: all of it if it fits in a block, else its
-    divisor nearest to the square root."""
+    """Second-round length of a line: 1 if it fits in a block, else its divisor
+    nearest to the square root; 0 if that is far from it."""
     if n <= size:
-        return n
-    for p in range(math.isqrt(n), 0, -1):
-        if n % p == 0:
-            if max(p, n // p) <= size:
-                return n // p
-            break
-    raise ValueError(f"a line of {n} rows has no balanced factors; give a transform length")
+        return 1
+    root = math.isqrt(n)
+    for q in range(root, root // 16, -1):
+        if n % q == 0:
+            return q
+    return 0
+
+
+def _bins(df: DataFrame, keys: list[str], into: str) -> DataFrame:
+    return df.select(*keys, F.posexplode(F.arrays_zip("_f.re", "_f.im")).alias(into, "_z")).select(
+        *keys, F.col(into).cast("long").alias(into), F.col("_z.re").alias("re"), F.col("_z.im").alias("im"))
+
+
+def _turned(df: DataFrame, angle: Column) -> DataFrame:
+    """Values multiplied by exp(i angle)."""
+    re, im, c, s = F.col("re"), F.col("im"), F.cos(angle), F.sin(angle)
+    return df.withColumns({"re": re * c - im * s, "im": re * s + im * c})
+
+
+def _two_rounds(rows: DataFrame, keys) -> DataFrame:
+    """Transform of (keys, n, _q, _t, re, im).  With n = p q, sample t = q a + b and
+    bin k = c + p d: transform over a for each b, turn by exp(-2 pi i b c / n),
+    transform over b for each c."""
+    meta = [*keys, "n", "_q", "_p"]
+    placed = rows.withColumns({"_p": (F.col("n") / F.col("_q")).cast("long"), "_b": F.col("_t") % F.col("_q")})
+    first = _gathered(placed, [*meta, "_b"], "_t", at=F.floor(F.col("_t") / F.col("_q")), re=F.col("re"), im=F.col("im"))
+    bins = _bins(first.withColumn("_f", transform_placed("at", "re", "im", "_p")), [*meta, "_b"], "_c")
+    bins = _turned(bins, F.lit(-2 * math.pi) * (F.col("_b") * F.col("_c") % F.col("n")) / F.col("n"))
+    second = _gathered(bins, [*meta, "_c"], "_b", at=F.col("_b"), re=F.col("re"), im=F.col("im"))
+    out = _bins(second.withColumn("_f", transform_placed("at", "re", "im", "_q")), [*meta, "_c"], "_d")
+    return out.select(*keys, "n", (F.col("_c") + F.col("_p") * F.col("_d")).alias("k"), "re", "im")
+
+
+def _chirp(t: Column, n: Column, sign: float) -> Column:
+    """sign * pi t^2 / n, reduced exactly before it becomes a double."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    return F.lit(sign * math.pi) * ((wide(t) * wide(t)) % (wide(n) * 2)).cast("double") / n
+
+
+def _by_chirp(rows: DataFrame, plan: DataFrame, keys) -> DataFrame:
+    """Transform of any length as a convolution: k t = (k^2 + t^2 - (k - t)^2) / 2."""
+    n, t, m = F.col("n"), F.col("_t"), F.col("_m")
+    power = F.pow(F.lit(2.0), F.ceil(F.log2(n * 2 - 1))).cast("long")
+    half = F.pow(F.lit(2.0), F.floor(F.log2("_m") / 2)).cast("long")
+    sized = lambda d: d.withColumn("_m", power).withColumn("_q", half)
+    lengths = sized(plan)
+    signal = _turned(sized(rows), _chirp(t, n, -1.0))
+    # the chirp's table is generated in pieces spread over tasks
+    piece = 65536
+    starts = lengths.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), m - 1, F.lit(piece).cast("long"))))
+    chirp = starts.repartition(*keys, "_s").withColumn("_t", F.explode(F.sequence(
+        F.col("_s"), F.least(F.col("_s") + piece, m) - 1))).drop("_s")
+    lag = F.least(t, m - t)
+    chirp = _turned(chirp.filter(lag < n).withColumns({"re": F.lit(1.0), "im": F.lit(0.0)}), _chirp(F.least(t, m - t), n, 1.0))
+    whole = lambda d: _two_rounds(d.withColumnsRenamed({"n": "_n0"}).withColumn("n", m), [*keys, "_n0"]).drop("n")
+    a, b = whole(signal), whole(chirp).withColumnsRenamed({"re": "_br", "im": "_bi"})
+    both = a.join(b, [*keys, "_n0", "k"])
+    re, im, br, bi = (F.col(c) for c in ("re", "im", "_br", "_bi"))
+    # the conjugate makes the second forward transform an inverse one
+    spec = both.select(*keys, F.col("_n0").alias("n"), F.col("k").alias("_t"),
+                       (re * br - im * bi).alias("re"), (-(re * bi + im * br)).alias("im"))
+    back = whole(sized(spec)).withColumnsRenamed({"_n0": "n"}).filter(F.col("k") < n)
+    size = power.cast("double")
+    out = back.withColumns({"re": F.col("re") / size, "im": -F.col("im") / size})
+    return _turned(out, _chirp(F.col("k"), n, -1.0)).select(*keys, "n", "k", "re", "im")
 
 
 def _prepared(df: DataFrame, column: str, window: str, detrend: str | None, nfft: int | None, keys) -> DataFrame:
@@ -83,14 +132,9 @@ def _prepared(df: DataFrame, column: str, window: str, detrend: str | None, nfft
         raise ValueError(f"unknown spectral window {window!r}")
     w = F.when(F.col("n_line") == 1, F.lit(1.0)).otherwise(shape[window])
     rows = rows.withColumns({"_w": w, "_x": F.col("_x") * w})
+    # rows missing up to the transform length count as zeros
     if nfft:
-        # the last row brings the padding
-        rows = rows.withColumn("pos", F.explode(F.when(
-            (F.col("pos") == F.col("n_line") - 1) & (F.col("n_line") < nfft),
-            F.sequence(F.col("pos"), F.lit(nfft - 1).cast("long"))).otherwise(F.array("pos"))))
-        rows = rows.withColumns({"_x": F.when(F.col("pos") < F.col("n_line"), F.col("_x")).otherwise(F.lit(0.0)),
-                                 "_w": F.when(F.col("pos") < F.col("n_line"), F.col("_w")).otherwise(F.lit(0.0)),
-                                 "n_line": F.lit(nfft).cast("long")})
+        rows = rows.withColumn("n_line", F.lit(nfft).cast("long"))
     return rows
 
 

@@ -135,19 +135,20 @@ def _line(spark, x):
     return number_rows(spark.createDataFrame(pd.DataFrame({"flight": "F", "line": 1, "rn": range(len(x)), "x": x})))
 
 
-@pytest.mark.parametrize("n", [15, 16, 120, 240])
-def test_line_transform_in_two_rounds(spark, tiny_blocks, n):
+@pytest.mark.parametrize("n", [15, 16, 120, 240, 101, 202])
+def test_line_transform_of_any_length(spark, tiny_blocks, n):
     x = np.random.default_rng(n).normal(size=n)
     got = spectra.line_transform(_line(spark, x), "x").toPandas().sort_values("k")
+    assert got["k"].tolist() == list(range(n))
     assert np.allclose((got["re"] + 1j * got["im"]).to_numpy(), np.fft.fft(x))
 
 
-def test_unbalanced_length_needs_padding(spark, tiny_blocks):
+def test_padded_amplitude(spark, tiny_blocks):
     x = np.random.default_rng(1).normal(size=101)
-    with pytest.raises(Exception, match="transform length"):
-        spectra.line_transform(_line(spark, x), "x").collect()
     got = spectra.spectral_amplitude(_line(spark, x), "x", nfft=128).toPandas().sort_values("k")
     assert np.allclose(got["amp"], np.abs(np.fft.fft(x, 128))[:65])
+    cut = spectra.spectral_amplitude(_line(spark, x), "x", nfft=64).toPandas().sort_values("k")
+    assert np.allclose(cut["amp"], np.abs(np.fft.fft(x, 64))[:33])
 
 
 @pytest.mark.parametrize("scaling,onesided", [("density", True), ("spectrum", False)])
