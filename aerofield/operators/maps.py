@@ -201,7 +201,7 @@ def _indices(points: DataFrame, cells: DataFrame, regular: bool, levels: bool) -
         return got.drop(*[c for c in meta.columns if c != "map_id"])
     axis = [cells.select("map_id", i, a).distinct().groupBy("map_id").agg(
         F.array_sort(F.collect_set(a)).alias(f"_v{i}"), F.min(i).alias(f"_o{i}")) for i, a, *_ in use]
-    got = points.join(small(reduce(lambda a, b: a.join(b, "map_id"), axis)), "map_id")
+    got = points.join(small(reduce(lambda a, b: a.join(b, "map_id"), axis), 2000), "map_id")
     for i, _a, p, *_ in use:
         v = F.col(f"_v{i}")
         below = F.size(F.filter(v, lambda e: e <= F.col(p)))
@@ -395,16 +395,15 @@ def combine(cells: DataFrame, first: str, second: str, method: str = "average_ov
 
 
 def _with_edge_weights(j: DataFrame) -> DataFrame:
-    """Distance of each overlap cell to the nearest cell where a map is invalid,
-    over the largest such distance in the overlap."""
+    """Distance (in cells) of each overlap cell to the nearest cell where a map is
+    invalid, over the largest such distance in the overlap."""
     grid = full_grid(j.select(F.lit("_").alias("map_id"), "iz", "iy", "ix", "xx", "yy",
                               F.lit(0.0).alias("alt"), "_va", "_vb")).fillna(False, ["_va", "_vb"])
-    grid = materialized(grid, "overlap")
+    grid = materialized(grid.withColumns({"xx": F.col("ix").cast("double"), "yy": F.col("iy").cast("double")}), "overlap")
     overlap = grid.filter("_va AND _vb").select(*CELL)
     out = j
     for flag, name in (("_va", "_wa"), ("_vb", "_wb")):
-        near = nearest_cells(overlap, grid.filter(~F.col(flag)).select(*CELL, F.lit(0.0).alias("val")),
-                             grid.select(*CELL), 1)
+        near = nearest_cells(overlap, grid.filter(~F.col(flag)).withColumn("val", F.lit(0.0)), grid, 1)
         dist = near.select("iz", "iy", "ix", F.sqrt("d2").alias("_d"))
         top = dist.agg(F.max("_d")).first()[0]
         out = out.join(dist.withColumn(name, F.col("_d") / F.lit(top or 1.0)).drop("_d"), ["iz", "iy", "ix"], "left")
@@ -426,11 +425,9 @@ def combine_many(cells: DataFrame, order: DataFrame, aligned: bool = False, name
                       F.lit(True).alias("mask"))
 
 
-def nearest_cells(targets: DataFrame, sources: DataFrame, grid: DataFrame, k: int,
-                  steps: DataFrame | None = None, reach: int = 3) -> DataFrame:
-    """The ``k`` source cells nearest to each target cell of a full grid, by
-    distance, iy, ix.  Distances use each map's ``dx`` and ``dy`` (``steps``),
-    else cell counts.
+def nearest_cells(targets: DataFrame, sources: DataFrame, grid: DataFrame, k: int, reach: int = 3) -> DataFrame:
+    """The ``k`` source cells nearest to each target cell by the coordinates ``xx``,
+    ``yy`` of a full grid; ties go by iy, ix.
 
     In one row of the grid only the k sources on either side of the target's
     column can be among its nearest, so a search over 2R+1 rows meets at most
@@ -438,33 +435,37 @@ def nearest_cells(targets: DataFrame, sources: DataFrame, grid: DataFrame, k: in
     out; targets for which it is not are searched again over eight times the rows.
     """
     row = Window.partitionBy("map_id", "iz", "iy").orderBy("ix")
-    ranked = sources.withColumn("_rank", F.row_number().over(row)).withColumnsRenamed({"iy": "_sy", "ix": "_sx"})
-    flagged = grid.join(sources.select(*CELL, F.lit(1).alias("_one")), CELL, "left")
+    where = grid.select(*CELL, "xx", "yy")
+    ranked = (sources.select(*CELL, "val").join(where, CELL).withColumn("_rank", F.row_number().over(row)).drop("yy")
+              .withColumnsRenamed({"iy": "_sy", "ix": "_sx", "xx": "_sxx"}))
+    flagged = where.join(sources.select(*CELL, F.lit(1).alias("_one")), CELL, "left")
     counted = flagged.withColumn("_left", F.sum(F.coalesce("_one", F.lit(0))).over(row)).select(
         "map_id", "iz", F.col("iy").alias("_sy"), "ix", "_left")
-    span = grid.groupBy("map_id", "iz").agg(F.min("iy").alias("_y0"), F.max("iy").alias("_y1"))
-    height = span.agg(F.max(F.col("_y1") - F.col("_y0"))).first()[0]
-    one = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(1.0)).alias(f"_{c}")
-    span = (span.withColumns({"_dx": F.lit(1.0), "_dy": F.lit(1.0)}) if steps is None
-            else span.join(steps.select("map_id", one("dx"), one("dy")), "map_id"))
-    span, todo, found = small(span), targets, []
+    axes = small(grid.groupBy("map_id", "iz").agg(F.array_sort(F.collect_set(F.struct("iy", "yy"))).alias("_rows")), 2000)
+    height = axes.agg(F.max(F.size("_rows"))).first()[0]
+    places = small(axes.select("map_id", "iz", F.posexplode("_rows").alias("_r", "_y")).select(
+        "map_id", "iz", F.col("_y.iy").alias("iy"), "_r"))
+    todo = targets.select(*CELL).join(where, CELL).join(places, ["map_id", "iz", "iy"])
+    found = []
     while height is not None:
-        lo, hi = F.greatest(F.col("_y0"), F.col("iy") - reach), F.least(F.col("_y1"), F.col("iy") + reach)
-        rows = todo.join(span, ["map_id", "iz"]).withColumn("_sy", F.explode(F.sequence(lo, hi)))
-        sides = rows.join(counted, ["map_id", "iz", "_sy", "ix"]).withColumn("_rank", F.explode(
-            F.sequence(F.col("_left") - (k - 1), F.col("_left") + k)))
+        last = F.size("_rows") - 1
+        lo, hi = F.greatest(F.lit(0), F.col("_r") - reach), F.least(last, F.col("_r") + reach)
+        gap = lambda i: F.abs(F.get("_rows", i)["yy"] - F.col("yy"))
+        # distance of the nearest row left out; null if there is none
+        beyond = F.least(F.when(lo > 0, gap(lo - 1)), F.when(hi < last, gap(hi + 1)))
+        rows = todo.join(axes, ["map_id", "iz"]).select(
+            *CELL, "xx", "yy", beyond.alias("_beyond"), F.explode(F.slice("_rows", lo + 1, hi - lo + 1)).alias("_s"))
+        sides = rows.withColumns({"_sy": F.col("_s.iy"), "_dy": F.col("_s.yy") - F.col("yy")}).drop("_s").join(
+            counted, ["map_id", "iz", "_sy", "ix"]).withColumn("_rank", F.explode(
+                F.sequence(F.col("_left") - (k - 1), F.col("_left") + k)))
         cand = sides.join(ranked, ["map_id", "iz", "_sy", "_rank"])
-        ox = (F.col("_sx") - F.col("ix")) * F.col("_dx")
-        oy = (F.col("_sy") - F.col("iy")) * F.col("_dy")
+        ox, oy = F.col("_sxx") - F.col("xx"), F.col("_dy")
         cell = Window.partitionBy(*CELL)
         top = (cand.withColumn("d2", ox * ox + oy * oy)
                .withColumn("place", F.row_number().over(cell.orderBy("d2", "_sy", "_sx")))
                .filter(F.col("place") <= k))
-        # rows left out begin reach + 1 rows away; none are if the map is no higher
-        whole = (F.col("_y0") >= F.col("iy") - reach) & (F.col("_y1") <= F.col("iy") + reach)
-        near = (F.max("place").over(cell) == k) & (
-            F.max("d2").over(cell) < F.col("_dy") * F.col("_dy") * (reach + 1) ** 2)
-        top = top.withColumn("_sure", whole | near).select(*CELL, "place", "d2", "val", "_sure")
+        near = (F.max("place").over(cell) == k) & (F.max("d2").over(cell) < F.col("_beyond") * F.col("_beyond"))
+        top = top.withColumn("_sure", F.col("_beyond").isNull() | near).select(*CELL, "place", "d2", "val", "_sure")
         if reach >= height:
             found.append(top.drop("_sure"))
             break
@@ -475,18 +476,17 @@ def nearest_cells(targets: DataFrame, sources: DataFrame, grid: DataFrame, k: in
             break
         reach *= 8
     if not found:
-        return targets.withColumns({"place": F.lit(None).cast("int"), "d2": F.lit(None).cast("double"),
-                                    "val": F.lit(None).cast("double")}).limit(0)
+        return targets.select(*CELL).withColumns({"place": F.lit(None).cast("int"), "d2": F.lit(None).cast("double"),
+                                                  "val": F.lit(None).cast("double")}).limit(0)
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def fill_gaps(cells: DataFrame, k: int = 3) -> DataFrame:
     """Gaps of full grids filled with the mean of the ``k`` nearest valid cells of
-    their level (``k = 1`` copies), in coordinates of each map's steps."""
+    their level (``k = 1`` copies)."""
     gap = is_gap(F.col("val"))
     cells = materialized(cells, "grid")
-    near = nearest_cells(cells.filter(gap).select(*CELL), cells.filter(~gap).select(*CELL, "val"),
-                         cells.select(*CELL), k, map_meta(cells))
+    near = nearest_cells(cells.filter(gap), cells.filter(~gap), cells, k)
     filled = near.groupBy(*CELL).agg(F.avg("val").alias("_f"))
     return cells.join(filled, CELL, "left").withColumns({
         "val": F.coalesce("_f", "val"),

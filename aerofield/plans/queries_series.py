@@ -55,11 +55,11 @@ def _(spark, sf):
 
 
 @query("w15_adaptive_variance", "W15", sql=sql(f"""SELECT rn, {r('''CASE WHEN pos >= 10 THEN least(greatest(avg(e * e) OVER
-    (PARTITION BY flight, line ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) - h, 1.0), 500.0) ELSE 4.0 END''', 'variance', 5)}
+    (PARTITION BY flight, line ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) - h, 1.0), 500.0) ELSE 4.0 END''', 'variance', 9)}
     FROM (SELECT *, mag_1_uc - mag_1_c AS e, 0.25 + rn % 4 / 8.0 AS h FROM numbered)""", "numbered"))
 def _(spark, sf):
     df = src.samples(spark, sf).withColumns({"e": F.col("mag_1_uc") - F.col("mag_1_c"), "h": F.col("rn") % 4 / 8.0 + 0.25})
-    return segments.adaptive_variance(df, "e", "h", 4.0, 1.0, 500.0).select("rn", *rounded(5, variance=F.col("variance")))
+    return segments.adaptive_variance(df, "e", "h", 4.0, 1.0, 500.0).select("rn", *rounded(9, variance=F.col("variance")))
 
 
 def _smooth_sql(width: int, kind: str, name: str) -> str:
