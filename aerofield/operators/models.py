@@ -18,6 +18,7 @@ from aerofield.operators import select, stats
 from aerofield.operators.filtering import zero_phase
 from aerofield.operators.segments import shuffle_key, trim_lines
 from aerofield.operators.sequence import LINE, block_rows, number_rows, with_group_stats
+from aerofield.session import small
 
 ONE = "_one"
 REALS = T.ArrayType(T.DoubleType())
@@ -124,7 +125,7 @@ def detrend(df: DataFrame, column: str, kind: str = "line", xs: list[str] = (),
     if kind == "line":
         rows, xs = rows.withColumn("_x", F.col("pos").cast("double")), ["_x"]
     names = [ONE, *xs]
-    got = rows.join(ridge_by_key(rows, names, column, keys, ridge).drop("n"), list(keys))
+    got = rows.join(small(ridge_by_key(rows, names, column, keys, ridge).drop("n")), list(keys))
     trend = F.lit(0.0)
     for i, c in enumerate(names):
         trend = trend + F.col("coef")[i] * F.col(c)

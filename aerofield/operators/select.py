@@ -10,7 +10,7 @@ from aerofield.session import small
 def minutes_from_start(df: DataFrame, keys=LINE) -> DataFrame:
     """Minutes since the first sample of each selection."""
     start = df.groupBy(*keys).agg(F.min_by("tt", "rn").alias("_t0"))
-    return df.join(start, list(keys)).withColumn("minutes", (F.col("tt") - F.col("_t0")) / 60.0).drop("_t0")
+    return df.join(small(start), list(keys)).withColumn("minutes", (F.col("tt") - F.col("_t0")) / 60.0).drop("_t0")
 
 
 def filter_events(events: DataFrame, flight, keyword: str = "", limits=None) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from aerofield.session import small
+
 LINE = ("flight", "line")
 BLOCK_CONF = "spark.aerofield.blockRows"
 
@@ -103,11 +105,15 @@ def running(df: DataFrame, value: str, into: str, keys: Sequence[str] = LINE,
 
 def with_group_stats(df: DataFrame, stats: dict[str, Column],
                      keys: Sequence[str] = LINE) -> DataFrame:
-    """Attach aggregates of each key to its rows.  The aggregate combines before
-    its shuffle and the join back is left to adaptive execution, which splits a
-    hot key; a window over the key could not be split."""
+    """Attach aggregates of each key to its rows.
+
+    The aggregate combines before its shuffle.  A bounded number of keys is kept
+    and broadcast, so the rows themselves are not shuffled; beyond that the join is
+    left to adaptive execution, which splits a hot key.  A window over the key
+    could do neither.
+    """
     agg = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(agg, list(keys))
+    return df.join(small(agg), list(keys))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, into: str = "median",

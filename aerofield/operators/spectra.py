@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from aerofield.functions.fourier import power_spectrum, transform_placed
 from aerofield.operators.sequence import LINE, block_rows, exact_median, number_rows, with_group_stats
-from aerofield.session import materialized
+from aerofield.session import materialized, small
 
 
 def _gathered(df: DataFrame, keys: list[str], order: str, **values: Column) -> DataFrame:
@@ -148,7 +148,7 @@ def periodogram(df: DataFrame, column: str, fs: float = 1.0, window: str = "hann
     """Power per frequency of each whole line."""
     rows = _prepared(df, column, window, detrend, nfft, keys)
     norm = rows.groupBy(*keys).agg(F.sum("_w").alias("_w1"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"))
-    spec = line_transform(rows, "_x", keys).join(norm, list(keys))
+    spec = line_transform(rows, "_x", keys).join(small(norm), list(keys))
     k, n = F.col("k"), F.col("n")
     power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
     power = power / (F.col("_w2") * fs) if scaling == "density" else power / (F.col("_w1") * F.col("_w1"))
