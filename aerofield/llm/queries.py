@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerofield.llm import secrets, simhash
+from aerofield.llm import packing, secrets, simhash
 from aerofield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,5 +17,9 @@ def op8_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_simhash_pigeonring, op8_secret_crf)}
+def op9_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_simhash_pigeonring, op8_secret_crf, op9_packing_dp)}
 SQL: dict[str, str] = {}
