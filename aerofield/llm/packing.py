@@ -17,7 +17,9 @@ HORIZON = 1 << 18  # ids that one run of the programme looks over
 
 
 def cut_points(points: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
-    """Indices of the cheapest cuts of a stream, first and last point included.
+    """Indices of the cheapest cuts of a stream, from the first point to the cheapest of
+    those that leave less than a window: what is left then is no window yet and costs
+    nothing (else its padding would be free for all windows before it to use up).
 
     cost(i, j) = window - (p_j - p_i) padding + cost of cutting at j, for windows of at
     most ``window`` ids.  With p_j taken out, the best i is the least best_i + p_i of the
@@ -37,15 +39,16 @@ def cut_points(points: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
         while queue and keys[queue[-1]] >= key:
             queue.pop()
         queue.append(j)
-    path = [len(p) - 1]
+    open_ = next(j for j in range(len(p)) if p[-1] - p[j] < window)
+    path = [min(range(open_, len(p)), key=best.__getitem__)]
     while path[-1]:
         path.append(prior[path[-1]])
     return path[::-1]
 
 
 class Stream:
-    """Documents of one task in their order, cut run by run.  Of a run all windows but
-    the last are final; its ids begin the next run.  Pieces of a document wait for its
+    """Documents of one task in their order, cut run by run.  What a run's windows leave
+    begins the next run.  Pieces of a document wait for its
     end only as numbers, so a document of any length passes in bounded memory."""
 
     def __init__(self, number: int, window: int):
@@ -96,7 +99,7 @@ class Stream:
             self._run(False)
 
     def _run(self, last: bool):
-        """Cut what is held; unless it is the end, the last window is left for the next run."""
+        """Cut what is held; at the end, the rest too, in powers of two that need no padding."""
         if not self.held:
             return
         points, costs = self.cuts, self.costs
@@ -104,10 +107,8 @@ class Stream:
             self._point(points[-1], self.held, FORCED_COST)
         points, costs = np.array(self.cuts), np.array(self.costs)
         at = points[cut_points(points, costs, self.window)].tolist()
-        if not last:
-            at = at[:-1]
-        elif len(at) > 1 and (rest := at[-1] - at[-2]) & (rest - 1):
-            at = at[:-1]  # the end in powers of two, which need no padding
+        if last:
+            rest = self.held - at[-1]
             for k in range(rest.bit_length() - 1, -1, -1):
                 if rest >> k & 1:
                     at.append(at[-1] + (1 << k))
