@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerofield.llm import packing, secrets, simhash
+from aerofield.llm import mixing, packing, secrets, simhash
 from aerofield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -13,6 +13,10 @@ def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(table(spark, sf_dir, "documents"))
 
@@ -21,5 +25,5 @@ def op9_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_simhash_pigeonring, op8_secret_crf, op9_packing_dp)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_simhash_pigeonring, op6_pareto_mix, op8_secret_crf, op9_packing_dp)}
+SQL: dict[str, str] = {"op6_pareto_mix": mixing.SQL}
