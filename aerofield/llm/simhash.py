@@ -171,11 +171,11 @@ def grouped(docs: DataFrame, distance: int = 4, doc_id: str = "doc_id", text: st
 
 
 def deduplicated(docs: DataFrame, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the smallest doc_id."""
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id, and of
+    rows that agree in id and text the first by a hash of all columns."""
     keep = grouped(docs, distance, doc_id, text).where("first").select("doc_id", "text_hash").distinct()
     names = {n: fresh(docs.columns, f"kept_{n}") for n in ("id", "hash", "rank")}
     keep = keep.select(F.col("doc_id").alias(names["id"]), F.col("text_hash").alias(names["hash"]))
-    # of rows that agree in id and text, the first by all other columns
     rank = F.row_number().over(Window.partitionBy(F.col(doc_id), F.xxhash64(F.col(text))).orderBy(
         F.xxhash64(*[F.col(c) for c in docs.columns])))
     joined = docs.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col(names["id"]))
