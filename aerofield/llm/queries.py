@@ -3,12 +3,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerofield.llm import mixing, packing, quality, secrets, simhash
+from aerofield.llm import embeddings, mixing, packing, quality, secrets, simhash
 from aerofield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pstable_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op3_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,5 +33,5 @@ def op9_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_kneser_ney_bands, op4_simhash_pigeonring, op6_pareto_mix, op8_secret_crf, op9_packing_dp)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pstable_links, op3_kneser_ney_bands, op4_simhash_pigeonring, op6_pareto_mix, op8_secret_crf, op9_packing_dp)}
 SQL: dict[str, str] = {"op6_pareto_mix": mixing.SQL}
