@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerofield.llm import embeddings, mixing, packing, quality, secrets, simhash
+from aerofield.llm import embeddings, mixing, packing, quality, secrets, sharding, simhash
 from aerofield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(table(spark, sf_dir, "documents"))
+
+
 def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op9_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pstable_links, op3_kneser_ney_bands, op4_simhash_pigeonring, op6_pareto_mix, op8_secret_crf, op9_packing_dp)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pstable_links, op3_kneser_ney_bands, op4_simhash_pigeonring, op5_vector_bins, op6_pareto_mix, op8_secret_crf, op9_packing_dp)}
 SQL: dict[str, str] = {"op6_pareto_mix": mixing.SQL}
