@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerofield.llm import embeddings, mixing, packing, quality, secrets, sharding, simhash
+from aerofield.llm import embeddings, importance, langid, mixing, packing, quality, secrets, sharding, simhash
 from aerofield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,10 @@ def op9_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pstable_links, op3_kneser_ney_bands, op4_simhash_pigeonring, op5_vector_bins, op6_pareto_mix, op8_secret_crf, op9_packing_dp)}
+def op10_string_kernel_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.query(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pstable_links, op3_kneser_ney_bands, op4_simhash_pigeonring, op5_vector_bins, op6_pareto_mix, op7_importance_resampling, op8_secret_crf, op9_packing_dp,
+    op10_string_kernel_lang)}
 SQL: dict[str, str] = {"op6_pareto_mix": mixing.SQL}
