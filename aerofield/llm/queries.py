@@ -3,7 +3,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerofield.llm import embeddings, importance, langid, mixing, packing, quality, secrets, sharding, simhash
+from aerofield.llm import (
+    embeddings, importance, interpolation, langid, mixing, packing, quality, secrets, sharding, simhash)
 from aerofield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -13,6 +14,10 @@ def op1_pstable_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.query(table(spark, sf_dir, "documents"))
+
+
 def op3_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +50,7 @@ def op10_string_kernel_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pstable_links, op3_kneser_ney_bands, op4_simhash_pigeonring, op5_vector_bins, op6_pareto_mix, op7_importance_resampling, op8_secret_crf, op9_packing_dp,
-    op10_string_kernel_lang)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_pstable_links, op2_deleted_interpolation, op3_kneser_ney_bands, op4_simhash_pigeonring, op5_vector_bins,
+    op6_pareto_mix, op7_importance_resampling, op8_secret_crf, op9_packing_dp, op10_string_kernel_lang)}
 SQL: dict[str, str] = {"op6_pareto_mix": mixing.SQL}
