@@ -13,7 +13,7 @@ from aerofield.llm.quality import Hashes, joined, word_hashes
 from aerofield.session import materialized
 
 BUCKETS = 1 << 16
-SMOOTHING = 1.0
+PRIOR = 1_000.0  # n-grams of the raw distribution that the target's counts are mixed with
 BINS, EXACT = 4096, 10_000
 
 
@@ -55,14 +55,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(sums[kind][at])],
                                              names=["kind", "bucket", "n"])
 
-    rows = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("id"), "left").select("good", F.col(text).cast("binary").alias("text"))
+    texts = docs.select(F.col(doc_id).alias("own"), F.col(text).cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(sample), F.col("own") == F.col("id"), "left").select("good", "text")
     sums = np.zeros((2, BUCKETS))
-    for r in rows.mapInArrow(counted, "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect():
-        sums[r["kind"], r["bucket"]] = r["n"]
+    got = rows.mapInArrow(counted, "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums[got["kind"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     if not sums[1].any():
         return None
-    p = (sums + SMOOTHING) / (sums.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
-    return Ratio(np.log(p[1]) - np.log(p[0]), float(share))
+    raw = (sums[0] + 1.0) / (sums[0].sum() + BUCKETS)
+    target = (sums[1] + PRIOR * raw) / (sums[1].sum() + PRIOR)
+    return Ratio(np.log(target) - np.log(raw), float(share))
 
 
 def threshold(keys: DataFrame, k: int) -> float | None:
