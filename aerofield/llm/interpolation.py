@@ -339,8 +339,8 @@ def scored(docs: DataFrame, held_out, deleted, order: int = ORDER, doc_id: str =
     lost = chunks.where("deleted").select("chunk", "sizes", "leads", "words", "tokens").join(
         told.where("chunk >= 0 AND deleted").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "whole", "fold")).alias("parts")), "chunk")
     cells = lost.select("sizes", "leads", "words", "tokens", "parts").mapInArrow(ratios(order, rest, v), "cell long, n long").groupBy(
-        "cell").agg(F.sum("n").alias("n")).collect()  # at most 64 * (TOP + 1) ** order cells
-    mix = learn(np.array([c["cell"] for c in cells], np.int64), np.array([c["n"] for c in cells], np.float64), order)
+        "cell").agg(F.sum("n").alias("n")).toArrow()  # at most 64 * (TOP + 1) ** order cells
+    mix = learn(cells["cell"].to_numpy(), cells["n"].to_numpy().astype(np.float64), order)
     weights = Weights(mix, n, v)
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),

@@ -128,9 +128,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     texts = docs.select(F.col(lang).cast("string").alias("own"), F.col(text).alias("text"), uniform(10, F.col(doc_id)).alias("draw"))
     rows = (texts.join(F.broadcast(chosen), (F.col("own") == F.col("lang")) & (F.col("draw") == F.col("u")) & (F.xxhash64("text") == F.col("key")))
-            .select("lang", "text", "u").mapInArrow(grams, "lang string, u double, grams array<int>").where("size(grams) > 0").collect())
-    rows = sorted(rows, key=lambda r: (r.u, r.lang))
-    return fit([r.lang for r in rows], [np.array(r.grams) for r in rows]) if rows else None
+            .select("lang", "text", "u").mapInArrow(grams, "lang string, u double, grams array<int>").where("size(grams) > 0").toArrow())
+    langs, draws = rows["lang"].to_pylist(), rows["u"].to_pylist()
+    order = sorted(range(len(langs)), key=lambda i: (draws[i], langs[i]))
+    return fit([langs[i] for i in order], [rows["grams"][i].values.to_numpy() for i in order]) if langs else None
 
 
 def identified(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
