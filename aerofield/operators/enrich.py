@@ -9,8 +9,8 @@ from aerofield.operators.sequence import number_rows, with_group_stats
 def enrich(df: DataFrame, identity: dict | None = None, core: DataFrame | None = None,
            cells: DataFrame | None = None, map_id: str | None = None, coef: list[float] | None = None,
            terms=comp.DEFAULT_TERMS, force_core: bool = False, force_comp: bool = False) -> DataFrame:
-    """Override flight/line/year/doy; take the core field (``core``: rn, f) where a
-    flight has none or only zeros; add the map value at each position; fill a
+    """Override flight/line/year/doy; take the core field (``core``: flight, rn, f, or rn
+    and f for a table whose ``rn`` is unique) where a flight has none or only zeros; add the map value at each position; fill a
     missing compensated field from coefficients, else from the map; other missing
     columns become 0."""
     out = df.withColumns({k: F.lit(v) for k, v in (identity or {}).items() if k in df.columns})
@@ -21,7 +21,8 @@ def enrich(df: DataFrame, identity: dict | None = None, core: DataFrame | None =
     out = with_group_stats(out, {"_no_core": lacking("igrf"), "_no_comp": lacking("mag_1_c"),
                                  "_null_comp": F.count("mag_1_c") == 0}, ["flight"])
     if core is not None:
-        out = out.join(core.select("rn", F.col("f").alias("_f")), "rn", "left").withColumn(
+        keys = [k for k in ("flight", "rn") if k in core.columns]
+        out = out.join(core.select(*keys, F.col("f").alias("_f")), keys, "left").withColumn(
             "igrf", F.when(F.col("_no_core") | F.lit(force_core), F.col("_f")).otherwise(F.col("igrf"))).drop("_f")
     if cells is not None and "mag_map" not in out.columns:
         out = maps.lookup(out.withColumns({"map_id": F.lit(map_id), "x": F.col("lon"), "y": F.col("lat")}),

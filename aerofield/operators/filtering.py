@@ -4,13 +4,19 @@ A line is cut into position blocks that carry as many neighbour rows as the
 filter remembers in double precision, so the blocks of one line filter in
 parallel and agree with filtering it whole.
 """
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from aerofield.functions.filters import Sections, butterworth
 from aerofield.operators.sequence import LINE, number_rows, with_group_stats, with_halo
 
 
+def _missing(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return x.isNull() | F.isnan(x)
+
+
 def _schema(df: DataFrame, keep: list[str], columns: list[str]) -> T.StructType:
     return T.StructType([df.schema[k] for k in keep]
                         + [T.StructField(c, T.DoubleType()) for c in columns])
@@ -19,13 +25,15 @@ def _schema(df: DataFrame, keep: list[str], columns: list[str]) -> T.StructType:
 def zero_phase(df: DataFrame, columns: list[str], sections: Sections | None = None,
                keep: list[str] | None = None, keys=LINE, **design) -> DataFrame:
     """Zero-phase filter of each column along each line.  Constant columns and
-    lines too short for the filter stay as they are.  Returns ``keep`` and the
-    filtered columns."""
+    lines too short for the filter stay as they are.  Both passes remember every
+    sample, so a line with a missing value has no filtered values at all, however
+    it is cut into blocks.  Returns ``keep`` and the filtered columns."""
     f = sections or butterworth(**design)
     rows = number_rows(df, keys)
     keep = [c for c in (keep or [c for c in rows.columns if c not in columns])]
     keep += [c for c in (*keys, "pos", "n_line") if c not in keep]
     flags = {f"_flat{i}": F.min(c) == F.max(c) for i, c in enumerate(columns)}
+    flags |= {f"_gap{i}": F.max(_missing(c)) for i, c in enumerate(columns)}
     slim = with_group_stats(rows.select(*keep, *[F.col(c).cast("double") for c in columns]), flags, keys)
     spread, _ = with_halo(slim, f.reach, f.reach, keys)
     shortest = f.shortest
@@ -38,21 +46,22 @@ def zero_phase(df: DataFrame, columns: list[str], sections: Sections | None = No
         starts, ends = pdf["pos"].iloc[0] == 0, pdf["pos"].iloc[-1] == n - 1
         for i, c in enumerate(columns):
             x = pdf[c].to_numpy(dtype=float)
-            plain = n <= shortest or bool(pdf[f"_flat{i}"].iloc[0])
-            out[c] = (x if plain else f.zero_phase(x, starts, ends))[core]
+            plain, gap = n <= shortest or bool(pdf[f"_flat{i}"].iloc[0]), bool(pdf[f"_gap{i}"].iloc[0])
+            out[c] = (x if n <= shortest else x * np.nan if gap else x if plain else f.zero_phase(x, starts, ends))[core]
         return out
     return spread.groupBy(*keys, "_blk").applyInPandas(run, _schema(slim, keep, columns))
 
 
 def causal(df: DataFrame, columns: list[str], sections: Sections, keep: list[str] | None = None,
            state=None, keys=LINE) -> DataFrame:
-    """One forward pass from rest, or from a state per section."""
+    """One forward pass from rest, or from a state per section.  From a line's first
+    missing value on there is no output."""
     rows = number_rows(df, keys)
     keep = [c for c in (keep or [c for c in rows.columns if c not in columns])]
     keep += [c for c in (*keys, "pos", "n_line") if c not in keep]
-    slim = rows.select(*keep, *[F.col(c).cast("double") for c in columns])
+    ends = {f"_end{i}": F.min(F.when(_missing(c), F.col("pos"))) for i, c in enumerate(columns)}
+    slim = with_group_stats(rows.select(*keep, *[F.col(c).cast("double") for c in columns]), ends, keys)
     spread, _ = with_halo(slim, sections.reach, 0, keys)
-    import numpy as np
     ring = sections.recurse(np.zeros(sections.reach), state)[0] if state is not None else None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -60,8 +69,11 @@ def causal(df: DataFrame, columns: list[str], sections: Sections, keep: list[str
         core = pdf["_core"].to_numpy()
         out = pdf.loc[core, keep].copy()
         pos = pdf["pos"].to_numpy()
-        for c in columns:
-            y = sections.convolve(pdf[c].to_numpy(dtype=float))
+        for i, c in enumerate(columns):
+            y = sections.convolve(np.nan_to_num(pdf[c].to_numpy(dtype=float)))
+            end = pdf[f"_end{i}"].iloc[0]
+            if pd.notna(end):
+                y[pos >= end] = np.nan
             if ring is not None:
                 early = pos < len(ring)
                 y[early] += ring[pos[early]]

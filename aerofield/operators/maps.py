@@ -3,6 +3,7 @@
 Cells carry ``map_id, iz, iy, ix`` and their coordinates ``xx, yy, alt``.  A gap
 is a null, NaN or zero value.  Lookups are equi-joins on cell indices.
 """
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -297,8 +298,9 @@ def resample(cells: DataFrame, axes: DataFrame) -> DataFrame:
 
 
 def slope(points: DataFrame, cells: DataFrame, delta: float = 1e-8, levels: bool = False,
-          key: str = "rn") -> DataFrame:
-    """Map slope at each point: symmetric offsets along y, x (and altitude), one
+          keys: Sequence[str] | None = None) -> DataFrame:
+    """Map slope at each point (identified by ``keys``: flight, line and rn as far as the
+    points have them): symmetric offsets along y, x (and altitude), one
     lookup for all offsets, difference over twice the offset.  The altitude
     offset is the northing of ``delta`` at the point."""
     up = lat_to_north(F.lit(delta), F.col("y"))
@@ -312,7 +314,8 @@ def slope(points: DataFrame, cells: DataFrame, delta: float = 1e-8, levels: bool
     # both offsets must be on the map
     part = lambda a, size: F.when(F.count(F.when(F.col("_o.a") == a, F.col("map_val"))) == 2, F.sum(
         F.when(F.col("_o.a") == a, F.col("map_val") * F.col("_o.s"))) / (F.max(size) * 2.0))
-    return got.groupBy("map_id", key).agg(
+    keys = list(keys or [c for c in ("flight", "line", "rn") if c in points.columns])
+    return got.groupBy("map_id", *keys).agg(
         part("y", F.lit(delta)).alias("slope_y"), part("x", F.lit(delta)).alias("slope_x"),
         *([part("z", F.col("_up")).alias("slope_z")] if levels else []))
 

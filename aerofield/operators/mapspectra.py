@@ -86,25 +86,41 @@ def power(cells: DataFrame, steps: DataFrame | None = None) -> DataFrame:
 def _continuation(dz: Column, alpha: Column) -> Column:
     k = F.col("k")
     up = F.exp(-k * dz)
-    return up / (F.lit(1.0) + F.when(dz > 0, F.lit(0.0)).otherwise(alpha) * k * k * up)
+    return up / (F.lit(1.0) + F.when(dz >= 0, F.lit(0.0)).otherwise(alpha) * k * k * up)
 
 
-def continued(cells: DataFrame, altitudes: list[float], alpha: float = 0.0, steps: DataFrame | None = None) -> DataFrame:
+def continued(cells: DataFrame, altitudes: list[float], alpha: float = 0.0, steps: DataFrame | None = None,
+              value: str = "val") -> DataFrame:
     """Maps continued to other altitudes: up by exp(-k dz), down with the
-    regularized inverse, which needs ``alpha``.  One level per altitude."""
-    base = map_meta(cells).select("map_id", F.col("alt_min").alias("_base"))
-    if alpha <= 0 and not base.filter(F.col("_base") > min(altitudes)).isEmpty():
+    regularized inverse, which needs ``alpha``.
+
+    A map of one level gives one level per altitude.  A map of several keeps its levels;
+    altitudes below come from the lowest, those above from the highest, and those
+    between its levels are left out.  Components of vector maps are continued one by
+    one (``value``)."""
+    levels = cells.groupBy(*TILE).agg(F.min("alt").alias("_from"))
+    ends = levels.groupBy("map_id").agg(F.min("_from").alias("_lo"), F.max("_from").alias("_hi"), F.count("*").alias("_n"))
+    if alpha <= 0 and not ends.filter(F.col("_lo") > min(altitudes)).isEmpty():
         raise ValueError("downward continuation needs alpha")
-    spec = forward(cells, "val", steps).join(small(base), "map_id")
-    levels = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(float(a)).alias("alt"))
-                                 for i, a in enumerate(sorted(altitudes))]))
-    many = spec.withColumn("_l", levels).withColumns({"alt": F.col("_l.alt"), "level": F.col("_l.i")})
-    out = inverse(scaled(many, _continuation(F.col("alt") - F.col("_base"), F.lit(alpha))), extra=("level", "alt"))
-    axes = cells.select("map_id", "iy", "ix", "xx", "yy", F.col("mask") if "mask" in cells.columns else F.lit(True).alias("mask"))
+    known = levels.join(small(ends), "map_id")
+    border = known.filter((F.col("_from") == F.col("_lo")) | (F.col("_from") == F.col("_hi")))
+    spec = forward(cells.join(small(border.select(*TILE)), TILE, "left_semi"), value, steps).join(small(border), TILE)
+    many = spec.withColumn("alt", F.explode(F.array(*[F.lit(float(a)) for a in sorted(set(altitudes))]))).filter(
+        (F.col("_n") == 1) | ((F.col("alt") < F.col("_lo")) & (F.col("_from") == F.col("_lo")))
+        | ((F.col("alt") > F.col("_hi")) & (F.col("_from") == F.col("_hi"))))
+    out = inverse(scaled(many, _continuation(F.col("alt") - F.col("_from"), F.lit(alpha))), value, ("alt",))
     shift = map_meta(cells).select("map_id", "ix_min", "iy_min")
     out = out.join(small(shift), "map_id").withColumns({"ix": F.col("ix") + F.col("ix_min"), "iy": F.col("iy") + F.col("iy_min")})
-    return out.drop("iz").withColumnRenamed("level", "iz").join(axes, ["map_id", "iy", "ix"]).select(
-        "map_id", "iz", "iy", "ix", "xx", "yy", "alt", "val", "mask")
+    mask = F.col("mask") if "mask" in cells.columns else F.lit(True).alias("mask")
+    axes = cells.select(*TILE, "iy", "ix", "xx", "yy", mask)
+    cols = ["map_id", "iy", "ix", "xx", "yy", "alt", value, "mask"]
+    kept = cells.join(small(ends.filter("_n > 1").select("map_id")), "map_id", "left_semi").withColumn("mask", mask)
+    every = out.join(axes, [*TILE, "iy", "ix"]).select(*cols).unionByName(kept.select(*cols))
+    wanted = known.select("map_id", "_lo", "_hi", "_n").distinct().withColumn(
+        "alt", F.explode(F.array(*[F.lit(float(a)) for a in sorted(set(altitudes))]))).filter(
+        "_n = 1 OR alt < _lo OR alt > _hi").select("map_id", "alt").union(known.filter("_n > 1").select("map_id", "_from"))
+    index = wanted.distinct().withColumn("iz", (F.row_number().over(Window.partitionBy("map_id").orderBy("alt")) - 1).cast("long"))
+    return every.join(small(index), ["map_id", "alt"]).select("map_id", "iz", "iy", "ix", "xx", "yy", "alt", value, "mask")
 
 
 def smoothed(cells: DataFrame, kind: str = "lowpass", wavelength=None, steps: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aerofield.operators.select import every, select_lines, whole_windows
-from aerofield.operators.sequence import (LINE, block_rows, blockwise, number_rows,
+from aerofield.operators.sequence import (LINE, block_rows, blockwise, number_rows, unnumbered,
                                           with_group_stats)
 
 
@@ -22,9 +22,10 @@ def segments(df: DataFrame, lines="all", n_min: int = 3, buffer: int = 0) -> Dat
     """Rows of contiguous legs at least ``n_min + 2 * buffer`` long, less the
     buffer rows at both ends."""
     legs = with_legs(select_lines(df, lines))
-    return legs.filter((F.col("leg_n") >= n_min + 2 * buffer)
+    kept = legs.filter((F.col("leg_n") >= n_min + 2 * buffer)
                        & (F.col("leg_pos") >= buffer)
                        & (F.col("leg_pos") < F.col("leg_n") - buffer))
+    return unnumbered(kept).drop("leg_pos", "leg_n")
 
 
 def select_rows(df: DataFrame, lines="all", leg_min: int = 3, buffer: int = 0, modulus: int = 1,
@@ -50,7 +51,7 @@ def thin(df: DataFrame, n_max: int, n_min: int = 0, keys=()) -> DataFrame:
         kept = F.ceil(F.col("_of") / F.greatest(step, F.lit(1)))
     else:
         kept = F.col("_of")
-    return (rows.filter(kept >= n_min) if n_min else rows).drop("_at", "_of")
+    return unnumbered(rows.filter(kept >= n_min) if n_min else rows).drop("_at", "_of")
 
 
 def downsample(df: DataFrame, n_max: int = 1000) -> DataFrame:
@@ -61,7 +62,7 @@ def trim_lines(df: DataFrame, trim: int) -> DataFrame:
     """Drop ``trim`` rows at both ends of each line; lines of up to twice that go."""
     rows = number_rows(df)
     n = F.col("n_line")
-    return rows.filter((n > 2 * trim) & F.col("pos").between(F.lit(trim), n - trim - 1))
+    return unnumbered(rows.filter((n > 2 * trim) & F.col("pos").between(F.lit(trim), n - trim - 1)))
 
 
 def sliding_windows(df: DataFrame, columns: list[str], width: int) -> DataFrame:
@@ -80,7 +81,8 @@ def sliding_windows(df: DataFrame, columns: list[str], width: int) -> DataFrame:
 def chunks(df: DataFrame, columns: list[str], width: int) -> DataFrame:
     """Non-overlapping chunks of ``width`` rows per line, the remainder dropped;
     ``end`` is the position after the chunk's last row."""
-    rows = whole_windows(number_rows(df), width)
+    rows = number_rows(df)
+    rows = rows.filter(F.col("pos") < F.col("n_line") - F.col("n_line") % width)
     item = F.struct("pos", *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
     got = rows.groupBy(*LINE, F.floor(F.col("pos") / width).alias("chunk")).agg(
         F.array_sort(F.collect_list(item)).alias("_r"))

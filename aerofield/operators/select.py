@@ -3,7 +3,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from aerofield.operators.sequence import LINE, blockwise
+from aerofield.operators.sequence import LINE, blockwise, unnumbered
 from aerofield.session import small
 
 
@@ -107,7 +107,7 @@ def pick_lines(samples: DataFrame, lines: DataFrame, flights: DataFrame,
         raise ValueError("lines come from incompatible record sets")
     dim = small(lines.select("flight", "line", "t_start", "t_end"))
     hit = samples.join(dim, ["flight", "line"]).filter(
-        F.col("tt").between(F.col("t_start"), F.col("t_end"))).drop("t_start", "t_end")
+        F.col("tt").between(F.col("t_start"), F.col("t_end"))).drop("t_start", "t_end", "pos", "n_line")
     found = hit.groupBy("flight", "line").agg(F.count(F.lit(1)).alias("n"))
     lengths = (lines.select("flight", "line").join(found, ["flight", "line"], "left")
                .withColumn("n", F.coalesce("n", F.lit(0))))
@@ -115,9 +115,10 @@ def pick_lines(samples: DataFrame, lines: DataFrame, flights: DataFrame,
 
 
 def whole_windows(df: DataFrame, width: int) -> DataFrame:
-    """Drop the last ``n mod width`` rows of each line of a numbered frame."""
+    """Drop the last ``n mod width`` rows of each line of a numbered frame; the rows
+    that are left are no longer numbered."""
     n = F.col("n_line")
-    return df.filter(F.col("pos") < n - n % width)
+    return unnumbered(df.filter(F.col("pos") < n - n % width))
 
 
 def normalized(df: DataFrame, stats: dict[str, tuple[float, float]], undo: bool = False) -> DataFrame:

@@ -28,10 +28,15 @@ def number_rows(df: DataFrame, keys: Sequence[str] = LINE, order: str = "rn",
     ``order`` must be a unique integer.  Positions come from per-block counts
     plus a row number inside each block, so a key with most of the rows is still
     numbered by many tasks.  ``size`` is the width of a block in units of
-    ``order``.  Tables that already carry both columns pass through.
+    ``order``.  Frames that this function numbered pass through; a frame that got
+    the columns elsewhere is numbered anew.  An operator that drops rows drops both
+    columns with them, and so must a filter of your own (``unnumbered``).
     """
+    mark = {"numbered": ",".join([*keys, order])}
     if {pos, total} <= set(df.columns):
-        return df
+        if df.schema[pos].metadata.get("numbered") == mark["numbered"]:
+            return df
+        df = df.drop(pos, total)
     size = size or block_rows(df.sparkSession)
     keyed = df.withColumn("_rb", F.floor(F.col(order) / size))
     counts = keyed.groupBy(*keys, "_rb").agg(F.count(F.lit(1)).alias("_n"))
@@ -43,10 +48,15 @@ def number_rows(df: DataFrame, keys: Sequence[str] = LINE, order: str = "rn",
         F.sum("_n").over(whole).alias(total))
     inside = Window.partitionBy(*keys, "_rb").orderBy(order)
     return (keyed.join(starts, [*keys, "_rb"])
-            .withColumn(pos, F.col("_start") + F.row_number().over(inside) - 1)
+            .withColumn(pos, (F.col("_start") + F.row_number().over(inside) - 1).alias(pos, metadata=mark))
             .drop("_rb", "_start"))
 
 
+def unnumbered(df: DataFrame) -> DataFrame:
+    """``df`` without row positions, for after rows were dropped."""
+    return df.drop("pos", "n_line")
+
+
 def blockwise(df: DataFrame, build: Callable[[object], dict[str, Column]], before: int = 0,
               after: int = 0, keys: Sequence[str] = LINE, pos: str = "pos",
               total: str = "n_line") -> DataFrame:

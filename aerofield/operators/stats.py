@@ -67,9 +67,9 @@ def correlation(df: DataFrame, x: str, y: str, keys=LINE, limit: float = 0.0) ->
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """Correlations of 2 to 5 features, one row per pair."""
-    if not 2 <= len(features) <= 5:
-        raise ValueError("between 2 and 5 features")
+    """Correlations of two or more features, one row per pair."""
+    if len(features) < 2:
+        raise ValueError("at least two features")
     pairs = [(a, b) for i, a in enumerate(features) for b in features[:i + 1]]
     row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[
@@ -78,14 +78,17 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Density histogram over the column's range, the last bin closed."""
+    """Density histogram over the column's range, the last bin closed; empty bins
+    are there with a count of 0.  NaN counts as missing."""
+    df = df.select(F.nanvl(F.col(column).cast("double"), F.lit(None)).alias(column))
     lo, hi, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
     if not n:
         return df.sparkSession.createDataFrame([], "bin long, count long, density double")
     width = (hi - lo) / bins or 1.0 / bins
     idx = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1))
-    return (df.filter(F.col(column).isNotNull()).groupBy(idx.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("count"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return (df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(F.broadcast(counts), "bin", "left")  # one row a bin
+            .select("bin", F.coalesce("n", F.lit(0)).alias("count"))
             .withColumn("density", F.col("count") / F.lit(float(n)) / F.lit(width)))
 
 

@@ -90,7 +90,7 @@ def _(spark, sf):
     count(*) OVER (PARTITION BY flight) AS n FROM samples)
     WHERE p % CASE WHEN n > 1000 THEN CAST(ceil(n / 1000.0) AS BIGINT) ELSE 1 END = 0""", "samples"))
 def _(spark, sf):
-    path = ingest.export_path(src.samples(spark, sf), points=True)
+    path = ingest.export_path(src.samples(spark, sf), 1000)
     return path.select("rn", *rounded(lat=F.col("lat"), lon=F.col("lon")), "alt")
 
 
@@ -214,7 +214,7 @@ def _(spark, sf):
 
 @query("j2_whole_windows", "J2", sql=sql("SELECT rn, pos FROM numbered WHERE pos < n_line - n_line % 16", "numbered"))
 def _(spark, sf):
-    return select.whole_windows(numbered(spark, sf), 16).select("rn", "pos")
+    return sequence.number_rows(select.whole_windows(numbered(spark, sf), 16)).select("rn", "pos")
 
 
 @query("u1_stacked_features", "U1", "P23", sql=sql(f"""SELECT flight, line, rn, {r('mag_1_uc', 'mag_1_uc')},

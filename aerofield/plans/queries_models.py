@@ -434,7 +434,7 @@ def _(spark, sf):
 
 @query("m7_elastic_net_cv", "M7")
 def _(spark, sf):
-    model = models.elastic_net_cv(src.samples(spark, sf), _FEATS, "mag_1_uc", 0.5, steps=5)
+    model = models.elastic_net_cv(src.samples(spark, sf), _FEATS, "mag_1_uc", 0.5)
     return coef_frame(spark, [*model.names, "intercept"], [*model.coef, model.bias])
 
 

@@ -173,8 +173,9 @@ def _(spark, sf):
 
 
 @query("a10_density_histogram", "A10", sql=sql(f""", l AS (SELECT min(mag_1_uc) AS lo, max(mag_1_uc) AS hi, count(*) AS n FROM samples)
-    SELECT CAST(least(floor((mag_1_uc - lo) / ((hi - lo) / 40)), 39) AS BIGINT) AS bin, count(*) AS count,
-    {r('count(*) / CAST(any_value(n) AS DOUBLE) / any_value((hi - lo) / 40)', 'density')} FROM samples, l GROUP BY 1""", "samples"))
+    SELECT b.bin, count(s.bin) AS count, {r('count(s.bin) / CAST(any_value(n) AS DOUBLE) / any_value((hi - lo) / 40)', 'density')}
+    FROM (SELECT range AS bin FROM range(40)) b CROSS JOIN l LEFT JOIN
+    (SELECT CAST(least(floor((mag_1_uc - lo) / ((hi - lo) / 40)), 39) AS BIGINT) AS bin FROM samples, l) s USING (bin) GROUP BY 1""", "samples"))
 def _(spark, sf):
     return stats.histogram(src.samples(spark, sf), "mag_1_uc", 40).select("bin", "count", *rounded(density=F.col("density")))
 

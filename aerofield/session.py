@@ -1,17 +1,23 @@
-"""Session settings, scratch storage and size-checked broadcasts."""
+"""Session settings, scratch storage, size-checked broadcasts and the package for workers."""
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
-    """A single-machine session for tests and the bench."""
+    """A single-machine session for tests and the bench, with a scratch folder of its own
+    that goes when the process ends."""
     spark = (SparkSession.builder.master(f"local[{cores}]").appName("aerofield")
              .config("spark.sql.shuffle.partitions", str(shuffle))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", _own_folder())
              .config("spark.driver.memory", memory)
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .getOrCreate())
@@ -19,24 +25,58 @@ def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g")
     return spark
 
 
+_folders: list[str] = []
+
+
+def _own_folder() -> str:
+    """One temporary folder of this process, removed at its end."""
+    if not _folders:
+        _folders.append(tempfile.mkdtemp(prefix="aerofield-"))
+        atexit.register(shutil.rmtree, _folders[0], ignore_errors=True)
+    return _folders[0]
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``; only a local
-    session without that setting gets a temporary folder of this machine."""
+    """A fresh folder under the cluster's ``spark.checkpoint.dir``, in one folder per
+    application, which a cluster's clean-up can remove as a whole; only a local session
+    without that setting uses a temporary folder, removed when the process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="aerofield-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        base = _own_folder()
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        here = os.path.dirname(os.path.abspath(__file__))
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="aerofield-zip-"), "aerofield"), "zip", os.path.dirname(here), "aerofield")
+        context.addPyFile(made)
+
+
+SMALL_BYTES = 64 << 20
+_held: deque = deque()
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast if it holds at most ``rows`` rows, else leave the
-    join to the optimizer.  The rows counted are kept, so a dimension that is
-    itself an aggregate is computed once."""
+def small(df: DataFrame, rows: int = 100_000, kept: int = 32) -> DataFrame:
+    """Mark ``df`` for broadcast if it holds at most ``rows`` rows and SMALL_BYTES of
+    text, else leave the join to the optimizer.  The rows counted are kept, so a
+    dimension that is itself an aggregate is computed once; of such dimensions the
+    last ``kept`` stay cached, an older one is computed again if it is still used."""
     held = df.persist()
-    if held.limit(rows + 1).count() <= rows:
+    n, size = held.limit(rows + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("*"))))).first() if df.columns else (0, 0)
+    if n <= rows and (size or 0) <= SMALL_BYTES:
+        _held.append(held)
+        while len(_held) > kept:
+            _held.popleft().unpersist()
         return F.broadcast(held)
     held.unpersist()
     return df

@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream."""
     return (spark.readStream.schema(table(spark, sf_dir, "events").schema)
-            .option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+            .option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir))
 
 
 def samples(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 """Flight text files, ingest rules, and flight tables."""
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from aerofield.operators.sequence import blockwise, exact_median, number_rows
@@ -6,16 +7,27 @@ from aerofield.session import materialized, small
 
 
 def read_flight_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace-separated flight text whose first line names the columns.
+    """Whitespace-separated flight text; the first line of each file names its columns.
 
-    Every value becomes a number; ``*`` and unreadable values become null.
+    Every value becomes a number; ``*``, unreadable values and columns that a file
+    lacks become null.
     """
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("v"))
-    names = lines.filter(F.size("v") > 1).first()
-    if names is None:
+    lines = spark.read.text(path).select(
+        F.split(F.trim("value"), r"\s+").alias("v"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    heads = materialized(lines.filter((F.size("v") > 1) & (F.col("_block") == 0)).groupBy("_file").agg(
+        F.min_by("v", "_id").alias("_head")), "headers")
+    layouts = [r["_head"] for r in heads.select("_head").distinct().orderBy("_head").limit(1001).collect()]
+    if not layouts:
         raise ValueError(f"no header in {path}")
-    header = names["v"]
-    return parse_flight_text(lines.filter(F.col("v") != F.array(*[F.lit(h) for h in header])), header)
+    if len(layouts) > 1000:
+        raise ValueError(f"more than 1000 layouts in {path}")
+    if len(layouts) == 1:
+        return parse_flight_text(lines.filter(F.col("v") != F.array(*[F.lit(h) for h in layouts[0]])), layouts[0])
+    rows = lines.join(small(heads), "_file").filter((F.col("v") != F.col("_head")) & ((F.size("v") > 1) | (F.col("v")[0] != "")))
+    names = list(dict.fromkeys(n for layout in layouts for n in layout))
+    at = lambda n: F.array_position("_head", n).cast("int") - 1
+    return rows.select(*[F.when(at(n) >= 0, F.get("v", F.greatest(at(n), F.lit(0)))).try_cast("double").alias(n) for n in names])
 
 
 def parse_flight_text(rows: DataFrame, header: list[str]) -> DataFrame:
@@ -102,18 +114,31 @@ def flight_meta(df: DataFrame, default: float = 0.1) -> DataFrame:
 def write_samples(df: DataFrame, path: str, mode: str = "errorifexists") -> bool:
     """Write samples by flight, sorted by line and row inside each file; nothing
     for an empty frame.  A flight is spread over files by row blocks, so one big
-    flight is written by many tasks."""
+    flight is written by many tasks.  ``overwrite`` replaces the frame's flights and
+    leaves the others."""
     if df.isEmpty():
         return False
     block = F.floor(F.col("rn") / 4_000_000)
     (df.repartition("flight", block).sortWithinPartitions("flight", "line", "rn")
-     .write.mode(mode).partitionBy("flight").parquet(path))
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("flight").parquet(path))
     return True
 
 
+def _next_row(spark: SparkSession, path: str, flight: str) -> int:
+    """The first row id after those of all other stored flights."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:  # nothing stored yet
+        return 0
+    last = stored.filter(F.col("flight") != flight).agg(F.max("rn")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def ingest(spark: SparkSession, text: str, out: str, flight: str, ranges: DataFrame | None = None,
            kind: str = "exclude", decimated: bool = False, sort: bool = True) -> bool:
-    """Text file to a flight's rows in the sample table, with its meta table."""
+    """Text file to a flight's rows in the sample table, with its meta table.  Row ids
+    are dense in the flight and unique over the table; a flight ingested again takes the
+    place of its earlier rows."""
     df = read_flight_text(spark, text)
     if decimated and "tt" in df.columns:
         df = decimate(df)
@@ -122,16 +147,21 @@ def ingest(spark: SparkSession, text: str, out: str, flight: str, ranges: DataFr
     df = df.withColumn("flight", F.lit(flight)).withColumn("rn", F.monotonically_increasing_id())
     if sort and "tt" in df.columns:
         df = assign_rows(df)
-    if not write_samples(df, f"{out}/samples", "append"):
+    else:
+        df = number_rows(df, ["flight"]).withColumn("rn", F.col("pos")).drop("pos", "n_line")
+    df = df.withColumn("rn", F.col("rn") + _next_row(spark, f"{out}/samples", flight))
+    if not write_samples(df, f"{out}/samples", "overwrite"):
         return False
     stored = spark.read.parquet(f"{out}/samples").filter(F.col("flight") == flight)
-    flight_meta(stored).write.mode("append").parquet(f"{out}/flight_meta")
+    flight_meta(stored).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("flight").parquet(f"{out}/flight_meta")
     return True
 
 
-def save_flight(df: DataFrame, table: str, overwrite: bool = False) -> None:
-    """Save a flight table; an existing one is left alone unless overwriting."""
-    df.write.mode("overwrite" if overwrite else "ignore").format("parquet").saveAsTable(table)
+def save_flight(df: DataFrame, table: str, overwrite: bool = False, path: str | None = None) -> None:
+    """Save a flight table (at ``path`` if given); an existing one is left alone unless
+    overwriting."""
+    options = {"path": path} if path else {}
+    df.write.mode("overwrite" if overwrite else "ignore").format("parquet").saveAsTable(table, **options)
 
 
 def data_set_name(project: str, kind: str) -> Column:
@@ -178,27 +208,22 @@ def differing_fields(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*items)).alias("s")).select("s.*")
 
 
-# fixed values: most path vertices and most points of an exported flight
-PATH_LIMIT = {False: 30000, True: 1000}
-
-
-def export_path(df: DataFrame, points: bool = False, units: str = "rad") -> DataFrame:
-    """Every k-th position of each flight in degrees, k keeping it within the
-    exported path's limit."""
+def export_path(df: DataFrame, limit: int | None = None, units: str = "rad") -> DataFrame:
+    """Positions of each flight in degrees: all of them, or every k-th so that a
+    flight has at most ``limit`` (map viewers take 30,000 vertices or 1,000 points)."""
     if units not in ("rad", "deg"):
         raise ValueError(f"unsupported units {units!r}")
     deg = F.degrees if units == "rad" else F.col
     rows = number_rows(df.select("flight", "rn", "lat", "lon", "alt"), ["flight"])
-    limit = PATH_LIMIT[points]
-    step = F.when(F.col("n_line") > limit, F.ceil(F.col("n_line") / limit)).otherwise(F.lit(1))
+    step = F.ceil(F.col("n_line") / limit) if limit else F.lit(1)
     return rows.filter(F.col("pos") % step == 0).select("flight", "rn", deg("lat").alias("lat"),
                                                         deg("lon").alias("lon"), "alt")
 
 
-def write_path(df: DataFrame, path: str, points: bool = False) -> None:
+def write_path(df: DataFrame, path: str, limit: int | None = None) -> None:
     """Exported path as GeoJSON-like lines, one feature per position."""
     feature = F.to_json(F.struct(
         F.lit("Feature").alias("type"),
         F.struct(F.lit("Point").alias("type"), F.array("lon", "lat", "alt").alias("coordinates")).alias("geometry"),
         F.struct("flight", "rn").alias("properties")))
-    export_path(df, points).select(feature.alias("value")).write.mode("overwrite").text(path)
+    export_path(df, limit).select(feature.alias("value")).write.mode("overwrite").text(path)

@@ -37,13 +37,36 @@ def live_ingest(rows: DataFrame, ranges: DataFrame | None = None, kind: str = "e
     return ingest.filter_ranges(out, ranges, kind) if ranges is not None else out
 
 
-def run_available(stream: DataFrame, label: str = "live", path: str | None = None) -> DataFrame:
-    """Process what the source holds into a parquet table and return the table."""
+END_OF_TIME = "2262-01-01 00:00:00"
+
+
+def closable(rows: DataFrame, label: str = "end") -> tuple[DataFrame, str]:
+    """A stream with event time ``ts`` that can be ended: it also reads a folder, where
+    ``run_available`` puts one row far in the future once the source is used up."""
+    spark = rows.sparkSession
+    path = scratch(spark, label)
+    spark.createDataFrame([], rows.schema).write.parquet(path)
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(path)), path
+
+
+def run_available(stream: DataFrame, label: str = "live", path: str | None = None, end: str | None = None) -> DataFrame:
+    """Process what the source holds into a parquet table and return the table.  With
+    the ``end`` of a closable stream, windows and sessions that are still open then are
+    closed too; without it they stay open for the next run."""
     spark = stream.sparkSession
     path = path or scratch(spark, label)
-    run = (stream.writeStream.format("parquet").outputMode("append")
-           .option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path))
-    run.awaitTermination()
+
+    def run() -> None:
+        (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state")
+         .trigger(availableNow=True).start(path).awaitTermination())
+
+    run()
+    if end:
+        schema = spark.read.parquet(end).schema
+        last = spark.range(1).select(*[
+            (F.to_timestamp(F.lit(END_OF_TIME)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        last.write.mode("append").parquet(end)
+        run()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -62,6 +85,7 @@ class StepAndVariance(StatefulProcessor):
         self.ring = handle.getListState("ring", ring, self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # one flight's rows of one micro-batch; the source's maxFilesPerTrigger bounds them
         pdf = pd.concat(list(rows)).sort_values(["tt", "rn"], ignore_index=True)
         last = self.last.get()[0] if self.last.exists() else None
         past = [x[0] for x in self.ring.get()]

@@ -168,3 +168,20 @@ def test_welch_of_a_short_line_is_one_segment(spark):
     a = spectra.welch(_line(spark, x), "x", 10.0, nperseg=64).toPandas().sort_values("k")
     b = spectra.periodogram(_line(spark, x), "x", 10.0).toPandas().sort_values("k")
     assert np.allclose(a["power"], b["power"])
+
+
+def test_continuation_keeps_the_levels_of_a_deep_map(spark):
+    from aerofield.operators import mapspectra
+    rng = np.random.default_rng(0)
+    rows = [("m", z, y, x, float(x), float(y), 100.0 + 50 * z, float(v)) for z in range(2) for y in range(4)
+            for x, v in enumerate(rng.normal(size=4) + 5)]
+    cells = spark.createDataFrame(rows, "map_id string, iz long, iy long, ix long, xx double, yy double, alt double, val double")
+    got = mapspectra.continued(cells, [50.0, 100.0, 125.0, 200.0], alpha=0.1).collect()
+    assert sorted({(r["iz"], r["alt"]) for r in got}) == [(0, 50.0), (1, 100.0), (2, 150.0), (3, 200.0)] and len(got) == 64
+    old = {(r[1], r[2], r[3]): r[7] for r in rows}
+    assert all(r["val"] == old[r["iz"] - 1, r["iy"], r["ix"]] for r in got if r["iz"] in (1, 2))
+    top = mapspectra.continued(cells.filter("iz = 1"), [200.0]).collect()
+    want = {(r["iy"], r["ix"]): r["val"] for r in top}
+    assert all(abs(r["val"] - want[r["iy"], r["ix"]]) < 1e-9 for r in got if r["iz"] == 3)
+    same = mapspectra.continued(cells.filter("iz = 0"), [100.0], alpha=5.0).collect()
+    assert all(abs(r["val"] - old[0, r["iy"], r["ix"]]) < 1e-9 for r in same)

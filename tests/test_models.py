@@ -192,3 +192,17 @@ def test_compensation_kinds(spark, planted):
         assert model.kind == kind and models.error_spread(models.score_on(f, model)) < 10
     with pytest.raises(ValueError):
         models.train(f, "m1")
+
+
+def test_elastic_net_meets_its_conditions():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 5))
+    y = x @ [2.0, 0.0, -1.0, 0.5, 0.0] + rng.normal(size=200)
+    for strength, mix in ((0.1, 0.5), (0.4, 1.0), (0.01, 0.1)):
+        b = models.descend(x.T @ x, x.T @ y, 200, strength, mix)
+        slope = x.T @ (y - x @ b) / 200 - strength * (1 - mix) * b
+        on = b != 0
+        assert np.allclose(slope[on], strength * mix * np.sign(b[on]), atol=1e-9)
+        assert (np.abs(slope[~on]) <= strength * mix + 1e-9).all()
+    with pytest.raises(ArithmeticError):
+        models.descend(x.T @ x, x.T @ y, 200, 0.01, 0.5, most=1)

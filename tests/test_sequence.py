@@ -183,3 +183,37 @@ def test_nearest_in_time_over_empty_blocks(spark):
     t = pd.DataFrame({"flight": "F", "t": [-50.0, 0.5, 1.0, 300.0, 4750.0, 5000.0, 99999.0]})
     got = match.nearest_in_time(spark.createDataFrame(s), spark.createDataFrame(t), tick=100.0).orderBy("t").collect()
     assert [x["rn"] for x in got] == [0, 0, 1, 3, 3, 4, 5]
+
+
+def _fresh(spark, df, columns):
+    return spark.createDataFrame(df.select(*columns).collect(), df.select(*columns).schema)
+
+
+def test_positions_are_renewed_after_rows_are_dropped(spark, line_frame):
+    from aerofield.functions.filters import butterworth
+    from aerofield.operators import differences, filtering, select
+    df = sequence.number_rows(line_frame({1: {"x": np.sin(np.arange(300) / 9.0)}, 2: {"x": np.cos(np.arange(250) / 7.0)}}))
+    cols = ["flight", "line", "rn", "x"]
+    f = butterworth(0.5, 2.0)
+    for kept in (segments.trim_lines(df, 5), select.whole_windows(df, 96), segments.segments(df, "all", 3, 4)):
+        assert "pos" not in kept.columns
+        pair = [{r["rn"]: r["x"] for r in filtering.zero_phase(d, ["x"], f).collect()} for d in (kept, _fresh(spark, kept, cols))]
+        assert pair[0].keys() == pair[1].keys()
+        assert all(abs(pair[0][k] - pair[1][k]) < 1e-9 for k in pair[0])
+
+
+def test_a_missing_value_acts_the_same_at_any_block_size(spark, line_frame):
+    from aerofield.functions.filters import butterworth
+    from aerofield.operators import filtering
+    x = np.sin(np.arange(400) / 5.0)
+    x[150] = np.nan
+    df = line_frame({1: {"x": x}, 2: {"x": np.sin(np.arange(400) / 3.0)}})
+    f, seen = butterworth(0.5, 2.0), []
+    for size in ("64", "65536"):
+        spark.conf.set(sequence.BLOCK_CONF, size)
+        whole = {r["rn"]: r["x"] for r in filtering.zero_phase(df, ["x"], f).collect()}
+        first = {r["rn"]: r["x"] for r in filtering.causal(df, ["x"], f).collect()}
+        spark.conf.unset(sequence.BLOCK_CONF)
+        gone = lambda v: v is None or v != v
+        seen.append(({k for k, v in whole.items() if gone(v)}, {k for k, v in first.items() if gone(v)}))
+    assert seen[0] == seen[1] == (set(range(400)), set(range(150, 400)))

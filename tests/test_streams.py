@@ -60,3 +60,10 @@ def test_windows_drop_late_rows(spark, tmp_path):
     rows = {(r["window"]["start"].hour, r["n"]) for r in got.collect()}
     # the first hour closed before its late third row came
     assert rows == {(0, 3), (2, 3)}
+
+
+def test_an_ended_stream_closes_its_windows(spark, source):
+    pdf, stream = source
+    rows, end = live.closable(stream.withColumns({"ts": live.event_time(F.col("tt") * 60), "e": F.col("resid")}))
+    got = live.run_available(live.windowed_errors(rows, "e", "10 minutes"), end=end)
+    assert got.agg(F.sum("n")).first()[0] == len(pdf) and got.filter("flight IS NULL").count() == 0
