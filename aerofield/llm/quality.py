@@ -223,8 +223,8 @@ def train(docs: DataFrame, good: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(x), k) for x, k in zip(cols, (pa.float64(), pa.int64(), pa.list_(pa.int64())))], names=["u", "n", "sketch"])
 
-    sample = materialized(docs.join(F.broadcast(ids), F.col(doc_id) == F.col("id")).select(
-        "u", F.col(text).cast("binary").alias("text")), "sample")
+    texts = docs.select(F.col(doc_id).alias("own"), F.col(text).cast("binary").alias("text"))
+    sample = materialized(texts.join(F.broadcast(ids), F.col("own") == F.col("id")).select("u", "text"), "sample")
     half: dict[float, int] = {}
     owner: dict[int, int] = {}
     held, sizes = 0, [0, 0]
@@ -256,7 +256,7 @@ def train(docs: DataFrame, good: DataFrame, doc_id: str = "doc_id", text: str =
         "half", "a", "b", "c").agg(F.count("*").alias("n")), "triples")
     two = materialized(three.groupBy("half", "b", "c").agg(F.count("*").alias("n")), "pairs")
     one = two.groupBy("half", "c").agg(F.count("*").alias("n"))
-    counted = [x.toPandas() for x in (three, two, one)]
+    counted = [x.toArrow().to_pandas() for x in (three, two, one)]  # bounded by the words of the sample
     halves = tuple(estimate(*[x[x["half"] == k] for x in counted]) for k in (0, 1))
     return Model(halves, tuple(np.unique(np.array(s, np.int64).view(np.uint64)) for s in sketches))
 
