@@ -177,13 +177,16 @@ def packed(docs: DataFrame, vocabulary: str | None = None, window: int = 4096, c
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, arrow)], names=names)
 
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                stream.begin(name)
-                for ids, sentences in words.blocks(data or b""):
-                    stream.add(ids, sentences)
-                stream.end(closing)
-                if len(stream.ready) > 10_000:
-                    yield rows()
+            names_, last = batch.column(0).to_pylist(), -1
+            for i, ids, sentences, done in words.texts(batch.column(1).to_pylist()):
+                if i != last:
+                    stream.begin(names_[i])
+                    last = i
+                stream.add(ids, sentences)
+                if done:
+                    stream.end(closing)
+                    if len(stream.ready) > 10_000:
+                        yield rows()
         stream.finish()
         yield rows()
 
