@@ -6,6 +6,7 @@ number of features.
 """
 import json
 import math
+import warnings
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -24,30 +25,31 @@ ONE = "_one"
 REALS = T.ArrayType(T.DoubleType())
 
 
-def _sum_arrays(partial: DataFrame, keys=(), column: str = "gram") -> DataFrame:
-    """Elementwise sums of the arrays (and ``n``) of each key."""
-    flat = partial.select(*keys, "n", F.posexplode(column).alias("_i", "_v"))
-    summed = flat.groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"), F.sum("n").alias("n"))
-    return summed.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(
-        F.collect_list(F.struct("_i", "_v"))).alias("_r")).select(*keys, "n", F.col("_r._v").alias(column))
+def _sum_arrays(partial: DataFrame, size: int, keys=(), column: str = "gram") -> DataFrame:
+    """Elementwise sums of the arrays (and of ``n`` and ``left_out``) of each key, in one
+    shuffle of the partial sums."""
+    counts = [F.sum(c).alias(c) for c in ("n", "left_out")]
+    summed = partial.groupBy(*keys).agg(*counts, F.array(*[F.sum(F.col(column)[i]) for i in range(size)]).alias(column))
+    return summed if keys else summed.filter(F.col("n").isNotNull())
 
 
 def gram(df: DataFrame, columns: list[str], keys=()) -> DataFrame:
     """Sums of all pairwise products per key, as the packed upper triangle, with
-    the column sums first.  Rows with a missing value are left out.
+    the column sums first.  Rows with a missing value are left out and counted
+    (``left_out``).
 
     Each task multiplies its Arrow batches as matrices and passes on one small
     partial sum per key, so the shuffle does not grow with the rows.
     """
     upper = np.triu_indices(len(columns))
     schema = T.StructType([df.schema[k] for k in keys] + [
-        T.StructField("n", T.LongType()), T.StructField("gram", REALS)])
+        T.StructField("n", T.LongType()), T.StructField("left_out", T.LongType()), T.StructField("gram", REALS)])
 
     def partials(batches):
         acc = {}
 
         def emit():
-            rows = [(*key, n, np.concatenate([s, g[upper]])) for key, (n, s, g) in acc.items()]
+            rows = [(*key, n, lost, np.concatenate([s, g[upper]])) for key, (n, lost, s, g) in acc.items()]
             acc.clear()
             return pd.DataFrame(rows, columns=schema.names)
         for pdf in batches:
@@ -57,13 +59,14 @@ def gram(df: DataFrame, columns: list[str], keys=()) -> DataFrame:
             for key, rows in groups.items():
                 part = x[rows][whole[rows]]
                 key = key if isinstance(key, tuple) else (key,)
-                n, s, g = acc.get(key, (0, 0.0, 0.0))
-                acc[key] = (n + len(part), s + part.sum(axis=0), g + part.T @ part)
+                n, lost, s, g = acc.get(key, (0, 0, 0.0, 0.0))
+                acc[key] = (n + len(part), lost + int((~whole[rows]).sum()), s + part.sum(axis=0), g + part.T @ part)
             if len(acc) > 4096:
                 yield emit()
         if acc:
             yield emit()
-    return _sum_arrays(df.select(*keys, *[F.col(c).cast("double") for c in columns]).mapInPandas(partials, schema), keys)
+    return _sum_arrays(df.select(*keys, *[F.col(c).cast("double") for c in columns]).mapInPandas(partials, schema),
+                       len(columns) + len(upper[0]), keys)
 
 
 def unpack_gram(packed, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +91,8 @@ def ridge_fit(df: DataFrame, xs: list[str], y: str, ridge: float = 0.0) -> tuple
     row = gram(df, [*xs, y]).first()
     if not row or not row["n"]:
         return np.zeros(len(xs)), 0.0
+    if row["left_out"]:
+        warnings.warn(f"{row['left_out']} of {row['n'] + row['left_out']} rows have missing values and are left out", stacklevel=2)
     sums, g = unpack_gram(row["gram"], len(xs) + 1)
     b = solve(g[:-1, :-1], g[:-1, -1], ridge)
     full = np.append(-b, 1.0)
@@ -150,8 +155,12 @@ class LinearModel:
 
 def normalized_columns(df: DataFrame, xs: list[str], y: str, kind_x: str, kind_y: str, exempt=()):
     """Frame with normalized columns ``_n<i>`` and ``_ny``, and the statistics."""
-    norm = stats.normalization(df, xs, kind_x, exempt)
-    norm_y = stats.normalization(df, [y], kind_y)[y]
+    if kind_x == kind_y and y not in (*xs, *exempt):  # one pass
+        norm = stats.normalization(df, [*xs, y], kind_x, exempt)
+        norm_y = norm.pop(y)
+    else:
+        norm = stats.normalization(df, xs, kind_x, exempt)
+        norm_y = stats.normalization(df, [y], kind_y)[y]
     cols = {f"_n{i}": (F.col(c) - norm[c][0]) / norm[c][1] for i, c in enumerate(xs)}
     cols["_ny"] = (F.col(y) - norm_y[0]) / norm_y[1]
     return df.withColumns(cols), [f"_n{i}" for i in range(len(xs))], norm, norm_y
@@ -409,15 +418,17 @@ def centred_gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np
     def both(batches):
         for pdf in batches:
             n, plain, centred = 0, np.zeros(len(upper[0])), np.zeros(len(upper[0]))
+            lost = int(pdf["left_out"].sum())
             for count, packed in zip(pdf["n"], pdf["gram"]):
                 if count:
                     sums, full = unpack_gram(packed, size)
                     n, plain = n + count, plain + full[upper]
                     centred = centred + (full - np.outer(sums, sums) / count)[upper]
-            yield pd.DataFrame({"n": [n], "gram": [np.concatenate([plain, centred])]})
-    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("gram", REALS)])
-    row = _sum_arrays(gram(df, columns, LINE).select("n", "gram").mapInPandas(both, schema)).first()
-    pad, half = [0.0] * size, len(upper[0])
+            yield pd.DataFrame({"n": [n], "left_out": [lost], "gram": [np.concatenate([plain, centred])]})
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("left_out", T.LongType()), T.StructField("gram", REALS)])
+    half = len(upper[0])
+    row = _sum_arrays(gram(df, columns, LINE).select("n", "left_out", "gram").mapInPandas(both, schema), 2 * half).first()
+    pad = [0.0] * size
     plain, centred = (unpack_gram([*pad, *part], size)[1] for part in (row["gram"][:half], row["gram"][half:]))
     return row["n"], plain, centred
 
@@ -493,10 +504,13 @@ def compensate_all(flight: DataFrame, calibration: DataFrame, mags: list[str], v
     offsets = done.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("mag"), (F.col(f"{m}_comp") - F.col(given)).alias("d")) for m in mags])).alias("s")
         ).select("s.*").groupBy("mag").agg(F.avg("d").alias("mean_diff"))
-    flat = done
-    for m in mags:
-        flat = detrend(flat, f"{m}_comp", into=f"{m}_flat")
-    return flat, offsets
+    # all lines' trends of all magnetometers in one aggregate
+    rows, p = number_rows(done), F.col("pos").cast("double")
+    trends = {f"_{part}_{m}": fn(F.col(f"{m}_comp"), p) for m in mags
+              for part, fn in (("a", F.regr_intercept), ("b", F.regr_slope))}
+    flat = with_group_stats(rows, trends)
+    level = lambda m: F.coalesce(F.col(f"_a_{m}") + F.col(f"_b_{m}") * p, F.col(f"{m}_comp"))
+    return flat.withColumns({f"{m}_flat": F.col(f"{m}_comp") - level(m) for m in mags}).drop(*trends), offsets
 
 
 def save_model(spark: SparkSession, model: LinearModel, model_id: str, path: str) -> None:
