@@ -211,6 +211,16 @@ def _indices(points: DataFrame, cells: DataFrame, regular: bool, levels: bool) -
     return got.drop(*[f"_{k}{i}" for i, *_ in use for k in "vo"])
 
 
+def _cell_join(placed: DataFrame, cells: DataFrame) -> DataFrame:
+    """Points with their cell (``_iz, _iy, _ix``), and whether they are off the map
+    (``_off``).  Those have no index; they get indices that no cell has, spread by
+    position, so that they do not all meet in one partition."""
+    nowhere = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20))
+    spread = placed.withColumn("_off", F.col("_ix").isNull() | F.col("_iy").isNull()).withColumns(
+        {i: F.coalesce(F.col(i).cast("long"), nowhere) for i in ("_iz", "_iy", "_ix")})
+    return spread.join(cells, ["map_id", "_iz", "_iy", "_ix"], "left")
+
+
 def lookup(points: DataFrame, cells: DataFrame, values=("val",), into=("map_val",), levels: bool = False,
            regular: bool = True, outside: float | None = None) -> DataFrame:
     """Interpolated map values at points (``map_id, x, y[, z]``): linear inside the
@@ -221,7 +231,7 @@ def lookup(points: DataFrame, cells: DataFrame, values=("val",), into=("map_val"
     corners = corner_table(cells, values, levels).select(
         F.col("map_id"), F.col("iz").alias("_iz"), F.col("iy").alias("_iy"), F.col("ix").alias("_ix"),
         "_x0", "_x1", "_y0", "_y1", "_z0", "_z1", *[c for v in values for c in _corner_names(v, levels)])
-    j = placed.join(corners, ["map_id", "_iz", "_iy", "_ix"], "left")
+    j = _cell_join(placed, corners)
     tx = (F.col("x") - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
     ty = (F.col("y") - F.col("_y0")) / (F.col("_y1") - F.col("_y0"))
     blend = lambda a, b, t: a * (F.lit(1.0) - t) + b * t
@@ -234,7 +244,7 @@ def lookup(points: DataFrame, cells: DataFrame, values=("val",), into=("map_val"
             tz = (F.col("z") - F.col("_z0")) / (F.col("_z1") - F.col("_z0"))
             value = blend(value, plane(1), tz)
         if outside is not None:
-            value = F.when(F.col("_ix").isNull() | F.col("_iy").isNull(), F.lit(outside)).otherwise(value)
+            value = F.when(F.col("_off"), F.lit(outside)).otherwise(value)
         out[name] = value
     return j.select(*points.columns, *[c.alias(n) for n, c in out.items()])
 
@@ -257,10 +267,10 @@ def nearest_lookup(points: DataFrame, cells: DataFrame, value: str = "val", into
     level = F.col("iz") if "iz" in points.columns else F.lit(0).cast("long")
     target = cells.select("map_id", F.col("iz").alias("_iz"), F.col("iy").alias("_iy"), F.col("ix").alias("_ix"),
                           F.col(value).alias("_v"))
-    j = got.withColumn("_iz", level).join(target, ["map_id", "_iz", "_iy", "_ix"], "left")
+    j = _cell_join(got.withColumn("_iz", level), target)
     v = F.col("_v")
     if outside is not None:
-        v = F.when(F.col("_ix").isNull() | F.col("_iy").isNull(), F.lit(outside)).otherwise(v)
+        v = F.when(F.col("_off"), F.lit(outside)).otherwise(v)
     return j.select(*points.columns, v.alias(into))
 
 

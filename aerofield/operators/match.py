@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from aerofield.operators.sequence import LINE, blockwise, number_rows, running
+from aerofield.session import small
 
 
 def nearest_in_time(samples: DataFrame, times: DataFrame, keys=("flight",),
@@ -53,7 +54,7 @@ def systematic_resample(df: DataFrame, weight: str, offset: float, keys=LINE, or
     total = df.groupBy(*keys).agg(F.sum(weight).alias("_sum"))
     n = F.col("n_line")
     hi = F.when(F.col("pos") == n - 1, F.lit(1.0)).otherwise(F.col("_cum") / F.col("_sum"))
-    shares = summed.join(total, list(keys)).withColumn("_hi", hi)
+    shares = summed.join(small(total), list(keys)).withColumn("_hi", hi)
     # each interval starts exactly where the one before ends
     shares = blockwise(shares, lambda w: {"_lo": F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(
         F.lag("_hi").over(w))}, before=1, keys=keys)

@@ -26,13 +26,18 @@ def filter_events(events: DataFrame, flight, keyword: str = "", limits=None) ->
     return out
 
 
-def select_lines(df: DataFrame, lines="all") -> DataFrame:
-    """Rows of all lines, one line, or a list of lines."""
+def on_lines(lines="all") -> Column:
+    """Whether a row is on all lines, one line, or a list of lines."""
     if isinstance(lines, str):
         if lines.lower() != "all":
             raise ValueError("lines is a number, a list of numbers, or 'all'")
-        return df.filter(F.col("line").isNotNull())
-    return df.filter(F.col("line").isin(lines if isinstance(lines, (list, tuple, set)) else [lines]))
+        return F.col("line").isNotNull()
+    return F.coalesce(F.col("line").isin(lines if isinstance(lines, (list, tuple, set)) else [lines]), F.lit(False))
+
+
+def select_lines(df: DataFrame, lines="all") -> DataFrame:
+    """Rows of all lines, one line, or a list of lines."""
+    return df.filter(on_lines(lines))
 
 
 def every(df: DataFrame, modulus: int, remainders=0, row: str = "rn") -> DataFrame:

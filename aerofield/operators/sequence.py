@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from aerofield.session import small
+from aerofield.session import materialized, small
 
 LINE = ("flight", "line")
 BLOCK_CONF = "spark.aerofield.blockRows"
@@ -52,6 +52,24 @@ def number_rows(df: DataFrame, keys: Sequence[str] = LINE, order: str = "rn",
             .drop("_rb", "_start"))
 
 
+def range_ranked(df: DataFrame, order: Sequence, keys: Sequence[str] = (), into: str = "pos") -> DataFrame:
+    """0-based place of each row in its key by ``order`` (columns of any type).
+
+    The rows are range-partitioned by key and order and stored, so neither a long key
+    nor a stuck clock makes a large partition; each stored partition is ranked on its
+    own and shifted by the counts of those before it.
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    held = materialized(ranged, "ranked")
+    part = [*keys, "_part"]
+    counts = held.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    prior = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*part, F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_s"))
+    inside = Window.partitionBy(*part).orderBy(*order)
+    return (held.join(small(starts), part)  # one row per stored partition and key
+            .withColumn(into, F.col("_s") + F.row_number().over(inside) - 1).drop("_part", "_s"))
+
+
 def unnumbered(df: DataFrame) -> DataFrame:
     """``df`` without row positions, for after rows were dropped."""
     return df.drop("pos", "n_line")
@@ -140,7 +158,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, into: str = "me
     span = counted.groupBy(*keys).agg(F.min("_mv").alias("_mlo"), F.max("_mv").alias("_mhi"),
                                       F.sum("_mc").alias("_mn"))
     width = F.col("_mhi") - F.col("_mlo")
-    binned = counted.join(span, list(keys)).withColumn(
+    binned = counted.join(small(span), list(keys)).withColumn(
         "_mbin", F.when(width > 0, F.least(F.floor((v - F.col("_mlo")) / width * bins),
                                           F.lit(bins - 1))).otherwise(F.lit(0)))
     per_bin = binned.groupBy(*keys, "_mbin").agg(F.sum("_mc").alias("_mbc"), F.max("_mn").alias("_mn"))

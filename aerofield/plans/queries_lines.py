@@ -152,9 +152,7 @@ def _(spark, sf):
 @query("p5_line_membership", "P5", sql=sql(
     "SELECT line, rn, line IN (1, 3, 105, 307) AS chosen FROM samples", "samples"))
 def _(spark, sf):
-    df = src.samples(spark, sf)
-    chosen = select.select_lines(df, [1, 3, 105, 307]).select("rn").withColumn("chosen", F.lit(True))
-    return df.join(chosen, "rn", "left").select("line", "rn", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    return src.samples(spark, sf).select("line", "rn", select.on_lines([1, 3, 105, 307]).alias("chosen"))
 
 
 @query("p6_modulo_rows", "P6", sql="SELECT event_id AS rn FROM events WHERE event_id % 7 IN (0, 3)")

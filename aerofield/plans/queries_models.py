@@ -176,20 +176,17 @@ _COEF = [round(0.5 + ((i * 7) % 11) / 4 - 1, 4) for i in range(18)]
 _COEF_SQL = ", ".join(f"({i}, {v}::DOUBLE)" for i, v in enumerate(_COEF))
 
 
-@query("p15_coefficient_matrices", "P15", sql=f"""WITH coef(i, v) AS (VALUES {_COEF_SQL}),
-    m AS (SELECT max(CASE WHEN i = 0 THEN v END) AS p0, max(CASE WHEN i = 4 THEN v END) / 50000.0 / 2 AS i1,
-    max(CASE WHEN i = 3 THEN v END) / 50000.0 AS i0, max(CASE WHEN i = 14 THEN v END) / 50000.0 AS e5 FROM coef)
-    SELECT user_id, {r('sum(value) * any_value(p0)', 'p0', 3)}, {r('sum(value) * any_value(i0) * 1e4', 'i0', 3)},
-    {r('sum(value) * any_value(i1) * 1e4', 'i1', 3)}, {r('sum(value) * any_value(e5) * 1e4', 'e5', 3)}, 18 AS width
-    FROM events, m GROUP BY user_id""")
-def _(spark, sf):
-    mats = comp.coefficient_matrices(_COEF, comp.DEFAULT_TERMS)
+@query("p15_coefficient_matrices", "P15", sql=f"""WITH c AS (SELECT user_id, {", ".join(f"coalesce(max(CASE WHEN event_id % 18 = {i} THEN value END), 0) AS c{i}" for i in range(18))}
+    FROM events GROUP BY user_id) SELECT user_id, {r('c0', 'p0', 4)}, {r('c3 / 50000.0 * 1e4', 'i0', 4)}, {r('c4 / 50000.0 / 2 * 1e4', 'i1', 4)},
+    {r('c14 / 50000.0 * 1e4', 'e5', 4)}, {r('c4', 'back4', 4)}, 18 AS width FROM c""")
+def _(spark, sf):
+    # a coefficient table with one model per user
+    at = lambda i: F.coalesce(F.max(F.when(F.col("event_id") % 18 == i, F.col("value"))), F.lit(0.0))
+    models_ = src.table(spark, sf, "events").groupBy("user_id").agg(F.array(*[at(i) for i in range(18)]).alias("coef"))
+    mats = comp.coefficient_matrices([F.col("coef")[i] for i in range(18)], comp.DEFAULT_TERMS)
     back = comp.coefficient_vector(*mats.values(), comp.DEFAULT_TERMS)
-    total = F.sum("value")
-    return src.table(spark, sf, "events").groupBy("user_id").agg(
-        *rounded(3, p0=total * mats["permanent"][0], i0=total * mats["induced"][0] * 1e4,
-                 i1=total * mats["induced"][1] * 1e4, e5=total * mats["eddy"][5] * 1e4),
-        F.lit(len(back)).alias("width"))
+    return models_.select("user_id", *rounded(4, p0=mats["permanent"][0], i0=mats["induced"][0] * 1e4, i1=mats["induced"][1] * 1e4,
+                                              e5=mats["eddy"][5] * 1e4, back4=back[4]), F.lit(len(back)).alias("width"))
 
 
 def _field_sql() -> str:

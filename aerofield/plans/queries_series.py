@@ -1,7 +1,7 @@
 """Registered queries: windows, splits, resampling, evaluation, correlations."""
 from pyspark.sql import functions as F
 
-from aerofield.operators import evaluate, match, segments, stats
+from aerofield.operators import evaluate, match, segments, sequence, stats
 from aerofield.plans.queries_lines import numbered
 from aerofield.plans.registry import query, r, rounded, sql
 from aerofield.sources import adapters as src
@@ -194,6 +194,5 @@ def _(spark, sf):
 
 @query("t1_sorted_altitudes", "T1", sql="SELECT alt, place FROM (SELECT alt, row_number() OVER (ORDER BY alt) - 1 AS place FROM (SELECT DISTINCT CAST(event_id % 97 + 300 AS DOUBLE) AS alt FROM events))")
 def _(spark, sf):
-    from pyspark.sql import Window
     alts = src.samples(spark, sf).select("alt").distinct()
-    return alts.select("alt", (F.row_number().over(Window.orderBy("alt")) - 1).cast("long").alias("place")).orderBy("alt")
+    return sequence.range_ranked(alts, ["alt"], into="place")

@@ -2,7 +2,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from aerofield.operators.sequence import blockwise, exact_median, number_rows
+from aerofield.operators.sequence import blockwise, exact_median, number_rows, range_ranked
 from aerofield.session import materialized, small
 
 
@@ -72,21 +72,8 @@ def sort_by_time(df: DataFrame) -> DataFrame:
 
 def time_places(df: DataFrame) -> DataFrame:
     """Place of each sample in its flight's time order (``pos``), nulls last and
-    equal times by row id.
-
-    The rows are range-partitioned on (flight, time, row id), so neither a long
-    flight nor a stuck clock makes a large partition, and stored; each stored
-    partition is then ranked on its own and shifted by the rows before it.
-    """
-    order = ["flight", F.col("tt").asc_nulls_last(), "rn"]
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    held = materialized(ranged, "by-time")
-    counts = held.groupBy("flight", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    prior = Window.partitionBy("flight").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("flight", "_part", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_s"))
-    inside = Window.partitionBy("flight", "_part").orderBy(F.col("tt").asc_nulls_last(), "rn")
-    return (held.join(starts, ["flight", "_part"])
-            .withColumn("pos", F.col("_s") + F.row_number().over(inside) - 1).drop("_part", "_s"))
+    equal times by row id."""
+    return range_ranked(df, [F.col("tt").asc_nulls_last(), "rn"], ["flight"])
 
 
 def assign_rows(df: DataFrame) -> DataFrame:
