@@ -12,6 +12,20 @@ _SPACE = re.compile(rb"[ \t-\r]")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """``docs``, whose whole texts go to Python workers: caps the session's rows per Arrow
+    batch, as 10,000 texts of some hundred KB would not fit a worker.  A smaller setting
+    of the session stays."""
+    conf = docs.sparkSession.conf
+    now = int(conf.get(BATCH_CONF))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

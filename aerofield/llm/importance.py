@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from aerofield.llm.common import uniform
+from aerofield.llm.common import uniform, whole_texts
 from aerofield.llm.quality import Hashes, joined, word_hashes
 from aerofield.session import materialized
 
@@ -114,7 +114,7 @@ def resampled(docs: DataFrame, ratio: Ratio | None, share: float | None = None,
             yield pd.DataFrame(rows, columns=kind.names).astype({"log_weight": "float64"})
 
     noise = -F.log(-F.log(uniform(seed, F.col(doc_id))))
-    rows = materialized(docs.select(F.col(doc_id).alias("doc_id"), weigh(F.col(text).cast("binary")).alias("w"), noise.alias("noise"))
+    rows = materialized(whole_texts(docs).select(F.col(doc_id).alias("doc_id"), weigh(F.col(text).cast("binary")).alias("w"), noise.alias("noise"))
                         .select("doc_id", "w.*", (F.col("w.log_weight") + F.col("noise")).alias("key")), "weights")
     share = share if share is not None else ratio.share if ratio else 1.0
     n = rows.where("key IS NOT NULL").count()

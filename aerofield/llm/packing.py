@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from aerofield.llm.common import crc32
+from aerofield.llm.common import crc32, whole_texts
 from aerofield.llm.tokens import store
 
 SENTENCE_COST, FORCED_COST = 8, 32  # in padded tokens: a cut after a sentence, and inside one
@@ -191,5 +191,5 @@ def packed(docs: DataFrame, vocabulary: str | None = None, window: int = 4096, c
         yield rows()
 
     schema = T.StructType([T.StructField("doc_id", kind)] + [T.StructField(n, T.LongType()) for n in names[1:]])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(pack, schema).select(
+    return whole_texts(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(pack, schema).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from aerofield.llm.common import fresh, uniform, word_blocks
+from aerofield.llm.common import uniform, whole_texts, word_blocks
 from aerofield.session import materialized
 
 # Fixed values of the base rules.
@@ -37,7 +37,7 @@ def joined(*hashes: np.ndarray) -> np.ndarray:
 class Hashes:
     """64-bit hashes of words, kept by word; emptied when full."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.known = most, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -269,7 +269,7 @@ _STATS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word
 
 def statistics(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
     """A struct of the base counts and the log perplexity (null without words or model)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = whole_texts(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(_STATS)
     def measured(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -302,30 +302,34 @@ def bands(stats: DataFrame, above: float = 1.5, below: float = 16.0, least: int
 
 def judged(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, the base counts, log_perplexity, low and high
-    (the band), base_failed and kept; ``text_hash`` tells rows of one doc_id apart.
+    (the band), base_failed and kept.
 
     A null or empty text has no words and fails the base rules.  Null languages are a
     language of their own.  Without a model, or where too few documents of a language
     make a band, only the base rules count."""
-    stats = materialized(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("text_hash"),
-        statistics(docs, model, text).alias("s")).select("doc_id", "lang", "text_hash", "s.*"), "quality")
-    band = materialized(bands(stats), "bands")
-    outside = (F.col("log_perplexity") < F.col("low")) | (F.col("log_perplexity") > F.col("high"))
-    return (stats.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
-            .withColumn("high", F.col("top") + SLACK / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
-            .withColumn("base_failed", F.expr(BASE_FAILED))
-            .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False)))
-            .select("doc_id", "text_hash", *_STATS.names, "low", "high", "base_failed", "kept"))
-
-
-def filtered(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows that the rules reject.  The verdict belongs to language
-    and text, so equal rows share it."""
-    bad = judged(docs, model, doc_id, text, lang).where("NOT kept").select("doc_id", "text_hash").distinct()
-    names = [fresh(docs.columns, n) for n in ("bad_id", "bad_hash")]
-    bad = bad.toDF(*names)
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(text)) == F.col(names[1])), "left_anti")
+    stats = materialized(docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), statistics(docs, model, text).alias("s")), "quality")
+    return _verdicts(stats, "lang", "s").select("doc_id", "s.*", "low", "high", "base_failed", "kept")
+
+
+def _verdicts(rows: DataFrame, lang: str, s: str) -> DataFrame:
+    """``rows`` with a struct ``s`` of statistics and the columns low, high, base_failed and
+    kept.  The bands are a row per language."""
+    band = materialized(bands(rows.select(F.col(lang).alias("lang"), f"{s}.*")), "bands").withColumnRenamed("low", "band_low")
+    n, score = F.col(f"{s}.n_words"), F.col(f"{s}.log_perplexity")
+    failed = (n < MIN_WORDS) | (100 * F.col(f"{s}.n_repeat_words") > REPEAT_SHARE * n)
+    high = F.col("top") + SLACK / F.sqrt(F.greatest(n, F.lit(1)))
+    outside = F.coalesce((score < F.col("band_low")) | (score > high), F.lit(False))
+    return rows.join(band, F.col(lang).eqNullSafe(F.col("band_lang")), "left").select(
+        rows["*"], F.col("band_low").alias("low"), high.alias("high"), failed.alias("base_failed"), (~failed & ~outside).alias("kept"))
+
+
+def filtered(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the rows that the rules reject.  Rows are written with their
+    statistics and read back, so they are measured once and never shuffled."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    place = dict(zip(docs.columns, inner))
+    rows = materialized(docs.toDF(*inner).withColumn("s", statistics(docs, model, place[text])), "measured")
+    return _verdicts(rows, place[lang], "s").where("kept").select(*inner).toDF(*docs.columns)
 
 
 def good_ids(labels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from aerofield.llm.common import LOWER, fresh, uniform, word_blocks
+from aerofield.llm.common import LOWER, fresh, uniform, whole_texts, word_blocks
 
 # The base patterns, their least lengths, and the kinds in their order.
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -196,7 +196,7 @@ class Tagger:
     """Words to states.  The emissions of a distinct word are kept; the store is emptied
     when full, which changes no result."""
 
-    def __init__(self, model: Crf, most: int = 200_000):
+    def __init__(self, model: Crf, most: int = 100_000):
         self.model, self.most, self.gain = model, most, model.gain
         self._empty()
 
@@ -370,7 +370,7 @@ def scan(docs: DataFrame, model: Crf | None, doc_id: str = "doc_id", text: str =
                 rows.append((*counts, len(extra), _told(data, base), _told(data, base + extra)))
             yield pd.DataFrame(rows, columns=kind.names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), found(F.col(text).cast("binary")).alias("f")).select("doc_id", "f.*")
+    return whole_texts(docs).select(F.col(doc_id).alias("doc_id"), found(F.col(text).cast("binary")).alias("f")).select("doc_id", "f.*")
 
 
 def redacted(docs: DataFrame, model: Crf | None, text: str = "text", mark: str = "[secret]", size: str = "n_chars") -> DataFrame:
@@ -392,7 +392,7 @@ def redacted(docs: DataFrame, model: Crf | None, text: str = "text", mark: str =
             yield pd.Series(rows, dtype=object)
 
     new = fresh(docs.columns, "clean_text")
-    out = docs.withColumn(new, clean(F.col(text).cast("binary")))
+    out = whole_texts(docs).withColumn(new, clean(F.col(text).cast("binary")))
     cols = [F.col(new).alias(c) if c == text else
             F.char_length(F.col(new)).cast(docs.schema[c].dataType).alias(c) if c == size else F.col(c) for c in docs.columns]
     return out.select(*cols)

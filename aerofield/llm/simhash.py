@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from aerofield.llm import blocks
-from aerofield.llm.common import fresh, runs, word_blocks
+from aerofield.llm.common import fresh, runs, whole_texts, word_blocks
 from aerofield.llm.components import components
 from aerofield.session import materialized
 
@@ -155,7 +155,7 @@ def grouped(docs: DataFrame, distance: int = 4, doc_id: str = "doc_id", text: st
     many there are.  Null and wordless texts have fingerprint 0 and link like any
     other.  A null doc_id joins its group but names it only if the group has no
     other (component_id is then null).  Of equal rows one is first."""
-    rows = materialized(docs.select(
+    rows = materialized(whole_texts(docs).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"),
         fingerprint_of(F.col(text)).alias("fp")), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
@@ -173,14 +173,19 @@ def grouped(docs: DataFrame, distance: int = 4, doc_id: str = "doc_id", text: st
 def deduplicated(docs: DataFrame, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id, and of
     rows that agree in id and text the first by a hash of all columns."""
-    keep = grouped(docs, distance, doc_id, text).where("first").select("doc_id", "text_hash").distinct()
-    names = {n: fresh(docs.columns, f"kept_{n}") for n in ("id", "hash", "rank")}
-    keep = keep.select(F.col("doc_id").alias(names["id"]), F.col("text_hash").alias(names["hash"]))
+    names = {n: fresh(docs.columns, f"kept_{n}") for n in ("id", "hash", "n", "rank")}
+    keep = materialized(grouped(docs, distance, doc_id, text).where("first").groupBy(
+        F.col("doc_id").alias(names["id"]), F.col("text_hash").alias(names["hash"])).agg(F.count("*").alias(names["n"])), "keep")
     rank = F.row_number().over(Window.partitionBy(F.col(doc_id), F.xxhash64(F.col(text))).orderBy(
         F.xxhash64(*[F.col(c) for c in docs.columns])))
-    joined = docs.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col(names["id"]))
-                       & (F.xxhash64(F.col(text)) == F.col(names["hash"])), "left_semi")
-    return joined.withColumn(names["rank"], rank).where(F.col(names["rank"]) == 1).drop(names["rank"])
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(names["id"])) & (F.xxhash64(F.col(text)) == F.col(names["hash"]))
+
+    def met(kept: DataFrame) -> DataFrame:  # the narrow side is hashed, so the texts are not sorted
+        return docs.join(kept.hint("shuffle_hash"), same, "left_semi")
+
+    rare = met(keep.where(F.col(names["n"]) > 1))
+    return met(keep.where(F.col(names["n"]) == 1)).unionByName(
+        rare.withColumn(names["rank"], rank).where(F.col(names["rank"]) == 1).drop(names["rank"]))
 
 
 def query(docs: DataFrame) -> DataFrame:

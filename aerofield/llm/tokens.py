@@ -56,7 +56,7 @@ class Words:
     Every unit is encoded by the library once and kept.  Stores are emptied when full,
     which changes no result."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
