@@ -372,7 +372,21 @@ def _(spark, sf):
     return got.select("rn", *rounded(5, mag_1_uc=F.col("mag_1_uc")))
 
 
-@query("w18_closing_state", "W18")
+def _state_taps(f, size: int) -> str:
+    """(lag, component, weight): each section's two delays after an impulse and ``lag`` zeros."""
+    delays, out = [[0.0, 0.0] for _ in f.rows], []
+    for lag in range(size):
+        x = 1.0 if lag == 0 else 0.0
+        for (b0, b1, b2, _, a1, a2), d in zip(f.rows, delays):
+            y = b0 * x + d[0]
+            d[0], d[1], x = b1 * x - a1 * y + d[1], b2 * x - a2 * y, y
+        out += [f"({lag}, {c}, {v!r}::DOUBLE)" for c, v in enumerate(v for d in delays for v in d)]
+    return ", ".join(out)
+
+
+@query("w18_closing_state", "W18", sql=sql(f""", taps(lag, c, h) AS (VALUES {_state_taps(butterworth(0.0, 0.9, 10.0), 320)}),
+    s AS (SELECT flight, line, c, {r('sum(h * mag_1_uc)', 'v', 5)} FROM numbered JOIN taps ON lag = n_line - 1 - pos GROUP BY 1, 2, 3)
+    SELECT flight, line, list(v ORDER BY c) AS state FROM s GROUP BY 1, 2""", "numbered"))
 def _(spark, sf):
     return filtering.closing_state(numbered(spark, sf), "mag_1_uc", butterworth(0.0, 0.9, 10.0)).select(
         "flight", "line", F.transform("state", lambda s: F.round(s, 5)).alias("state"))
