@@ -16,12 +16,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from aerofield.llm.common import crc_mod, word_blocks
+from aerofield.llm.common import crc_mod, whole_texts, word_blocks
 from aerofield.llm.quality import joined
 from aerofield.session import materialized
 
 ORDER = 2
-CHUNK = 1 << 21  # tokens of a chunk, about
+CHUNK = 1 << 19  # tokens of a chunk, about; a task holds the arrays of one chunk
 RANGE = 1 << 21  # tokens behind a range of n-gram hashes, about
 FOLD = 8  # one in so many training documents is deleted to learn the weights
 STEPS, SHIFT, TOP = 4, 120, 510  # ratio bins: 1 / STEPS of a doubling, around SHIFT
@@ -152,12 +152,18 @@ def grams(order: int, sizes: list[int], leads: list[int], words: bytes, tokens:
     return Grams(keys, at, real, np.repeat(np.arange(len(size)), size), np.cumsum(size) - size)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, as each holds a chunk."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def asker(order: int, ranges: int):
     """Requests (bucket, kind, chunk, keys, n): the chunk's distinct n-grams in a range of
     the hash, with its training counts (0 for documents held out)."""
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 g = grams(order, r["sizes"], r["leads"], r["words"], r["tokens"])
                 train = ~np.array(r["held"], bool)[g.piece]
                 out = []
@@ -252,7 +258,7 @@ def ratios(order: int, tokens: int, words: int):
     bins, for the deleted documents under the counts of all others."""
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 g = grams(order, r["sizes"], r["leads"], r["words"], r["tokens"])
                 whole, fold = answers(order, r["parts"])
                 p, cell = estimates(g, [a - b for a, b in zip(whole, fold)], tokens)
@@ -291,7 +297,7 @@ def learn(cells: np.ndarray, n: np.ndarray, order: int, classes: int = 64, round
 def scorer(order: int, weights: Weights, kind: pa.DataType):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 g = grams(order, r["sizes"], r["leads"], r["words"], r["tokens"])
                 whole, _ = answers(order, r["parts"])
                 p, cls = estimates(g, whole, weights.tokens)
@@ -326,7 +332,7 @@ def scored(docs: DataFrame, held_out, deleted, order: int = ORDER, doc_id: str =
 
     kind = docs.schema[doc_id].dataType
     arrow, ddl = to_arrow_type(kind), kind.simpleString()
-    flags = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held"), (~held_out & deleted).alias("deleted"),
+    flags = whole_texts(docs).select(F.col(doc_id).alias("doc_id"), held_out.alias("held"), (~held_out & deleted).alias("deleted"),
                         F.col(text).cast("binary").alias("text"))
     chunks = materialized(flags.mapInArrow(chunker(order, arrow, chunk), _CHUNK.format(ddl)), "chunks")
     tokens = chunks.select(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
