@@ -8,7 +8,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from aerofield.llm.common import crc_mod, uniform
+from aerofield.llm.common import crc_mod, uniform, whole_texts
+from aerofield.session import materialized
 
 SYMBOLS = 64  # 0: no letter, 1-26: a-z, the rest: other letters by code point
 GRAMS = SYMBOLS + SYMBOLS ** 2 + SYMBOLS ** 3  # all 1-, 2- and 3-grams of symbols
@@ -116,6 +117,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "key"))
     drawn = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), uniform(10, F.col(doc_id)).alias("u"), F.xxhash64(F.col(text)).alias("key"))
+    # of a language with many texts only about 4 * documents small draws are ranked
+    many = materialized(drawn.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    drawn = drawn.join(many, "lang").where(F.col("u") * F.col("n") <= 4 * documents).drop("n")
     chosen = (drawn.withColumn("rank", rank).where(F.col("rank") <= documents).orderBy("rank", "u").limit(documents)
               .select("lang", "u", "key").distinct())
 
@@ -158,7 +162,7 @@ def identified(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", tex
                     scores.append(min(max((v[i] + 1) / 2, 0.0), 1.0) if known else 0.0)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.select(F.col(doc_id).alias("doc_id"), predict(F.col(text)).alias("p")).select("doc_id", "p.*")
+    return whole_texts(docs).select(F.col(doc_id).alias("doc_id"), predict(F.col(text)).alias("p")).select("doc_id", "p.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
