@@ -8,7 +8,7 @@ from aerofield.session import materialized
 
 # Fixed values of the mix: weights by source order, share of all sizes, most copies.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 
 
 def words_in(text: Column) -> Column:
