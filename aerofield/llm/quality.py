@@ -16,6 +16,7 @@ MIN_WORDS, WINDOW, REPEAT_SHARE = 20, 8, 30
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 
 SLACK = 8.0  # nats over sqrt(words): the mean of few words varies more, by about 4 / sqrt(n)
+LOW_SLACK = 24.0  # the same below, where short texts of common lines lie; README has the labelled rows behind it
 SHINGLE, SKETCH = 5, 8  # words of a shingle, smallest shingle hashes kept
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -289,10 +290,10 @@ def statistics(docs: DataFrame, model: Model | None, text: str = "text") -> Colu
 BASE_FAILED = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words)"
 
 
-def bands(stats: DataFrame, above: float = 1.5, below: float = 16.0, least: int = 50) -> DataFrame:
+def bands(stats: DataFrame, above: float = 1.5, below: float = 3.0, least: int = 50) -> DataFrame:
     """``band_lang, low, top``: fences around the quartiles of the log perplexity of all
-    documents of a language that pass the base rules.  The lower one stands far off: it
-    is for degenerate texts, not for fluent ones.  A language of fewer than ``least``
+    documents of a language that pass the base rules; both move out by a slack over the
+    root of a text's words (``_verdicts``).  A language of fewer than ``least``
     documents has no band."""
     q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 1000)
     ok = stats.where(f"NOT {BASE_FAILED} AND log_perplexity IS NOT NULL")
@@ -317,10 +318,11 @@ def _verdicts(rows: DataFrame, lang: str, s: str) -> DataFrame:
     band = materialized(bands(rows.select(F.col(lang).alias("lang"), f"{s}.*")), "bands").withColumnRenamed("low", "band_low")
     n, score = F.col(f"{s}.n_words"), F.col(f"{s}.log_perplexity")
     failed = (n < MIN_WORDS) | (100 * F.col(f"{s}.n_repeat_words") > REPEAT_SHARE * n)
-    high = F.col("top") + SLACK / F.sqrt(F.greatest(n, F.lit(1)))
-    outside = F.coalesce((score < F.col("band_low")) | (score > high), F.lit(False))
+    root = F.sqrt(F.greatest(n, F.lit(1)))
+    low, high = F.col("band_low") - LOW_SLACK / root, F.col("top") + SLACK / root
+    outside = F.coalesce((score < low) | (score > high), F.lit(False))
     return rows.join(band, F.col(lang).eqNullSafe(F.col("band_lang")), "left").select(
-        rows["*"], F.col("band_low").alias("low"), high.alias("high"), failed.alias("base_failed"), (~failed & ~outside).alias("kept"))
+        rows["*"], low.alias("low"), high.alias("high"), failed.alias("base_failed"), (~failed & ~outside).alias("kept"))
 
 
 def filtered(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang") -> DataFrame:

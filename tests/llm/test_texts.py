@@ -62,6 +62,21 @@ def test_perplexity_bands(spark, prose):
     assert left.columns == docs.columns and left.count() == 202
 
 
+def test_templated_texts_fall_below_the_band(spark, docs_of):
+    draw = np.random.default_rng(11)
+    phrases = [" ".join(f"t{i}{c}" for c in "abcd") for i in range(60)]
+    prose = lambda n: [f"w{i}" for i in draw.integers(0, 2000, n)]
+    template = lambda n: list(draw.choice(phrases, n))
+    rows = [(i, " ".join(prose(90) + template(i % 9)), "en") for i in range(200)]
+    rows += [(1000 + i, " ".join(template(75)), "en") for i in range(3)]
+    docs = docs_of(rows)
+    model = quality.train(docs, spark.createDataFrame([(i,) for i in range(200)], "doc_id long"))
+    got = {r.doc_id: r for r in quality.judged(docs, model).collect()}
+    assert all(got[i].kept for i in range(200))
+    for i in range(1000, 1003):
+        assert not got[i].base_failed and 0 < got[i].log_perplexity < got[i].low and not got[i].kept
+
+
 def test_kneser_ney_sums_to_one(prose):
     import pandas as pd
     words = [np.array([quality.xxhash.xxh64_intdigest(w)], np.uint64) for w in (b"a", b"b", b"c")]
