@@ -12,11 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from aerofield.llm.common import crc_mod, whole_texts, word_blocks
+from aerofield.llm.common import crc_mod, pack, unpack, whole_texts, word_blocks
 from aerofield.llm.quality import joined
 from aerofield.session import materialized
 
@@ -28,17 +27,6 @@ STEPS, SHIFT, TOP = 4, 120, 510  # ratio bins: 1 / STEPS of a doubling, around S
 _END = xxhash.xxh64_intdigest(b"")  # no word is empty
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Compressed byte planes of an array."""
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-
-
-def unpack(data: bytes, kind: str) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).reshape(-1)
-
-
 # ---- chunks ----
 
 class Builder:

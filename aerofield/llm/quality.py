@@ -4,19 +4,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from aerofield.llm.common import uniform, whole_texts, word_blocks
-from aerofield.session import materialized
+from aerofield.llm.common import whole_texts, word_blocks
+from aerofield.session import materialized, small
 
 # Fixed values of the base rules.
 MIN_WORDS, WINDOW, REPEAT_SHARE = 20, 8, 30
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 
 SLACK = 8.0  # nats over sqrt(words): the mean of few words varies more, by about 4 / sqrt(n)
-LOW_SLACK = 24.0  # the same below, where short texts of common lines lie; README has the labelled rows behind it
+LOW_SLACK = 32.0  # the same below, where short texts of common lines lie; README has the labelled rows behind it
 SHINGLE, SKETCH = 5, 8  # words of a shingle, smallest shingle hashes kept
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -95,7 +94,8 @@ def base_counts(data: bytes, h: np.ndarray) -> tuple[int, int, int, int, int]:
 
 @dataclass(frozen=True)
 class KneserNey:
-    """An interpolated modified Kneser-Ney trigram model of one fold in sorted arrays.
+    """An interpolated modified Kneser-Ney trigram model in sorted arrays, the plain form
+    of what ``kneser.scores`` computes in ranges of the n-grams.
 
     ``words`` (sorted hashes) with p1 and back1 (what a word as context leaves to lower
     orders); ``pairs`` (sorted keys of two words) with p2 and back2; ``triples`` with p3.
@@ -142,9 +142,12 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
+    return discounts_of([int((counts == k).sum()) for k in range(5)])
+
+
+def discounts_of(n: list[int]) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more, from the numbers
-    of n-grams seen once to four times."""
-    n = [int((counts == k).sum()) for k in range(5)]
+    ``n[1]`` to ``n[4]`` of n-grams seen once to four times."""
     y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
     out = [0.0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.0), float(k)) if n[k] else 0.0 for k in (1, 2, 3)]
     return np.array([out[0], out[1] or 0.5, out[2] or 0.5, out[3] or 0.5])
@@ -187,106 +190,63 @@ def estimate(triples: pd.DataFrame, pairs: pd.DataFrame, words: pd.DataFrame) ->
 
 @dataclass(frozen=True)
 class Model:
-    """Two models of disjoint halves of the sample, and the shingle hashes of either
-    half: a text is scored by the half that shares fewer shingles with it, so neither
-    a sampled text nor a near copy of one is judged by a model that has seen it."""
-    halves: tuple[KneserNey, KneserNey]
-    sketches: tuple[np.ndarray, np.ndarray]
-
-    def score(self, h: np.ndarray, places) -> float | None:
-        """Mean negative log probability per word (the log of the perplexity)."""
-        if not len(h):
-            return None
-        own = sketch(h)
-        met = [int((find(s, own) >= 0).sum()) for s in self.sketches]
-        half = 0 if met[0] <= met[1] else 1
-        return -self.halves[half].log_probability(h, places(half)) / len(h)
-
-
-def train(docs: DataFrame, good: DataFrame, doc_id: str = "doc_id", text: str = "text",
-          documents: int = 4_000, words: int = 600_000) -> Model | None:
-    """The model of a bounded sample of good documents: of the ids in ``good(doc_id)``
-    the ``documents`` with the smallest draws, in that order as long as they hold at most
-    ``words`` words together.  n-grams are counted by Spark; only the counts of the
-    sample come to the driver.  None without such documents."""
-    ids = good.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct().withColumn(
-        "u", uniform(3, F.col("id"))).orderBy("u").limit(documents)
-
-    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            out = []
-            for u, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = word_hashes(data or b"", hashes)
-                if len(h) >= MIN_WORDS:
-                    out.append((u, len(h), sketch(h).view(np.int64).tolist()))
-            cols = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(x), k) for x, k in zip(cols, (pa.float64(), pa.int64(), pa.list_(pa.int64())))], names=["u", "n", "sketch"])
-
-    texts = docs.select(F.col(doc_id).alias("own"), F.col(text).cast("binary").alias("text"))
-    sample = materialized(texts.join(F.broadcast(ids), F.col("own") == F.col("id")).select("u", "text"), "sample")
-    half: dict[float, int] = {}
-    owner: dict[int, int] = {}
-    held, sizes = 0, [0, 0]
-    sketches: tuple[list, list] = ([], [])
-    for u, n, marks in sorted(sample.mapInArrow(outline, "u double, n long, sketch array<long>").collect()):
-        if u in half or held + n > words:
-            continue
-        own = [owner[m] for m in marks if m in owner]
-        side = max(set(own), key=own.count) if own else int(sizes[1] < sizes[0])
-        half[u] = side
-        owner.update((m, side) for m in marks)
-        sketches[side].extend(marks)
-        held += n
-        sizes[side] += n
-    if not half or not all(sizes):
-        return None
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            for u, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if u in half and data:
-                    h = np.concatenate([np.zeros(2, np.uint64), word_hashes(data, hashes)]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(h) - 2, half[u], np.int32)), pa.array(h[:-2]), pa.array(h[1:-1]), pa.array(h[2:])],
-                        names=["half", "a", "b", "c"])
-
-    three = materialized(sample.dropDuplicates(["u"]).mapInArrow(grams, "half int, a long, b long, c long").groupBy(
-        "half", "a", "b", "c").agg(F.count("*").alias("n")), "triples")
-    two = materialized(three.groupBy("half", "b", "c").agg(F.count("*").alias("n")), "pairs")
-    one = two.groupBy("half", "c").agg(F.count("*").alias("n"))
-    counted = [x.toArrow().to_pandas() for x in (three, two, one)]  # bounded by the words of the sample
-    halves = tuple(estimate(*[x[x["half"] == k] for x in counted]) for k in (0, 1))
-    return Model(halves, tuple(np.unique(np.array(s, np.int64).view(np.uint64)) for s in sketches))
+    """The documents whose n-grams are the model: those of ``docs`` with an id in ``ids``."""
+    docs: DataFrame
+    ids: DataFrame
+    doc_id: str
+    text: str
+
+
+def train(docs: DataFrame, good: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """The model of all documents of ``docs`` whose id is in ``good(doc_id)``, however many.
+    Nothing is counted before texts are measured: ``kneser.scores`` counts the n-grams in
+    the ranges of their hash in which texts ask for theirs."""
+    return Model(docs, good.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct(), doc_id, text)
 
 
 # ---- operators ----
 
-_STATS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-                      + [T.StructField("log_perplexity", T.DoubleType())])
+STATS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+                     + [T.StructField("log_perplexity", T.DoubleType())])
 
 
-def statistics(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
-    """A struct of the base counts and the log perplexity (null without words or model)."""
-    held = whole_texts(docs).sparkSession.sparkContext.broadcast(model)
+def base_statistics(docs: DataFrame, text: str) -> Column:
+    """A struct of the base counts, without a perplexity."""
+    whole_texts(docs)
 
-    @F.pandas_udf(_STATS)
+    @F.pandas_udf(STATS)
     def measured(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, hashes = held.value, Hashes()
+        hashes = Hashes()
         for texts in parts:
-            rows = []
-            for data in texts:
-                data = data or b""
-                h = word_hashes(data, hashes)
-                places = lambda k: find(own.halves[k].words, h)  # noqa: B023, E731
-                rows.append((*base_counts(data, h), own.score(h, places) if own else None))
-            yield pd.DataFrame(rows, columns=_STATS.names).astype({"log_perplexity": "float64"})
+            rows = [(*base_counts(data or b"", word_hashes(data or b"", hashes)), None) for data in texts]
+            yield pd.DataFrame(rows, columns=STATS.names).astype({"log_perplexity": "float64"})
 
     return measured(F.col(text).cast("binary"))
 
 
+def statistics(docs: DataFrame, model: Model | None, key: str, doc_id: str, text: str, lang: str, same: bool) -> DataFrame:
+    """``id, lang, s`` for each row: its ``key``, language, base counts and log perplexity
+    (null without words or model).  ``same``: the rows are the model's own documents; if
+    not, those come along to teach."""
+    if model is None:
+        return docs.select(F.col(key).alias("id"), F.col(lang).alias("lang"), base_statistics(docs, text).alias("s"))
+    from aerofield.llm import kneser  # which needs this module
+
+    ids = small(model.ids.withColumnRenamed("id", "good_id"), 4_000_000)
+    rows = docs.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"),
+                       (F.col(doc_id) if same else F.lit(None)).alias("own"))
+    good = F.col("good_id").isNotNull()
+    if same:
+        rows = rows.join(ids, rows["own"] == ids["good_id"], "left").select("id", "lang", "text", good.alias("good"), F.lit(True).alias("out"))
+    else:
+        taught = model.docs.select(F.col(model.doc_id).alias("own"), F.col(model.text).cast("binary").alias("text"))
+        rows = rows.select("id", "lang", "text", F.lit(False).alias("good"), F.lit(True).alias("out")).unionByName(
+            taught.join(ids, taught["own"] == ids["good_id"]).select(
+                F.lit(None).cast(docs.schema[key].dataType).alias("id"), F.lit(None).cast("string").alias("lang"), "text",
+                F.lit(True).alias("good"), F.lit(False).alias("out")))
+    return kneser.scores(rows).select("id", "lang", F.struct(*STATS.names).alias("s"))
+
+
 BASE_FAILED = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words)"
 
 
@@ -308,7 +268,8 @@ def judged(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: s
     A null or empty text has no words and fails the base rules.  Null languages are a
     language of their own.  Without a model, or where too few documents of a language
     make a band, only the base rules count."""
-    stats = materialized(docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), statistics(docs, model, text).alias("s")), "quality")
+    same = model is not None and model.docs is docs
+    stats = materialized(statistics(docs, model, doc_id, doc_id, text, lang, same).withColumnRenamed("id", "doc_id"), "quality")
     return _verdicts(stats, "lang", "s").select("doc_id", "s.*", "low", "high", "base_failed", "kept")
 
 
@@ -326,12 +287,15 @@ def _verdicts(rows: DataFrame, lang: str, s: str) -> DataFrame:
 
 
 def filtered(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows that the rules reject.  Rows are written with their
-    statistics and read back, so they are measured once and never shuffled."""
+    """``docs`` without the rows that the rules reject.  Rows are written with a number
+    and read back; the numbers of rejected rows are small beside the texts."""
     inner = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
     place = dict(zip(docs.columns, inner))
-    rows = materialized(docs.toDF(*inner).withColumn("s", statistics(docs, model, place[text])), "measured")
-    return _verdicts(rows, place[lang], "s").where("kept").select(*inner).toDF(*docs.columns)
+    rows = materialized(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    same = model is not None and model.docs is docs
+    stats = materialized(statistics(rows, model, "row", place[model.doc_id] if same else "row", place[text], place[lang], same), "measured")
+    out = small(_verdicts(stats, "lang", "s").where("NOT kept").select("id"), 4_000_000)
+    return rows.join(out, rows["row"] == out["id"], "left_anti").select(*inner).toDF(*docs.columns)
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -340,4 +304,4 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = judged(docs, train(docs, good_ids(labels)))
-    return out.select("doc_id", *_STATS.names[:5], "base_failed", "kept", "log_perplexity", "low", "high")
+    return out.select("doc_id", *STATS.names[:5], "base_failed", "kept", "log_perplexity", "low", "high")

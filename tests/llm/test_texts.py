@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aerofield.llm import importance, interpolation, langid, quality, secrets
+from aerofield.llm import importance, interpolation, kneser, langid, quality, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -97,6 +97,70 @@ def test_kneser_ney_sums_to_one(prose):
         assert known < 1.0 and known + p(context, np.array([5], np.uint64)) == pytest.approx(1.0, abs=1e-5)
 
 
+def test_scores_in_ranges_are_the_plain_model(spark):
+    import pandas as pd
+    draw = np.random.default_rng(12)
+    texts = [" ".join(draw.choice([f"v{i}" for i in range(25)], draw.integers(20, 60))) for _ in range(40)] + ["", None, "v1", "v1 v2 zz"]
+    good = [i % 3 > 0 and i < 40 for i in range(len(texts))]
+    rows = spark.createDataFrame([(i, "en", (t or "").encode() if t is not None else None, g, i != 5) for i, (t, g) in enumerate(zip(texts, good))],
+                                 "id long, lang string, text binary, good boolean, out boolean").repartition(3)
+    got = [{r.id: r.log_perplexity for r in kneser.scores(rows, *sizes).collect()} for sizes in ((), (150, 60))]
+    assert set(got[0]) == set(range(44)) - {5} and got[0] == pytest.approx(got[1], nan_ok=True)
+    assert got[0][40] is None and got[0][41] is None
+    h = [quality.word_hashes((t or "").encode(), quality.Hashes()) for t in texts]
+    marks = np.full((len(h), quality.SKETCH), kneser.NONE)
+    for row, x in zip(marks, h):
+        own = quality.sketch(x).view(np.int64)
+        row[:len(own)] = own
+    assert len(np.unique(marks[marks != kneser.NONE])) == (marks != kneser.NONE).sum()  # each text a family of its own
+    family = quality.mix(quality.joined(*marks.view(np.uint64).T))
+
+    def plain(side):
+        three = pd.DataFrame(np.concatenate([np.stack([w[:-2], w[1:-1], w[2:]], 1) for i in np.flatnonzero(side) if good[i]
+                                             for w in [np.append(np.zeros(2, np.uint64), h[i]).view(np.int64)]]), columns=list("abc"))
+        three = three.value_counts().reset_index(name="n")
+        two = three.groupby(["b", "c"]).size().reset_index(name="n")
+        return quality.estimate(three, two, two.groupby("c").size().reset_index(name="n"))
+
+    def expected(bit):
+        sides = (family >> np.uint64(8 + bit)) & np.uint64(1)
+        models = [plain(sides == k) for k in (0, 1)]
+        return {i: -(m := models[1 - sides[i]]).log_probability(h[i], quality.find(m.words, h[i])) / len(h[i])
+                for i in got[0] if len(h[i])}
+
+    scored = {i: v for i, v in got[0].items() if v is not None}
+    assert any(scored == pytest.approx(expected(bit), abs=1e-4) for bit in range(kneser.BITS))
+
+
+def test_near_copies_are_one_family(spark):
+    near = {1: [1, 2, 3], 2: [3, 1, 9], 3: [9, 4, 3], 4: [9, 5], 5: [7, 8], 6: [8, 10]}  # two hashes: 1 and 2, 2 and 3
+    got = kneser.families(spark.createDataFrame([(0, k, m) for k, own in near.items() for m in own], "chunk long, node long, mark long"))
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (3, 1)}
+    chain = [(0, i, m) for i in range(9) for m in (i, i + 1, i + 2)]
+    assert {r.label for r in kneser.families(spark.createDataFrame(chain, "chunk long, node long, mark long")).collect()} == {0}
+
+
+def test_all_good_documents_teach(spark, docs_of):
+    draw = np.random.default_rng(13)
+    lexicon, rare = [f"w{i}" for i in range(300)], [f"r{i}" for i in range(300)]
+    rows = [(i, " ".join(draw.choice(lexicon, 80)), "en") for i in range(60)]
+    rows += [(100 + i, " ".join(draw.choice(rare, 610_000)), "xx") for i in range(2)]  # longer than the sample once was
+    rows += [(200 + i, " ".join(draw.choice(rare, 60)), "xx") for i in range(8)]
+    docs = docs_of(rows)
+    model = quality.train(docs, spark.createDataFrame([(i,) for i in range(102)], "doc_id long"))
+    got = {r.doc_id: r.log_perplexity for r in quality.judged(docs, model).collect()}
+    assert min(got[200 + i] for i in range(8)) < math.log(300) + 0.2
+
+
+def test_judging_other_documents(spark, prose, docs_of):
+    rows, docs = prose
+    model = quality.train(docs, spark.createDataFrame([(i,) for i in range(150)], "doc_id long"))
+    other = docs_of([(1, rows[180][1], "en"), (2, rows[200][1], "en")])
+    got = {r.doc_id: r for r in quality.judged(other, model).collect()}
+    assert len(got) == 2 and got[1].log_perplexity + 2 < got[2].log_perplexity
+    assert quality.filtered(other, model).count() == 2  # too few for a band
+
+
 def test_without_a_model_only_the_base_rules_count(prose):
     rows, docs = prose
     got = quality.judged(docs, None).collect()
