@@ -253,11 +253,14 @@ BASE_FAILED = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE}
 def bands(stats: DataFrame, above: float = 1.5, below: float = 3.0, least: int = 50) -> DataFrame:
     """``band_lang, low, top``: fences around the quartiles of the log perplexity of all
     documents of a language that pass the base rules; both move out by a slack over the
-    root of a text's words (``_verdicts``).  A language of fewer than ``least``
-    documents has no band."""
+    root of a text's words (``_verdicts``).  A language of fewer than ``least`` such
+    documents takes the band of all languages together, if they have as many."""
     q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 1000)
     ok = stats.where(f"NOT {BASE_FAILED} AND log_perplexity IS NOT NULL")
-    return ok.groupBy(F.col("lang").alias("band_lang")).agg(F.count("*").alias("n"), q.alias("q")).where(F.col("n") >= least).select(
+    every = ok.agg(F.count("*").alias("all_n"), q.alias("all_q"))
+    own = ok.groupBy(F.col("lang").alias("band_lang")).agg(F.count("*").alias("n"), q.alias("q"))
+    return own.crossJoin(F.broadcast(every)).where(f"greatest(n, all_n) >= {least}").withColumn(
+        "q", F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("all_q"))).select(
         "band_lang", F.expr(f"q[0] - {below} * (q[1] - q[0])").alias("low"), F.expr(f"q[1] + {above} * (q[1] - q[0])").alias("top"))
 
 
@@ -266,8 +269,8 @@ def judged(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: s
     (the band), base_failed and kept.
 
     A null or empty text has no words and fails the base rules.  Null languages are a
-    language of their own.  Without a model, or where too few documents of a language
-    make a band, only the base rules count."""
+    language of their own.  Without a model, or where too few documents of all
+    languages make a band, only the base rules count."""
     same = model is not None and model.docs is docs
     stats = materialized(statistics(docs, model, doc_id, doc_id, text, lang, same).withColumnRenamed("id", "doc_id"), "quality")
     return _verdicts(stats, "lang", "s").select("doc_id", "s.*", "low", "high", "base_failed", "kept")

@@ -77,6 +77,15 @@ def test_templated_texts_fall_below_the_band(spark, docs_of):
         assert not got[i].base_failed and 0 < got[i].log_perplexity < got[i].low and not got[i].kept
 
 
+def test_a_rare_language_takes_the_band_of_all(spark, prose, docs_of):
+    rows, _ = prose
+    lang = {1000: "qq", 1001: None, 7: "qq", 8: None}
+    docs = docs_of([(i, text, lang.get(i, "en")) for i, text, *_ in rows if i is not None and i < 1002])
+    model = quality.train(docs, spark.createDataFrame([(i,) for i in range(150)], "doc_id long"))
+    kept = {r.doc_id: r.kept for r in quality.judged(docs, model).collect()}
+    assert kept[7] and kept[8] and not kept[1000] and not kept[1001]
+
+
 def test_kneser_ney_sums_to_one(prose):
     import pandas as pd
     words = [np.array([quality.xxhash.xxh64_intdigest(w)], np.uint64) for w in (b"a", b"b", b"c")]
