@@ -311,14 +311,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text: str = "text", documents: int = 20_000, windows: int = 4_000) -> Crf | None:
     """A CRF fitted on a bounded sample labelled by the base patterns: the ``documents``
-    texts with the smallest draws, of their windows at most ``windows`` with and as many
-    without a secret.  None if no secret is found."""
+    distinct texts with the smallest draws, of their distinct windows at most ``windows``
+    with and as many without a secret.  None if no secret is found."""
     drawn = docs.select(uniform(8, F.xxhash64(F.col(text))).alias("u"), F.col(text).cast("binary").alias("t"))
-    limit = drawn.select("u").orderBy("u").limit(documents).agg(F.max("u")).first()[0]
+    limit = drawn.where("t IS NOT NULL").select("u").distinct().orderBy("u").limit(documents).agg(F.max("u")).first()[0]
     if limit is None:
         return None
-    rows = drawn.where((F.col("u") <= limit) & F.col("t").isNotNull()).select("t").mapInArrow(
+    rows = drawn.where((F.col("u") <= limit) & F.col("t").isNotNull()).select("t").distinct().mapInArrow(
         _windows, "words array<binary>, before boolean, after boolean, states array<int>, file array<int>, secret boolean, draw long")
+    rows = rows.groupBy("words", "before", "after", "states", "file", "secret").agg(F.min("draw").alias("draw"))
     sample = rows.where("secret").orderBy("draw", "words").limit(windows).collect()
     if not sample:
         return None

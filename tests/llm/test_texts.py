@@ -229,6 +229,18 @@ def test_crf_learns_and_adds(spark, docs_of):
     assert "[secret]" in texts[3].text and texts[3].n_chars == len(texts[3].text) and texts[2].text == odd.where("doc_id = 2").first().text
 
 
+def test_copies_count_once_in_the_sample(docs_of, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secrets, "fit", lambda sequences: seen.append(len(sequences)))
+    key = "7602ad27cf5550de1c"
+    rows = [(i, f"password={key} is copied") for i in range(50)] + [(100 + i, f"some password={key}{i} here") for i in range(5)]
+    rows += [(200 + i, "plain words alike") for i in range(50)] + [(300 + i, f"plain words number {i}") for i in range(5)]
+    secrets.train(docs_of(rows), documents=12, windows=6)
+    assert seen == [12]
+    secrets.train(docs_of(rows), documents=100, windows=100)
+    assert seen == [12, 12]
+
+
 def test_crf_without_secrets(docs_of):
     assert secrets.train(docs_of([(1, "plain words"), (2, None)])) is None
     assert secrets.train(docs_of([])) is None
