@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from aerofield.llm import (
-    embeddings, importance, interpolation, langid, mixing, packing, quality, secrets, sharding, simhash)
+    alignment, embeddings, importance, interpolation, langid, mixing, packing, pieces, quality, search, secrets, sharding, simhash)
 from aerofield.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,20 @@ def op10_string_kernel_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(table(spark, sf_dir, "documents"))
 
 
+def op11_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.query(table(spark, sf_dir, "documents"))
+
+
+def op13_aligned_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_pstable_links, op2_deleted_interpolation, op3_kneser_ney_bands, op4_simhash_pigeonring, op5_vector_bins,
-    op6_pareto_mix, op7_importance_resampling, op8_secret_crf, op9_packing_dp, op10_string_kernel_lang)}
-SQL: dict[str, str] = {"op6_pareto_mix": mixing.SQL}
+    op6_pareto_mix, op7_importance_resampling, op8_secret_crf, op9_packing_dp, op10_string_kernel_lang,
+    op11_presence_masks, op12_piece_rounds, op13_aligned_ends)}
+SQL: dict[str, str] = {"op6_pareto_mix": mixing.SQL, "op11_presence_masks": search.SQL}
