@@ -1,12 +1,11 @@
-"""Linear models from Gram matrices.
+"""Linear models.
 
-Every fit is one aggregate over the samples (sums of products, combined before
-the shuffle) followed by a solve on a matrix whose size depends only on the
-number of features.
+Every fit is one aggregate over the samples, combined before the shuffle, followed by a
+solve on a matrix whose size depends only on the number of features: triangular factors
+(``leastsquares``) for least squares, sums of products where refits or penalties need them.
 """
 import json
 import math
-import warnings
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from aerofield.functions import compensation as comp
 from aerofield.functions.filters import butterworth
-from aerofield.operators import select, stats
+from aerofield.operators import leastsquares, select, stats
 from aerofield.operators.filtering import zero_phase
 from aerofield.operators.segments import shuffle_key, trim_lines
 from aerofield.operators.sequence import LINE, block_rows, number_rows, with_group_stats
@@ -88,29 +87,18 @@ def solve(g: np.ndarray, c: np.ndarray, ridge: float = 0.0) -> np.ndarray:
 
 def ridge_fit(df: DataFrame, xs: list[str], y: str, ridge: float = 0.0) -> tuple[np.ndarray, float]:
     """Coefficients without intercept, and the variance of the residual."""
-    row = gram(df, [*xs, y]).first()
-    if not row or not row["n"]:
-        return np.zeros(len(xs)), 0.0
-    if row["left_out"]:
-        warnings.warn(f"{row['left_out']} of {row['n'] + row['left_out']} rows have missing values and are left out", stacklevel=2)
-    sums, g = unpack_gram(row["gram"], len(xs) + 1)
-    b = solve(g[:-1, :-1], g[:-1, -1], ridge)
-    full = np.append(-b, 1.0)
-    return b, float(full @ g @ full / row["n"] - (full @ sums / row["n"]) ** 2)
+    b, var, _ = leastsquares.fit(df, xs, [y], ridge)
+    return b[:, 0], float(var[0])
 
 
 def ridge_by_key(df: DataFrame, xs: list[str], y: str, keys=LINE, ridge: float = 0.0) -> DataFrame:
-    """Coefficients (``coef``) per key: one solve per Gram row, in batches."""
-    size = len(xs)
+    """Coefficients (``coef``) per key: one solve per factor, in batches."""
+    size = len(xs) + 1
 
     @F.pandas_udf(REALS)
-    def fit(packed):
-        out = []
-        for p in packed:
-            _, g = unpack_gram(p, size + 1)
-            out.append(solve(g[:size, :size], g[:size, size], ridge).tolist())
-        return pd.Series(out)
-    return gram(df, [*xs, y], keys).select(*keys, "n", fit("gram").alias("coef"))
+    def fit(factors: pd.Series) -> pd.Series:
+        return pd.Series([leastsquares.solved(np.array(r, float).reshape(-1, size), 1, ridge)[0][:, 0].tolist() for r in factors])
+    return leastsquares.factors(df, [*xs, y], keys).select(*keys, "n", fit("r").alias("coef"))
 
 
 def detrend(df: DataFrame, column: str, kind: str = "line", xs: list[str] = (), ridge: float = 0.0,
@@ -483,7 +471,7 @@ def compensate_all(flight: DataFrame, calibration: DataFrame, mags: list[str], v
     calibration flight.  Returns the rows (``<mag>_comp`` and its line-detrended
     ``<mag>_flat``) and each magnetometer's mean offset from the given field.
 
-    The calibration design is filtered and summed once for all magnetometers.
+    The calibration design is filtered and factored once for all magnetometers.
     """
     design, xs = select.with_design(number_rows(calibration), vector, None, terms)
     inside = lambda f: 0 < f < fs / 2
@@ -492,11 +480,9 @@ def compensate_all(flight: DataFrame, calibration: DataFrame, mags: list[str], v
         ready = trim_lines(zero_phase(design, both, butterworth(pass1, pass2, fs), keep=["rn"]), 20)
     else:
         ready = design
-    _, g = unpack_gram(gram(ready, both).first()["gram"], len(both))
-    k = len(xs)
+    coefs, _, _ = leastsquares.fit(ready, xs, mags, ridge)
     target, _ = select.with_design(number_rows(flight), vector, None, terms)
-    noise = {m: comp.weighted_sum([F.col(x) for x in xs], solve(g[:k, :k], g[:k, k + i], ridge).tolist())
-             for i, m in enumerate(mags)}
+    noise = {m: comp.weighted_sum([F.col(x) for x in xs], coefs[:, i].tolist()) for i, m in enumerate(mags)}
     flown = target.withColumns({f"_noise_{m}": c for m, c in noise.items()}).drop(*xs)
     means = flown.agg(*[F.avg(f"_noise_{m}").alias(m) for m in mags]).first()
     done = flown.withColumns({f"{m}_comp": F.col(m) - (F.col(f"_noise_{m}") - means[m]) for m in mags}).drop(

@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from aerofield.functions import attitude, compensation as comp
 from aerofield.functions.filters import butterworth
-from aerofield.operators import differences, filtering, models, segments, select, stats
+from aerofield.operators import differences, filtering, leastsquares, models, segments, select, stats
 from aerofield.plans.queries_lines import numbered
-from aerofield.plans.registry import query, r, rounded, sql
+from aerofield.plans.registry import least_squares, query, r, rounded, sql
 from aerofield.sources import adapters as src
 
 _W = "WINDOW w AS (PARTITION BY flight, line ORDER BY rn)"
@@ -320,7 +320,60 @@ def flagship(spark, sf):
                                                 F.round(F.stddev_pop("err"), 4).alias("err_std")).orderBy("flight", "line")
 
 
-query("m3_line_error_spread", "M1", "M3")(flagship)
+def _predicted(terms) -> str:
+    """SQL of a linear model's value from the coefficient table ``b`` with one row."""
+    return " + ".join(f"fit.{t} * b.{t}" for t in terms)
+
+
+def _wide(terms) -> str:
+    """The table ``coef`` as one row."""
+    return "b AS (SELECT " + ", ".join(f"max(CASE WHEN term = '{t}' THEN value END) AS {t}" for t in terms) + " FROM coef)"
+
+
+query("m3_line_error_spread", "M1", "M3", sql=sql(
+    design_view() + ", fit AS (SELECT *, mag_1_uc - mag_1_c AS y FROM design)" + least_squares("fit", comp.term_names(), "y", 0.025)
+    + f""", {_wide(comp.term_names())}, e AS (SELECT flight, line, {_predicted(comp.term_names())} - y AS e FROM fit, b)
+    SELECT flight, line, count(*) AS n, {r("stddev_pop(e)", "err_std", 4)} FROM e GROUP BY 1, 2""", "numbered"))(flagship)
+
+
+_FAR = 50_000.0  # nT: the Earth's field that a survey sits on
+
+
+@query("m1_offset_fit", "M1", "M2", sql=sql(
+    design_view() + f", fit AS (SELECT *, mag_1_uc + {_FAR} AS y FROM design)" + least_squares("fit", [*comp.term_names()[:6], "bias"], "y")
+    + f"SELECT term, {r('value', 'value', 4)} FROM coef", "numbered"))
+def _(spark, sf):
+    df, names = select.with_design(numbered(spark, sf).withColumn("y", F.col("mag_1_uc") + _FAR), terms=_ALL_TERMS)
+    xs = [*comp.term_names()[:6], "bias"]
+    b, _, _ = leastsquares.fit(df, xs, ["y"])
+    return spark.createDataFrame([(t, float(v)) for t, v in zip(xs, b[:, 0])], "term string, value double").select(
+        "term", *rounded(4, value=F.col("value")))
+
+
+@query("m1_orthogonal_residuals", "M1", sql=f"""SELECT term, 0.0::DOUBLE AS cosine, 19 AS rank
+    FROM (VALUES {", ".join(f"('{t}')" for t in [*comp.term_names(), "bias", "again"])}) AS t(term)""")
+def _(spark, sf):
+    """The cosine of the residual with each column of the design, two of them collinear."""
+    df, names = select.with_design(numbered(spark, sf).withColumn("y", F.col("mag_1_uc") + _FAR), terms=_ALL_TERMS)
+    xs = [*comp.term_names(), "bias", "again"]
+    rows = df.withColumn("again", 2 * F.col(xs[0])).select(*xs, "y")
+    b, _, rank = leastsquares.fit(rows, xs, ["y"])
+    e = F.col("y") - comp.weighted_sum([F.col(x) for x in xs], b[:, 0].tolist())
+    sums = rows.select(*xs, e.alias("e")).agg(*[F.struct(F.lit(x).alias("term"), (
+        F.sum(F.col(x) * F.col("e")) / F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col("e") * F.col("e")))).alias("c")).alias(f"s{i}") for i, x in enumerate(xs)])
+    return sums.select(F.explode(F.array(*sums.columns)).alias("s")).select(
+        "s.term", (F.round("s.c", 6) + 0.0).alias("cosine"), F.lit(rank).alias("rank"))
+
+
+@query("m1_collinear_fit", "M1", sql=sql(f"""SELECT {r('a - t', 'c0', 4)}, {r('b - 2 * t', 'c1', 4)}, {r('t', 'c2', 4)}, 2 AS rank
+    FROM (SELECT a, b, (a + 2 * b) / 6 AS t FROM (SELECT regr_intercept(mag_1_uc + {_FAR}, mag_2_uc) AS a, regr_slope(mag_1_uc + {_FAR}, mag_2_uc) AS b FROM samples))""", "samples"))
+def _(spark, sf):
+    """Of all solutions over (1, x, 1 + 2 x) the one of least norm."""
+    x = F.col("mag_2_uc")
+    df = src.samples(spark, sf).select(F.lit(1.0).alias("c0"), x.alias("c1"), (1 + 2 * x).alias("c2"), (F.col("mag_1_uc") + _FAR).alias("y"))
+    b, _, rank = leastsquares.fit(df, ["c0", "c1", "c2"], ["y"])
+    return spark.createDataFrame([(*map(float, b[:, 0]), rank)], "c0 double, c1 double, c2 double, rank int").select(
+        *rounded(4, **{c: F.col(c) for c in ("c0", "c1", "c2")}), "rank")
 
 
 def _taps(sections, n: int) -> str:
@@ -331,22 +384,29 @@ def _taps(sections, n: int) -> str:
     return ", ".join(f"({i}, {v!r}::DOUBLE)" for i, v in enumerate(sections.recurse(x)[0].tolist()))
 
 
-def _zero_phase_sql(sections, column: str) -> str:
-    """Direct convolution of the odd-extended line, forward and backward."""
+def _filtered(sections, columns: list[str], view: str = "numbered", taps: int = 420) -> str:
+    """CTEs up to ``z(line, pos, ...)``: direct convolution of the odd-extended lines of a
+    view, forward and backward."""
     pad, gain = sections.pad, f"{sections.gain!r}::DOUBLE"
-    return f""", taps(j, h) AS (VALUES {_taps(sections, 420)}),
-    x AS (SELECT line, n_line, pos, CAST({column} AS DOUBLE) AS v, first_value({column}) OVER w AS v0,
-    last_value({column}) OVER (PARTITION BY line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v1
-    FROM numbered WINDOW w AS (PARTITION BY line ORDER BY pos)),
-    e AS (SELECT line, n_line, pos, v FROM x UNION ALL SELECT line, n_line, -pos, 2 * v0 - v FROM x WHERE pos BETWEEN 1 AND {pad}
-    UNION ALL SELECT line, n_line, 2 * (n_line - 1) - pos, 2 * v1 - v FROM x WHERE pos BETWEEN n_line - 1 - {pad} AND n_line - 2),
-    d AS (SELECT *, first_value(v) OVER (PARTITION BY line ORDER BY pos) AS v0 FROM e),
-    f AS (SELECT a.line, a.n_line, a.pos, {gain} * any_value(a.v0) + sum(h * (b.v - b.v0)) AS v FROM d a JOIN d b ON a.line = b.line AND b.pos <= a.pos
-    JOIN taps ON j = a.pos - b.pos GROUP BY 1, 2, 3),
-    g AS (SELECT *, first_value(v) OVER (PARTITION BY line ORDER BY pos DESC) AS v0 FROM f),
-    z AS (SELECT a.line, a.pos, {gain} * any_value(a.v0) + sum(h * (b.v - b.v0)) AS v FROM g a JOIN g b ON a.line = b.line AND b.pos >= a.pos
-    JOIN taps ON j = b.pos - a.pos WHERE a.pos BETWEEN 0 AND a.n_line - 1 GROUP BY 1, 2)
-    SELECT rn, """ + r("z.v", column, 5) + " FROM z JOIN numbered n ON n.line = z.line AND n.pos = z.pos"
+    ends = "OVER (PARTITION BY line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    m = range(len(columns))
+    each = lambda text: ", ".join(text.replace("@", str(i)) for i in m)
+    passed = lambda rows, on, lag: f"""SELECT a.line, a.n_line, a.pos, {each(f"{gain} * any_value(a.w@) + sum(h * (b.v@ - b.w@)) AS v@")}
+    FROM {rows} a JOIN {rows} b ON a.line = b.line AND {on} JOIN taps ON j = {lag}"""
+    return f""", taps(j, h) AS (VALUES {_taps(sections, taps)}),
+    x AS (SELECT line, n_line, pos, {", ".join(f"CAST({c} AS DOUBLE) AS v{i}, first_value({c}) {ends} AS f{i}, last_value({c}) {ends} AS l{i}" for i, c in enumerate(columns))} FROM {view}),
+    e AS (SELECT line, n_line, pos, {each("v@")} FROM x UNION ALL SELECT line, n_line, -pos, {each("2 * f@ - v@")} FROM x WHERE pos BETWEEN 1 AND {pad}
+    UNION ALL SELECT line, n_line, 2 * (n_line - 1) - pos, {each("2 * l@ - v@")} FROM x WHERE pos BETWEEN n_line - 1 - {pad} AND n_line - 2),
+    d AS (SELECT *, {each("first_value(v@) OVER (PARTITION BY line ORDER BY pos) AS w@")} FROM e),
+    f AS ({passed("d", "b.pos <= a.pos", "a.pos - b.pos")} GROUP BY 1, 2, 3),
+    g AS (SELECT *, {each("first_value(v@) OVER (PARTITION BY line ORDER BY pos DESC) AS w@")} FROM f),
+    z AS (SELECT line, n_line, pos, {", ".join(f"v{i} AS {c}" for i, c in enumerate(columns))} FROM ({passed("g", "b.pos >= a.pos", "b.pos - a.pos")}
+    WHERE a.pos BETWEEN 0 AND a.n_line - 1 GROUP BY 1, 2, 3))"""
+
+
+def _zero_phase_sql(sections, column: str, into: str | None = None, taps: int = 420) -> str:
+    return f"""{_filtered(sections, [column], taps=taps)}
+    SELECT rn, """ + r(f"z.{column}", into or column, 5) + " FROM z JOIN numbered n ON n.line = z.line AND n.pos = z.pos"
 
 
 _BAND, _LOW = butterworth(0.1, 0.9, 10.0), butterworth(0.0, 0.2, 10.0)
@@ -358,7 +418,7 @@ def _(spark, sf):
     return got.select("rn", *rounded(5, mag_1_uc=F.col("mag_1_uc")))
 
 
-@query("w17_low_passed_currents", "W17", sql=sql(_zero_phase_sql(_LOW, "cur_strb").replace("AS cur_strb FROM", "AS lpf_cur_strb FROM"), "numbered"))
+@query("w17_low_passed_currents", "W17", sql=sql(_zero_phase_sql(_LOW, "cur_strb", "lpf_cur_strb"), "numbered"))
 def _(spark, sf):
     got = filtering.low_pass_currents(numbered(spark, sf), ["cur_strb"], 10.0, ["rn"])
     return got.select("rn", *rounded(5, lpf_cur_strb=F.col("lpf_cur_strb")))
@@ -397,10 +457,17 @@ def coef_frame(spark, names, coef):
                                  "idx int, term string, value double")
 
 
-@query("m4_compensation_coefficients", "M4")
+_TERMS = comp.term_names()
+
+
+@query("m4_compensation_coefficients", "M4", sql=sql(
+    design_view() + _filtered(_BAND, [*_TERMS, "mag_1_uc"], "design") + ", fit AS (SELECT * FROM z WHERE pos >= 20 AND pos < n_line - 20)"
+    + least_squares("fit", _TERMS, "mag_1_uc", 0.025) + f""", {_wide(_TERMS)}
+    SELECT CAST(idx AS INTEGER) AS idx, term, {r('value', 'value', 4)} FROM coef UNION ALL
+    SELECT {len(_TERMS)}, 'residual_variance', {r(f'var_pop(mag_1_uc - ({_predicted(_TERMS)}))', 'value', 4)} FROM fit, b""", "numbered"))
 def _(spark, sf):
     coef, var = models.compensation_fit(src.samples(spark, sf), "mag_1_uc", ridge=0.025)
-    return coef_frame(spark, [*comp.term_names(), "residual_variance"], [*coef, var])
+    return coef_frame(spark, [*_TERMS, "residual_variance"], [*coef, var]).select("idx", "term", *rounded(4, value=F.col("value")))
 
 
 _FEATS = ["mag_2_uc", "alt", "cur_strb", "igrf"]

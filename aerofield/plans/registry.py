@@ -93,3 +93,31 @@ def sql(body: str, *views: str) -> str:
     wanted = [v for v in VIEWS if v in views or any(v in NEEDS.get(w, []) for w in views)]
     head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in wanted)
     return f"WITH {head}{body if body.lstrip().startswith(',') else chr(10) + body}"
+
+
+def least_squares(view: str, xs: list[str], y: str, ridge: float = 0.0) -> str:
+    """CTEs that follow ``view``: ``coef(term, value)``, the least-squares coefficients of a
+    full-rank design by successive orthogonalisation.  Step k takes column k out of all
+    later ones; the coefficients follow from the last backwards.  A ridge is a row per
+    column below the design."""
+    n = len(xs)
+    cols = [*[f"c{i}" for i in range(n)], "y"]
+    first = ", ".join(f"CAST({c} AS DOUBLE) AS {name}" for c, name in zip([*xs, y], cols))
+    out = [f"q0 AS MATERIALIZED (SELECT {first} FROM {view}"]
+    for i in range(n if ridge else 0):
+        out[0] += " UNION ALL SELECT " + ", ".join(f"{ridge ** 0.5!r}::DOUBLE" if j == i else "0.0::DOUBLE" for j in range(n + 1))
+    out[0] += ")"
+    for k in range(n):
+        later = cols[k + 1:]
+        out.append(f"p{k} AS MATERIALIZED (SELECT " + ", ".join(f"sum(c{k} * {c}) / sum(c{k} * c{k}) AS s{k}_{c}" for c in later) + f" FROM q{k})")
+        out.append(f"q{k + 1} AS MATERIALIZED (SELECT " + ", ".join(f"{c} - s{k}_{c} * c{k} AS {c}" for c in later) + f" FROM q{k}, p{k})")
+    steps = "all_steps AS (SELECT * FROM " + ", ".join(f"p{k}" for k in range(n)) + ")"
+    out.append(steps)
+    name = "all_steps"
+    for k in reversed(range(n)):
+        rest = "".join(f" - s{k}_c{j} * b{j}" for j in range(k + 1, n))
+        out.append(f"b_{k} AS (SELECT *, s{k}_y{rest} AS b{k} FROM {name})")
+        name = f"b_{k}"
+    terms = " UNION ALL ".join(f"SELECT {i} AS idx, '{x}' AS term, b{i} AS value FROM {name}" for i, x in enumerate(xs))
+    out.append(f"coef AS MATERIALIZED ({terms})")
+    return ", " + ", ".join(out) + " "

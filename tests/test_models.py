@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerofield.functions.filters import butterworth
-from aerofield.operators import filtering, models
+from aerofield.operators import filtering, leastsquares, models
 
 
 def _filtfilt(f, x):
@@ -86,6 +86,44 @@ def test_singular_design_uses_the_pseudo_inverse(line_frame):
     assert b[0] + 2 * b[1] == pytest.approx(5.0)
 
 
+def test_least_squares_of_an_offset_collinear_design(spark, line_frame):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 18)) * 10.0 ** rng.integers(-4, 3, 18)
+    x[:, 3] += 50_000.0
+    x[:, 11] = 3 * x[:, 3]  # two collinear columns
+    y = x @ rng.normal(size=18) + 50_000 + rng.normal(size=600)
+    names = [f"t{i}" for i in range(18)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        b, var, rank = leastsquares.fit(line_frame({1: dict(zip([*names, "y"], [*x.T, y]))}).repartition(5), names, ["y"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    e = y - x @ b[:, 0]
+    assert rank == 17 and var[0] == pytest.approx(e.var())
+    assert (np.abs(x.T @ e) <= 1e-9 * np.linalg.norm(x, axis=0) * np.linalg.norm(y)).all()
+    assert b[11, 0] == pytest.approx(3 * b[3, 0])  # the least norm shares it out so
+
+
+def test_least_squares_of_few_rows_targets_and_keys(line_frame):
+    df = line_frame({1: {"a": [1.0, 2.0], "b": [0.0, 1.0], "c": [0.0, 0.0], "y": [2.0, 5.0], "z": [1.0, 1.0]},
+                     2: {"a": [1.0, np.nan, 3.0], "b": [1.0, 1.0, 0.0], "c": [2.0, 1.0, 0.0], "y": [3.0, 9.0, 3.0], "z": [0.0] * 3}})
+    rows = {r["line"]: r for r in leastsquares.factors(df, ["a", "b", "c", "y", "z"], ("flight", "line")).collect()}
+    assert (rows[1]["n"], rows[2]["n"], rows[2]["left_out"]) == (2, 2, 1)
+    b, rank = leastsquares.solved(np.array(rows[1]["r"]).reshape(-1, 5), 2)
+    assert rank == 2 and np.allclose(b.T, [[2, 1, 0], [1, -1, 0]])
+    b, rank = leastsquares.solved(np.array(rows[2]["r"]).reshape(-1, 5), 2)
+    assert rank == 2 and np.allclose(b[:, 0], np.linalg.pinv(np.array([[1.0, 1, 2], [3, 0, 0]])) @ [3, 3])
+    b, _ = leastsquares.solved(np.array(rows[1]["r"]).reshape(-1, 5), 2, ridge=0.5)
+    x = np.array([[1.0, 0, 0], [2, 1, 0]])
+    assert np.allclose(b[:, 0], np.linalg.solve(x.T @ x + 0.5 * np.eye(3), x.T @ [2, 5]))
+    with pytest.warns(UserWarning):
+        leastsquares.fit(df, ["a"], ["y"])
+    none, var, rank = leastsquares.fit(df.limit(0), ["a"], ["y"])
+    assert rank == 0 and none.tolist() == [[0.0]] and var[0] == 0
+    b, _, rank = leastsquares.fit(line_frame({1: {"a": [0.0, 0.0], "y": [1.0, 2.0]}}), ["a"], ["y"])
+    assert rank == 0 and b[0, 0] == 0
+
+
 def test_detrending_values(line_frame):
     run = lambda y, kind, **k: [x["d"] for x in models.detrend(line_frame({1: y}), "y", kind, into="d", **k).orderBy("rn").collect()]
     assert run({"y": [3.0, 6.0, 8.0]}, "line") == pytest.approx([-1 / 6, 2 / 6, -1 / 6])
