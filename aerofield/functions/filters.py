@@ -1,9 +1,7 @@
-"""Butterworth filters in second-order sections, and their NumPy application
-to one block of samples."""
+"""Butterworth filters in second-order sections."""
 import cmath
 import math
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 
@@ -35,12 +33,6 @@ class Sections:
         """Lines of up to this many rows are left as they are."""
         return max(6 * len(self.rows), self.pad)
 
-    @cached_property
-    def impulse(self) -> np.ndarray:
-        x = np.zeros(self.reach)
-        x[0] = 1.0
-        return self.recurse(x)[0]
-
     def recurse(self, x: np.ndarray, state=None):
         """Sample-by-sample cascade; returns the output and the closing state."""
         out = [float(v) for v in x]
@@ -54,25 +46,6 @@ class Sections:
             closing.append((s1, s2))
         return np.array(out), closing
 
-    def convolve(self, x: np.ndarray) -> np.ndarray:
-        """Output from rest, by the impulse response."""
-        size = 1 << (len(x) + len(self.impulse) - 2).bit_length()
-        return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(self.impulse, size), size)[:len(x)]
-
-    def settled(self, x: np.ndarray) -> np.ndarray:
-        """Output as if the first value had lasted for ever before."""
-        return self.gain * x[0] + self.convolve(x - x[0])
-
-    def zero_phase(self, x: np.ndarray, starts: bool, ends: bool) -> np.ndarray:
-        """Forward and backward pass.  Real line ends get an odd extension; other
-        ends must carry ``reach`` neighbour rows, whose results are discarded."""
-        pad = self.pad
-        head = 2 * x[0] - x[pad:0:-1] if starts else x[:0]
-        tail = 2 * x[-1] - x[-2:-pad - 2:-1] if ends else x[:0]
-        y = self.settled(np.concatenate([head, x, tail]))
-        y = self.settled(y[::-1])[::-1]
-        return y[len(head):len(head) + len(x)]
-
 
 def butterworth(pass1: float = 0.1, pass2: float = 0.9, fs: float = 10.0, order: int = 4) -> Sections:
     """Band-pass between two frequencies; low-pass if only the second is inside

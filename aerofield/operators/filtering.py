@@ -1,15 +1,111 @@
-"""Recursive filters along lines, in blocks that overlap by the filter's memory.
+"""Recursive filters along lines, as a scan of affine maps over blocks.
 
-A line is cut into position blocks that carry as many neighbour rows as the
-filter remembers in double precision, so the blocks of one line filter in
-parallel and agree with filtering it whole.
+What a block of rows does to the filter's state is a fixed power of a small matrix and a
+vector.  Such maps compose, so each block is filtered from rest on its own, the states
+between blocks follow from a scan over one small row per block, and each row is corrected
+by its block's opening states.  No block carries rows of its neighbours, however long the
+filter remembers.
 """
+import functools
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from aerofield.functions.filters import Sections, butterworth
-from aerofield.operators.sequence import LINE, number_rows, with_group_stats, with_halo
+from aerofield.operators.sequence import LINE, block_rows, number_rows, with_group_stats
+from aerofield.session import materialized, small
+
+REALS = T.ArrayType(T.DoubleType())
+FAN = 4096  # blocks that one task scans
+
+
+class Kernel:
+    """A filter as s' = A s + B x, y = C s + D x, and its tables for up to ``m`` samples."""
+
+    def __init__(self, sections: Sections, m: int):
+        size = 2 * len(sections.rows)
+        unit = np.eye(size)
+        steps = [sections.recurse([0.0], unit[j].reshape(-1, 2).tolist()) for j in range(size)]
+        self.a = np.array([np.ravel(closing) for _, closing in steps]).T
+        self.c = np.array([y[0] for y, _ in steps])
+        y, closing = sections.recurse([1.0])
+        self.b, self.d, self.m = np.ravel(closing), float(y[0]), m
+        self.echo = self._powers(self.c[None, :], lambda rows, p: rows @ p)  # y after i samples, of an opening state
+        self.taps = self._powers(self.b[None, :], lambda rows, p: rows @ p.T)  # state i samples after an impulse
+        self.h = np.append(self.d, self.echo[:m - 1] @ self.b)
+        self.steady = np.linalg.solve(np.eye(size) - self.a, self.b)  # of the constant 1
+
+    def _powers(self, first: np.ndarray, on) -> np.ndarray:
+        out, power = first, self.a
+        while len(out) < self.m:
+            out, power = np.vstack([out, on(out, power)]), power @ power
+        return out[:self.m]
+
+    def rest(self, x: np.ndarray) -> np.ndarray:
+        """Output from rest, along the first axis."""
+        size = 1 << (2 * len(x) - 1).bit_length()
+        h = np.fft.rfft(self.h[:len(x)], size)
+        return np.fft.irfft(np.fft.rfft(x, size, axis=0) * (h if x.ndim == 1 else h[:, None]), size, axis=0)[:len(x)]
+
+    def closing(self, x: np.ndarray) -> np.ndarray:
+        """State after ``x``, from rest."""
+        return x[::-1] @ self.taps[:len(x)]
+
+
+@functools.lru_cache(maxsize=4)
+def kernel(sections: Sections, m: int) -> Kernel:
+    return Kernel(sections, m)
+
+
+@functools.lru_cache(maxsize=8)
+def there_and_back(sections: Sections, size: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a block of ``m`` rows: what an opening state of the forward pass adds to the
+    backward pass's output, and to its closing state."""
+    k = kernel(sections, size)
+    return k.rest(k.echo[:m][::-1])[::-1], (k.echo[:m].T @ k.taps[:m]).T
+
+
+@functools.lru_cache(maxsize=64)
+def power(sections: Sections, size: int, m: int) -> np.ndarray:
+    return np.linalg.matrix_power(kernel(sections, size).a, m)
+
+
+def scanned(blocks: DataFrame, keys: Sequence[str], sections: Sections, size: int, reverse: bool = False) -> DataFrame:
+    """``blocks`` (keys, _blk, _m, _add, _init) with ``_s``, the state before each block, or
+    after it if ``reverse``: a block takes a state s to A^m s + add; ``_init`` is the state
+    at the line's end where the pass begins.  States lie one after the other for each
+    column.  More than FAN blocks in a line are scanned in groups, and the groups likewise."""
+    keys, q = list(keys), 2 * len(sections.rows)
+    schema = T.StructType(blocks.schema.fields + [T.StructField("_s", REALS)])
+
+    def step(state: np.ndarray, m: int, add) -> np.ndarray:
+        return (state.reshape(-1, q) @ power(sections, size, m).T).reshape(-1) + np.asarray(add)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk", ascending=not reverse)
+        state, out = np.asarray(pdf["_init"].iloc[0], float), []
+        for m, add in zip(pdf["_m"], pdf["_add"]):
+            out.append(state.tolist())
+            state = step(state, m, add)
+        return pdf.assign(_s=out)
+
+    most = blocks.agg(F.max("_blk")).first()[0]
+    if most is None or most < FAN:
+        return blocks.groupBy(*keys).applyInPandas(run, schema)
+
+    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk", ascending=not reverse)
+        state = np.zeros(len(pdf["_init"].iloc[0]))
+        for m, add in zip(pdf["_m"], pdf["_add"]):
+            state = step(state, m, add)
+        return pd.DataFrame([(*key, int(pdf["_m"].sum()), state.tolist(), pdf["_init"].iloc[0])], columns=grouped.names)
+    grouped = T.StructType([blocks.schema[k] for k in keys] + [blocks.schema[c] for c in ("_blk", "_m", "_add", "_init")])
+    group = F.floor(F.col("_blk") / FAN)
+    upper = scanned(materialized(blocks.withColumn("_g", group).groupBy(*keys, "_g").applyInPandas(compose, grouped), "blocks"), keys, sections, size, reverse)
+    opened = blocks.drop("_init").withColumn("_g", group).join(upper.select(*keys, F.col("_blk").alias("_g"), F.col("_s").alias("_init")), [*keys, "_g"])
+    return opened.groupBy(*keys, "_g").applyInPandas(lambda pdf: run(pdf)[schema.names], schema)
 
 
 def _missing(column: str) -> Column:
@@ -17,39 +113,136 @@ def _missing(column: str) -> Column:
     return x.isNull() | F.isnan(x)
 
 
-def _schema(df: DataFrame, keep: list[str], columns: list[str]) -> T.StructType:
-    return T.StructType([df.schema[k] for k in keep]
-                        + [T.StructField(c, T.DoubleType()) for c in columns])
+def _by_block(rows: DataFrame, keep: list[str], columns: list[str], keys, sections: Sections, size: int, both: bool) -> DataFrame:
+    """Stored rows (``_blk``, ``_i`` in it, ``_m``) filtered from rest, forward or forward and
+    back.  A block's first row holds ``_state``: for each column the forward closing state
+    and, for both passes, the backward one and the last forward value."""
+    schema = T.StructType([rows.schema[k] for k in keep] + [T.StructField(c, T.DoubleType()) for c in columns] + [
+        T.StructField("_blk", T.LongType()), T.StructField("_i", T.IntegerType()), T.StructField("_m", T.IntegerType()),
+        T.StructField("_core", T.BooleanType()), T.StructField("_state", REALS)])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at", ignore_index=True)
+        m, k, state = len(pdf), kernel(sections, size), []
+        out = pdf[[*keep, "_blk", "_core"]].copy()
+        for c in columns:
+            x = np.nan_to_num(pdf[c].to_numpy(dtype=float))
+            y = k.rest(x)
+            state.append(k.closing(x))
+            if both:
+                state += [k.closing(y[::-1]), y[-1:]]
+                y = k.rest(y[::-1])[::-1]
+            out[c] = y
+        first = np.concatenate(state).tolist()
+        return out.assign(_i=np.arange(m), _m=m, _state=[first, *[None] * (m - 1)])[schema.names]
+    return materialized(rows.groupBy(*keys, "_blk").applyInPandas(run, schema), "filtered")
+
+
+def _states(held: DataFrame, keys, take) -> DataFrame:
+    """A row per block; ``take`` picks from its states (``_state``) a column's parts."""
+    return held.where("_state IS NOT NULL").select(*keys, "_blk", "_m", "_state", take.alias("_add"))
+
+
+def _slices(starts, width: int, column: str = "_state") -> Column:
+    return F.concat(*[F.slice(column, s + 1, width) for s in starts])
+
+
+def _corrected(held: DataFrame, states: DataFrame, keys, columns: list[str], sections: Sections, size: int, both: bool) -> DataFrame:
+    """Stored rows with what their block's opening states add.  One small row per block is
+    joined to the rows."""
+    q, n = 2 * len(sections.rows), len(columns)
+    joined = held.drop("_state").join(small(states), [*keys, "_blk"])
+    schema = T.StructType([f for f in joined.schema.fields if f.name not in ("_s", "_back")])
+
+    def run(batches):
+        k = kernel(sections, size)
+        for pdf in batches:
+            parts = []
+            for m, part in pdf.groupby("_m", sort=False):
+                at = part["_i"].to_numpy()
+                opened = np.array(part["_s"].tolist(), float).reshape(len(part), n, q)
+                weights = there_and_back(sections, size, int(m))[0][at] if both else k.echo[at]
+                add = np.einsum("rnq,rq->rn", opened, weights)
+                if both:
+                    back = np.array(part["_back"].tolist(), float).reshape(len(part), n, q)
+                    add += np.einsum("rnq,rq->rn", back, k.echo[m - 1 - at])
+                parts.append(part.assign(**{c: part[c] + add[:, j] for j, c in enumerate(columns)}))
+            if parts:
+                yield pd.concat(parts)[schema.names]
+    return joined.mapInPandas(run, schema)
+
+
+def _block_size(df: DataFrame, sections: Sections) -> int:
+    return max(block_rows(df.sparkSession), 2 * len(sections.rows))
 
 
 def zero_phase(df: DataFrame, columns: list[str], sections: Sections | None = None,
                keep: list[str] | None = None, keys=LINE, **design) -> DataFrame:
-    """Zero-phase filter of each column along each line.  Constant columns and
-    lines too short for the filter stay as they are.  Both passes remember every
-    sample, so a line with a missing value has no filtered values at all, however
-    it is cut into blocks.  Returns ``keep`` and the filtered columns."""
+    """Zero-phase filter of each column along each line, which is continued by an odd
+    extension at both ends.  Constant columns and lines too short for the filter stay as
+    they are.  Both passes remember every sample, so a line with a missing value has no
+    filtered values at all.  Returns ``keep`` and the filtered columns."""
     f = sections or butterworth(**design)
     rows = number_rows(df, keys)
     keep = [c for c in (keep or [c for c in rows.columns if c not in columns])]
     keep += [c for c in (*keys, "pos", "n_line") if c not in keep]
-    flags = {f"_flat{i}": F.min(c) == F.max(c) for i, c in enumerate(columns)}
-    flags |= {f"_gap{i}": F.max(_missing(c)) for i, c in enumerate(columns)}
-    slim = with_group_stats(rows.select(*keep, *[F.col(c).cast("double") for c in columns]), flags, keys)
-    spread, _ = with_halo(slim, f.reach, f.reach, keys)
-    shortest = f.shortest
+    pad, size, q, n = f.pad, _block_size(df, f), 2 * len(f.rows), len(columns)
+    pos, last = F.col("pos"), F.col("n_line") - 1
+    long = F.col("n_line") > f.shortest
+    slim = rows.select(*keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    stats = {}
+    for i in range(n):
+        x = F.col(f"_x{i}")
+        stats |= {f"_flat{i}": F.min(x) == F.max(x), f"_gap{i}": F.max(_missing(f"_x{i}")), f"_f{i}": F.max(F.when(pos == 0, x)),
+                  f"_l{i}": F.max(F.when(pos == last, x)), f"_e{i}": 2 * F.max(F.when(pos == 0, x)) - F.max(F.when(pos == pad, x))}
+    told = with_group_stats(slim, stats, keys)
+    none = F.array().cast("array<bigint>")
+    places = F.concat(F.array(pos), F.when(long & pos.between(1, pad), F.array(-pos)).otherwise(none),
+                      F.when(long & pos.between(last - pad, last - 1), F.array(2 * last - pos)).otherwise(none))
+    at = F.col("_at")
+    value = lambda i: (F.when(at < 0, 2 * F.col(f"_f{i}") - F.col(f"_x{i}")).when(at > last, 2 * F.col(f"_l{i}") - F.col(f"_x{i}"))
+                       .otherwise(F.col(f"_x{i}")) - F.col(f"_e{i}"))
+    marks = [f"_{m}{i}" for m in ("x", "flat", "gap", "e") for i in range(n)]
+    spread = told.withColumn("_at", F.explode(places)).select(
+        *keep, *marks, "_at", F.floor((at + F.lit(pad)) / size).alias("_blk"), (at == pos).alias("_core"), *[value(i).alias(f"_y{i}") for i in range(n)])
+    ys = [f"_y{i}" for i in range(n)]
+    held = _by_block(spread, [*keep, *marks], ys, keys, f, size, True)
+    width = 2 * q + 1
+    blocks = _states(held, keys, _slices([width * i for i in range(n)], q)).withColumn("_init", F.array_repeat(F.lit(0.0), q * n))
+    forward = materialized(scanned(blocks, keys, f, size), "forward")
+
+    @F.pandas_udf(T.StructType([T.StructField("add", REALS), T.StructField("last", REALS)]))
+    def turned(m: pd.Series, state: pd.Series, opened: pd.Series) -> pd.DataFrame:
+        """What the backward pass adds in each block, and its last forward values."""
+        out = []
+        for size_, s, o in zip(m, state, opened):
+            s, o = np.array(s, float).reshape(n, width), np.array(o, float).reshape(n, q)
+            out.append(((s[:, q:2 * q] + o @ there_and_back(f, size, int(size_))[1].T).reshape(-1).tolist(),
+                        (s[:, 2 * q] + o @ kernel(f, size).echo[size_ - 1]).tolist()))
+        return pd.DataFrame(out, columns=["add", "last"])
+
+    steady = kernel(f, size).steady.tolist()
+    turn = forward.withColumn("_t", turned("_m", "_state", "_s")).select(*keys, "_blk", "_m", "_s", F.col("_t.add").alias("_add"), F.col("_t.last").alias("_w"))
+    turn = materialized(turn, "turned")
+    ends = turn.groupBy(*keys).agg(F.max_by("_w", "_blk").alias("_w"))
+    start = F.flatten(F.transform("_w", lambda w: F.transform(F.array(*map(F.lit, steady)), lambda s: w * s)))
+    back = scanned(turn.drop("_w", "_s").join(ends.select(*keys, start.alias("_init")), list(keys)), keys, f, size, reverse=True)
+    states = turn.select(*keys, "_blk", "_s").join(back.select(*keys, "_blk", F.col("_s").alias("_back")), [*keys, "_blk"])
+    done = _corrected(held.where("_core"), states, keys, ys, f, size, True)
+    level = f.gain * f.gain
+    final = lambda i: (F.when(~long, F.col(f"_x{i}")).when(F.col(f"_gap{i}"), F.lit(float("nan"))).when(F.col(f"_flat{i}"), F.col(f"_x{i}"))
+                       .otherwise(F.col(f"_y{i}") + level * F.col(f"_e{i}")))
+    return done.select(*keep, *[final(i).alias(c) for i, c in enumerate(columns)])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        core = pdf["_core"].to_numpy()
-        out = pdf.loc[core, keep].copy()
-        n = int(pdf["n_line"].iloc[0])
-        starts, ends = pdf["pos"].iloc[0] == 0, pdf["pos"].iloc[-1] == n - 1
-        for i, c in enumerate(columns):
-            x = pdf[c].to_numpy(dtype=float)
-            plain, gap = n <= shortest or bool(pdf[f"_flat{i}"].iloc[0]), bool(pdf[f"_gap{i}"].iloc[0])
-            out[c] = (x if n <= shortest else x * np.nan if gap else x if plain else f.zero_phase(x, starts, ends))[core]
-        return out
-    return spread.groupBy(*keys, "_blk").applyInPandas(run, _schema(slim, keep, columns))
+
+def _forward(df: DataFrame, columns: list[str], sections: Sections, keep: list[str], state, keys):
+    """Stored rows filtered from rest, and a row per block with its opening state."""
+    size, n, q = _block_size(df, sections), len(columns), 2 * len(sections.rows)
+    rows = df.withColumns({"_at": F.col("pos"), "_blk": F.floor(F.col("pos") / size), "_core": F.lit(True)})
+    held = _by_block(rows, keep, columns, keys, sections, size, False)
+    opening = np.ravel(state).tolist() if state is not None else [0.0] * q
+    blocks = _states(held, keys, F.col("_state")).withColumn("_init", F.array(*map(F.lit, [float(v) for v in opening] * n)))
+    return held, scanned(blocks, keys, sections, size), size
 
 
 def causal(df: DataFrame, columns: list[str], sections: Sections, keep: list[str] | None = None,
@@ -59,42 +252,22 @@ def causal(df: DataFrame, columns: list[str], sections: Sections, keep: list[str
     rows = number_rows(df, keys)
     keep = [c for c in (keep or [c for c in rows.columns if c not in columns])]
     keep += [c for c in (*keys, "pos", "n_line") if c not in keep]
-    ends = {f"_end{i}": F.min(F.when(_missing(c), F.col("pos"))) for i, c in enumerate(columns)}
-    slim = with_group_stats(rows.select(*keep, *[F.col(c).cast("double") for c in columns]), ends, keys)
-    spread, _ = with_halo(slim, sections.reach, 0, keys)
-    ring = sections.recurse(np.zeros(sections.reach), state)[0] if state is not None else None
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        core = pdf["_core"].to_numpy()
-        out = pdf.loc[core, keep].copy()
-        pos = pdf["pos"].to_numpy()
-        for i, c in enumerate(columns):
-            y = sections.convolve(np.nan_to_num(pdf[c].to_numpy(dtype=float)))
-            end = pdf[f"_end{i}"].iloc[0]
-            if pd.notna(end):
-                y[pos >= end] = np.nan
-            if ring is not None:
-                early = pos < len(ring)
-                y[early] += ring[pos[early]]
-            out[c] = y[core]
-        return out
-    return spread.groupBy(*keys, "_blk").applyInPandas(run, _schema(slim, keep, columns))
+    stops = {f"_end{i}": F.min(F.when(_missing(c), F.col("pos"))) for i, c in enumerate(columns)}
+    slim = with_group_stats(rows.select(*keep, *[F.col(c).cast("double") for c in columns]), stops, keys)
+    held, blocks, size = _forward(slim, columns, sections, [*keep, *stops], state, keys)
+    done = _corrected(held, blocks.select(*keys, "_blk", "_s"), keys, columns, sections, size, False)
+    return done.select(*keep, *[F.when(F.col("pos") >= F.col(f"_end{i}"), F.lit(float("nan"))).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)])
 
 
 def closing_state(df: DataFrame, column: str, sections: Sections, keys=LINE) -> DataFrame:
-    """The filter's state after each line's last row, from the rows it remembers."""
-    rows = number_rows(df, keys)
-    tail = rows.filter(F.col("pos") >= F.col("n_line") - sections.reach).select(
-        *keys, "pos", F.col(column).cast("double").alias("_x"))
-    schema = T.StructType([rows.schema[k] for k in keys]
-                          + [T.StructField("state", T.ArrayType(T.DoubleType()))])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("pos")["_x"].to_numpy()
-        flat = [v for pair in sections.recurse(x)[1] for v in pair]
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "state": [flat]})
-    return tail.groupBy(*keys).applyInPandas(run, schema)
+    """The filter's state after each line's last row, from rest."""
+    rows = number_rows(df, keys).select(*keys, "pos", F.col(column).cast("double").alias("_x"))
+    _, blocks, size = _forward(rows, ["_x"], sections, list(keys), None, keys)
+
+    @F.pandas_udf(REALS)
+    def after(m: pd.Series, add: pd.Series, opened: pd.Series) -> pd.Series:
+        return pd.Series([(power(sections, size, int(n)) @ np.array(s) + np.array(c)).tolist() for n, c, s in zip(m, add, opened)])
+    return blocks.withColumn("state", after("_m", "_add", "_s")).groupBy(*keys).agg(F.max_by("state", "_blk").alias("state"))
 
 
 def low_pass_currents(df: DataFrame, sensors: list[str], fs: float, keep: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from aerofield.functions import attitude, compensation as comp
 from aerofield.functions.filters import butterworth
 from aerofield.operators import differences, filtering, leastsquares, models, segments, select, stats
+from aerofield.operators.sequence import BLOCK_CONF
 from aerofield.plans.queries_lines import numbered
 from aerofield.plans.registry import least_squares, query, r, rounded, sql
 from aerofield.sources import adapters as src
@@ -424,6 +425,24 @@ def _(spark, sf):
     return got.select("rn", *rounded(5, lpf_cur_strb=F.col("lpf_cur_strb")))
 
 
+_SLOW = butterworth(0.01, 0.0, 160.0)  # remembers far more rows than a flight has
+
+
+@query("w17_long_memory", "W17", sql=sql(""", whole AS (SELECT * EXCLUDE (line, pos, n_line), flight AS line,
+    row_number() OVER (PARTITION BY flight ORDER BY rn) - 1 AS pos, count(*) OVER (PARTITION BY flight) AS n_line FROM numbered)"""
+    + _filtered(_SLOW, ["mag_1_uc"], "whole", 2600) + f" SELECT rn, {r('z.mag_1_uc', 'mag_1_uc', 2)} FROM z JOIN whole n ON n.line = z.line AND n.pos = z.pos", "numbered"))
+def _(spark, sf):
+    """Whole flights in blocks of 512 rows."""
+    held = spark.conf.get(BLOCK_CONF, None)
+    spark.conf.set(BLOCK_CONF, "512")
+    try:
+        rows = src.samples(spark, sf).select("flight", "rn", "mag_1_uc")
+        got = filtering.zero_phase(rows, ["mag_1_uc"], _SLOW, ["rn"], ("flight",))
+    finally:
+        spark.conf.unset(BLOCK_CONF) if held is None else spark.conf.set(BLOCK_CONF, held)
+    return got.select("rn", *rounded(2, mag_1_uc=F.col("mag_1_uc")))
+
+
 @query("w18_causal_filter", "W18", sql=sql(f""", taps(j, h) AS (VALUES {_taps(butterworth(0.0, 0.9, 10.0), 320)})
     SELECT a.rn, {r('sum(h * b.mag_1_uc)', 'mag_1_uc', 5)} FROM numbered a JOIN numbered b ON a.line = b.line AND b.pos <= a.pos
     JOIN taps ON j = a.pos - b.pos GROUP BY a.rn""", "numbered"))

@@ -12,7 +12,8 @@ def _filtfilt(f, x):
     """Odd extension, then sample-by-sample passes from the settled state."""
     pad = f.pad
     e = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2:-pad - 2:-1]])
-    settle = lambda v: f.recurse(np.concatenate([np.full(20000, v[0]), v]))[0][20000:]
+    still = 3 * f.reach // 2  # rows until a constant has settled
+    settle = lambda v: f.recurse(np.concatenate([np.full(still, v[0]), v]))[0][still:]
     return settle(settle(e)[::-1])[::-1][pad:-pad]
 
 
@@ -30,7 +31,7 @@ def test_blocks_of_a_long_line_agree_with_the_whole(line_frame, tiny_blocks):
     f = butterworth(1.0, 4.0, 10.0, 2)  # short memory, so many blocks
     x = np.random.default_rng(1).normal(size=900) + 300
     got = filtering.zero_phase(line_frame({1: {"x": x}}), ["x"], f).toPandas().sort_values("rn")
-    assert 900 > 4 * f.reach and np.allclose(got["x"], f.zero_phase(x, True, True), atol=1e-9)
+    assert 900 > 4 * f.reach and np.allclose(got["x"], _filtfilt(f, x), atol=1e-9)
     state = [(0.5, -0.2), (0.1, 0.3)]
     ran = filtering.causal(line_frame({1: {"x": x}}), ["x"], f, state=state).toPandas().sort_values("rn")
     want, closing = f.recurse(x, state)
@@ -39,6 +40,23 @@ def test_blocks_of_a_long_line_agree_with_the_whole(line_frame, tiny_blocks):
     assert np.allclose(end, np.array(f.recurse(x)[1]).ravel(), atol=1e-9)
 
 
+@pytest.mark.parametrize("fan", [3, 4096])
+def test_a_memory_longer_than_many_blocks(spark, line_frame, tiny_blocks, monkeypatch, fan):
+    """An edge of 0.05 Hz at 160 Hz: an impulse lasts far beyond the line of 60 blocks."""
+    monkeypatch.setattr(filtering, "FAN", fan)
+    f = butterworth(0.05, 5.0, 160.0)
+    assert f.reach > 20_000
+    x = np.random.default_rng(4).normal(size=950).cumsum() + 50_000
+    got = filtering.zero_phase(line_frame({1: {"x": x, "z": x[::-1] + 7}, 2: {"x": x[:40], "z": x[:40]}}), ["x", "z"], f).toPandas().sort_values("rn")
+    for c, v in (("x", x), ("z", x[::-1] + 7)):
+        assert np.allclose(got.loc[got["line"] == 1, c], _filtfilt(f, v), atol=1e-4)
+    ran = filtering.causal(line_frame({1: {"x": x}}), ["x"], f).toPandas().sort_values("rn")
+    want, closing = f.recurse(x)
+    assert np.allclose(ran["x"], want, atol=1e-6)
+    end = filtering.closing_state(line_frame({1: {"x": x}}), "x", f).first()["state"]
+    assert np.allclose(end, np.ravel(closing), rtol=1e-7, atol=1e-5)
+
+
 def test_gain_of_a_sine(line_frame):
     t = np.arange(2000) / 10
     keep, drop = np.sin(2 * np.pi * 0.4 * t), np.sin(2 * np.pi * 3.0 * t)
