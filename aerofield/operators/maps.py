@@ -6,6 +6,8 @@ is a null, NaN or zero value.  Lookups are equi-joins on cell indices.
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aerofield.functions.geodesy import lat_to_north
@@ -222,9 +224,10 @@ def _cell_join(placed: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def lookup(points: DataFrame, cells: DataFrame, values=("val",), into=("map_val",), levels: bool = False,
-           regular: bool = True, outside: float | None = None) -> DataFrame:
+           regular: bool = True, outside: float | None = None, gapped=("val",)) -> DataFrame:
     """Interpolated map values at points (``map_id, x, y[, z]``): linear inside the
-    grid square (or cube), null outside the map or next to a gap."""
+    grid square (or cube), null outside the map, and for the values ``gapped`` also where a
+    corner of the square is a gap (null, NaN or 0)."""
     placed = _indices(points, cells, regular, levels)
     if not levels:
         placed = placed.withColumn("_iz", F.col("iz") if "iz" in points.columns else F.lit(0).cast("long"))
@@ -237,12 +240,15 @@ def lookup(points: DataFrame, cells: DataFrame, values=("val",), into=("map_val"
     blend = lambda a, b, t: a * (F.lit(1.0) - t) + b * t
     out = {}
     for v, name in zip(values, into):
+        corner = [F.col(c) for c in _corner_names(v, levels)]
         plane = lambda z: blend(blend(F.col(f"{v}_{z}00"), F.col(f"{v}_{z}01"), tx),
                                 blend(F.col(f"{v}_{z}10"), F.col(f"{v}_{z}11"), tx), ty)
         value = plane(0)
         if levels:
             tz = (F.col("z") - F.col("_z0")) / (F.col("_z1") - F.col("_z0"))
             value = blend(value, plane(1), tz)
+        if v in gapped:
+            value = F.when(~reduce(lambda a, b: a | b, map(is_gap, corner)), value)
         if outside is not None:
             value = F.when(F.col("_off"), F.lit(outside)).otherwise(value)
         out[name] = value
@@ -351,12 +357,13 @@ def predicted_field(points: DataFrame, cells: DataFrame, measured: str = "measur
 
 def core_field_change(cells: DataFrame, field: DataFrame, sub_date=None, add_date=None) -> DataFrame:
     """Valid cells less the core field at one date, plus that at another, from a
-    table of the field per cell and date (``f``)."""
+    table of the field per cell and date (``f``).  A valid cell without a field row at
+    either date has no corrected value: null."""
     out = cells.withColumn("_v", F.col("val"))
     for date, sign in ((sub_date, -1.0), (add_date, 1.0)):
         if date is not None:
             at = field.filter(F.col("date") == date).select(*CELL, (F.col("f") * sign).alias("_f"))
-            out = out.join(at, CELL, "left").withColumn("_v", F.col("_v") + F.coalesce("_f", F.lit(0.0))).drop("_f")
+            out = out.join(at, CELL, "left").withColumn("_v", F.col("_v") + F.col("_f")).drop("_f")
     return out.withColumn("val", F.when(is_gap(F.col("val")), F.col("val")).otherwise(F.col("_v"))).drop("_v")
 
 
@@ -407,20 +414,59 @@ def combine(cells: DataFrame, first: str, second: str, method: str = "average_ov
                     (F.col("_va") | F.col("_vb") | F.coalesce("a_mask", F.lit(False))).alias("mask"))
 
 
+def edge_distances(grid: DataFrame, marked: dict[str, Column]) -> DataFrame:
+    """Cells of a full grid with, for each name, the distance in cells to the nearest cell of
+    its level that is marked (null if there is none): an exact distance transform.
+
+    In each grid column the nearest marked cell is the last or next one; in each grid row
+    the squares of those distances are parabolas, whose lower envelope is the squared
+    distance.  Both passes are linear in the cells and see one column or row at a time."""
+    column = Window.partitionBy("map_id", "iz", "ix").orderBy("iy")
+    before, after = (column.rowsBetween(*r) for r in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
+    y = F.col("iy")
+    here = {name: F.when(mark, y) for name, mark in marked.items()}
+    near = grid.select(*CELL, *[F.least(y - F.last(m, True).over(before), F.first(m, True).over(after) - y).cast("double").alias(name)
+                                for name, m in here.items()])
+    names = list(marked)
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ix", ignore_index=True)
+        at = pdf["ix"].to_numpy(dtype=float)
+        return pdf.assign(**{n: np.sqrt(lower_envelope(at, pdf[n].to_numpy() ** 2)) for n in names})
+    return near.groupBy("map_id", "iz", "iy").applyInPandas(rows, near.schema)
+
+
+def lower_envelope(at: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """The least of the parabolas (x - at)^2 + height at every place in ``at`` (ascending);
+    a NaN height is no parabola, without any all are NaN."""
+    own = np.flatnonzero(~np.isnan(height))
+    if not len(own):
+        return np.full(len(at), np.nan)
+    lift = (height + at * at).tolist()
+    x, low, begin = at.tolist(), [], []  # parabolas of the envelope, and where each begins
+    for i in own.tolist():
+        start = -np.inf
+        while low:
+            start = (lift[i] - lift[low[-1]]) / (2 * (x[i] - x[low[-1]]))
+            if start > begin[-1]:
+                break
+            low.pop(), begin.pop()
+            start = -np.inf
+        low.append(i), begin.append(start)
+    best = np.array(low)[np.searchsorted(begin, at, side="right") - 1]
+    return (at - at[best]) ** 2 + height[best]
+
+
 def _with_edge_weights(j: DataFrame) -> DataFrame:
     """Distance (in cells) of each overlap cell to the nearest cell where a map is
     invalid, over the largest such distance in the overlap."""
     grid = full_grid(j.select(F.lit("_").alias("map_id"), "iz", "iy", "ix", "xx", "yy",
                               F.lit(0.0).alias("alt"), "_va", "_vb")).fillna(False, ["_va", "_vb"])
-    grid = materialized(grid.withColumns({"xx": F.col("ix").cast("double"), "yy": F.col("iy").cast("double")}), "overlap")
-    overlap = grid.filter("_va AND _vb").select(*CELL)
-    out = j
-    for flag, name in (("_va", "_wa"), ("_vb", "_wb")):
-        near = nearest_cells(overlap, grid.filter(~F.col(flag)).withColumn("val", F.lit(0.0)), grid, 1)
-        dist = near.select("iz", "iy", "ix", F.sqrt("d2").alias("_d"))
-        top = dist.agg(F.max("_d")).first()[0]
-        out = out.join(dist.withColumn(name, F.col("_d") / F.lit(top or 1.0)).drop("_d"), ["iz", "iy", "ix"], "left")
-    return out
+    far = edge_distances(grid, {"_wa": ~F.col("_va"), "_wb": ~F.col("_vb")}).drop("map_id")
+    out = materialized(j.join(far, ["iz", "iy", "ix"], "left"), "overlap")
+    both = F.col("_va") & F.col("_vb")
+    top = out.where(both).agg(F.max("_wa"), F.max("_wb")).first()
+    return out.withColumns({w: F.when(both, F.col(w) / (t or 1.0)) for w, t in zip(("_wa", "_wb"), top)})
 
 
 def combine_many(cells: DataFrame, order: DataFrame, aligned: bool = False, name: str = "combined") -> DataFrame:

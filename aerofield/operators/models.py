@@ -6,6 +6,7 @@ solve on a matrix whose size depends only on the number of features: triangular
 """
 import json
 import math
+import warnings
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -76,6 +77,20 @@ def unpack_gram(packed, size: int) -> tuple[np.ndarray, np.ndarray]:
     return packed[:size], full + np.triu(full, 1).T
 
 
+def products(df: DataFrame, columns: list[str], least: int = 1) -> tuple[int, np.ndarray, np.ndarray]:
+    """Complete rows, column sums and products of all rows.  Fewer than ``least`` complete
+    rows are an error, rows left out are told."""
+    row = gram(df, columns).first()
+    n, lost = (row["n"], row["left_out"]) if row else (0, 0)
+    if n < least:
+        raise ValueError(f"{n} complete rows, but a fit needs {least}")
+    if lost:
+        warnings.warn(f"{lost} of {n + lost} rows have missing values and are left out", stacklevel=3)
+    if not n:
+        return 0, np.zeros(len(columns)), np.zeros((len(columns), len(columns)))
+    return n, *unpack_gram(row["gram"], len(columns))
+
+
 def solve(g: np.ndarray, c: np.ndarray, ridge: float = 0.0) -> np.ndarray:
     """(G + ridge I) b = c, by pseudo-inverse if singular."""
     g = g + ridge * np.eye(len(g))
@@ -214,7 +229,7 @@ def pls_fit(df: DataFrame, xs: list[str], y: str, k: int, exempt=(), every_k: bo
     """PLS model on standardized data, or the coefficients for every number of
     components."""
     scaled, names, norm, norm_y = normalized_columns(df, xs, y, "standardize", "standardize", exempt)
-    _, g = unpack_gram(gram(scaled, [*names, "_ny"]).first()["gram"], len(xs) + 1)
+    _, _, g = products(scaled, [*names, "_ny"])
     sets = pls_coefficients(g[:-1, :-1], g[:-1, -1], k)
     if every_k:
         return sets
@@ -245,9 +260,8 @@ def elastic_net_fit(df: DataFrame, xs: list[str], y: str, strength: float = 1.0,
                     l1_ratio: float = 0.5, exempt=()) -> LinearModel:
     """Elastic net without intercept on standardized data."""
     scaled, names, norm, norm_y = normalized_columns(df, xs, y, "standardize", "standardize", exempt)
-    row = gram(scaled, [*names, "_ny"]).first()
-    _, g = unpack_gram(row["gram"], len(xs) + 1)
-    b = descend(g[:-1, :-1], g[:-1, -1], row["n"], strength, l1_ratio)
+    n, _, g = products(scaled, [*names, "_ny"])
+    b = descend(g[:-1, :-1], g[:-1, -1], n, strength, l1_ratio)
     return LinearModel(list(xs), [float(v) for v in b], norm, norm_y, 0.0,
                        "elasticnet", {"strength": strength, "l1_ratio": l1_ratio})
 
@@ -264,7 +278,12 @@ def elastic_net_cv(df: DataFrame, xs: list[str], y: str, l1_ratio: float = 0.5,
     placed = number_rows(scaled.select("rn", *names, "_ny"), (), "rn", "_at", "_of").withColumn(
         "_fold", F.least(F.floor(F.col("_at") * folds / F.col("_of")), F.lit(folds - 1)).cast("int"))
     size = len(xs) + 1
-    parts = [(r["n"], *unpack_gram(r["gram"], size)) for r in gram(placed, [*names, "_ny"], ["_fold"]).collect()]
+    rows = gram(placed, [*names, "_ny"], ["_fold"]).collect()
+    parts = [(r["n"], *unpack_gram(r["gram"], size)) for r in rows if r["n"]]
+    if len(parts) < 2:
+        raise ValueError(f"{len(parts)} folds have complete rows, but a validation needs two")
+    if any(r["left_out"] for r in rows):
+        warnings.warn(f"{sum(r['left_out'] for r in rows)} rows have missing values and are left out", stacklevel=2)
     whole = tuple(sum(p[i] for p in parts) for i in range(3))
 
     def centred(n, sums, g):
@@ -294,11 +313,10 @@ def whitening(df: DataFrame, xs: list[str], k: int, exempt=()) -> tuple[np.ndarr
     largest element positive."""
     norm = stats.normalization(df, xs, "standardize", exempt)
     scaled = df.select(*[((F.col(c) - norm[c][0]) / norm[c][1]).alias(f"_n{i}") for i, c in enumerate(xs)])
-    row = gram(scaled, scaled.columns).first()
-    sums, g = unpack_gram(row["gram"], len(xs))
-    if row["n"] < 2:
+    n, sums, g = products(scaled, scaled.columns, 0)
+    if n < 2:
         return np.eye(len(xs)), norm
-    cov = (g - np.outer(sums, sums) / row["n"]) / (row["n"] - 1)
+    cov = (g - np.outer(sums, sums) / n) / (n - 1)
     values, axes = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][:k]
     axes = axes[:, order]
@@ -500,14 +518,15 @@ def compensate_all(flight: DataFrame, calibration: DataFrame, mags: list[str], v
 
 
 def save_model(spark: SparkSession, model: LinearModel, model_id: str, path: str) -> None:
-    """Coefficient rows and one JSON configuration row per model."""
+    """Coefficient rows and one JSON configuration row per model.  A model saved before
+    under the same id is replaced, others stay."""
     rows = [(model_id, n, i, float(v), float(model.x_norm[n][0]), float(model.x_norm[n][1]))
             for i, (n, v) in enumerate(zip(model.names, model.coef))]
-    spark.createDataFrame(rows, "model_id string, term string, idx int, value double, bias double, scale double"
-                          ).write.mode("append").partitionBy("model_id").parquet(f"{path}/coef")
     rest = {k: v for k, v in asdict(model).items() if k not in ("names", "coef", "x_norm")}
-    spark.createDataFrame([(model_id, json.dumps(rest))], "model_id string, config string"
-                          ).write.mode("append").partitionBy("model_id").parquet(f"{path}/config")
+    for part, data, schema in (("coef", rows, "model_id string, term string, idx int, value double, bias double, scale double"),
+                               ("config", [(model_id, json.dumps(rest))], "model_id string, config string")):
+        (spark.createDataFrame(data, schema).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("model_id").parquet(f"{path}/{part}"))
 
 
 def load_model(spark: SparkSession, model_id: str, path: str) -> LinearModel:

@@ -7,8 +7,11 @@ halo of its neighbours' rows.  A block never holds more than ``block + halo``
 rows whatever the line length.
 """
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from aerofield.session import materialized, small
 
@@ -144,35 +147,53 @@ def with_group_stats(df: DataFrame, stats: dict[str, Column],
     return df.join(small(agg), list(keys))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, into: str = "median",
-                 bins: int = 1024) -> DataFrame:
-    """Exact median per key without gathering a key's values in one task.
-
-    Equal values are counted first; a histogram of the distinct values finds the
-    bins holding the middle ranks, and only those bins are ranked.
-    """
-    v = F.col("_mv")
-    counted = (df.filter(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).cast("double").alias("_mv"))
-               .agg(F.count(F.lit(1)).alias("_mc")))
-    span = counted.groupBy(*keys).agg(F.min("_mv").alias("_mlo"), F.max("_mv").alias("_mhi"),
-                                      F.sum("_mc").alias("_mn"))
-    width = F.col("_mhi") - F.col("_mlo")
-    binned = counted.join(small(span), list(keys)).withColumn(
-        "_mbin", F.when(width > 0, F.least(F.floor((v - F.col("_mlo")) / width * bins),
-                                          F.lit(bins - 1))).otherwise(F.lit(0)))
-    per_bin = binned.groupBy(*keys, "_mbin").agg(F.sum("_mc").alias("_mbc"), F.max("_mn").alias("_mn"))
-    run = Window.partitionBy(*keys).orderBy("_mbin")
-    lower, upper = F.floor((F.col("_mn") + 1) / 2), F.floor((F.col("_mn") + 2) / 2)
-    chosen = (per_bin.withColumn("_mend", F.sum("_mbc").over(run))
-              .withColumn("_mbase", F.col("_mend") - F.col("_mbc"))
-              .filter((F.col("_mbase") < upper) & (F.col("_mend") >= lower))
-              .select(*keys, "_mbin", "_mbase"))
-    ranked = (binned.join(chosen, [*keys, "_mbin"])
-              .withColumn("_mlast", F.col("_mbase") + F.sum("_mc").over(
-                  Window.partitionBy(*keys, "_mbin").orderBy("_mv")))
-              .withColumn("_mfirst", F.col("_mlast") - F.col("_mc")))
-    hits = ranked.filter((F.col("_mfirst") < upper) & (F.col("_mlast") >= lower))
-    low = F.min(F.when((F.col("_mfirst") < lower) & (F.col("_mlast") >= lower), v))
-    high = F.max(F.when((F.col("_mfirst") < upper) & (F.col("_mlast") >= upper), v))
-    return hits.groupBy(*keys).agg(((low + high) / 2).alias(into))
+@F.pandas_udf(T.LongType())
+def _ordered(v: pd.Series) -> pd.Series:
+    """64-bit integers in the order of the doubles; NaN comes last, both zeros are one."""
+    bits = (v.to_numpy(dtype=float) + 0.0).view(np.int64)
+    return pd.Series(bits ^ ((bits >> 63) & np.int64(2 ** 63 - 1)))
+
+
+@F.pandas_udf(T.DoubleType())
+def _double(v: pd.Series) -> pd.Series:
+    bits = v.to_numpy(dtype=np.int64)
+    return pd.Series((bits ^ ((bits >> 63) & np.int64(2 ** 63 - 1))).view(np.float64))
+
+
+DIGIT = 16  # bits that a round of the selection settles
+
+
+def exact_ranked(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """The exact values at some ranks (1-based, from the count ``_of_key``) of each key's
+    non-null values.
+
+    A radix selection: each round counts 16 more bits of the values whose upper bits are
+    still open, and keeps those in which a rank lies.  Counts combine before their shuffle
+    and have at most 65,536 rows per key and open prefix, however the values lie."""
+    keys = list(keys)
+    rows = materialized(df.filter(F.col(value).isNotNull()).select(*keys, _ordered(F.col(value).cast("double")).alias("_k")), "ordered")
+    wants = F.explode(F.array(*[F.struct(F.lit(i).alias("w"), r.cast("long").alias("r")) for i, r in enumerate(ranks.values())]))
+    state = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of_key")).select(*keys, wants.alias("_w")).select(
+        *keys, "_w.w", F.col("_w.r").alias("_rank"), F.lit(0).cast("long").alias("_prefix"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys] + [a["_prefix"] == b["_prefix"]])
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        upper = F.shiftright("_k", shift + DIGIT) if shift + DIGIT < 64 else F.lit(0).cast("long")
+        state = materialized(state, "ranks")
+        seen = rows.select(*keys, upper.alias("_prefix"), F.shiftright("_k", shift).alias("_next"))
+        if shift + DIGIT < 64:
+            opened = small(state.select(*keys, "_prefix").distinct())
+            seen = seen.join(opened, same(seen, opened), "left_semi")
+        bins = seen.groupBy(*keys, "_prefix", "_next").agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*keys, "_prefix").orderBy("_next"))
+        bins = bins.withColumn("_upto", upto)
+        found = state.join(bins, same(state, bins)).where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c")))
+        state = found.select(*[state[k] for k in keys], "w", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"), F.col("_next").alias("_prefix"))
+    return state.groupBy(*keys).agg(*[F.max(F.when(F.col("w") == i, F.col("_prefix"))).alias(f"_{i}") for i in range(len(ranks))]).select(
+        *keys, *[_double(f"_{i}").alias(name) for i, name in enumerate(ranks)])
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, into: str = "median") -> DataFrame:
+    """Exact median per key without gathering a key's values in one task."""
+    n = F.col("_of_key")
+    got = exact_ranked(df, keys, value, {"_low": F.floor((n + 1) / 2), "_high": F.floor((n + 2) / 2)})
+    return got.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(into))

@@ -58,6 +58,17 @@ def _(spark, sf):
     return meta.select("flight", "n", *rounded(dt=F.col("dt")))
 
 
+@query("s6_outlier_quantiles", "S6", sql=sql(f"""SELECT flight, {r('median(v)', 'mid')}, {r('quantile_disc(v, 0.9)', 'top')}
+    FROM (SELECT flight, CASE WHEN rn % 2500 = 7 THEN 1e12 ELSE mag_1_uc END AS v FROM samples) GROUP BY 1""", "samples"))
+def _(spark, sf):
+    """Exact quantiles beside one value that is far from all others in each flight."""
+    df = src.samples(spark, sf).withColumn("v", F.when(F.col("rn") % 2500 == 7, 1e12).otherwise(F.col("mag_1_uc")))
+    n = F.col("_of_key")
+    top = sequence.exact_ranked(df, ["flight"], "v", {"top": F.ceil(n * 9 / 10)})
+    return sequence.exact_median(df, ["flight"], "v", "mid").join(top, "flight").select(
+        "flight", *rounded(mid=F.col("mid"), top=F.col("top")))
+
+
 @query("s8_data_set_names", "S8", sql=sql(
     "SELECT DISTINCT 'survey_Flt' || flight || '_L' || CAST(line AS VARCHAR) || '.parquet' AS name FROM samples",
     "samples"))

@@ -2,7 +2,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from aerofield.operators.sequence import blockwise, exact_median, number_rows, range_ranked
+from aerofield.operators.sequence import blockwise, exact_median, number_rows, range_ranked, unnumbered
 from aerofield.session import materialized, small
 
 
@@ -47,7 +47,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", schema=
 
 def decimate(df: DataFrame) -> DataFrame:
     """Keep the 10 Hz samples of faster recordings: time a multiple of 0.1 s."""
-    return df.filter(_modulo(F.col("tt") + 1e-6, 0.1) < 1e-3)
+    return unnumbered(df.filter(_modulo(F.col("tt") + 1e-6, 0.1) < 1e-3))
 
 
 def _modulo(x: Column, step: float) -> Column:
@@ -62,7 +62,7 @@ def filter_ranges(df: DataFrame, ranges: DataFrame, kind: str = "exclude") -> Da
         return df
     dim = small(ranges.select(F.col("line").alias("_line"), "t0", "t1"))
     inside = (F.col("line") == F.col("_line")) & F.col("tt").between(F.col("t0"), F.col("t1"))
-    return df.join(dim, inside, "left_anti" if kind == "exclude" else "left_semi")
+    return unnumbered(df.join(dim, inside, "left_anti" if kind == "exclude" else "left_semi"))
 
 
 def sort_by_time(df: DataFrame) -> DataFrame:

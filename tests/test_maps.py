@@ -185,3 +185,38 @@ def test_continuation_keeps_the_levels_of_a_deep_map(spark):
     assert all(abs(r["val"] - want[r["iy"], r["ix"]]) < 1e-9 for r in got if r["iz"] == 3)
     same = mapspectra.continued(cells.filter("iz = 0"), [100.0], alpha=5.0).collect()
     assert all(abs(r["val"] - old[0, r["iy"], r["ix"]]) < 1e-9 for r in same)
+
+
+def test_edge_distances_are_exact(spark):
+    rng = np.random.default_rng(8)
+    for share in (0.3, 0.02, 0.0):
+        marked = rng.random((17, 23)) < share
+        if share == 0.02:
+            marked[:] = False
+            marked[16, 22] = True  # one far cell
+        rows = [("m", 0, y, x, float(marked[y, x])) for y in range(17) for x in range(23)]
+        grid = spark.createDataFrame(rows, "map_id string, iz long, iy long, ix long, v double")
+        got = maps.edge_distances(grid, {"d": F.col("v") == 1.0, "none": F.lit(False)}).toPandas()
+        assert len(got) == 17 * 23 and got["none"].isna().all()
+        spots = np.argwhere(marked)
+        for _, r in got.iterrows():
+            if len(spots):
+                assert r["d"] == pytest.approx(np.hypot(*(spots - [r["iy"], r["ix"]]).T).min())
+            else:
+                assert np.isnan(r["d"])
+
+
+def test_lookup_beside_a_gap_is_null(spark):
+    for gap in (0.0, None, float("nan")):
+        cells = spark.createDataFrame([("m", 0, y, x, float(x), float(y), 100.0, gap if (y, x) == (1, 1) else 5.0 + x) for y in range(3) for x in range(4)],
+                                      "map_id string, iz long, iy long, ix long, xx double, yy double, alt double, val double")
+        points = spark.createDataFrame([("m", 0.5, 0.5), ("m", 2.5, 0.5)], "map_id string, x double, y double")
+        got = {r["x"]: r["map_val"] for r in maps.lookup(points, cells).collect()}
+        assert got[0.5] is None and got[2.5] == pytest.approx(7.5)
+
+
+def test_core_field_needs_a_row_for_every_valid_cell(spark):
+    cells = spark.createDataFrame([("m", 0, 0, 0, 10.0), ("m", 0, 0, 1, 20.0), ("m", 0, 0, 2, 0.0)], "map_id string, iz long, iy long, ix long, val double")
+    field = spark.createDataFrame([("m", 0, 0, 0, 1, 1.0)], "map_id string, iz long, iy long, ix long, date int, f double")
+    got = {r["ix"]: r["val"] for r in maps.core_field_change(cells, field, 1).collect()}
+    assert got == {0: 9.0, 1: None, 2: 0.0}

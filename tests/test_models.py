@@ -237,6 +237,23 @@ def test_saved_models(spark, planted, tmp_path):
     assert models.load_model(spark, "one", str(tmp_path)) == model
 
 
+def test_a_model_saved_twice_is_replaced(spark, planted, tmp_path):
+    df, _ = planted
+    one, two = models.linear_fit(df, ["a", "b"], "y"), models.linear_fit(df, ["c"], "y")
+    for model, name in ((one, "x"), (two, "y"), (two, "x")):
+        models.save_model(spark, model, name, str(tmp_path))
+    assert models.load_model(spark, "x", str(tmp_path)) == two == models.load_model(spark, "y", str(tmp_path))
+
+
+def test_fits_without_complete_rows_are_errors(planted):
+    df, _ = planted
+    none = df.withColumn("y", F.lit(None).cast("double"))
+    for rows in (df.limit(0), none):
+        for fit in (lambda d: models.pls_fit(d, ["a"], "y", 1), lambda d: models.elastic_net_fit(d, ["a"], "y"), lambda d: models.elastic_net_cv(d, ["a"], "y")):
+            with pytest.raises(ValueError):
+                fit(rows)
+
+
 def test_compensation_kinds(spark, planted):
     df, _ = planted
     rng = np.random.default_rng(3)

@@ -52,7 +52,7 @@ def test_running_sum(spark, tiny_blocks, skewed):
 
 
 @pytest.mark.parametrize("values", [[1.0], [1.0, 4.0], [5.0] * 9, [3.0, 1.0, 2.0], list(np.random.default_rng(0).normal(size=101)),
-                                    [1e9, 0.0, 0.0, 1.0]])
+                                    [1e9, 0.0, 0.0, 1.0], [*np.linspace(1, 2, 30), 1e12], [-5.0, -0.0, 0.0, 3e-300, -1e300, 2.0], [float("inf"), -1.0, 4.0]])
 def test_exact_median(spark, values):
     df = spark.createDataFrame(pd.DataFrame({"k": 1, "x": values}))
     assert sequence.exact_median(df, ["k"], "x").first()["median"] == pytest.approx(np.median(values))
