@@ -52,9 +52,9 @@ class ByteVocabulary:
         for name, i in names.items():
             self.spelled[i] = bytes(byte[c] for c in name) if all(c in byte for c in name) else name.encode()
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [g.ids for g in self.coder.encode_batch_fast(units, add_special_tokens=False)]
-        return np.fromiter(itertools.chain.from_iterable(found), "<u4"), np.array([len(f) for f in found], np.int64)
+    def encode(self, texts: list[str]) -> np.ndarray:
+        """Ids of the texts in turn."""
+        return np.concatenate([np.array(g.ids, "<u4") for g in self.coder.encode_batch_fast(texts, add_special_tokens=False)])
 
 
 @functools.cache
@@ -98,7 +98,8 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray, cut_a: np.ndarray, cut_b: np.n
     b = np.repeat(cut_b - n_b, times) + np.where(one_b, 0, inside)
     if not plain.all():
         in_a, in_b = np.repeat(~plain, n_a), np.repeat(~plain, n_b)
-        ends = np.unique(np.concatenate([ends_a[in_a], ends_b[in_b]]))
+        ends = np.sort(np.concatenate([ends_a[in_a], ends_b[in_b]]), kind="stable")
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         a = np.append(a, np.searchsorted(ends_a, ends))
         b = np.append(b, np.searchsorted(ends_b, ends))
     return a, b
@@ -136,46 +137,58 @@ class Aligner:
         self.ready = None
 
     def numbers(self, some: list[str]) -> np.ndarray:
+        """Places of units in the store; those of an earlier call hold no more."""
         at = np.fromiter(map(self.known.get, some, itertools.repeat(-1)), np.int64, len(some))
-        if (at < 0).any():
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
             if len(self.known) > self.most:
                 self._empty()
-                at[:] = -1
-            self._learn(list(dict.fromkeys(itertools.compress(some, (at < 0).tolist()))))
-            at = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+                lost = np.arange(len(some))
+            missing = list(map(some.__getitem__, lost.tolist()))
+            new = list(dict.fromkeys(missing))
+            self._learn([u for u in new if not u[-1].isspace()])
+            for unit in new:
+                if unit[-1].isspace():
+                    self._learn([unit])
+            at[lost] = list(map(self.known.__getitem__, missing))
         return at
 
-    def _learn(self, new: list[str]):
-        """Align new units, laid end to end: the end of a unit is an end for both sides."""
-        words = list(map(self.b.pattern.findall, new))
-        ids, sizes = self.b.encode(list(itertools.chain.from_iterable(words)))
-        after = np.append(0, np.cumsum(sizes))[np.cumsum([0, *map(len, words)])]
-        sides = [self.a.encode(new), (ids, np.diff(after))]
-        want = np.array([len(w.encode("utf-8", "surrogatepass")) for w in new], np.int64)
-        wrong = np.zeros(len(new), bool)
-        for (ids, sizes), vocabulary in zip(sides, (self.a, self.b)):
-            spelled, ends = list(map(vocabulary.spelled.__getitem__, ids.tolist())), np.cumsum(sizes).tolist()
-            wrong |= np.array([b"".join(spelled[i:j]) != w.encode("utf-8", "surrogatepass") for w, i, j in zip(new, [0, *ends], ends)], bool)
-        right = ~wrong
-        (a, n_a), (b, n_b) = ((ids[np.repeat(right, sizes)], sizes[right]) for ids, sizes in sides)
-        counts = np.zeros((len(new), 5), np.int64)
-        counts[wrong, 4] = 1
-        said = np.full(len(new), "", object)
-        if right.any():
-            ends_a, ends_b = (np.cumsum(length[ids]) for length, ids in zip(self.lengths, (a, b)))
-            cut_a, cut_b = groups(ends_a, ends_b)
-            last = np.searchsorted(cut_a, np.cumsum(n_a))  # the group that ends each unit
-            i, j = links(ends_a, ends_b, cut_a, cut_b)
-            unit = np.searchsorted(np.cumsum(n_a), i, side="right")
-            order = np.argsort(unit, kind="stable")
-            counts[right, :4] = np.stack([n_a, n_b, np.diff(last, prepend=-1), np.bincount(unit, minlength=len(n_a))], axis=1)
-            self.pairs.append((b[j].astype(np.int64) << 32 | a[i])[order])
-            codes, upto = marked(a, b, cut_a, cut_b)
-            texts, stops = list(map(self.names.__getitem__, codes.tolist())), upto[last].tolist()
-            said[right] = ["".join(texts[x:y])[:-1] for x, y in zip([0, *stops], stops)]
-        self.known.update(zip(new, range(len(self.said), len(self.said) + len(new))))
-        self.said += said.tolist()
+    def _learn(self, some: list[str]):
+        """Align new units laid end to end.  Every unit begins with a blank or line end, so
+        where one ends in no white space both sides end a token."""
+        if not some:
+            return
+        packs = ["".join(some[i:i + 512]) for i in range(0, len(some), 512)]
+        a = self.a.encode(packs)
+        b, _ = self.b.encode(list(itertools.chain.from_iterable(map(self.b.pattern.findall, packs))))
+        text = "".join(packs).encode("utf-8", "surrogatepass")
+        if any(b"".join(map(v.spelled.__getitem__, ids.tolist())) != text for v, ids in ((self.a, a), (self.b, b))):
+            if len(some) == 1:
+                self._keep(some, [""], np.array([[0, 0, 0, 0, 1]]), np.zeros(0, np.int64))
+            else:
+                self._learn(some[:len(some) // 2])
+                self._learn(some[len(some) // 2:])
+            return
+        ends_a, ends_b = (np.cumsum(length[ids]) for length, ids in zip(self.lengths, (a, b)))
+        cut_a, cut_b = groups(ends_a, ends_b)
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)))
+        last = np.searchsorted(ends_a[cut_a - 1], ends)  # the group that ends each unit
+        i, j = links(ends_a, ends_b, cut_a, cut_b)
+        unit = np.repeat(np.arange(len(some)), np.diff(cut_a[last], prepend=0))[i]
+        order = np.argsort(unit, kind="stable")
+        counts = np.zeros((len(some), 5), np.int64)
+        for k, upto in enumerate((cut_a[last], cut_b[last], last + 1)):
+            counts[:, k] = np.diff(upto, prepend=0)
+        counts[:, 3] = np.bincount(unit, minlength=len(some))
+        codes, upto = marked(a, b, cut_a, cut_b)
+        texts, stops = list(map(self.names.__getitem__, codes.tolist())), upto[last].tolist()
+        self._keep(some, ["".join(texts[x:y])[:-1] for x, y in zip([0, *stops], stops)], counts, (b[j].astype(np.int64) << 32 | a[i])[order])
+
+    def _keep(self, some: list[str], said: list[str], counts: np.ndarray, pairs: np.ndarray):
+        self.known.update(zip(some, range(len(self.said), len(self.said) + len(some))))
+        self.said += said
         self.counts.append(counts)
+        self.pairs.append(pairs)
         self.ready = None
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,29 +198,35 @@ class Aligner:
             self.ready = (self.counts[0], self.pairs[0], np.cumsum(self.counts[0][:, 3]) - self.counts[0][:, 3])
         return self.ready
 
-    def part(self, some: list[str]) -> tuple:
-        """Counts, written groups and linked pairs with their numbers for units of one text."""
-        at = self.numbers(some)
+    def part(self, at: np.ndarray) -> tuple:
+        """Counts, written groups and linked pairs with their numbers of units of one text."""
         counts, pairs, starts = self.tables()
         own, times = np.unique(at, return_counts=True)
         size = counts[own, 3]
         return (times @ counts[own], ";".join(map(self.said.__getitem__, at.tolist())),
                 pairs[_spread(starts[own], size)], np.repeat(times, size))
 
-    def texts(self, texts: list[str | None]) -> Iterator[tuple]:
+    def texts(self, texts: list[str | None]) -> list[tuple]:
         """For each text n_a, n_b, n_groups, n_links, groups, and the distinct linked pairs (id
         of B, id of A in 64 bits) with how often each is linked."""
         fit = [" " + t if t and pieces.SPACE not in t else "" for t in texts]  # B writes a blank as that mark
         short = [next(units(t)) if t and len(t) <= pieces.BLOCK else [] for t in fit]
-        self.numbers(list(dict.fromkeys(itertools.chain.from_iterable(short))))  # new units of all at once
-        for text, some in zip(fit, short):
-            parts = [self.part(x) for x in ([some] if some else units(text) if text else [])]
-            if not parts or sum(p[0][4] for p in parts):
-                yield (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-                continue
-            n, said, pairs, times = zip(*parts)
-            keys, place = np.unique(np.concatenate(pairs), return_inverse=True)
-            yield (*sum(n)[:4].tolist(), ";".join(said), keys, np.bincount(place, np.concatenate(times), len(keys)).astype(np.int64))
+        at = self.numbers(list(itertools.chain.from_iterable(short)))  # of all texts at once
+        ends = np.cumsum([0, *map(len, short)])
+        out = [told([self.part(at[i:j])] if j > i else []) for i, j in zip(ends[:-1], ends[1:])]
+        for k, text in enumerate(fit):
+            if text and not short[k]:
+                out[k] = told([self.part(self.numbers(some)) for some in units(text)])
+        return out
+
+
+def told(parts: list[tuple]) -> tuple:
+    """The parts of one text as one."""
+    if not parts or sum(p[0][4] for p in parts):
+        return (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+    n, said, pairs, times = zip(*parts)
+    keys, place = np.unique(np.concatenate(pairs), return_inverse=True)
+    return (*sum(n)[:4].tolist(), ";".join(said), keys, np.bincount(place, np.concatenate(times), len(keys)).astype(np.int64))
 
 
 @functools.cache
