@@ -123,8 +123,8 @@ def _stream(spark, sf):
     - 0.25, 1.0), 400.0) ELSE 4.0 END''', 'variance', 9)} FROM (SELECT *, mag_1_uc - mag_1_c AS e FROM samples)
     WINDOW w AS (PARTITION BY flight ORDER BY tt, rn)""", "samples"))
 def _(spark, sf):
-    stream = _stream(spark, sf).withColumns({"resid": F.col("e"), "hph": F.lit(0.25)})
-    got = live.run_available(live.steps_and_variance(stream, 0.1, 4.0, 1.0, 400.0))
+    rows, end = live.closable(_stream(spark, sf).select("flight", "rn", "tt", "ts", F.col("e").alias("resid"), F.lit(0.25).alias("hph")))
+    got = live.run_available(live.steps_and_variance(rows, 0.1, 4.0, 1.0, 400.0), end=end)
     return got.select("flight", "rn", *rounded(5, step=F.col("step")), *rounded(9, variance=F.col("variance")))
 
 
@@ -141,6 +141,17 @@ def _ended(spark, sf):
     return live.closable(_stream(spark, sf).select(*cols))
 
 
+_BACK = ", ".join(f"coalesce(lag(mag_1_uc, {k}) OVER w, first_value(mag_1_uc) OVER w)" for k in range(4, 0, -1))
+
+
+@query("r5_row_windows", "R5", "W10", sql=sql(f"""SELECT rn, list_transform([{_BACK}, mag_1_uc], lambda v: round(v, 6)) AS vals FROM samples
+    WINDOW w AS (PARTITION BY flight, line ORDER BY tt, rn)""", "samples"))
+def _(spark, sf):
+    rows, end = live.closable(_stream(spark, sf).select("flight", "line", "rn", "tt", "ts", "mag_1_uc"))
+    got = live.run_available(live.row_windows(rows, "mag_1_uc", 5), end=end)
+    return got.select("rn", F.transform("values", lambda v: F.round(v, 6)).alias("vals"))
+
+
 @query("r5_tumbling_errors", "R5", "A1", sql=sql(f""", s AS (SELECT flight, line, mag_1_uc - mag_1_c AS e, CAST(floor((tt + 1704067200) / 21600) AS BIGINT) * 21600 AS slot FROM samples)
     SELECT slot, flight, line, count(*) AS n, {r('sqrt(avg(e * e))', 'rmse', 9)}, {r('avg(abs(e))', 'mae', 9)}, {r('stddev_pop(e)', 'std', 9)} FROM s GROUP BY 1, 2, 3""", "samples"))
 def _(spark, sf):

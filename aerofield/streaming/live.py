@@ -49,16 +49,23 @@ def closable(rows: DataFrame, label: str = "end") -> tuple[DataFrame, str]:
     return rows.unionByName(spark.readStream.schema(rows.schema).parquet(path)), path
 
 
-def run_available(stream: DataFrame, label: str = "live", path: str | None = None, end: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, label: str = "live", path: str | None = None, end: str | None = None,
+                  told: dict | None = None) -> DataFrame:
     """Process what the source holds into a parquet table and return the table.  With
-    the ``end`` of a closable stream, windows and sessions that are still open then are
-    closed too; without it they stay open for the next run."""
+    the ``end`` of a closable stream, windows, sessions and rows that are still open then are
+    closed too; without it they stay open for the next run.  ``told["late"]`` becomes the
+    number of rows that came behind the watermark and were dropped (of the last 100
+    micro-batches)."""
     spark = stream.sparkSession
     path = path or scratch(spark, label)
+    late = 0
 
     def run() -> None:
-        (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state")
-         .trigger(availableNow=True).start(path).awaitTermination())
+        nonlocal late
+        query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state")
+                 .trigger(availableNow=True).start(path))
+        query.awaitTermination()
+        late += sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
     run()
     if end:
@@ -67,26 +74,77 @@ def run_available(stream: DataFrame, label: str = "live", path: str | None = Non
             (F.to_timestamp(F.lit(END_OF_TIME)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
         last.write.mode("append").parquet(end)
         run()
+    if told is not None:
+        told["late"] = late
     return spark.read.schema(stream.schema).parquet(path)
 
 
-class StepAndVariance(StatefulProcessor):
+class Ordered(StatefulProcessor):
+    """Rows of a key in the order of event time, whatever order they come in.
+
+    Rows wait in the state until the watermark has passed them; an event-time timer then
+    releases them, by (tt, rn).  What comes behind the watermark is dropped before it gets
+    here, so nothing is released out of order.  The state holds the rows of the watermark's
+    delay, and what a subclass keeps in ``opened``, ``released`` and ``forget``.  A key
+    without rows for ``idle_ms`` of event time is forgotten."""
+
+    def __init__(self, fields: list[T.StructField], idle_ms: int | None):
+        self.row = T.StructType([T.StructField("ms", T.LongType()), T.StructField("tt", T.DoubleType()), T.StructField("rn", T.LongType()), *fields])
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.newest = handle.getValueState("newest", T.StructType([T.StructField("ms", T.LongType())]))
+        self.opened(handle)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            if len(pdf):
+                pdf = pdf[self.row.names]
+                self.waiting.appendList([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in pdf.itertuples(index=False)])
+                self.handle.registerTimer(int(pdf["ms"].min()))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()]
+        ready, rest = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
+        if ready:
+            self.newest.update((max(r[0] for r in ready),))
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            pdf = pd.DataFrame(ready, columns=self.row.names).sort_values(["tt", "rn"], ignore_index=True)
+            yield self.released(key, pdf)
+        if rest:
+            self.handle.registerTimer(min(r[0] for r in rest))
+        elif self.idle_ms is not None and self.newest.exists():
+            until = self.newest.get()[0] + self.idle_ms
+            if until <= now:
+                self.newest.clear()
+                self.forget()
+            else:
+                self.handle.registerTimer(until)
+
+    def close(self) -> None:
+        pass
+
+
+class StepAndVariance(Ordered):
     """Per flight: time since the previous sample, and the measurement variance
     from the previous ten residuals."""
 
     def __init__(self, first_step: float, start: float, low: float, high: float, depth: int, idle_ms: int | None):
-        self.first_step, self.start, self.low, self.high = first_step, start, low, high
-        self.depth, self.idle_ms = depth, idle_ms
+        super().__init__([T.StructField(c, T.DoubleType()) for c in ("resid", "hph")], idle_ms)
+        self.first_step, self.start, self.low, self.high, self.depth = first_step, start, low, high, depth
 
-    def init(self, handle) -> None:
-        last = T.StructType([T.StructField("tt", T.DoubleType())])
-        ring = T.StructType([T.StructField("r", T.DoubleType())])
-        self.last = handle.getValueState("last", last, self.idle_ms)
-        self.ring = handle.getListState("ring", ring, self.idle_ms)
+    def opened(self, handle) -> None:
+        self.last = handle.getValueState("last", T.StructType([T.StructField("tt", T.DoubleType())]))
+        self.ring = handle.getListState("ring", T.StructType([T.StructField("r", T.DoubleType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one flight's rows of one micro-batch; the source's maxFilesPerTrigger bounds them
-        pdf = pd.concat(list(rows)).sort_values(["tt", "rn"], ignore_index=True)
+    def released(self, key, pdf: pd.DataFrame) -> pd.DataFrame:
         last = self.last.get()[0] if self.last.exists() else None
         past = [x[0] for x in self.ring.get()]
         steps = pdf["tt"].diff()
@@ -96,23 +154,69 @@ class StepAndVariance(StatefulProcessor):
         variance = (mean - pdf["hph"]).clip(self.low, self.high).fillna(self.start)
         self.last.update((float(pdf["tt"].iloc[-1]),))
         self.ring.put([(float(v),) for v in joined.iloc[-self.depth:]])
-        yield pd.DataFrame({"flight": key[0], "rn": pdf["rn"], "step": steps, "variance": variance})
+        return pd.DataFrame({"flight": key[0], "rn": pdf["rn"], "step": steps, "variance": variance})
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.last.clear()
+        self.ring.clear()
+
+
+class RowWindows(Ordered):
+    """Per line: the last ``width`` values at each row, the line's first one repeated in
+    front, and every ``width`` rows a chunk."""
+
+    def __init__(self, width: int, idle_ms: int | None):
+        super().__init__([T.StructField("x", T.DoubleType())], idle_ms)
+        self.width = width
 
+    def opened(self, handle) -> None:
+        self.tail = handle.getListState("tail", T.StructType([T.StructField("x", T.DoubleType())]))
+        self.count = handle.getValueState("count", T.StructType([T.StructField("n", T.LongType())]))
 
-def steps_and_variance(stream: DataFrame, first_step: float = 0.1, start: float = 1.0, low: float = 0.0,
-                       high: float = 1e9, depth: int = 10, idle_ms: int | None = None) -> DataFrame:
-    """Stream of (flight, rn, step, variance) from (flight, rn, tt, resid, hph).
-    State of a flight idle for ``idle_ms`` is dropped; such a clock keeps an
-    available-now run going, so leave it out there."""
+    def released(self, key, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = self.count.get()[0] if self.count.exists() else 0
+        past = [x[0] for x in self.tail.get()] or [pdf["x"].iloc[0]] * (self.width - 1)
+        values = past + pdf["x"].tolist()
+        windows = [values[i:i + self.width] for i in range(len(pdf))]
+        self.count.update((n + len(pdf),))
+        if self.width > 1:
+            self.tail.put([(v,) for v in values[1 - self.width:]])
+        return pd.DataFrame({"flight": key[0], "line": key[1], "rn": pdf["rn"], "pos": range(n, n + len(pdf)), "values": windows})
+
+    def forget(self) -> None:
+        self.tail.clear()
+        self.count.clear()
+
+
+def _waiting(stream: DataFrame, keys: list[str], columns: dict[str, Column], delay: str):
+    """The stream's rows by key with their event time in whole milliseconds, rounded up."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    ms = F.ceil(F.unix_micros("ts") / 1000).alias("ms")
+    rows = stream.withWatermark("ts", delay).where(F.col("ts") < F.to_timestamp(F.lit(END_OF_TIME)))  # the end mark moves the watermark only
+    return rows.select(*keys, "ts", ms, F.col("tt").cast("double").alias("tt"), F.col("rn").cast("long").alias("rn"),
+                       *[c.cast("double").alias(n) for n, c in columns.items()]).groupBy(*keys)
+
+
+def steps_and_variance(stream: DataFrame, first_step: float = 0.1, start: float = 1.0, low: float = 0.0, high: float = 1e9,
+                       depth: int = 10, delay: str = "10 minutes", idle_ms: int | None = None) -> DataFrame:
+    """Stream of (flight, rn, step, variance) from (flight, rn, tt, ts, resid, hph), in the
+    order of time within a flight; a row appears once the watermark has passed it.  Rows
+    later than ``delay`` are dropped and counted as late (``run_available``)."""
     out = T.StructType([T.StructField("flight", T.StringType()), T.StructField("rn", T.LongType()),
                         T.StructField("step", T.DoubleType()), T.StructField("variance", T.DoubleType())])
-    slim = stream.select("flight", "rn", "tt", "resid", "hph")
-    return slim.groupBy("flight").transformWithStateInPandas(
-        StepAndVariance(first_step, start, low, high, depth, idle_ms), out, "Append", "ProcessingTime" if idle_ms else "None")
+    rows = _waiting(stream, ["flight"], {"resid": F.col("resid"), "hph": F.col("hph")}, delay)
+    return rows.transformWithStateInPandas(StepAndVariance(first_step, start, low, high, depth, idle_ms), out, "Append", "EventTime")
+
+
+def row_windows(stream: DataFrame, column: str, width: int, delay: str = "10 minutes", idle_ms: int | None = None) -> DataFrame:
+    """Stream of (flight, line, rn, pos, values): for each row the last ``width`` values of
+    its line in the order of time, across micro-batches.  The rows with ``pos % width =
+    width - 1`` hold the line's chunks."""
+    line = stream.schema["line"]
+    out = T.StructType([T.StructField("flight", T.StringType()), T.StructField("line", line.dataType), T.StructField("rn", T.LongType()),
+                        T.StructField("pos", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
+    rows = _waiting(stream, ["flight", "line"], {"x": F.col(column)}, delay)
+    return rows.transformWithStateInPandas(RowWindows(width, idle_ms), out, "Append", "EventTime")
 
 
 def live_map_residual(points: DataFrame, cells: DataFrame, measured: str = "measured") -> DataFrame:

@@ -23,15 +23,56 @@ def source(spark, tmp_path):
     return pdf, stream
 
 
+def _timed(stream):
+    return live.closable(stream.withColumn("ts", live.event_time(F.col("tt"))))
+
+
 def test_state_survives_batches(spark, source):
     pdf, stream = source
-    got = live.run_available(live.steps_and_variance(stream, 0.5, 4.0, 0.2, 1.1)).toPandas().sort_values("rn")
+    rows, end = _timed(stream)
+    got = live.run_available(live.steps_and_variance(rows, 0.5, 4.0, 0.2, 1.1, delay="5 seconds"), end=end).toPandas().sort_values("rn")
     steps = pdf.groupby("flight")["tt"].diff().fillna(0.5)
     assert np.allclose(got["step"], steps)
     batch = segments.adaptive_variance(spark.createDataFrame(pdf.assign(line=pdf["flight"])), "resid", "hph", 4.0, 0.2, 1.1)
     assert np.allclose(got["variance"], batch.toPandas().sort_values("rn")["variance"])
 
 
+def _files(spark, path, parts, schema):
+    """Files that are read in turn."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/p{i}")
+        for root, _, files in os.walk(f"{path}/p{i}"):
+            for f in files:
+                os.utime(os.path.join(root, f), (1000 + i, 1000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path))
+
+
+def test_rows_out_of_order_and_late_rows(spark, tmp_path):
+    row = lambda t: ("A", int(10 * t), t, t / 10, 0.0)
+    times = [[0.0, 2.0, 5.0, 4.0], [3.0, 1.0, 9.0], [30.0], [31.0], [6.0, 33.0], [32.0]]  # 6.0 comes when 20.0 has passed
+    stream = _files(spark, tmp_path / "in", [[row(t) for t in part] for part in times], "flight string, rn long, tt double, resid double, hph double")
+    rows, end = _timed(stream)
+    told = {}
+    got = live.run_available(live.steps_and_variance(rows, 0.5, 4.0, 0.0, 100.0, 2, "10 seconds"), end=end, told=told).toPandas().sort_values("rn")
+    kept = sorted(t for part in times for t in part if t != 6.0)
+    assert got["rn"].tolist() == [int(10 * t) for t in kept] and told["late"] == 1
+    assert got["step"].tolist() == pytest.approx([0.5, *np.diff(kept)]) and (got["step"] >= 0).all()
+    squares = [(t / 10) ** 2 for t in kept]
+    assert got["variance"].tolist() == pytest.approx([4.0, 4.0, *[(a + b) / 2 for a, b in zip(squares, squares[1:-1])]])
+
+
+def test_row_windows_run_across_batches(spark, tmp_path):
+    row = lambda n: ("A", n % 2, n, n / 1.0, n / 1.0)
+    parts = [[row(n) for n in (0, 1, 4, 3)], [row(2)], [row(n) for n in range(5, 40)], [row(n) for n in range(40, 44)]]
+    rows, end = _timed(_files(spark, tmp_path / "in", parts, "flight string, line int, rn long, tt double, x double"))
+    got = live.run_available(live.row_windows(rows, "x", 4, "10 seconds"), end=end)
+    found = {r["rn"]: (r["pos"], r["values"]) for r in got.collect()}
+    assert len(found) == 44
+    for n, (pos, values) in found.items():
+        own = [float(max(n - 2 * k, n % 2)) for k in range(3, -1, -1)]
+        assert pos == n // 2 and values == own
+
+
 def test_text_stream_equals_batch(spark, tmp_path):
     header = ["tt", "line", "mag"]
     for i in range(3):
