@@ -72,6 +72,56 @@ def power(sections: Sections, size: int, m: int) -> np.ndarray:
     return np.linalg.matrix_power(kernel(sections, size).a, m)
 
 
+def turned_block(sections: Sections, size: int, m: int, state, opened) -> tuple[np.ndarray, np.ndarray]:
+    """What the backward pass adds in a block of ``m`` rows, and the last forward values, from
+    its states from rest (forward, backward, last value for each column) and the opening ones."""
+    q = 2 * len(sections.rows)
+    s, o = np.array(state, float).reshape(-1, 2 * q + 1), np.array(opened, float).reshape(-1, q)
+    add = s[:, q:2 * q] + o @ there_and_back(sections, size, m)[1].T
+    return add.reshape(-1), s[:, 2 * q] + o @ kernel(sections, size).echo[m - 1]
+
+
+def both_ways(held: DataFrame, keys: Sequence[str], sections: Sections, size: int, n: int) -> DataFrame:
+    """``_s`` and ``_back``, the states of both passes at each block's ends, from the stored
+    states from rest of ``n`` columns."""
+    keys, q = list(keys), 2 * len(sections.rows)
+    blocks = held.where("_state IS NOT NULL").select(*keys, "_blk", "_m", "_state")
+    most = blocks.agg(F.max("_blk")).first()[0]
+    steady = kernel(sections, size).steady
+    if most is None or most < FAN:  # a line's blocks in one task
+        schema = T.StructType([held.schema[k] for k in keys] + [T.StructField("_blk", T.LongType()), T.StructField("_s", REALS), T.StructField("_back", REALS)])
+
+        def line(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_blk", ignore_index=True)
+            opened, adds, state = [], [], np.zeros((n, q))
+            for m, own in zip(pdf["_m"], pdf["_state"]):
+                opened.append(state.reshape(-1).tolist())
+                add, last = turned_block(sections, size, int(m), own, state)
+                adds.append(add.reshape(n, q))
+                state = state @ power(sections, size, int(m)).T + np.array(own, float).reshape(n, -1)[:, :q]
+            state, back = np.outer(last, steady), []
+            for m, add in zip(pdf["_m"][::-1], adds[::-1]):
+                back.append(state.reshape(-1).tolist())
+                state = state @ power(sections, size, int(m)).T + add
+            return pdf.assign(_s=opened, _back=back[::-1])[schema.names]
+        return blocks.groupBy(*keys).applyInPandas(line, schema)
+    width = 2 * q + 1
+    first = F.concat(*[F.slice("_state", width * i + 1, q) for i in range(n)])
+    forward = materialized(scanned(blocks.select("*", first.alias("_add"), F.array_repeat(F.lit(0.0), q * n).alias("_init")), keys, sections, size), "forward")
+
+    @F.pandas_udf(T.StructType([T.StructField("add", REALS), T.StructField("last", REALS)]))
+    def turned(m: pd.Series, state: pd.Series, opened: pd.Series) -> pd.DataFrame:
+        found = [turned_block(sections, size, int(a), b, c) for a, b, c in zip(m, state, opened)]
+        return pd.DataFrame([(a.tolist(), b.tolist()) for a, b in found], columns=["add", "last"])
+
+    turn = materialized(forward.withColumn("_t", turned("_m", "_state", "_s")).select(
+        *keys, "_blk", "_m", "_s", F.col("_t.add").alias("_add"), F.col("_t.last").alias("_w")), "turned")
+    ends = turn.groupBy(*keys).agg(F.max_by("_w", "_blk").alias("_w"))
+    start = F.flatten(F.transform("_w", lambda w: F.transform(F.array(*map(F.lit, steady.tolist())), lambda s: w * s)))
+    back = scanned(turn.drop("_w", "_s").join(ends.select(*keys, start.alias("_init")), keys), keys, sections, size, reverse=True)
+    return turn.select(*keys, "_blk", "_s").join(back.select(*keys, "_blk", F.col("_s").alias("_back")), [*keys, "_blk"])
+
+
 def scanned(blocks: DataFrame, keys: Sequence[str], sections: Sections, size: int, reverse: bool = False) -> DataFrame:
     """``blocks`` (keys, _blk, _m, _add, _init) with ``_s``, the state before each block, or
     after it if ``reverse``: a block takes a state s to A^m s + add; ``_init`` is the state
@@ -138,15 +188,6 @@ def _by_block(rows: DataFrame, keep: list[str], columns: list[str], keys, sectio
     return materialized(rows.groupBy(*keys, "_blk").applyInPandas(run, schema), "filtered")
 
 
-def _states(held: DataFrame, keys, take) -> DataFrame:
-    """A row per block; ``take`` picks from its states (``_state``) a column's parts."""
-    return held.where("_state IS NOT NULL").select(*keys, "_blk", "_m", "_state", take.alias("_add"))
-
-
-def _slices(starts, width: int, column: str = "_state") -> Column:
-    return F.concat(*[F.slice(column, s + 1, width) for s in starts])
-
-
 def _corrected(held: DataFrame, states: DataFrame, keys, columns: list[str], sections: Sections, size: int, both: bool) -> DataFrame:
     """Stored rows with what their block's opening states add.  One small row per block is
     joined to the rows."""
@@ -186,7 +227,7 @@ def zero_phase(df: DataFrame, columns: list[str], sections: Sections | None = No
     rows = number_rows(df, keys)
     keep = [c for c in (keep or [c for c in rows.columns if c not in columns])]
     keep += [c for c in (*keys, "pos", "n_line") if c not in keep]
-    pad, size, q, n = f.pad, _block_size(df, f), 2 * len(f.rows), len(columns)
+    pad, size, n = f.pad, _block_size(df, f), len(columns)
     pos, last = F.col("pos"), F.col("n_line") - 1
     long = F.col("n_line") > f.shortest
     slim = rows.select(*keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
@@ -207,27 +248,7 @@ def zero_phase(df: DataFrame, columns: list[str], sections: Sections | None = No
         *keep, *marks, "_at", F.floor((at + F.lit(pad)) / size).alias("_blk"), (at == pos).alias("_core"), *[value(i).alias(f"_y{i}") for i in range(n)])
     ys = [f"_y{i}" for i in range(n)]
     held = _by_block(spread, [*keep, *marks], ys, keys, f, size, True)
-    width = 2 * q + 1
-    blocks = _states(held, keys, _slices([width * i for i in range(n)], q)).withColumn("_init", F.array_repeat(F.lit(0.0), q * n))
-    forward = materialized(scanned(blocks, keys, f, size), "forward")
-
-    @F.pandas_udf(T.StructType([T.StructField("add", REALS), T.StructField("last", REALS)]))
-    def turned(m: pd.Series, state: pd.Series, opened: pd.Series) -> pd.DataFrame:
-        """What the backward pass adds in each block, and its last forward values."""
-        out = []
-        for size_, s, o in zip(m, state, opened):
-            s, o = np.array(s, float).reshape(n, width), np.array(o, float).reshape(n, q)
-            out.append(((s[:, q:2 * q] + o @ there_and_back(f, size, int(size_))[1].T).reshape(-1).tolist(),
-                        (s[:, 2 * q] + o @ kernel(f, size).echo[size_ - 1]).tolist()))
-        return pd.DataFrame(out, columns=["add", "last"])
-
-    steady = kernel(f, size).steady.tolist()
-    turn = forward.withColumn("_t", turned("_m", "_state", "_s")).select(*keys, "_blk", "_m", "_s", F.col("_t.add").alias("_add"), F.col("_t.last").alias("_w"))
-    turn = materialized(turn, "turned")
-    ends = turn.groupBy(*keys).agg(F.max_by("_w", "_blk").alias("_w"))
-    start = F.flatten(F.transform("_w", lambda w: F.transform(F.array(*map(F.lit, steady)), lambda s: w * s)))
-    back = scanned(turn.drop("_w", "_s").join(ends.select(*keys, start.alias("_init")), list(keys)), keys, f, size, reverse=True)
-    states = turn.select(*keys, "_blk", "_s").join(back.select(*keys, "_blk", F.col("_s").alias("_back")), [*keys, "_blk"])
+    states = both_ways(held, keys, f, size, n)
     done = _corrected(held.where("_core"), states, keys, ys, f, size, True)
     level = f.gain * f.gain
     final = lambda i: (F.when(~long, F.col(f"_x{i}")).when(F.col(f"_gap{i}"), F.lit(float("nan"))).when(F.col(f"_flat{i}"), F.col(f"_x{i}"))
@@ -241,7 +262,8 @@ def _forward(df: DataFrame, columns: list[str], sections: Sections, keep: list[s
     rows = df.withColumns({"_at": F.col("pos"), "_blk": F.floor(F.col("pos") / size), "_core": F.lit(True)})
     held = _by_block(rows, keep, columns, keys, sections, size, False)
     opening = np.ravel(state).tolist() if state is not None else [0.0] * q
-    blocks = _states(held, keys, F.col("_state")).withColumn("_init", F.array(*map(F.lit, [float(v) for v in opening] * n)))
+    blocks = held.where("_state IS NOT NULL").select(
+        *keys, "_blk", "_m", F.col("_state").alias("_add"), F.array(*map(F.lit, [float(v) for v in opening] * n)).alias("_init"))
     return held, scanned(blocks, keys, sections, size), size
 
 

@@ -388,6 +388,20 @@ def train_and_test(samples, lines, flights, train_lines: list, test_lines: list,
     return model, score_on(test_rows, model, options.get("xs", ()))
 
 
+def compensate_lines(samples: DataFrame, lines: DataFrame, flights: DataFrame, train_on: Column, test_on: Column, kind: str,
+                     n_min: int = 3, buffer: int = 0, **options):
+    """Compensation from end to end: samples inside the lines' time ranges, less the ends of
+    each contiguous leg; a model of one kind fitted on the lines that ``train_on`` selects;
+    errors of those that ``test_on`` selects.  The conditions are Columns over ``lines``."""
+    from aerofield.operators.segments import segments
+
+    def rows(wanted: Column) -> DataFrame:
+        picked, _ = select.pick_lines(samples, lines.filter(wanted), flights)
+        return segments(picked, "all", n_min, buffer).drop("leg")
+    model = train(rows(train_on), kind, **options)
+    return model, score_on(rows(test_on), model, options.get("xs", ()))
+
+
 def permutation_importance(df: DataFrame, model: LinearModel, y: str, seed: int = 0) -> DataFrame:
     """Error spread after permuting each feature.
 

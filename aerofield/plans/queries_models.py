@@ -387,7 +387,7 @@ def _taps(sections, n: int) -> str:
 
 def _filtered(sections, columns: list[str], view: str = "numbered", taps: int = 420) -> str:
     """CTEs up to ``z(line, pos, ...)``: direct convolution of the odd-extended lines of a
-    view, forward and backward."""
+    view, forward and backward; a column that is constant on a line stays."""
     pad, gain = sections.pad, f"{sections.gain!r}::DOUBLE"
     ends = "OVER (PARTITION BY line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     m = range(len(columns))
@@ -401,8 +401,9 @@ def _filtered(sections, columns: list[str], view: str = "numbered", taps: int =
     d AS (SELECT *, {each("first_value(v@) OVER (PARTITION BY line ORDER BY pos) AS w@")} FROM e),
     f AS ({passed("d", "b.pos <= a.pos", "a.pos - b.pos")} GROUP BY 1, 2, 3),
     g AS (SELECT *, {each("first_value(v@) OVER (PARTITION BY line ORDER BY pos DESC) AS w@")} FROM f),
-    z AS (SELECT line, n_line, pos, {", ".join(f"v{i} AS {c}" for i, c in enumerate(columns))} FROM ({passed("g", "b.pos >= a.pos", "b.pos - a.pos")}
-    WHERE a.pos BETWEEN 0 AND a.n_line - 1 GROUP BY 1, 2, 3))"""
+    still AS (SELECT line, {each("CASE WHEN min(v@) = max(v@) THEN min(v@) END AS s@")} FROM x GROUP BY line),
+    z AS (SELECT line, n_line, pos, {", ".join(f"coalesce(s{i}, v{i}) AS {c}" for i, c in enumerate(columns))} FROM ({passed("g", "b.pos >= a.pos", "b.pos - a.pos")}
+    WHERE a.pos BETWEEN 0 AND a.n_line - 1 GROUP BY 1, 2, 3) JOIN still USING (line))"""
 
 
 def _zero_phase_sql(sections, column: str, into: str | None = None, taps: int = 420) -> str:
@@ -677,3 +678,35 @@ def _(spark, sf):
     df = src.samples(spark, sf)
     _, offsets = models.compensate_all(df, df.filter(F.col("flight") == "F0"), ["mag_1_uc", "mag_2_uc"], ridge=0.025)
     return offsets.select("mag", *rounded(4, mean_diff=F.col("mean_diff")))
+
+
+# Samples of the lines' time ranges, less eight rows at both ends of each contiguous leg.
+_LEGS_OF_LINES = """, picked AS (SELECT s.*, s.mag_1_c * 0.5 AS map_val FROM samples s JOIN lines l ON s.flight = l.flight AND s.line = l.line
+    AND s.tt BETWEEN l.t_start AND l.t_end),
+    islands AS (SELECT *, rn - row_number() OVER (PARTITION BY flight, line ORDER BY rn) AS island FROM picked),
+    legs AS (SELECT *, row_number() OVER v - 1 AS leg_pos, count(*) OVER (PARTITION BY flight, line, island) AS leg_n FROM islands
+    WINDOW v AS (PARTITION BY flight, line, island ORDER BY rn)),
+    numbered AS (SELECT * EXCLUDE (island, leg_pos, leg_n), row_number() OVER (PARTITION BY flight, line ORDER BY rn) - 1 AS pos,
+    count(*) OVER (PARTITION BY flight, line) AS n_line FROM legs WHERE leg_n >= 19 AND leg_pos >= 8 AND leg_pos < leg_n - 8)"""
+
+
+def _end_to_end(kind: str, total: str, banded: bool, y: str, test: str):
+    train = "train AS (SELECT *, " + y + " AS y FROM design WHERE line % 2 = 0)"
+    fit = (_filtered(_BAND, [*_TERMS, "y"], "train") + ", fit AS (SELECT * FROM z WHERE pos >= 20 AND pos < n_line - 20)"
+           if banded else ", fit AS (SELECT * FROM train)")
+    text = sql(_LEGS_OF_LINES + design_view(total) + ", " + train + fit + least_squares("fit", _TERMS, "y", 0.025) + f""", {_wide(_TERMS)},
+    errs AS (SELECT flight, line, {_predicted(_TERMS)} - ({test}) AS err FROM design AS fit, b WHERE line % 2 = 1)
+    SELECT flight, line, count(*) AS n, {r("stddev_pop(err)", "err_std", 4)} FROM errs GROUP BY 1, 2""", "lines")
+
+    @query(f"e1_{kind.lower()}", "J1", "W5", "P14", "W17", "W20", "M1", "M3", "M8", "M10", sql=text)
+    def _(spark, sf):
+        samples = src.samples(spark, sf).withColumn("map_val", F.col("mag_1_c") * 0.5)
+        odd = F.col("line") % 2 == 1
+        _, scored = models.compensate_lines(samples, src.lines(spark, sf), src.flights(spark, sf), ~odd, odd, kind,
+                                            buffer=8, map_val="map_val")
+        return scored.groupBy("flight", "line").agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_pop("err"), 4).alias("err_std"))
+
+
+_end_to_end("TL", "ft", True, "mag_1_uc", "mag_1_uc - mag_1_c")
+_end_to_end("mod_TL", "mag_1_uc", True, "mag_1_uc", "mag_1_uc - mag_1_c")
+_end_to_end("map_TL", "map_val", False, "mag_1_uc - map_val", "mag_1_uc - map_val")
