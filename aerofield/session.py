@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -58,7 +59,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
         here = os.path.dirname(os.path.abspath(__file__))
-        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="aerofield-zip-"), "aerofield"), "zip", os.path.dirname(here), "aerofield")
+        folder = tempfile.mkdtemp(prefix="zip-", dir=_own_folder())
+        made = shutil.make_archive(os.path.join(folder, "aerofield"), "zip", os.path.dirname(here), "aerofield")
         context.addPyFile(made)
 
 
