@@ -89,10 +89,33 @@ def _continuation(dz: Column, alpha: Column) -> Column:
     return up / (F.lit(1.0) + F.when(dz >= 0, F.lit(0.0)).otherwise(alpha) * k * k * up)
 
 
+def padded(cells: DataFrame, pad: int, value: str = "val") -> DataFrame:
+    """Full grids with ``pad`` more cells on every side, which lead each grid row, and then
+    each column, around the ring from its last value to its first in even steps, so that
+    the transform meets no jump at the map's edges.  Gaps and masked cells count as 0."""
+    v = F.col(value)
+    gap = is_gap(v) | ~F.coalesce("mask", F.lit(True)) if "mask" in cells.columns else is_gap(v)
+    rows = cells.select(*TILE, "iy", "ix", "yy", "xx", "alt", F.when(gap, F.lit(0.0)).otherwise(v).alias(value))
+    for line, along, fixed, moving in (("iy", "ix", "yy", "xx"), ("ix", "iy", "xx", "yy")):
+        ends = rows.groupBy(*TILE, line).agg(
+            F.min_by(value, along).alias("_a"), F.max_by(value, along).alias("_b"), F.min(along).alias("_lo"), F.max(along).alias("_hi"),
+            F.min(fixed).alias(fixed), F.min(moving).alias("_c0"), F.max(moving).alias("_c1"), F.min("alt").alias("alt"))
+        at = F.explode(F.sequence(F.lit(1), F.lit(2 * pad))).alias("_r")
+        step = F.when(F.col("_hi") > F.col("_lo"), (F.col("_c1") - F.col("_c0")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(1.0))
+        after, r, back = F.col("_r") <= pad, F.col("_r"), F.lit(2 * pad + 1) - F.col("_r")
+        more = ends.select("*", at).select(
+            *TILE, line, F.when(after, F.col("_hi") + r).otherwise(F.col("_lo") - back).alias(along), fixed,
+            F.when(after, F.col("_c1") + r * step).otherwise(F.col("_c0") - back * step).alias(moving), "alt",
+            (F.col("_b") + (F.col("_a") - F.col("_b")) * r / (2 * pad + 1)).alias(value))
+        rows = rows.unionByName(more)
+    return rows
+
+
 def continued(cells: DataFrame, altitudes: list[float], alpha: float = 0.0, steps: DataFrame | None = None,
-              value: str = "val") -> DataFrame:
+              value: str = "val", pad: int = 0) -> DataFrame:
     """Maps continued to other altitudes: up by exp(-k dz), down with the
-    regularized inverse, which needs ``alpha``.
+    regularized inverse, which needs ``alpha``.  With ``pad`` they are continued with that
+    many more cells on every side (``padded``), which are cut off again.
 
     A map of one level gives one level per altitude.  A map of several keeps its levels;
     altitudes below come from the lowest, those above from the highest, and those
@@ -104,13 +127,15 @@ def continued(cells: DataFrame, altitudes: list[float], alpha: float = 0.0, step
         raise ValueError("downward continuation needs alpha")
     known = levels.join(small(ends), "map_id")
     border = known.filter((F.col("_from") == F.col("_lo")) | (F.col("_from") == F.col("_hi")))
-    spec = forward(cells.join(small(border.select(*TILE)), TILE, "left_semi"), value, steps).join(small(border), TILE)
+    source = cells.join(small(border.select(*TILE)), TILE, "left_semi")
+    source = padded(source, pad, value) if pad else source
+    spec = forward(source, value, steps).join(small(border), TILE)
     many = spec.withColumn("alt", F.explode(F.array(*[F.lit(float(a)) for a in sorted(set(altitudes))]))).filter(
         (F.col("_n") == 1) | ((F.col("alt") < F.col("_lo")) & (F.col("_from") == F.col("_lo")))
         | ((F.col("alt") > F.col("_hi")) & (F.col("_from") == F.col("_hi"))))
     out = inverse(scaled(many, _continuation(F.col("alt") - F.col("_from"), F.lit(alpha))), value, ("alt",))
     shift = map_meta(cells).select("map_id", "ix_min", "iy_min")
-    out = out.join(small(shift), "map_id").withColumns({"ix": F.col("ix") + F.col("ix_min"), "iy": F.col("iy") + F.col("iy_min")})
+    out = out.join(small(shift), "map_id").withColumns({"ix": F.col("ix") + F.col("ix_min") - pad, "iy": F.col("iy") + F.col("iy_min") - pad})
     mask = F.col("mask") if "mask" in cells.columns else F.lit(True).alias("mask")
     axes = cells.select(*TILE, "iy", "ix", "xx", "yy", mask)
     cols = ["map_id", "iy", "ix", "xx", "yy", "alt", value, "mask"]

@@ -81,23 +81,29 @@ def _axis(n: int) -> str:
     return f"(SELECT unnest(generate_series(0, {n - 1})))"
 
 
-# spectrum of 8 x 8 tiles: first over x, then over y; kx and ky with unit steps
-_FORWARD = f""", t AS (SELECT map_id, iy, ix, CASE WHEN (ix + iy) % 5 <> 0 THEN val * 100.0 ELSE 0 END AS v FROM tiles),
-    fx AS (SELECT map_id, iy, jx, sum(v * cos({_PI2} * ((ix * jx) % 8) / 8)) AS re, -sum(v * sin({_PI2} * ((ix * jx) % 8) / 8)) AS im
-    FROM t, {_axis(8)} AS a(jx) GROUP BY 1, 2, 3),
-    fw AS (SELECT map_id, jx, jy, sum(re * cos({_PI2} * ((iy * jy) % 8) / 8) + im * sin({_PI2} * ((iy * jy) % 8) / 8)) AS re,
-    sum(im * cos({_PI2} * ((iy * jy) % 8) / 8) - re * sin({_PI2} * ((iy * jy) % 8) / 8)) AS im,
-    (CASE WHEN jx <= 3 THEN jx ELSE jx - 8 END) * {_PI2} / 8 AS kx, (CASE WHEN jy <= 3 THEN jy ELSE jy - 8 END) * {_PI2} / 8 AS ky
-    FROM fx, {_axis(8)} AS b(jy) GROUP BY map_id, jx, jy), sp AS (SELECT *, sqrt(kx * kx + ky * ky) AS k FROM fw) """
+# spectrum of n x n tiles t: first over x, then over y; kx and ky with unit steps
+def _forward(n: int = 8) -> str:
+    wave = lambda j: f"(CASE WHEN {j} <= {(n - 1) // 2} THEN {j} ELSE {j} - {n} END) * {_PI2} / {n}"
+    turn = lambda i, j: f"({_PI2} * (({i} * {j}) % {n}) / {n})"
+    return f""", fx AS (SELECT map_id, iy, jx, sum(v * cos{turn('ix', 'jx')}) AS re, -sum(v * sin{turn('ix', 'jx')}) AS im
+    FROM t, {_axis(n)} AS a(jx) GROUP BY 1, 2, 3),
+    fw AS (SELECT map_id, jx, jy, sum(re * cos{turn('iy', 'jy')} + im * sin{turn('iy', 'jy')}) AS re,
+    sum(im * cos{turn('iy', 'jy')} - re * sin{turn('iy', 'jy')}) AS im, {wave('jx')} AS kx, {wave('jy')} AS ky
+    FROM fx, {_axis(n)} AS b(jy) GROUP BY map_id, jx, jy), sp AS (SELECT *, sqrt(kx * kx + ky * ky) AS k FROM fw) """
 
 
-def _back(spec: str, keys: str = "") -> str:
+_TILE = ", t AS (SELECT map_id, iy, ix, CASE WHEN (ix + iy) % 5 <> 0 THEN val * 100.0 ELSE 0 END AS v FROM tiles)"
+_FORWARD = _TILE + _forward()
+
+
+def _back(spec: str, keys: str = "", n: int = 8) -> str:
     """Inverse of a spectrum (re, im), real part, in two steps."""
     g = f"map_id{keys}"
-    return f""", iy1 AS (SELECT {g}, jx, iy, sum(re * cos({_PI2} * ((iy * jy) % 8) / 8) - im * sin({_PI2} * ((iy * jy) % 8) / 8)) / 8 AS re,
-    sum(re * sin({_PI2} * ((iy * jy) % 8) / 8) + im * cos({_PI2} * ((iy * jy) % 8) / 8)) / 8 AS im FROM {spec}, {_axis(8)} AS c(iy) GROUP BY {g}, jx, iy),
-    bw AS (SELECT {g}, iy, ix, sum(re * cos({_PI2} * ((ix * jx) % 8) / 8) - im * sin({_PI2} * ((ix * jx) % 8) / 8)) / 8 AS val
-    FROM iy1, {_axis(8)} AS d(ix) GROUP BY {g}, iy, ix) """
+    turn = lambda i, j: f"({_PI2} * (({i} * {j}) % {n}) / {n})"
+    return f""", iy1 AS (SELECT {g}, jx, iy, sum(re * cos{turn('iy', 'jy')} - im * sin{turn('iy', 'jy')}) / {n} AS re,
+    sum(re * sin{turn('iy', 'jy')} + im * cos{turn('iy', 'jy')}) / {n} AS im FROM {spec}, {_axis(n)} AS c(iy) GROUP BY {g}, jx, iy),
+    bw AS (SELECT {g}, iy, ix, sum(re * cos{turn('ix', 'jx')} - im * sin{turn('ix', 'jx')}) / {n} AS val
+    FROM iy1, {_axis(n)} AS d(ix) GROUP BY {g}, iy, ix) """
 
 
 @query("f1_wavenumbers", "F1", sql=f"""SELECT map_id, iy, ix, {r(f"(CASE WHEN ix <= (nx - 1) // 2 THEN ix ELSE ix - nx END) * {_PI2} / (nx * 2.0)", 'kx')},
@@ -133,6 +139,22 @@ def _(spark, sf):
     return mapspectra.continued(tile_cells(spark, sf), [302.0, 300.5]).select("map_id", "iz", "iy", "ix", *rounded(5, val=F.col("val")))
 
 
+# tiles led around the ring by three cells on every side: rows first, then columns
+_RING = "CASE WHEN r <= 3 THEN 7 + r ELSE r - 7 END"
+_PADDED = f""", t0 AS (SELECT map_id, iy, ix, CASE WHEN (ix + iy) % 5 <> 0 THEN val * 100.0 ELSE 0 END AS v FROM tiles),
+    tx AS (SELECT map_id, iy, ix, v FROM t0 UNION ALL SELECT a.map_id, a.iy, {_RING}, b.v + (a.v - b.v) * r / 7.0
+    FROM t0 a JOIN t0 b ON a.map_id = b.map_id AND a.iy = b.iy AND a.ix = 0 AND b.ix = 7, generate_series(1, 6) AS s(r)),
+    ty AS (SELECT map_id, iy, ix, v FROM tx UNION ALL SELECT a.map_id, {_RING}, a.ix, b.v + (a.v - b.v) * r / 7.0
+    FROM tx a JOIN tx b ON a.map_id = b.map_id AND a.ix = b.ix AND a.iy = 0 AND b.iy = 7, generate_series(1, 6) AS s(r)),
+    t AS (SELECT map_id, iy + 3 AS iy, ix + 3 AS ix, v FROM ty)"""
+
+
+@query("f3_padded", "F3", sql=sql(_PADDED + _forward(14) + ", h AS (SELECT map_id, jx, jy, re * exp(-k) AS re, im * exp(-k) AS im FROM sp)"
+    + _back("h", "", 14) + f"SELECT map_id, iy - 3 AS iy, ix - 3 AS ix, {r('val', 'val', 5)} FROM bw WHERE iy BETWEEN 3 AND 10 AND ix BETWEEN 3 AND 10", "tiles"))
+def _(spark, sf):
+    return mapspectra.continued(tile_cells(spark, sf), [301.0], pad=3).select("map_id", "iy", "ix", *rounded(5, val=F.col("val")))
+
+
 @query("f3_downward_continuation", "F3", sql=sql(_FORWARD + """, u AS (SELECT *, exp(k * 0.5) AS g FROM sp),
     h AS (SELECT map_id, jx, jy, re * g / (1 + 0.1 * k * k * g) AS re, im * g / (1 + 0.1 * k * k * g) AS im FROM u)""" + _back("h") + f"SELECT map_id, iy, ix, {r('val', 'val', 5)} FROM bw", "tiles"))
 def _(spark, sf):

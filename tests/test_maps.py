@@ -220,3 +220,20 @@ def test_core_field_needs_a_row_for_every_valid_cell(spark):
     field = spark.createDataFrame([("m", 0, 0, 0, 1, 1.0)], "map_id string, iz long, iy long, ix long, date int, f double")
     got = {r["ix"]: r["val"] for r in maps.core_field_change(cells, field, 1).collect()}
     assert got == {0: 9.0, 1: None, 2: 0.0}
+
+
+def test_padded_continuation_of_a_slope_keeps_its_edges(spark):
+    ny, nx = 12, 15
+    rows = [("m", 0, y + 2, x + 5, float(x), float(y), 300.0, 100.0 + 3.0 * x) for y in range(ny) for x in range(nx)]
+    cells = spark.createDataFrame(rows, "map_id string, iz long, iy long, ix long, xx double, yy double, alt double, val double")
+    grid = mapspectra.padded(cells, 4).toPandas()
+    assert len(grid) == (ny + 8) * (nx + 8) and grid["ix"].min() == 1 and grid["iy"].max() == ny + 5
+    row = grid[grid["iy"] == 3].sort_values("ix")["val"].to_numpy()
+    ring = 142.0 - 42.0 * np.arange(1, 9) / 9
+    assert np.allclose(row, [*ring[4:], *(100 + 3.0 * np.arange(nx)), *ring[:4]])
+    far = lambda pad: mapspectra.continued(cells, [301.0], pad=pad).toPandas().sort_values(["iy", "ix"])
+    whole, cut = far(8), far(0)
+    want = 100.0 + 3.0 * whole["xx"].to_numpy()
+    assert len(whole) == ny * nx and set(whole["ix"]) == set(range(5, 5 + nx))
+    edge = (whole["xx"] <= 2).to_numpy()
+    assert np.abs(whole["val"] - want)[edge].mean() < 0.5 * np.abs(cut["val"] - want)[edge].mean()
