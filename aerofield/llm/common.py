@@ -1,4 +1,5 @@
 """Words of raw texts, reserved column names, runs of equal keys and exact cuts."""
+import gc
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,6 +28,13 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that have ended: it does so for plans that
+    the driver's garbage collection finds unused, which may come late by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

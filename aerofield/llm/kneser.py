@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from aerofield.llm import quality
-from aerofield.llm.common import pack, unpack, whole_texts
+from aerofield.llm.common import pack, swept, unpack, whole_texts
+from aerofield.llm.components import components
 from aerofield.session import materialized, small
 
 CHUNK = 1 << 18  # tokens of a chunk, about, but for a longer text
-RANGE = 1 << 21  # tokens behind a range of n-gram hashes, about
+RANGE = 1 << 20  # tokens behind a range of n-gram hashes, at most about
+KEY = 40  # bits of a key inside a range: of the range's n-grams, one in 2 ** 20 shares its key with another, about
 BITS = 16  # ways to deal the families to two sides, of which the evenest is taken
 WIDE = {3: 1, 2: 5, 1: 5}  # sums of an n-gram: as context the total and the n-grams seen 1, 2 and more times; last its own count
 NONE = np.iinfo(np.int64).max
@@ -50,6 +52,27 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return unpack(data, kind) if data else np.zeros(0, kind)
 
 
+def narrow(a: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs, which the first byte tells."""
+    flat = np.ascontiguousarray(a).reshape(-1)
+    kind = np.min_scalar_type(int(flat.max())) if flat.size else np.dtype("u1")
+    return bytes([kind.itemsize]) + packed(flat.astype(kind))
+
+
+def widened(data: bytes) -> np.ndarray:
+    return unpacked(data[1:], f"<u{data[0]}")
+
+
+def ranked(h: np.ndarray) -> tuple[bytes, bytes]:
+    """Distinct hashes, the commonest first, and each hash's place among them: places of
+    common words are small numbers, which pack well."""
+    words, at, n = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return words[order].tobytes(), narrow(place[at])
+
+
 # ---- chunks ----
 
 _CHUNK = "chunk long, ids array<{}>, langs array<string>, good array<boolean>, out array<boolean>, stats binary, marks binary, words binary, tokens binary"
@@ -66,9 +89,8 @@ def chunker(kind: pa.DataType, size: int):
 
         def told() -> pa.RecordBatch:
             ids, langs, good, out, stats, marks, texts = zip(*held)
-            words, at = np.unique(np.concatenate(texts), return_inverse=True)
             return batch_of([(first + done, list(ids), list(langs), list(good), list(out), packed(np.array(stats, "<i8")),
-                              packed(np.concatenate(marks)), words.tobytes(), packed(at.astype("<u4")))], fields)
+                              packed(np.concatenate(marks)), *ranked(np.concatenate(texts)))], fields)
 
         for batch in batches:
             for doc_id, lang, data, good, out in zip(*[batch.column(i).to_pylist() for i in range(5)]):
@@ -117,15 +139,10 @@ def families(marks: DataFrame) -> DataFrame:
 
     pairs = shared(marks).groupBy("node").agg(F.array_sort(F.collect_set("mark")).alias("m")).select("node", F.explode(F.expr(
         "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x, y))))")).alias("mark"))
-    edges = materialized(shared(materialized(pairs, "pairs")).select("node", F.xxhash64("mark").alias("mark")), "edges")
-    labels = materialized(edges.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    while True:
-        by_mark = small(edges.join(labels, "node").groupBy("mark").agg(F.min("label").alias("label")))
-        new = edges.join(by_mark, "mark").groupBy("node").agg(F.min("label").alias("label"))
-        new = materialized(new.join(labels.withColumnRenamed("label", "was"), "node"), "labels")
-        labels, changed = new.select("node", "label"), new.where("label < was").count()
-        if not changed:
-            return labels
+    edges = materialized(shared(materialized(pairs, "pairs")).select("node", F.xxhash64("mark").alias("mark")), "shared")
+    least = small(edges.groupBy("mark").agg(F.min("node").alias("least")))
+    tied = components(edges.join(least, "mark").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    return tied.select("node", F.col("root").alias("label"))
 
 
 def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,21 +173,33 @@ def chosen(bit: int):
 class Part:
     """The tokens of a chunk's documents on one side, their n-grams, and which teach."""
 
-    def __init__(self, r: dict, side: int):
+    def __init__(self, r: dict, side: int, bits: int):
+        """``bits``: as many bits of a hash tell its range."""
+        self.cut = np.uint64(64 - KEY - bits)
         sizes = unpacked(r["stats"], "<i8").reshape(-1, 5)[:, 0]
         sides = np.unpackbits(np.frombuffer(r["sides"], np.uint8))[:len(sizes)]
         doc = np.repeat(np.arange(len(sizes)), sizes)
         inside = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         here = sides[doc] == side
         self.docs, self.doc, self.inside = np.flatnonzero(sides == side), doc[here], inside[here]
-        self.c = np.frombuffer(r["words"], "<u8")[unpacked(r["tokens"], "<u4")[here]]
+        self.c = np.frombuffer(r["words"], "<u8")[widened(r["tokens"])[here]]
         self.b, self.a = np.zeros_like(self.c), np.zeros_like(self.c)  # before the text: the start mark, hash 0
         self.b[1:] = np.where(self.inside[1:] > 0, self.c[:-1], 0)
         self.a[2:] = np.where(self.inside[2:] > 1, self.c[:-2], 0)
         self.good = np.array(r["good"], bool)[self.doc]
 
     def keys(self, order: int) -> np.ndarray:
-        return quality.joined(self.a, self.b, self.c) if order == 3 else quality.joined(self.b, self.c)
+        return self.short(quality.joined(*(self.a, self.b, self.c)[3 - order:]))
+
+    def short(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> self.cut
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct keys of words and of the start mark, and the places among them of
+        the tokens before each token and of the tokens."""
+        b, c = (self.short(quality.joined(h)) for h in (self.b, self.c))
+        keys = np.unique(np.append(c, self.short(quality.joined(np.zeros(1, np.uint64)))))
+        return keys, np.searchsorted(keys, b), np.searchsorted(keys, c)
 
     def asked(self, order: int, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys and what the chunk adds to their sums; ``given`` are the model's
@@ -186,16 +215,16 @@ class Part:
             context, last = at[first[inner] - 1], at[first]
             m = n[inner]
         else:
-            keys = np.unique(np.append(self.c, np.uint64(0)))
-            context, last, m = np.searchsorted(keys, self.b[first]), np.searchsorted(keys, self.c[first]), n
+            keys, before, own = self.words()
+            context, last, m = before[first], own[first], n
         cells = np.concatenate([5 * context, 5 * context + np.minimum(m, 3), 5 * last + 4])
         add = np.concatenate([m, np.ones(len(m) + len(last), np.int64)])
         return keys, np.bincount(cells, add, 5 * len(keys)).astype(np.int64).reshape(-1, 5)
 
 
-def parts_of(answers: list[dict] | None, order: int, side: int, name: str, kind: str = "<u8") -> np.ndarray:
+def parts_of(answers: list[dict] | None, order: int, side: int, name: str) -> np.ndarray:
     own = sorted((x for x in answers or [] if x["kind"] == order and x["side"] == side), key=lambda x: x["bucket"])
-    return np.concatenate([unpacked(x[name], kind) for x in own] or [np.zeros(0, kind)]).astype(np.int64)
+    return np.concatenate([widened(x[name]) for x in own] or [np.zeros(0, np.int64)]).astype(np.int64)
 
 
 _ASKED = [("bucket", pa.int32()), ("chunk", pa.int64()), ("side", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())]
@@ -204,18 +233,18 @@ ASKED = "bucket int, chunk long, side int, keys binary, n binary"
 TOLD = "bucket int, kind int, chunk long, side int, other binary, own binary, sums array<long>"
 
 
-def asker(order: int, ranges: int):
+def asker(order: int, bits: int):
     """Requests: a part's distinct n-grams in a range of the hash and their additions."""
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in each(batches):
             for side in (0, 1):
-                part = Part(r, side)
+                part = Part(r, side, bits)
                 if not len(part.c):
                     continue
                 keys, n = part.asked(order, None if order == 3 else parts_of(r["parts"], order + 1, side, "own"))
-                bucket = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(ranges))), len(keys))
-                yield batch_of([(int(bucket[a]), r["chunk"], side, packed(np.diff(keys[a:b], prepend=np.uint64(0))), packed(n[a:b].astype("<u8")))
+                bucket, inside = keys >> np.uint64(KEY), keys & np.uint64((1 << KEY) - 1)
+                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << bits))), len(keys))
+                yield batch_of([(int(bucket[a]), r["chunk"], side, narrow(np.diff(inside[a:b], prepend=np.uint64(0))), narrow(n[a:b]))
                                 for a, b in zip(cuts[:-1], cuts[1:])], _ASKED)
     return asked
 
@@ -224,27 +253,30 @@ def _tally(order: int, rows: list[tuple]) -> Iterator[tuple]:
     """Answers to the requests of a range: the other side's sums, and the count of an own
     n-gram to the one part that owns it; and for each side how many n-grams were seen 1,
     2, 3, 4 and more than 0 times, and the sum of their counts."""
-    keys = [np.cumsum(unpacked(r[3], "<u8"), dtype=np.uint64) for r in rows]
-    n = np.concatenate([unpacked(r[4], "<u8").reshape(-1, WIDE[order]) for r in rows]).astype(np.float64)
-    side = np.repeat([r[2] for r in rows], [len(k) for k in keys])
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    size = int(place.max()) + 1
+    keys = [np.cumsum(widened(r[3]), dtype=np.uint64) for r in rows]
+    ends = np.cumsum([0, *map(len, keys)])
+    place = np.unique(np.concatenate(keys), return_inverse=True)[1].astype(np.int32)
+    size, width = int(place.max()) + 1, WIDE[order]
+    del keys
     whole, sums, own = [], [], np.zeros(len(place), np.int64)
     for k in (0, 1):
-        at = np.flatnonzero(side == k)
-        total = np.stack([np.bincount(place[at], n[at, j], size) for j in range(WIDE[order])], axis=1).astype(np.int64)
+        asked = [i for i, r in enumerate(rows) if r[2] == k]
+        at = np.concatenate([place[ends[i]:ends[i + 1]] for i in asked] or [np.zeros(0, np.int32)])
+        n = np.concatenate([widened(rows[i][4]).reshape(-1, width) for i in asked] or [np.zeros((0, width), np.uint8)])
+        total = [np.bincount(at, n[:, j], size).astype(np.int64) for j in range(width)]
+        count, teach = total[-1], n[:, -1] > 0
+        total = [t.astype(np.min_scalar_type(int(t.max()))) for t in total]
         whole.append(total)
-        count = total[:, -1]
         sums += [int((count == c).sum()) for c in (1, 2, 3, 4)] + [int((count > 0).sum()), int(count.sum())]
-        teach = at[n[at, -1] > 0]
-        found, first = np.unique(place[teach], return_index=True)
-        own[teach[first]] = count[found]
+        if order > 1:
+            spot = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in asked] or [np.zeros(0, np.int64)])[teach]
+            found, first = np.unique(at[teach], return_index=True)
+            own[spot[first]] = count[found]
+        del at, n, total, count, teach
     yield rows[0][0], order, -1, 0, b"", b"", sums
-    end = 0
-    for r, k in zip(rows, keys):
-        a, end = end, end + len(k)
-        yield (r[0], order, r[1], r[2], packed(whole[1 - r[2]][place[a:end]].astype("<u8")),
-               packed(own[a:end].astype("<u8")) if order > 1 else b"", None)
+    for r, a, end in zip(rows, ends[:-1], ends[1:]):
+        other = np.stack([t[place[a:end]] for t in whole[1 - r[2]]], axis=1)
+        yield r[0], order, r[1], r[2], narrow(other), narrow(own[a:end]) if order > 1 else b"", None
 
 
 def teller(order: int):
@@ -268,8 +300,8 @@ def log_probabilities(part: Part, answers: list[dict], side: int, sums: dict[int
     that model's, by order."""
     cut = {o: quality.discounts_of([0, *s[:4]]) for o, s in sums.items()}
     n3, n2, n1 = (parts_of(answers, o, side, "other").reshape(-1, WIDE[o]) for o in (3, 2, 1))
-    words = np.unique(np.append(part.c, np.uint64(0)))
-    b, c = n1[np.searchsorted(words, part.b)], n1[np.searchsorted(words, part.c), 4]
+    _, before, own = part.words()
+    b, c = n1[before], n1[own, 4]
     ones, twos, _, _, seen, total = sums[1]
     rest = (cut[1][1] * ones + cut[1][2] * twos + cut[1][3] * (seen - ones - twos)) / total / (seen + 1)
     p = (c - cut[1][np.minimum(c, 3)]) / total + rest
@@ -286,7 +318,7 @@ def log_probabilities(part: Part, answers: list[dict], side: int, sums: dict[int
     return np.log(mixed(p, n3[at, 0], context, cut[3]))
 
 
-def scorer(sums: dict[int, list[list[int]]], kind: pa.DataType):
+def scorer(sums: dict[int, list[list[int]]], kind: pa.DataType, bits: int):
     """``sums[order][side]``; without words on either side there is no perplexity."""
     ready = all(s[-1] for both in sums.values() for s in both)
 
@@ -295,7 +327,7 @@ def scorer(sums: dict[int, list[list[int]]], kind: pa.DataType):
             stats = unpacked(r["stats"], "<i8").reshape(-1, 5)
             value = np.full(len(stats), np.nan)
             for side in (0, 1) if ready else ():
-                part = Part(r, side)
+                part = Part(r, side, bits)
                 if len(part.c):
                     logs = log_probabilities(part, r["parts"], side, {o: s[1 - side] for o, s in sums.items()})
                     total = np.bincount(part.doc, logs, len(stats))
@@ -321,7 +353,7 @@ def scores(texts: DataFrame, chunk: int = CHUNK, span: int = RANGE) -> DataFrame
     row = sides.agg(*[F.sum(F.col("ones")[i]) for i in range(BITS)], F.sum("n_good"), F.sum("n_all")).first()
     *ones, good, tokens = [x or 0 for x in row]
     bit = min(range(BITS), key=lambda i: abs(2 * ones[i] - good))
-    ranges = max(1, math.ceil(tokens / span))
+    bits = min(max(math.ceil(math.log2(max(tokens, 1) / span)), 0), 64 - KEY)
     one = small(sides.select("chunk", "families").mapInArrow(chosen(bit), "chunk long, sides binary"), 1_000_000)  # a bit a document
     chunks = chunks.drop("marks").join(one, "chunk")
     tokens_of = ("chunk", "good", "stats", "words", "tokens", "sides")
@@ -335,12 +367,14 @@ def scores(texts: DataFrame, chunk: int = CHUNK, span: int = RANGE) -> DataFrame
         source = chunks.select(*tokens_of)
         if order < 3:
             source = source.join(by_chunk(told[order + 1], "own"), "chunk", "left")
-        asked = source.mapInArrow(asker(order, ranges), ASKED)
-        told[order] = materialized(asked.repartition(ranges, "bucket").sortWithinPartitions("bucket", "chunk", "side").mapInArrow(
+        asked = source.mapInArrow(asker(order, bits), ASKED)
+        told[order] = materialized(asked.repartitionById(1 << bits, "bucket").sortWithinPartitions("bucket", "chunk", "side").mapInArrow(
             teller(order), TOLD), f"told{order}")
         found = told[order].where("chunk < 0").agg(*[F.sum(F.col("sums")[i]) for i in range(12)]).first()
         found = [x or 0 for x in found]
         sums[order] = [found[:6], found[6:]]
+        del source, asked
+        swept(texts.sparkSession)
     answers = by_chunk(told[3].unionByName(told[2]).unionByName(told[1]), "other")
     return chunks.join(answers, "chunk", "left").mapInArrow(
-        scorer(sums, arrow), f"id {ddl}, lang string, " + ", ".join(f"{n} long" for n in quality.STATS.names[:5]) + ", log_perplexity double")
+        scorer(sums, arrow, bits), f"id {ddl}, lang string, " + ", ".join(f"{n} long" for n in quality.STATS.names[:5]) + ", log_perplexity double")
