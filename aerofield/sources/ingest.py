@@ -2,6 +2,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from aerofield.operators.intervals import in_ranges
 from aerofield.operators.sequence import blockwise, exact_median, number_rows, range_ranked, unnumbered
 from aerofield.session import materialized, small
 
@@ -60,9 +61,7 @@ def filter_ranges(df: DataFrame, ranges: DataFrame, kind: str = "exclude") -> Da
     if kind not in ("exclude", "include"):
         print(f"unknown line filter {kind!r}: no rows filtered")
         return df
-    dim = small(ranges.select(F.col("line").alias("_line"), "t0", "t1"))
-    inside = (F.col("line") == F.col("_line")) & F.col("tt").between(F.col("t0"), F.col("t1"))
-    return unnumbered(df.join(dim, inside, "left_anti" if kind == "exclude" else "left_semi"))
+    return unnumbered(in_ranges(df, ranges, ["line"], "tt", "t0", "t1", kind == "include"))
 
 
 def sort_by_time(df: DataFrame) -> DataFrame:
