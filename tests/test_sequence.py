@@ -217,3 +217,26 @@ def test_a_missing_value_acts_the_same_at_any_block_size(spark, line_frame):
         gone = lambda v: v is None or v != v
         seen.append(({k for k, v in whole.items() if gone(v)}, {k for k, v in first.items() if gone(v)}))
     assert seen[0] == seen[1] == (set(range(400)), set(range(150, 400)))
+
+
+def test_positions_over_many_groups_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "FAN", 3)
+    draw = np.random.default_rng(8)
+    ids = sorted(draw.choice(5000, 400, replace=False).tolist())
+    rows = [(rn, rn % 2, None if rn % 7 == 0 else rn % 5) for rn in ids]
+    df = spark.createDataFrame(rows, "rn long, line long, x long")
+    for keys in ((), ("line",)):
+        want, n, total = {}, {}, {}
+        for rn, line, x in rows:
+            k = line if keys else 0
+            total[k] = total.get(k, 0) + (x or 0)
+            want[rn] = (n.get(k, 0), total[k])
+            n[k] = n.get(k, 0) + 1
+        got = sequence.number_rows(df.fillna(0), keys, size=16).collect()
+        assert {r.rn: (r.pos, r.n_line) for r in got} == {rn: (want[rn][0], n[line if keys else 0]) for rn, line, _ in rows}
+        spark.conf.set(sequence.BLOCK_CONF, "16")
+        try:
+            sums = sequence.running(df.fillna(0), "x", "s", keys).collect()
+        finally:
+            spark.conf.unset(sequence.BLOCK_CONF)
+        assert {r.rn: r.s for r in sums} == {rn: w[1] for rn, w in want.items()}
