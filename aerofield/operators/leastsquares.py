@@ -2,9 +2,11 @@
 
 Each task reduces its rows [X | y] to the triangular factor of their QR decomposition, which
 has the size of the column list whatever the number of rows.  Factors stacked on each other
-have a factor again, so they are merged task by task and then key by key.  Nothing is
-squared: a factor is as well conditioned as the design itself, where a Gram matrix has the
-square of its condition.
+have a factor again, so they are merged task by task and then key by key.  Rows and factors
+alike are merged in pairs of equal weight, so that rounding grows with the depth of the tree
+and not with the number of rows: the rank of a singular design can be read at any size.
+Nothing is squared: a factor is as well conditioned as the design itself, where a Gram matrix
+has the square of its condition.
 """
 import warnings
 from collections.abc import Sequence
@@ -32,8 +34,9 @@ class Factor:
     def empty(size: int) -> "Factor":
         return Factor(0, 0, np.zeros(size), np.zeros((0, size)))
 
-    def with_rows(self, x: np.ndarray, left_out: int = 0) -> "Factor":
-        return Factor(self.n + len(x), self.left_out + left_out, self.sums + x.sum(axis=0), triangle(np.vstack([self.r, x])))
+    @staticmethod
+    def of_rows(x: np.ndarray, left_out: int = 0) -> "Factor":
+        return Factor(len(x), left_out, x.sum(axis=0), triangle(x))
 
     def merged(self, other: "Factor") -> "Factor":
         return Factor(self.n + other.n, self.left_out + other.left_out, self.sums + other.sums,
@@ -44,9 +47,40 @@ class Factor:
         return self.r.T @ self.r
 
 
+class Tree:
+    """Factors merged as they come, always two of equally many: at most one is kept for each
+    power of two."""
+
+    def __init__(self, size: int):
+        self.empty, self.levels = Factor.empty(size), {}
+
+    def add(self, factor: Factor) -> None:
+        level = 0
+        while level in self.levels:
+            factor, level = self.levels.pop(level).merged(factor), level + 1
+        self.levels[level] = factor
+
+    @property
+    def factor(self) -> Factor:
+        out = self.empty
+        for level in sorted(self.levels):
+            out = out.merged(self.levels[level])
+        return out
+
+
 def triangle(x: np.ndarray) -> np.ndarray:
-    """The triangular factor of ``x``; fewer rows than columns are a factor already."""
-    return np.linalg.qr(x, mode="r") if len(x) > x.shape[1] else x
+    """The triangular factor of ``x``, by short pieces merged in pairs; fewer rows than
+    columns are a factor already."""
+    n = x.shape[1]
+    if len(x) <= n:
+        return x
+    piece = max(4 * n, 64)
+    while len(x) > piece:
+        pieces = -(-len(x) // piece)
+        full = np.zeros((pieces * piece, n))  # rows of zeros change no factor
+        full[:len(x)] = x
+        x, piece = np.linalg.qr(full.reshape(pieces, piece, n), mode="r").reshape(-1, n), 2 * n
+    return np.linalg.qr(x, mode="r")
 
 
 def pivoted(a: np.ndarray) -> tuple[np.ndarray, int]:
@@ -96,8 +130,8 @@ def solved(r: np.ndarray, targets: int = 1, ridge: float = 0.0) -> tuple[np.ndar
     return out, rank
 
 
-def _batch(found: dict, fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    rows = [(*key, f.n, f.left_out, f.sums.tolist(), f.r.reshape(-1).tolist()) for key, f in found.items()]
+def _batch(found: dict[tuple, Tree], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    rows = [(*key, f.n, f.left_out, f.sums.tolist(), f.r.reshape(-1).tolist()) for key, f in ((key, tree.factor) for key, tree in found.items())]
     cols = list(zip(*rows)) or [[]] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
@@ -118,24 +152,24 @@ def factors(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
 
     def reduced(batches):
-        found: dict[tuple, Factor] = {}
+        found: dict[tuple, Tree] = {}
         for batch in batches:
             x = np.column_stack([batch.column(len(keys) + i).to_numpy(zero_copy_only=False).astype(float) for i in range(size)])
             whole = ~np.isnan(x).any(axis=1)
             for key, rows in _grouped(batch, len(keys)):
                 own = whole[rows]
-                found[key] = found.get(key, Factor.empty(size)).with_rows(x[rows][own], int((~own).sum()))
+                found.setdefault(key, Tree(size)).add(Factor.of_rows(x[rows][own], int((~own).sum())))
             if len(found) > HELD:
                 yield _batch(found, arrow)
                 found.clear()
         yield _batch(found, arrow)
 
     def merged(batches):
-        found: dict[tuple, Factor] = {}
+        found: dict[tuple, Tree] = {}
         for batch in batches:
             for *key, n, left_out, sums, r in zip(*[c.to_pylist() for c in batch.columns[:len(arrow)]]):
                 own = Factor(n, left_out, np.array(sums, float), np.array(r, float).reshape(-1, size))
-                found[tuple(key)] = found[tuple(key)].merged(own) if tuple(key) in found else own
+                found.setdefault(tuple(key), Tree(size)).add(own)
         yield _batch(found, arrow)
 
     def one(table: pa.Table) -> pa.Table:

@@ -122,6 +122,15 @@ def test_least_squares_of_an_offset_collinear_design(spark, line_frame):
     assert b[11, 0] == pytest.approx(3 * b[3, 0])  # the least norm shares it out so
 
 
+def test_rank_of_a_collinear_design_in_many_batches(spark):
+    """Rounding must not grow with the number of batches until a dependent column seems free."""
+    x = (F.col("id") * 7919 % 20011) * 0.011 + F.col("id") % 5
+    df = spark.range(0, 1_000_000, 1, 1).select(F.lit(1.0).alias("a"), x.alias("b"), (1 + 2 * x).alias("c"), (50_000 + 3 * x).alias("y"))
+    b, _, rank = leastsquares.fit(df, ["a", "b", "c"], ["y"])
+    t = (50_000 + 2 * 3) / 6  # of all (50000 - t, 3 - 2 t, t) the shortest
+    assert rank == 2 and np.allclose(b[:, 0], [50_000 - t, 3 - 2 * t, t], rtol=1e-9)
+
+
 def test_least_squares_of_few_rows_targets_and_keys(line_frame):
     df = line_frame({1: {"a": [1.0, 2.0], "b": [0.0, 1.0], "c": [0.0, 0.0], "y": [2.0, 5.0], "z": [1.0, 1.0]},
                      2: {"a": [1.0, np.nan, 3.0], "b": [1.0, 1.0, 0.0], "c": [2.0, 1.0, 0.0], "y": [3.0, 9.0, 3.0], "z": [0.0] * 3}})
