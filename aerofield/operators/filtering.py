@@ -5,12 +5,16 @@ vector.  Such maps compose, so each block is filtered from rest on its own, the
 between blocks follow from a scan over one small row per block, and each row is corrected
 by its block's opening states.  No block carries rows of its neighbours, however long the
 filter remembers.
+
+A line that fits one block needs no scan.  Such lines are filtered in one piece, as many at a
+time as an Arrow batch holds, those of equal length together.
 """
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from aerofield.functions.filters import Sections, butterworth
@@ -45,13 +49,17 @@ class Kernel:
 
     def rest(self, x: np.ndarray) -> np.ndarray:
         """Output from rest, along the first axis."""
-        size = 1 << (2 * len(x) - 1).bit_length()
-        h = np.fft.rfft(self.h[:len(x)], size)
-        return np.fft.irfft(np.fft.rfft(x, size, axis=0) * (h if x.ndim == 1 else h[:, None]), size, axis=0)[:len(x)]
+        return self.rest_rows(x.T).T
+
+    def rest_rows(self, x: np.ndarray) -> np.ndarray:
+        """Output from rest, along the last axis."""
+        m = x.shape[-1]
+        size = 1 << (2 * m - 1).bit_length()
+        return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(self.h[:m], size), size)[..., :m]
 
     def closing(self, x: np.ndarray) -> np.ndarray:
-        """State after ``x``, from rest."""
-        return x[::-1] @ self.taps[:len(x)]
+        """State after ``x``, from rest, along the last axis."""
+        return x[..., ::-1] @ self.taps[:x.shape[-1]]
 
 
 @functools.lru_cache(maxsize=4)
@@ -213,6 +221,91 @@ def _corrected(held: DataFrame, states: DataFrame, keys, columns: list[str], sec
     return joined.mapInPandas(run, schema)
 
 
+Run = Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table]
+
+
+def _begins(table: pa.Table, keys: int) -> np.ndarray:
+    """Where the keys, the first columns, differ from the row before."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for column in table.columns[:keys]:
+        codes = column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in the order of their keys, cut where a group ends, and the groups' first rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = pa.Table.from_batches([b.slice(b.num_rows - 1) for b in held[-1:]] + [batch])
+        last = int(_begins(ends, keys)[-1]) - len(held[-1:])  # where the batch's last group begins
+        if last < 0 or not held and last == 0:  # nothing has ended
+            held.append(batch)
+            continue
+        done = pa.Table.from_batches([*held, batch.slice(0, last)])
+        yield done, _begins(done, keys)
+        held = [batch.slice(last)]
+    if held:
+        done = pa.Table.from_batches(held)
+        yield done, _begins(done, keys)
+
+
+def _in_lines(df: DataFrame, keys: Sequence[str], run: Run, schema: T.StructType) -> DataFrame:
+    """``run`` on whole lines in the order of ``pos``, many at a time: it gets a table, whose
+    first columns are the keys, and the lines' first rows and lengths in it."""
+    def lines(batches):
+        for table, starts in _whole_groups(batches, len(keys)):
+            yield from run(table, starts, np.diff(starts, append=table.num_rows)).to_batches()
+    rows = df.select(*keys, *[c for c in df.columns if c not in keys])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(lines, schema)
+
+
+def _doubles(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """Columns one below the other, missing values as NaN."""
+    return np.stack([table.column(c).to_numpy().astype(float) for c in columns])
+
+
+def _by_length(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length the row numbers of the lines that have it."""
+    for m in np.unique(sizes):
+        yield int(m), starts[sizes == m][:, None] + np.arange(m)
+
+
+def _longer(rows: DataFrame, room: int) -> bool:
+    """Whether any line has more than ``room`` rows."""
+    return (rows.agg(F.max("n_line")).first()[0] or 0) > room
+
+
+def _zero_phase_lines(slim: DataFrame, keep: list[str], columns: list[str], keys, sections: Sections, size: int) -> DataFrame:
+    """``zero_phase`` for lines that, with their extensions, fit one block."""
+    n, pad, level = len(columns), sections.pad, sections.gain * sections.gain
+    schema = T.StructType([slim.schema[k] for k in keep] + [T.StructField(c, T.DoubleType()) for c in columns])
+
+    def run(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        k = kernel(sections, size)
+        x = _doubles(table, [f"_x{i}" for i in range(n)])
+        out, filtered = x.copy(), np.zeros(x.shape[1], bool)
+        for m, at in _by_length(starts, sizes):
+            if m <= sections.shortest:
+                continue
+            filtered[at] = True
+            v = x[:, at]
+            first, last = v[..., :1], v[..., -1:]
+            e = np.concatenate([2 * first - v[..., pad:0:-1], v, 2 * last - v[..., -2:-pad - 2:-1]], axis=-1)
+            base = e[..., :1]
+            y = k.rest_rows(np.nan_to_num(e - base))
+            y = k.rest_rows(y[..., ::-1]) + y[..., -1:] * (k.echo[:e.shape[-1]] @ k.steady)
+            y = y[..., ::-1][..., pad:-pad] + level * base
+            y = np.where(v.min(axis=-1, keepdims=True) == v.max(axis=-1, keepdims=True), v, y)
+            out[:, at] = np.where(np.isnan(v).any(axis=-1, keepdims=True), np.nan, y)
+        done = [pa.array(y, mask=table.column(f"_x{i}").is_null().to_numpy() & ~filtered) for i, y in enumerate(out)]
+        return pa.Table.from_arrays([*[table.column(c) for c in keep], *done], names=schema.names)
+    return _in_lines(slim, keys, run, schema)
+
+
 def _block_size(df: DataFrame, sections: Sections) -> int:
     return max(block_rows(df.sparkSession), 2 * len(sections.rows))
 
@@ -231,6 +324,11 @@ def zero_phase(df: DataFrame, columns: list[str], sections: Sections | None = No
     pos, last = F.col("pos"), F.col("n_line") - 1
     long = F.col("n_line") > f.shortest
     slim = rows.select(*keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    room = size - 2 * pad
+    whole = _zero_phase_lines(slim.where(F.col("n_line") <= room), keep, columns, keys, f, size)
+    if not _longer(rows, room):
+        return whole
+    slim = slim.where(F.col("n_line") > room)
     stats = {}
     for i in range(n):
         x = F.col(f"_x{i}")
@@ -253,7 +351,7 @@ def zero_phase(df: DataFrame, columns: list[str], sections: Sections | None = No
     level = f.gain * f.gain
     final = lambda i: (F.when(~long, F.col(f"_x{i}")).when(F.col(f"_gap{i}"), F.lit(float("nan"))).when(F.col(f"_flat{i}"), F.col(f"_x{i}"))
                        .otherwise(F.col(f"_y{i}") + level * F.col(f"_e{i}")))
-    return done.select(*keep, *[final(i).alias(c) for i, c in enumerate(columns)])
+    return whole.unionByName(done.select(*keep, *[final(i).alias(c) for i, c in enumerate(columns)]))
 
 
 def _forward(df: DataFrame, columns: list[str], sections: Sections, keep: list[str], state, keys):
@@ -267,6 +365,23 @@ def _forward(df: DataFrame, columns: list[str], sections: Sections, keep: list[s
     return held, scanned(blocks, keys, sections, size), size
 
 
+def _causal_lines(slim: DataFrame, keep: list[str], columns: list[str], keys, sections: Sections, size: int, state) -> DataFrame:
+    """``causal`` for lines that fit one block."""
+    schema = T.StructType([slim.schema[k] for k in keep] + [T.StructField(c, T.DoubleType()) for c in columns])
+    opening = np.ravel(state) if state is not None else None
+
+    def run(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        k = kernel(sections, size)
+        out = _doubles(table, columns)
+        for m, at in _by_length(starts, sizes):
+            v = out[:, at]
+            gone = np.logical_or.accumulate(np.isnan(v), axis=-1)
+            y = k.rest_rows(np.nan_to_num(v)) + (k.echo[:m] @ opening if opening is not None else 0.0)
+            out[:, at] = np.where(gone, np.nan, y)
+        return pa.Table.from_arrays([*[table.column(c) for c in keep], *map(pa.array, out)], names=schema.names)
+    return _in_lines(slim, keys, run, schema)
+
+
 def causal(df: DataFrame, columns: list[str], sections: Sections, keep: list[str] | None = None,
            state=None, keys=LINE) -> DataFrame:
     """One forward pass from rest, or from a state per section.  From a line's first
@@ -274,22 +389,41 @@ def causal(df: DataFrame, columns: list[str], sections: Sections, keep: list[str
     rows = number_rows(df, keys)
     keep = [c for c in (keep or [c for c in rows.columns if c not in columns])]
     keep += [c for c in (*keys, "pos", "n_line") if c not in keep]
+    slim = rows.select(*keep, *[F.col(c).cast("double") for c in columns])
+    size = _block_size(df, sections)
+    whole = _causal_lines(slim.where(F.col("n_line") <= size), keep, columns, keys, sections, size, state)
+    if not _longer(rows, size):
+        return whole
     stops = {f"_end{i}": F.min(F.when(_missing(c), F.col("pos"))) for i, c in enumerate(columns)}
-    slim = with_group_stats(rows.select(*keep, *[F.col(c).cast("double") for c in columns]), stops, keys)
+    slim = with_group_stats(slim.where(F.col("n_line") > size), stops, keys)
     held, blocks, size = _forward(slim, columns, sections, [*keep, *stops], state, keys)
     done = _corrected(held, blocks.select(*keys, "_blk", "_s"), keys, columns, sections, size, False)
-    return done.select(*keep, *[F.when(F.col("pos") >= F.col(f"_end{i}"), F.lit(float("nan"))).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)])
+    return whole.unionByName(done.select(*keep, *[
+        F.when(F.col("pos") >= F.col(f"_end{i}"), F.lit(float("nan"))).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)]))
 
 
 def closing_state(df: DataFrame, column: str, sections: Sections, keys=LINE) -> DataFrame:
     """The filter's state after each line's last row, from rest."""
-    rows = number_rows(df, keys).select(*keys, "pos", F.col(column).cast("double").alias("_x"))
-    _, blocks, size = _forward(rows, ["_x"], sections, list(keys), None, keys)
+    rows = number_rows(df, keys).select(*keys, "pos", "n_line", F.col(column).cast("double").alias("_x"))
+    size = _block_size(df, sections)
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("state", REALS)])
+
+    def run(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        k = kernel(sections, size)
+        x, out = np.nan_to_num(_doubles(table, ["_x"])[0]), np.zeros((len(starts), 2 * len(sections.rows)))
+        for m, at in _by_length(starts, sizes):
+            out[sizes == m] = k.closing(x[at])
+        ends = table.take(pa.array(starts))
+        return pa.Table.from_arrays([*[ends.column(c) for c in keys], pa.array(out.tolist(), pa.list_(pa.float64()))], names=schema.names)
+    whole = _in_lines(rows.where(F.col("n_line") <= size), keys, run, schema)
+    if not _longer(rows, size):
+        return whole
+    _, blocks, size = _forward(rows.where(F.col("n_line") > size), ["_x"], sections, list(keys), None, keys)
 
     @F.pandas_udf(REALS)
     def after(m: pd.Series, add: pd.Series, opened: pd.Series) -> pd.Series:
         return pd.Series([(power(sections, size, int(n)) @ np.array(s) + np.array(c)).tolist() for n, c, s in zip(m, add, opened)])
-    return blocks.withColumn("state", after("_m", "_add", "_s")).groupBy(*keys).agg(F.max_by("state", "_blk").alias("state"))
+    return whole.unionByName(blocks.withColumn("state", after("_m", "_add", "_s")).groupBy(*keys).agg(F.max_by("state", "_blk").alias("state")))
 
 
 def low_pass_currents(df: DataFrame, sensors: list[str], fs: float, keep: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aerofield.functions.filters import butterworth
 from aerofield.operators import filtering, leastsquares, models
+from aerofield.operators.sequence import BLOCK_CONF
 
 
 def _filtfilt(f, x):
@@ -57,6 +58,50 @@ def test_a_memory_longer_than_many_blocks(spark, line_frame, tiny_blocks, monkey
     assert np.allclose(end, np.ravel(closing), rtol=1e-7, atol=1e-5)
 
 
+@pytest.fixture
+def some_lines_in_one_block(spark):
+    """Blocks of 128 rows and Arrow batches of 50: some lines fit a block, none a batch."""
+    spark.conf.set(BLOCK_CONF, "128")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    yield
+    spark.conf.unset(BLOCK_CONF)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lines_with_and_without_a_scan(line_frame, some_lines_in_one_block):
+    f = butterworth(1.0, 4.0, 10.0, 2)
+    rng = np.random.default_rng(8)
+    lines = {n: rng.normal(size=size) + 300 for n, size in enumerate([400, 70, 5, 70, 128, 1, 90, 129])}
+    lines[3][20], lines[6][:] = np.nan, 7.0
+    df = line_frame({n: {"x": x} for n, x in lines.items()})
+    got = {n: p.sort_values("rn")["x"].to_numpy() for n, p in filtering.zero_phase(df, ["x"], f).toPandas().groupby("line")}
+    state = [(0.5, -0.2), (0.1, 0.3)]
+    ran = {n: p.sort_values("rn")["x"].to_numpy() for n, p in filtering.causal(df, ["x"], f, state=state).toPandas().groupby("line")}
+    ends = {r["line"]: r["state"] for r in filtering.closing_state(df, "x", f).collect()}
+    assert got.keys() == ran.keys() == ends.keys() == lines.keys()
+    for n, x in lines.items():
+        want, _ = f.recurse(np.nan_to_num(x), state)
+        stop = 20 if n == 3 else len(x)
+        assert np.allclose(ran[n][:stop], want[:stop], atol=1e-9) and np.isnan(ran[n][stop:]).all()
+        assert np.allclose(ends[n], np.ravel(f.recurse(np.nan_to_num(x))[1]), atol=1e-9)
+        if n == 3:
+            assert np.isnan(got[n]).all()
+        else:
+            assert np.allclose(got[n], x if len(x) <= f.shortest or n == 6 else _filtfilt(f, x), atol=1e-9)
+
+
+def test_short_lines_are_filtered_many_at_a_time(spark, monkeypatch):
+    """Lines that fit a block store no blocks, and take a task of few steps for all of them."""
+    def none(*_):
+        raise AssertionError("a line that fits a block was cut")
+    monkeypatch.setattr(filtering, "_by_block", none)
+    df = spark.range(0, 60_000, 1, 4).select(F.lit("F").alias("flight"), F.floor(F.col("id") / 60).alias("line"), F.col("id").alias("rn"), F.sin("id").alias("x"))
+    f = butterworth(1.0, 4.0, 10.0, 2)
+    for got in (filtering.zero_phase(df, ["x"], f), filtering.causal(df, ["x"], f)):
+        assert got.count() == 60_000
+    assert filtering.closing_state(df, "x", f).count() == 1000
+
+
 def test_gain_of_a_sine(line_frame):
     t = np.arange(2000) / 10
     keep, drop = np.sin(2 * np.pi * 0.4 * t), np.sin(2 * np.pi * 3.0 * t)
