@@ -421,11 +421,11 @@ def edge_distances(grid: DataFrame, marked: dict[str, Column]) -> DataFrame:
     In each grid column the nearest marked cell is the last or next one; in each grid row
     the squares of those distances are parabolas, whose lower envelope is the squared
     distance.  Both passes are linear in the cells and see one column or row at a time."""
-    column = Window.partitionBy("map_id", "iz", "ix").orderBy("iy")
-    before, after = (column.rowsBetween(*r) for r in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
+    column = Window.partitionBy("map_id", "iz", "ix")  # a frame that ends with the column would be summed up for each cell
+    before, after = (column.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("iy"), F.desc("iy")))
     y = F.col("iy")
     here = {name: F.when(mark, y) for name, mark in marked.items()}
-    near = grid.select(*CELL, *[F.least(y - F.last(m, True).over(before), F.first(m, True).over(after) - y).cast("double").alias(name)
+    near = grid.select(*CELL, *[F.least(y - F.last(m, True).over(before), F.last(m, True).over(after) - y).cast("double").alias(name)
                                 for name, m in here.items()])
     names = list(marked)
 

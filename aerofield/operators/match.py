@@ -12,7 +12,8 @@ def nearest_in_time(samples: DataFrame, times: DataFrame, keys=("flight",),
 
     Samples and query times meet in blocks of ``tick`` seconds; a small table of
     each block's first and last sample supplies the neighbours across empty
-    blocks.
+    blocks.  What follows a row is read in descending order, as a frame that ends
+    with its partition is summed up anew for every row.
     """
     asked = times.select(*keys, "t").distinct()
     hit = lambda on: F.struct(F.col("tt" if on else "t").alias("t"), F.col(row).alias("r") if on
@@ -25,15 +26,15 @@ def nearest_in_time(samples: DataFrame, times: DataFrame, keys=("flight",),
                      F.lit(1).alias("_q"), F.lit(None).cast("struct<t:double,r:bigint>").alias("_s"))
     both = a.unionByName(b)
     ends = both.groupBy(*keys, "_b").agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"))
-    w = Window.partitionBy(*keys).orderBy("_b")
+    earlier = lambda w, upto: w.rowsBetween(Window.unboundedPreceding, upto)
+    blocks, inside = Window.partitionBy(*keys), Window.partitionBy(*keys, "_b")
     carry = ends.select(
         *keys, "_b",
-        F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
-        F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_right"))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_t", "_q")
+        F.last("_last", True).over(earlier(blocks.orderBy("_b"), -1)).alias("_left"),
+        F.last("_first", True).over(earlier(blocks.orderBy(F.desc("_b")), -1)).alias("_right"))
     found = (both.withColumns({
-        "_before": F.last("_s", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-        "_after": F.first("_s", True).over(inside.rowsBetween(0, Window.unboundedFollowing))})
+        "_before": F.last("_s", True).over(earlier(inside.orderBy("_t", "_q"), 0)),
+        "_after": F.last("_s", True).over(earlier(inside.orderBy(F.desc("_t"), F.desc("_q")), 0))})
         .filter("_q = 1").join(carry, [*keys, "_b"]))
     lo, hi = F.coalesce("_before", "_left"), F.coalesce("_after", "_right")
     dlo, dhi = F.col("_t") - lo["t"], hi["t"] - F.col("_t")

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aerofield.operators import differences, match, segments, sequence
+from aerofield.operators import differences, maps, match, segments, sequence
 
 
 @pytest.fixture
@@ -178,6 +178,20 @@ def test_systematic_resample(line_frame, tiny_blocks):
         assert got["rn"].tolist() == np.clip(want, 0, 99).tolist()
 
 
+def test_what_follows_is_read_without_growing_frames(spark):
+    """A frame that ends with its partition takes the square of the rows in it."""
+    s = spark.range(2000).select(F.lit("F").alias("flight"), F.col("id").alias("rn"), (F.col("id") * 0.5).alias("tt"))
+    t = s.select("flight", (F.col("tt") + 0.3).alias("t"))
+    near = match.nearest_in_time(s, t)
+    grid = spark.range(40).select(F.lit("m").alias("map_id"), F.lit(0).alias("iz"), (F.col("id") % 8).alias("iy"), F.floor(F.col("id") / 8).alias("ix"))
+    edges = maps.edge_distances(grid, {"d": (F.col("iy") == 2) & (F.col("ix") == 1)})
+    for df in (near, edges):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+    got = {r["t"]: r["rn"] for r in near.collect()}
+    assert len(got) == 2000 and all(rn == min(round(t / 0.5), 1999) for t, rn in got.items())
+    assert all(r["d"] == pytest.approx(((r["iy"] - 2) ** 2 + (r["ix"] - 1) ** 2) ** 0.5) for r in edges.collect())
+
+
 def test_nearest_in_time_over_empty_blocks(spark):
     s = pd.DataFrame({"flight": "F", "rn": range(6), "tt": [0.0, 1.0, 1.0, 500.0, 9000.0, 9001.0]})
     t = pd.DataFrame({"flight": "F", "t": [-50.0, 0.5, 1.0, 300.0, 4750.0, 5000.0, 99999.0]})
