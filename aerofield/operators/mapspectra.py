@@ -2,7 +2,8 @@
 columns of the grid, with transfer functions as Columns between them.
 
 A task holds single grid rows or columns, so map size is not limited by memory.
-Grids must be full; gaps and masked cells count as 0.
+Grids must be full; gaps and masked cells count as 0.  What belongs to a map, a level or a grid
+row is joined to whole grid rows, before they are laid out in cells.
 """
 import math
 
@@ -43,33 +44,49 @@ def _arrays(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return got.select(*keys, F.col("_r.re").alias("re"), F.col("_r.im").alias("im"))
 
 
-def _pass(df: DataFrame, keys: list[str], order: str, into: str, udf) -> DataFrame:
-    arr = _arrays(df, keys, order).withColumn("_f", udf("re", "im"))
-    return arr.select(*keys, F.posexplode(F.arrays_zip("_f.re", "_f.im")).alias(into, "_z")).select(
+def _transformed(df: DataFrame, keys: list[str], order: str, udf) -> DataFrame:
+    """A row per grid row or column, with its transform ``_f``."""
+    return _arrays(df, keys, order).select(*keys, udf("re", "im").alias("_f"))
+
+
+def _laid_out(rows: DataFrame, into: str) -> DataFrame:
+    keys = [c for c in rows.columns if c != "_f"]
+    return rows.select(*keys, F.posexplode(F.arrays_zip("_f.re", "_f.im")).alias(into, "_z")).select(
         *keys, F.col(into).cast("long").alias(into), F.col("_z.re").alias("re"), F.col("_z.im").alias("im"))
 
 
-def forward(cells: DataFrame, value: str = "val", steps: DataFrame | None = None) -> DataFrame:
-    """Spectrum of each map level: rows (map_id, iz, jx, jy, re, im, kx, ky, k)."""
+def _pass(df: DataFrame, keys: list[str], order: str, into: str, udf) -> DataFrame:
+    return _laid_out(_transformed(df, keys, order, udf), into)
+
+
+def forward(cells: DataFrame, value: str = "val", steps: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
+    """Spectrum of each map level: rows (map_id, iz, jx, jy, re, im, kx, ky, k), and the
+    columns of ``told``, which has a row per wanted level."""
     v = F.col(value)
     live = F.when(is_gap(v) | ~F.coalesce("mask", F.lit(True)), F.lit(0.0)) if "mask" in cells.columns else F.when(is_gap(v), F.lit(0.0))
     flat = cells.select(*TILE, "iy", "ix", live.otherwise(v).alias("re"), F.lit(0.0).alias("im"))
     by_x = _pass(flat, [*TILE, "iy"], "ix", "jx", transform_arrays)
-    spec = _pass(by_x, [*TILE, "jx"], "iy", "jy", transform_arrays)
+    rows = _transformed(by_x, [*TILE, "jx"], "iy", transform_arrays)
     meta = map_meta(cells).select("map_id", "nx", "ny", *(["dx", "dy"] if steps is None else []))
     if steps is not None:
         meta = meta.join(steps, "map_id")
     kx, ky = _wave(F.col("jx"), F.col("nx"), F.col("dx")), _wave(F.col("jy"), F.col("ny"), F.col("dy"))
-    return (spec.join(small(meta), "map_id").withColumns({"kx": kx, "ky": ky})
+    rows = rows.join(small(meta), "map_id")
+    rows = rows.join(small(told), TILE) if told is not None else rows
+    return (_laid_out(rows, "jy").withColumns({"kx": kx, "ky": ky})
             .withColumn("k", F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky"))))
 
 
 def inverse(spec: DataFrame, into: str = "val", extra: tuple[str, ...] = ()) -> DataFrame:
     """Real values of a spectrum; ``extra`` keys tell several outputs apart."""
     keys = [*TILE, *extra]
+    return _laid_out(_inverse_rows(spec, keys), "ix").select(*keys, "iy", "ix", F.col("re").alias(into))
+
+
+def _inverse_rows(spec: DataFrame, keys: list[str]) -> DataFrame:
+    """The grid rows of a spectrum's values (``_f``)."""
     by_y = _pass(spec.select(*keys, "jx", "jy", "re", "im"), [*keys, "jx"], "jy", "iy", invert_arrays)
-    vals = _pass(by_y, [*keys, "iy"], "jx", "ix", invert_arrays)
-    return vals.select(*keys, "iy", "ix", F.col("re").alias(into))
+    return _transformed(by_y, [*keys, "iy"], "jx", invert_arrays)
 
 
 def scaled(spec: DataFrame, h: Column) -> DataFrame:
@@ -129,23 +146,24 @@ def continued(cells: DataFrame, altitudes: list[float], alpha: float = 0.0, step
     border = known.filter((F.col("_from") == F.col("_lo")) | (F.col("_from") == F.col("_hi")))
     source = cells.join(small(border.select(*TILE)), TILE, "left_semi")
     source = padded(source, pad, value) if pad else source
-    spec = forward(source, value, steps).join(small(border), TILE)
+    spec = forward(source, value, steps, border)
     many = spec.withColumn("alt", F.explode(F.array(*[F.lit(float(a)) for a in sorted(set(altitudes))]))).filter(
         (F.col("_n") == 1) | ((F.col("alt") < F.col("_lo")) & (F.col("_from") == F.col("_lo")))
         | ((F.col("alt") > F.col("_hi")) & (F.col("_from") == F.col("_hi"))))
-    out = inverse(scaled(many, _continuation(F.col("alt") - F.col("_from"), F.lit(alpha))), value, ("alt",))
-    shift = map_meta(cells).select("map_id", "ix_min", "iy_min")
-    out = out.join(small(shift), "map_id").withColumns({"ix": F.col("ix") + F.col("ix_min") - pad, "iy": F.col("iy") + F.col("iy_min") - pad})
-    mask = F.col("mask") if "mask" in cells.columns else F.lit(True).alias("mask")
-    axes = cells.select(*TILE, "iy", "ix", "xx", "yy", mask)
-    cols = ["map_id", "iy", "ix", "xx", "yy", "alt", value, "mask"]
-    kept = cells.join(small(ends.filter("_n > 1").select("map_id")), "map_id", "left_semi").withColumn("mask", mask)
-    every = out.join(axes, [*TILE, "iy", "ix"]).select(*cols).unionByName(kept.select(*cols))
     wanted = known.select("map_id", "_lo", "_hi", "_n").distinct().withColumn(
         "alt", F.explode(F.array(*[F.lit(float(a)) for a in sorted(set(altitudes))]))).filter(
         "_n = 1 OR alt < _lo OR alt > _hi").select("map_id", "alt").union(known.filter("_n > 1").select("map_id", "_from"))
     index = wanted.distinct().withColumn("iz", (F.row_number().over(Window.partitionBy("map_id").orderBy("alt")) - 1).cast("long"))
-    return every.join(small(index), ["map_id", "alt"]).select("map_id", "iz", "iy", "ix", "xx", "yy", "alt", value, "mask")
+    rows = _inverse_rows(scaled(many, _continuation(F.col("alt") - F.col("_from"), F.lit(alpha))), [*TILE, "alt"])
+    shift = map_meta(cells).select("map_id", "ix_min", "iy_min")
+    rows = rows.join(small(shift), "map_id").withColumn("iy", F.col("iy") + F.col("iy_min") - pad)
+    mask = F.col("mask") if "mask" in cells.columns else F.lit(True).alias("mask")
+    axes = cells.groupBy(*TILE, "iy").agg(F.collect_list(F.struct("ix", "xx", "yy", mask)).alias("_cells"))
+    placed = rows.join(axes, [*TILE, "iy"]).drop("iz").join(small(index), ["map_id", "alt"])
+    out = placed.select("map_id", "iz", "iy", "alt", "ix_min", F.col("_f.re").alias("_v"), F.explode("_cells").alias("_c")).select(
+        "map_id", "iz", "iy", "_c.ix", "_c.xx", "_c.yy", "alt", F.get("_v", (F.col("_c.ix") - F.col("ix_min") + pad).cast("int")).alias(value), "_c.mask")
+    kept = cells.join(small(ends.filter("_n > 1").select("map_id")), "map_id", "left_semi").withColumn("mask", mask).drop("iz")
+    return out.unionByName(kept.join(small(index), ["map_id", "alt"]).select(*out.columns))
 
 
 def smoothed(cells: DataFrame, kind: str = "lowpass", wavelength=None, steps: DataFrame | None = None) -> DataFrame:

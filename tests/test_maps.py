@@ -124,6 +124,20 @@ def test_continuation_adds_up(spark):
         mapspectra.smoothed(_cells(spark, val), "odd")
 
 
+def test_continued_cells_are_laid_out_after_all_joins(spark):
+    """Joins of cells sort them all; joins of grid rows do not."""
+    val = np.random.default_rng(5).normal(size=(5, 6)) + 9
+    far = _cells(spark, val).withColumns({"ix": F.col("ix") + 40, "iy": F.col("iy") - 3})  # a map that begins elsewhere
+    got = mapspectra.continued(far, [301.0], pad=2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate explode(_cells") < plan.index("Join")
+    want = mapspectra.continued(_cells(spark, val), [301.0], pad=2)
+    order = lambda df: df.orderBy("iy", "ix").toPandas()
+    assert np.allclose(order(got)["val"], order(want)["val"]) and len(order(got)) == 30
+    assert order(got)["ix"].min() == 40 and order(got)["iy"].min() == -3
+    assert order(got)[["xx", "yy"]].equals(order(want)[["xx", "yy"]])
+
+
 def test_spectral_gradient_of_a_wave(spark):
     y, x = np.mgrid[0:16, 0:16]
     val = np.sin(2 * np.pi * x / 16) + 3.0
