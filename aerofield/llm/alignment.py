@@ -9,6 +9,7 @@ overlap.
 How often two ids are linked in the whole corpus is asked for by chunks of documents: a
 chunk holds each of its pairs once, so a pair that is in every document is one row a chunk."""
 import functools
+import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -245,6 +246,12 @@ def aligned(docs: DataFrame, text: str = "text", byte_path: str | None = None, p
     tokens do not spell, have no tokens: zeros, an empty ``groups`` and no pairs.  Equal
     rows stay; columns of these names in ``docs`` are an error.  A long text is aligned a
     block at a time; memory goes with its tokens."""
+    run, schema = _alignment(docs, text, byte_path, piece_path)
+    return whole_texts(docs).mapInArrow(run, schema)
+
+
+def _alignment(docs: DataFrame, text: str, byte_path: str | None, piece_path: str | None):
+    """What ``aligned`` does to the batches of a task, and its schema."""
     import public_tokenizers
 
     byte_path, piece_path = byte_path or public_tokenizers.path(BYTES), piece_path or pieces.model_path()
@@ -271,7 +278,7 @@ def aligned(docs: DataFrame, text: str = "text", byte_path: str | None = None, p
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in kept] + [pa.array(f, pa.int64()) for f in found[:4]]
                     + [pa.array(found[4], pa.string()), lists(found[5]), lists(found[6])], names=schema.names)
-    return whole_texts(docs).mapInArrow(run, schema)
+    return run, schema
 
 
 # ---- counts of the corpus ----
@@ -352,9 +359,14 @@ def linked(rows: DataFrame, doc_id: str = "doc_id", digest: str = "groups_sha256
     counts of its links.  A null doc_id stays one; rows without pairs have zeros; without
     rows there is none."""
     kind = rows.schema[doc_id].dataType
+    chunks = rows.select(F.col(doc_id).alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", F.col(digest).alias("digest"), "pairs", "times").mapInArrow(
+        chunker(to_arrow_type(kind), chunk), _CHUNK.format(kind.simpleString()))
+    return _counted(materialized(chunks, "chunks"), kind, digest)
+
+
+def _counted(chunks: DataFrame, kind: T.DataType, digest: str) -> DataFrame:
+    """``linked`` from stored chunks."""
     arrow = to_arrow_type(kind)
-    chunks = materialized(rows.select(F.col(doc_id).alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", F.col(digest).alias("digest"), "pairs", "times")
-                          .mapInArrow(chunker(arrow, chunk), _CHUNK.format(kind.simpleString())), "chunks")
     asked = chunks.where("length(keys) > 0").select("chunk", "keys", "at", "times").mapInArrow(exploded, "chunk long, pair long, n long")
     counts = materialized(asked.groupBy("pair").agg(F.sum("n").alias("count")), "counts")
     by_b = F.shiftright("pair", 32)
@@ -366,6 +378,22 @@ def linked(rows: DataFrame, doc_id: str = "doc_id", digest: str = "groups_sha256
     return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(summed(schema, arrow), schema)
 
 
-def query(docs: DataFrame) -> DataFrame:
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return linked(aligned(docs.select("doc_id", "text")).withColumn("groups_sha256", digest).drop("groups"))
+def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``aligned`` with the SHA-256 of their groups (none: empty) in their place."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("groups")).to_pylist()
+        cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names) if name != "groups"}
+        cols["digest"] = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], pa.string())
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def query(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``linked`` of ``aligned``.  A task aligns and chunks its rows in one Python worker: were
+    there one for each, workers would change places from task to task, and all of an
+    executor's would come to hold vocabularies and units."""
+    rows = docs.select("doc_id", "text")
+    run, _ = _alignment(rows, "text", None, None)
+    kind = rows.schema["doc_id"].dataType
+    chunks = chunker(to_arrow_type(kind), chunk)
+    held = whole_texts(rows).mapInArrow(lambda batches: chunks(digested(run(batches))), _CHUNK.format(kind.simpleString()))
+    return _counted(materialized(held, "chunks"), kind, "groups_sha256")

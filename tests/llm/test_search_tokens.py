@@ -183,6 +183,17 @@ def test_alignment_equals_brute_force(spark, docs_of, library, chunk, tables):
         assert sorted(map(tuple, alignment.query(docs_of(rows)).collect()), key=str) == brute_alignment(rows, library)
 
 
+def test_a_task_aligns_and_chunks_in_one_python_worker(spark, docs_of, monkeypatch):
+    plans, stored = [], alignment.materialized
+    monkeypatch.setattr(alignment, "materialized", lambda df, label: (plans.append((label, df._jdf.queryExecution().toString())), stored(df, label))[1])
+    rows = [(k, f"some words {k} \n of text") for k in range(30)] + [(None, None), (7, "")]
+    got = alignment.query(docs_of(rows), 20)
+    assert [plan.partition("== Physical Plan ==")[2].count("MapInArrow") for label, plan in plans if label == "chunks"] == [1]
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    parts = alignment.linked(alignment.aligned(docs_of(rows)).withColumn("groups_sha256", digest), chunk=20)
+    assert got.schema == parts.schema and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
+
+
 def test_a_long_text_is_aligned_as_its_units(spark, docs_of, library, monkeypatch):
     text = "The quick  brown fox's 日本 jumps;\nover it all. " * 40
     monkeypatch.setattr(pieces, "BLOCK", 64)
