@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from aerofield.functions import attitude, compensation as comp
 from aerofield.functions.filters import butterworth
 from aerofield.operators import differences, filtering, leastsquares, models, segments, select, stats
-from aerofield.operators.sequence import BLOCK_CONF
+from aerofield.operators.sequence import BLOCK_CONF, number_rows
 from aerofield.plans.queries_lines import numbered
 from aerofield.plans.registry import least_squares, query, r, rounded, sql
+from aerofield.session import materialized
 from aerofield.sources import adapters as src
 
 _W = "WINDOW w AS (PARTITION BY flight, line ORDER BY rn)"
@@ -539,6 +540,7 @@ def _(spark, sf):
 @query("m8_model_kinds", "M8")
 def _(spark, sf):
     df = src.samples(spark, sf).withColumn("map_val", F.col("mag_1_c") * 0.5)
+    df = materialized(number_rows(df.select("flight", "line", "rn", "mag_1_uc", "mag_1_c", "flux_a", "map_val", *_FEATS)), "numbered")  # for all kinds
     out = None
     for kind in models.KINDS:
         m = models.train(df, kind, _FEATS, map_val="map_val")
