@@ -19,7 +19,7 @@ from aerofield.operators import leastsquares, select, stats
 from aerofield.operators.filtering import zero_phase
 from aerofield.operators.segments import shuffle_key, trim_lines
 from aerofield.operators.sequence import LINE, block_rows, number_rows, with_group_stats
-from aerofield.session import small
+from aerofield.session import materialized, small
 
 ONE = "_one"
 REALS = T.ArrayType(T.DoubleType())
@@ -392,12 +392,17 @@ def compensate_lines(samples: DataFrame, lines: DataFrame, flights: DataFrame, t
                      n_min: int = 3, buffer: int = 0, **options):
     """Compensation from end to end: samples inside the lines' time ranges, less the ends of
     each contiguous leg; a model of one kind fitted on the lines that ``train_on`` selects;
-    errors of those that ``test_on`` selects.  The conditions are Columns over ``lines``."""
+    errors of those that ``test_on`` selects.  The conditions are Columns over ``lines``.
+
+    Picked rows, legs and numbered legs are stored, as each is read several times; samples
+    come with the columns that the result is to have."""
     from aerofield.operators.segments import segments
+    lines, flights = materialized(lines, "lines"), materialized(flights, "flights")
 
     def rows(wanted: Column) -> DataFrame:
         picked, _ = select.pick_lines(samples, lines.filter(wanted), flights)
-        return segments(picked, "all", n_min, buffer).drop("leg")
+        legs = segments(materialized(picked, "picked"), "all", n_min, buffer).drop("leg")
+        return materialized(number_rows(materialized(legs, "legs")), "numbered")
     model = train(rows(train_on), kind, **options)
     return model, score_on(rows(test_on), model, options.get("xs", ()))
 

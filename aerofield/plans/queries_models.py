@@ -702,7 +702,8 @@ def _end_to_end(kind: str, total: str, banded: bool, y: str, test: str):
 
     @query(f"e1_{kind.lower()}", "J1", "W5", "P14", "W17", "W20", "M1", "M3", "M8", "M10", sql=text)
     def _(spark, sf):
-        samples = src.samples(spark, sf).withColumn("map_val", F.col("mag_1_c") * 0.5)
+        samples = src.samples(spark, sf).withColumn("map_val", F.col("mag_1_c") * 0.5).select(
+            "flight", "line", "rn", "tt", "mag_1_uc", "mag_1_c", "flux_a", "map_val")
         odd = F.col("line") % 2 == 1
         _, scored = models.compensate_lines(samples, src.lines(spark, sf), src.flights(spark, sf), ~odd, odd, kind,
                                             buffer=8, map_val="map_val")

@@ -34,3 +34,8 @@ def test_query_matches_sql(spark, tables, name):
     df = contract.queries()[name](spark, SF)
     cur = tables.execute(contract.oracle_sql()[name])
     assert canon(df.columns, df.collect()) == canon([d[0] for d in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["m8_model_kinds", "e1_tl", "e1_mod_tl"])
+def test_compensation_reads_stored_rows_last(spark, name):
+    assert not [f for f in contract.queries()[name](spark, SF).inputFiles() if "events.parquet" in f]
