@@ -6,6 +6,7 @@ batch operators.
 """
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -85,7 +86,8 @@ class Ordered(StatefulProcessor):
     Rows wait in the state until the watermark has passed them; an event-time timer then
     releases them, by (tt, rn).  What comes behind the watermark is dropped before it gets
     here, so nothing is released out of order.  The state holds the rows of the watermark's
-    delay, and what a subclass keeps in ``opened``, ``released`` and ``forget``.  A key
+    delay, those of a micro-batch packed in one entry (8 bytes a value), and what a subclass
+    keeps in ``opened``, ``released`` and ``forget``.  A key
     without rows for ``idle_ms`` of event time is forgotten."""
 
     def __init__(self, fields: list[T.StructField], idle_ms: int | None):
@@ -94,32 +96,40 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("rows", T.BinaryType())]))
         self.newest = handle.getValueState("newest", T.StructType([T.StructField("ms", T.LongType())]))
         self.opened(handle)
 
+    def _kinds(self) -> list[tuple[str, type]]:
+        return [(f.name, np.int64 if f.dataType == T.LongType() else np.float64) for f in self.row]
+
+    def packed(self, pdf: pd.DataFrame) -> bytes:
+        return b"".join(pdf[c].to_numpy(kind).tobytes() for c, kind in self._kinds())
+
+    def unpacked(self, data: bytes) -> pd.DataFrame:
+        n = len(data) // (8 * len(self.row))
+        return pd.DataFrame({c: np.frombuffer(data, kind, n, 8 * n * i) for i, (c, kind) in enumerate(self._kinds())})
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             if len(pdf):
-                pdf = pdf[self.row.names]
-                self.waiting.appendList([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in pdf.itertuples(index=False)])
+                self.waiting.appendValue((self.packed(pdf),))
                 self.handle.registerTimer(int(pdf["ms"].min()))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()]
-        ready, rest = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
-        if ready:
-            self.newest.update((max(r[0] for r in ready),))
-            if rest:
-                self.waiting.put(rest)
+        held = pd.concat([self.unpacked(b""), *[self.unpacked(bytes(r[0])) for r in self.waiting.get()]], ignore_index=True)
+        ready, rest = held[held["ms"] <= now], held[held["ms"] > now]
+        if len(ready):
+            self.newest.update((int(ready["ms"].max()),))
+            if len(rest):
+                self.waiting.put([(self.packed(rest),)])
             else:
                 self.waiting.clear()
-            pdf = pd.DataFrame(ready, columns=self.row.names).sort_values(["tt", "rn"], ignore_index=True)
-            yield self.released(key, pdf)
-        if rest:
-            self.handle.registerTimer(min(r[0] for r in rest))
+            yield self.released(key, ready.sort_values(["tt", "rn"], ignore_index=True))
+        if len(rest):
+            self.handle.registerTimer(int(rest["ms"].min()))
         elif self.idle_ms is not None and self.newest.exists():
             until = self.newest.get()[0] + self.idle_ms
             if until <= now:

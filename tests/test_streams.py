@@ -108,3 +108,15 @@ def test_an_ended_stream_closes_its_windows(spark, source):
     rows, end = live.closable(stream.withColumns({"ts": live.event_time(F.col("tt") * 60), "e": F.col("resid")}))
     got = live.run_available(live.windowed_errors(rows, "e", "10 minutes"), end=end)
     assert got.agg(F.sum("n")).first()[0] == len(pdf) and got.filter("flight IS NULL").count() == 0
+
+
+def test_rows_of_a_micro_batch_wait_in_one_entry():
+    from types import SimpleNamespace
+
+    entries = []
+    keeper = live.StepAndVariance(0.1, 1.0, 0.0, 1e9, 10, None)
+    keeper.waiting = SimpleNamespace(appendValue=entries.append, appendList=entries.extend)
+    keeper.handle = SimpleNamespace(registerTimer=lambda ms: None)
+    pdf = pd.DataFrame({"ms": [7, 5], "tt": [0.7, 0.5], "rn": [2 ** 62 + 1, 1], "resid": [float("nan"), -1.5], "hph": [0.25, 0.0]})
+    assert list(keeper.handleInputRows(("F",), iter([pdf]), None)) == [] and len(entries) == 1
+    pd.testing.assert_frame_equal(keeper.unpacked(entries[0][0]), pdf)
