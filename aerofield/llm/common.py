@@ -1,6 +1,7 @@
 """Words of raw texts, reserved column names, runs of equal keys and exact cuts."""
 import gc
 import re
+import time
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -31,8 +32,10 @@ def whole_texts(docs: DataFrame) -> DataFrame:
 def swept(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of jobs that have ended: it does so for plans that
     the driver's garbage collection finds unused, which may come late by itself."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the plan of the last job is let go only after the first
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,12 +6,17 @@ adds up all chunks' and answers each in the order it asked.  One chunk owns each
 of the model and passes it on to the pairs or words it counts for, so an n-gram that is
 everywhere is one entry per chunk.
 
+Requests of an order are as large as the texts.  The ranges are worked off in some passes,
+each of which sends, answers and sweeps away its own requests, and the chunks are stored
+in buckets, so that answers are dealt to them and they are never dealt themselves.
+
 The documents are dealt to two sides, and a text is scored by the good documents of the
 other side.  Texts that share two of their smallest shingle hashes are on one side, with
 all that are linked to them in this way, so neither a text nor a near copy
 of it is judged by a model that has seen it."""
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +27,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 from aerofield.llm import quality
 from aerofield.llm.common import pack, swept, unpack, whole_texts
 from aerofield.llm.components import components
-from aerofield.session import materialized, small
+from aerofield.session import bucketed, materialized, passing, small
 
-CHUNK = 1 << 18  # tokens of a chunk, about, but for a longer text
-RANGE = 1 << 20  # tokens behind a range of n-gram hashes, at most about
+CHUNK = 1 << 20  # tokens of a chunk, about, but for a longer text
+RANGE = 3 << 19  # tokens behind a range of n-gram hashes, at most about
+TOGETHER = 4  # ranges of a task, which adds them up one after the other
 KEY = 40  # bits of a key inside a range: of the range's n-grams, one in 2 ** 20 shares its key with another, about
+WORD = 48  # bits of a word's hash that chunks keep: of 2 ** 28 distinct words, one in 2 ** 20 shares its hash with another, about
+PASSES = {3: 2, 2: 4, 1: 3}  # passes over the ranges of an order, at most
+SCORED = 4  # parts of the chunks that are scored one after the other
 BITS = 16  # ways to deal the families to two sides, of which the evenest is taken
 WIDE = {3: 1, 2: 5, 1: 5}  # sums of an n-gram: as context the total and the n-grams seen 1, 2 and more times; last its own count
 NONE = np.iinfo(np.int64).max
+_WORD = np.uint64((1 << WORD) - 1)
 
 
 def batch_of(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -63,14 +73,54 @@ def widened(data: bytes) -> np.ndarray:
     return unpacked(data[1:], f"<u{data[0]}")
 
 
+def by_value(n: np.ndarray) -> np.ndarray:
+    """The stable order of counts, quick where they are small."""
+    return np.argsort(n.astype(np.min_scalar_type(int(n.max(initial=0)))), kind="stable")
+
+
+def columns(sums: np.ndarray) -> bytes:
+    """Sums of n-grams, one column after the other, the last one first.  What the n-grams
+    seen 1, 2 and more times give at least is taken off the total, which leaves little of
+    it, and all are in the order of the last column, which they go with: most are 0 with it."""
+    cols = sums.T[::-1].copy()
+    if len(cols) > 1:
+        cols[4] -= cols[3] + 2 * cols[2] + 3 * cols[1]
+        cols[1:] = cols[1:, by_value(cols[0])]
+    return narrow(cols)
+
+
+def sums_of(data: bytes, order: int) -> np.ndarray:
+    """What ``columns`` packed, as a row per column."""
+    cols = widened(data).astype(np.int64).reshape(WIDE[order], -1)
+    if len(cols) > 1:
+        back = np.empty_like(cols[1:])
+        back[:, by_value(cols[0])] = cols[1:]
+        cols[1:] = back
+        cols[4] += cols[3] + 2 * cols[2] + 3 * cols[1]
+    return cols[::-1]
+
+
 def ranked(h: np.ndarray) -> tuple[bytes, bytes]:
     """Distinct hashes, the commonest first, and each hash's place among them: places of
-    common words are small numbers, which pack well."""
-    words, at, n = np.unique(h, return_inverse=True, return_counts=True)
+    common words are small numbers, which pack well.  Equally common ones are in order of
+    the hash, so that their gaps pack."""
+    words, at, n = np.unique(h >> np.uint64(64 - WORD), return_inverse=True, return_counts=True)
     order = np.argsort(-n, kind="stable")
     place = np.empty(len(words), np.int64)
     place[order] = np.arange(len(words))
-    return words[order].tobytes(), narrow(place[at])
+    return packed(np.diff(words[order], prepend=np.uint64(0)) & _WORD), narrow(place[at])
+
+
+def hashes_of(words: bytes) -> np.ndarray:
+    """The distinct hashes that ``ranked`` stored."""
+    return np.cumsum(unpacked(words, "<u8"), dtype=np.uint64) & _WORD
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """A position of each distinct key, in the order of the keys."""
+    order = np.argsort(keys)
+    rank = keys[order]
+    return order[np.append(True, rank[1:] != rank[:-1])[:len(rank)]]
 
 
 # ---- chunks ----
@@ -130,7 +180,7 @@ def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["chunk", "node", "mark"])
 
 
-def families(marks: DataFrame) -> DataFrame:
+def families(marks: DataFrame, stored: Callable[[DataFrame, str], DataFrame] = materialized) -> DataFrame:
     """``node, label`` of the sketches that share two hashes with another: the smallest
     node of their connected component."""
     def shared(rows: DataFrame) -> DataFrame:
@@ -139,7 +189,7 @@ def families(marks: DataFrame) -> DataFrame:
 
     pairs = shared(marks).groupBy("node").agg(F.array_sort(F.collect_set("mark")).alias("m")).select("node", F.explode(F.expr(
         "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x, y))))")).alias("mark"))
-    edges = materialized(shared(materialized(pairs, "pairs")).select("node", F.xxhash64("mark").alias("mark")), "shared")
+    edges = stored(shared(stored(pairs, "pairs")).select("node", F.xxhash64("mark").alias("mark")), "shared")
     least = small(edges.groupBy("mark").agg(F.min("node").alias("least")))
     tied = components(edges.join(least, "mark").select(F.col("node").alias("a"), F.col("least").alias("b")))
     return tied.select("node", F.col("root").alias("label"))
@@ -170,23 +220,33 @@ def chosen(bit: int):
 
 # ---- n-grams of a side of a chunk ----
 
+class Chunk:
+    """A chunk's tokens, unpacked once for both sides."""
+
+    def __init__(self, r: dict):
+        sizes = unpacked(r["stats"], "<i8").reshape(-1, 5)[:, 0]
+        self.sides = np.unpackbits(np.frombuffer(r["sides"], np.uint8))[:len(sizes)]
+        self.doc, self.starts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.cumsum(sizes) - sizes
+        self.table, self.place = hashes_of(r["words"]), widened(r["tokens"])
+        self.good = np.array(r["good"], bool)
+
+
 class Part:
     """The tokens of a chunk's documents on one side, their n-grams, and which teach."""
 
-    def __init__(self, r: dict, side: int, bits: int):
+    def __init__(self, chunk: "Chunk", side: int, bits: int):
         """``bits``: as many bits of a hash tell its range."""
-        self.cut = np.uint64(64 - KEY - bits)
-        sizes = unpacked(r["stats"], "<i8").reshape(-1, 5)[:, 0]
-        sides = np.unpackbits(np.frombuffer(r["sides"], np.uint8))[:len(sizes)]
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        inside = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        here = sides[doc] == side
-        self.docs, self.doc, self.inside = np.flatnonzero(sides == side), doc[here], inside[here]
-        self.c = np.frombuffer(r["words"], "<u8")[widened(r["tokens"])[here]]
+        self.cut, self.table = np.uint64(64 - KEY - bits), chunk.table
+        here = np.flatnonzero(chunk.sides[chunk.doc] == side)
+        self.docs, self.doc, self.place = np.flatnonzero(chunk.sides == side), chunk.doc[here], chunk.place[here]
+        self.first = here == chunk.starts[self.doc]
+        self.c = self.table[self.place]
         self.b, self.a = np.zeros_like(self.c), np.zeros_like(self.c)  # before the text: the start mark, hash 0
-        self.b[1:] = np.where(self.inside[1:] > 0, self.c[:-1], 0)
-        self.a[2:] = np.where(self.inside[2:] > 1, self.c[:-2], 0)
-        self.good = np.array(r["good"], bool)[self.doc]
+        self.b[1:] = self.c[:-1]
+        self.b[self.first] = 0
+        self.a[1:] = self.b[:-1]
+        self.a[self.first] = 0
+        self.good = chunk.good[self.doc]
 
     def keys(self, order: int) -> np.ndarray:
         return self.short(quality.joined(*(self.a, self.b, self.c)[3 - order:]))
@@ -197,34 +257,56 @@ class Part:
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct keys of words and of the start mark, and the places among them of
         the tokens before each token and of the tokens."""
-        b, c = (self.short(quality.joined(h)) for h in (self.b, self.c))
-        keys = np.unique(np.append(c, self.short(quality.joined(np.zeros(1, np.uint64)))))
-        return keys, np.searchsorted(keys, b), np.searchsorted(keys, c)
-
-    def asked(self, order: int, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys and what the chunk adds to their sums; ``given`` are the model's
-        counts of the next longer n-grams, at those that this part owns."""
-        if order == 3:
-            keys, at = np.unique(self.keys(3), return_inverse=True)
-            return keys, np.bincount(at[self.good], minlength=len(keys))[:, None]
-        _, first = np.unique(self.keys(order + 1), return_index=True)
-        first, n = first[given > 0], given[given > 0]
+        key, start = self.short(quality.joined(self.table)), self.short(quality.joined(np.zeros(1, np.uint64)))
+        here = np.zeros(len(key), bool)
+        here[self.place] = True
+        keys = np.append(key[here], start)
+        keys = keys[distinct(keys)]
+        own = np.searchsorted(keys, key).astype(np.int32)[self.place]
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[self.first] = np.searchsorted(keys, start)[0]
+        return keys, before, own
+
+    def asked(self, order: int, given: np.ndarray | None, ranges: range) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in ``ranges`` and what the chunk adds to their sums; ``given`` are
+        the model's counts of the next longer n-grams of all ranges, at those that this
+        part owns."""
+        low, high = (np.uint64(x << KEY) for x in (ranges.start, ranges.stop - 1))
+        high |= np.uint64((1 << KEY) - 1)
+        if order > 1:
+            key = self.keys(order)
+            ours = (key >= low) & (key <= high)
+            keys, place = np.unique(key[ours], return_inverse=True)
+            if order == 3:
+                return keys, np.bincount(place[self.good[ours]], minlength=len(keys))[:, None]
+            at = np.full(len(key), -1, np.int32)
+            at[ours] = place
+        teach = np.flatnonzero(given)
+        first, n = distinct(self.keys(order + 1))[teach], given[teach]
         if order == 2:
-            keys, at = np.unique(self.keys(2), return_inverse=True)
-            inner = self.inside[first] > 0  # the first word has no pair before it
-            context, last = at[first[inner] - 1], at[first]
-            m = n[inner]
+            inner = ~self.first[first]  # the first word has no pair before it
+            context, last, m = at[first[inner] - 1], at[first], n[inner]
         else:
             keys, before, own = self.words()
-            context, last, m = before[first], own[first], n
-        cells = np.concatenate([5 * context, 5 * context + np.minimum(m, 3), 5 * last + 4])
-        add = np.concatenate([m, np.ones(len(m) + len(last), np.int64)])
-        return keys, np.bincount(cells, add, 5 * len(keys)).astype(np.int64).reshape(-1, 5)
+            cut = np.searchsorted(keys, low)
+            keys = keys[cut:np.searchsorted(keys, high, "right")]
+            context, last, m = before[first] - cut, own[first] - cut, n
+        known = (context >= 0) & (context < len(keys))
+        context, m, last = context[known], m[known], last[(last >= 0) & (last < len(keys))]
+        size = len(keys)
+        return keys, np.stack([np.bincount(context, m, size).astype(np.int64), *(np.bincount(context[k], minlength=size) for k in (m == 1, m == 2, m > 2)),
+                               np.bincount(last, minlength=size)], axis=1)
 
 
-def parts_of(answers: list[dict] | None, order: int, side: int, name: str) -> np.ndarray:
+def parts_of(answers: list[dict] | None, order: int, side: int) -> np.ndarray:
     own = sorted((x for x in answers or [] if x["kind"] == order and x["side"] == side), key=lambda x: x["bucket"])
-    return np.concatenate([widened(x[name]) for x in own] or [np.zeros(0, np.int64)]).astype(np.int64)
+    return np.concatenate([widened(x["own"]) for x in own] or [np.zeros(0, np.uint8)])
+
+
+def others_of(answers: list[dict] | None, order: int, side: int) -> np.ndarray:
+    other = sorted((x for x in answers or [] if x["kind"] == order and x["side"] == side), key=lambda x: x["bucket"])
+    return np.concatenate([sums_of(x["other"], order) for x in other] or [np.zeros((WIDE[order], 0), np.int64)], axis=1)
 
 
 _ASKED = [("bucket", pa.int32()), ("chunk", pa.int64()), ("side", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())]
@@ -233,18 +315,19 @@ ASKED = "bucket int, chunk long, side int, keys binary, n binary"
 TOLD = "bucket int, kind int, chunk long, side int, other binary, own binary, sums array<long>"
 
 
-def asker(order: int, bits: int):
-    """Requests: a part's distinct n-grams in a range of the hash and their additions."""
+def asker(order: int, bits: int, ranges: range):
+    """Requests: a part's distinct n-grams in each of ``ranges`` of the hash and their additions."""
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in each(batches):
+            chunk = Chunk(r)
             for side in (0, 1):
-                part = Part(r, side, bits)
+                part = Part(chunk, side, bits)
                 if not len(part.c):
                     continue
-                keys, n = part.asked(order, None if order == 3 else parts_of(r["parts"], order + 1, side, "own"))
+                keys, n = part.asked(order, None if order == 3 else parts_of(r["parts"], order + 1, side), ranges)
                 bucket, inside = keys >> np.uint64(KEY), keys & np.uint64((1 << KEY) - 1)
                 cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << bits))), len(keys))
-                yield batch_of([(int(bucket[a]), r["chunk"], side, narrow(np.diff(inside[a:b], prepend=np.uint64(0))), narrow(n[a:b]))
+                yield batch_of([(int(bucket[a]), r["chunk"], side, narrow(np.diff(inside[a:b], prepend=np.uint64(0))), columns(n[a:b]))
                                 for a, b in zip(cuts[:-1], cuts[1:])], _ASKED)
     return asked
 
@@ -262,9 +345,9 @@ def _tally(order: int, rows: list[tuple]) -> Iterator[tuple]:
     for k in (0, 1):
         asked = [i for i, r in enumerate(rows) if r[2] == k]
         at = np.concatenate([place[ends[i]:ends[i + 1]] for i in asked] or [np.zeros(0, np.int32)])
-        n = np.concatenate([widened(rows[i][4]).reshape(-1, width) for i in asked] or [np.zeros((0, width), np.uint8)])
-        total = [np.bincount(at, n[:, j], size).astype(np.int64) for j in range(width)]
-        count, teach = total[-1], n[:, -1] > 0
+        n = np.concatenate([sums_of(rows[i][4], order) for i in asked] or [np.zeros((width, 0), np.int64)], axis=1)
+        total = [np.bincount(at, c, size).astype(np.int64) for c in n]
+        count, teach = total[-1], n[-1] > 0
         total = [t.astype(np.min_scalar_type(int(t.max()))) for t in total]
         whole.append(total)
         sums += [int((count == c).sum()) for c in (1, 2, 3, 4)] + [int((count > 0).sum()), int(count.sum())]
@@ -275,8 +358,8 @@ def _tally(order: int, rows: list[tuple]) -> Iterator[tuple]:
         del at, n, total, count, teach
     yield rows[0][0], order, -1, 0, b"", b"", sums
     for r, a, end in zip(rows, ends[:-1], ends[1:]):
-        other = np.stack([t[place[a:end]] for t in whole[1 - r[2]]], axis=1)
-        yield r[0], order, r[1], r[2], narrow(other), narrow(own[a:end]) if order > 1 else b"", None
+        other = np.stack([t[place[a:end]] for t in whole[1 - r[2]]], axis=1).astype(np.int64)
+        yield r[0], order, r[1], r[2], columns(other), narrow(own[a:end]) if order > 1 else b"", None
 
 
 def teller(order: int):
@@ -299,23 +382,27 @@ def log_probabilities(part: Part, answers: list[dict], side: int, sums: dict[int
     """Natural logs of the tokens' probabilities under the other side's model; ``sums`` are
     that model's, by order."""
     cut = {o: quality.discounts_of([0, *s[:4]]) for o, s in sums.items()}
-    n3, n2, n1 = (parts_of(answers, o, side, "other").reshape(-1, WIDE[o]) for o in (3, 2, 1))
+    n3, n2, n1 = (others_of(answers, o, side) for o in (3, 2, 1))
     _, before, own = part.words()
-    b, c = n1[before], n1[own, 4]
     ones, twos, _, _, seen, total = sums[1]
     rest = (cut[1][1] * ones + cut[1][2] * twos + cut[1][3] * (seen - ones - twos)) / total / (seen + 1)
-    p = (c - cut[1][np.minimum(c, 3)]) / total + rest
+    p = ((n1[4] - cut[1][np.minimum(n1[4], 3)]) / total + rest)[own]
 
-    def mixed(p: np.ndarray, n: np.ndarray, context: np.ndarray, own: np.ndarray) -> np.ndarray:
-        total = np.maximum(context[:, 0], 1)
-        left = context[:, 1:4] @ own[1:] / total
-        return np.where(context[:, 0] > 0, (n - own[np.minimum(n, 3)]) / total + left * p, p)
+    def mixed(p: np.ndarray, context: np.ndarray, where: np.ndarray, n: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """``context``: the sums of contexts, of which each token's is at ``where``; ``n``:
+        the counts of n-grams, of which each token's is at ``at``."""
+        some, total = context[0] > 0, np.maximum(context[0], 1)
+        share = np.where(some, 1.0 / total, 0.0)
+        left = np.where(some, (own[1] * context[1] + own[2] * context[2] + own[3] * context[3]) / total, 1.0)
+        return (n - own[np.minimum(n, 3)])[at] * share[where] + left[where] * p
 
     _, at = np.unique(part.keys(2), return_inverse=True)
-    p = mixed(p, n2[at, 4], b, cut[2])
-    context = np.where((part.inside > 0)[:, None], n2[np.append(0, at[:-1])], 0)
+    p = mixed(p, n1, before, n2[4], at, cut[2])
+    context = np.append(n2, np.zeros((5, 1), np.int64), axis=1)  # the last: no pair before the first word
+    where = np.append(-1, at[:-1])
+    where[part.first] = -1
     _, at = np.unique(part.keys(3), return_inverse=True)
-    return np.log(mixed(p, n3[at, 0], context, cut[3]))
+    return np.log(mixed(p, context, where, n3[0], at, cut[3]))
 
 
 def scorer(sums: dict[int, list[list[int]]], kind: pa.DataType, bits: int):
@@ -326,8 +413,9 @@ def scorer(sums: dict[int, list[list[int]]], kind: pa.DataType, bits: int):
         for r in each(batches):
             stats = unpacked(r["stats"], "<i8").reshape(-1, 5)
             value = np.full(len(stats), np.nan)
+            chunk = Chunk(r) if ready else None
             for side in (0, 1) if ready else ():
-                part = Part(r, side, bits)
+                part = Part(chunk, side, bits)
                 if len(part.c):
                     logs = log_probabilities(part, r["parts"], side, {o: s[1 - side] for o, s in sums.items()})
                     total = np.bincount(part.doc, logs, len(stats))
@@ -339,17 +427,21 @@ def scorer(sums: dict[int, list[list[int]]], kind: pa.DataType, bits: int):
     return scored
 
 
-def scores(texts: DataFrame, chunk: int = CHUNK, span: int = RANGE) -> DataFrame:
+def scores(texts: DataFrame, chunk: int = CHUNK, span: int = RANGE, passes: dict[int, int] = PASSES) -> DataFrame:
     """One row (id, lang, base counts, log_perplexity) per row of ``texts(id, lang, text,
     good, out)`` with ``out``.  The n-grams are those of all rows with ``good``."""
-    kind = texts.schema["id"].dataType
+    kind, spark = texts.schema["id"].dataType, texts.sparkSession
     arrow, ddl = to_arrow_type(kind), kind.simpleString()
-    chunks = materialized(whole_texts(texts).mapInArrow(chunker(arrow, chunk), _CHUNK.format(ddl)), "chunks")
-    marks = materialized(chunks.select("chunk", "marks").mapInArrow(marked, "chunk long, node long, mark long"), "marks")
-    linked = marks.select("chunk", "node").distinct().join(families(marks), "node").groupBy("chunk").agg(
-        F.collect_list(F.struct("node", "label")).alias("linked"))
-    sides = materialized(chunks.select("chunk", "good", "stats", "marks").join(linked, "chunk", "left").mapInArrow(
-        dealt, "chunk long, families binary, ones array<long>, n_good long, n_all long"), "sides")
+    chunks = bucketed(whole_texts(texts).mapInArrow(chunker(arrow, chunk), _CHUNK.format(ddl)), "chunks", "chunk")
+    swept(spark)
+    dealt_to = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = max(dealt_to // 4, 1)  # files of what is small
+    with passing(spark) as stored:
+        marks = stored(chunks.select("chunk", "marks").mapInArrow(marked, "chunk long, node long, mark long").coalesce(few), "marks")
+        linked = marks.select("chunk", "node").distinct().join(families(marks, stored), "node").groupBy("chunk").agg(
+            F.collect_list(F.struct("node", "label")).alias("linked"))
+        sides = materialized(chunks.select("chunk", "good", "stats", "marks").join(linked, "chunk", "left").mapInArrow(
+            dealt, "chunk long, families binary, ones array<long>, n_good long, n_all long").coalesce(few), "sides")
     row = sides.agg(*[F.sum(F.col("ones")[i]) for i in range(BITS)], F.sum("n_good"), F.sum("n_all")).first()
     *ones, good, tokens = [x or 0 for x in row]
     bit = min(range(BITS), key=lambda i: abs(2 * ones[i] - good))
@@ -363,18 +455,31 @@ def scores(texts: DataFrame, chunk: int = CHUNK, span: int = RANGE) -> DataFrame
 
     told: dict[int, DataFrame] = {}
     sums: dict[int, list[list[int]]] = {}
+    swept(spark)
     for order in (3, 2, 1):
-        source = chunks.select(*tokens_of)
-        if order < 3:
-            source = source.join(by_chunk(told[order + 1], "own"), "chunk", "left")
-        asked = source.mapInArrow(asker(order, bits), ASKED)
-        told[order] = materialized(asked.repartitionById(1 << bits, "bucket").sortWithinPartitions("bucket", "chunk", "side").mapInArrow(
-            teller(order), TOLD), f"told{order}")
+        width = math.ceil((1 << bits) / passes[order])
+        tasks = math.ceil(width / TOGETHER)
+        for low in range(0, 1 << bits, width):
+            ranges = range(low, min(low + width, 1 << bits))
+            source = chunks.select(*tokens_of)
+            if order < 3:
+                source = source.join(by_chunk(told[order + 1], "own"), "chunk", "left")
+            asked = source.mapInArrow(asker(order, bits, ranges), ASKED)
+            done = materialized(asked.repartitionById(tasks, F.floor((F.col("bucket") - low) / TOGETHER).cast("int")).sortWithinPartitions("bucket", "chunk", "side").mapInArrow(
+                teller(order), TOLD), f"told{order}")
+            told[order] = told[order].unionByName(done) if low else done
+            del source, asked
+            swept(spark)
         found = told[order].where("chunk < 0").agg(*[F.sum(F.col("sums")[i]) for i in range(12)]).first()
         found = [x or 0 for x in found]
         sums[order] = [found[:6], found[6:]]
-        del source, asked
-        swept(texts.sparkSession)
-    answers = by_chunk(told[3].unionByName(told[2]).unionByName(told[1]), "other")
-    return chunks.join(answers, "chunk", "left").mapInArrow(
-        scorer(sums, arrow, bits), f"id {ddl}, lang string, " + ", ".join(f"{n} long" for n in quality.STATS.names[:5]) + ", log_perplexity double")
+    every = told[3].unionByName(told[2]).unionByName(told[1])
+    fields = f"id {ddl}, lang string, " + ", ".join(f"{n} long" for n in quality.STATS.names[:5]) + ", log_perplexity double"
+    out, times = [], min(SCORED, 1 << bits)
+    for k in range(times):
+        ours = F.pmod(F.xxhash64("chunk"), F.lit(times)) == k
+        scored = chunks.where(ours).join(by_chunk(every.where(ours), "other"), "chunk", "left").mapInArrow(scorer(sums, arrow, bits), fields)
+        out.append(materialized(scored.coalesce(max(dealt_to // 2, 1)), "scored"))
+        del scored
+        swept(spark)
+    return reduce(DataFrame.unionByName, out)

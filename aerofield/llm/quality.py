@@ -34,20 +34,21 @@ def joined(*hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-class Hashes:
+class Hashes(dict):
     """64-bit hashes of words, kept by word; emptied when full."""
 
     def __init__(self, most: int = 200_000):
-        self.most, self.known = most, {}
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh64_intdigest
-        for w in dict.fromkeys(words):
-            if w not in known:
-                known[w] = digest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def word_hashes(data: bytes, hashes: Hashes) -> np.ndarray:

@@ -5,6 +5,8 @@ import shutil
 import tempfile
 import uuid
 from collections import deque
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -90,3 +92,33 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Like ``materialized``, in as many buckets of ``key`` as the session has shuffle
+    partitions, a file each: a join by ``key`` shuffles only its other side.  Only tables
+    can have buckets; its name goes again at once, which leaves the files."""
+    spark, name = df.sparkSession, f"aerofield_{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").option("path", scratch(spark, label)).bucketBy(n, key).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # looked up while the name is there
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a ``materialized`` for tables that are spent when the block ends: they are in
+    a database of their own in scratch storage, which is dropped then."""
+    base = f"aerofield_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {base} LOCATION '{scratch(spark, 'passing')}'")
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        df.write.format("parquet").saveAsTable(f"{base}.{label}")
+        return spark.table(f"{base}.{label}")
+
+    try:
+        yield stored
+    finally:
+        spark.sql(f"DROP DATABASE {base} CASCADE")

@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aerofield import session
 from aerofield.llm import importance, interpolation, kneser, langid, quality, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -141,6 +143,43 @@ def test_scores_in_ranges_are_the_plain_model(spark):
     assert any(scored == pytest.approx(expected(bit), abs=1e-4) for bit in range(kneser.BITS))
 
 
+def test_chunks_and_sums_pack_and_come_back():
+    draw = np.random.default_rng(14)
+    h = draw.choice(draw.integers(0, 1 << 63, 20_000).astype(np.uint64), 50_000)
+    words, tokens = kneser.ranked(h)
+    assert (kneser.hashes_of(words)[kneser.widened(tokens)] == h >> np.uint64(64 - kneser.WORD)).all()
+    assert len(words) < 6 * len(np.unique(h))  # 8 bytes each before
+    once, twice, more, last = draw.integers(0, 4, (4, 500))
+    sums = np.stack([once + 2 * twice + 3 * more + (more > 0) * draw.integers(0, 300, 500), once, twice, more, last], axis=1)
+    for own in (sums, sums[:0], sums[:1]):
+        assert (kneser.sums_of(kneser.columns(own), 2) == own.T).all()
+        assert (kneser.sums_of(kneser.columns(own[:, 4:]), 3) == own[:, 4:].T).all()
+    keys = draw.integers(0, 50, 300).astype(np.uint64)
+    assert (keys[kneser.distinct(keys)] == np.unique(keys)).all() and not len(kneser.distinct(keys[:0]))
+
+
+def test_requests_in_passes_are_those_of_one_pass(spark):
+    draw = np.random.default_rng(15)
+    rows = spark.createDataFrame([(i, "en", " ".join(draw.choice([f"v{i}" for i in range(25)], 30)).encode(), i % 3 > 0, True) for i in range(30)],
+                                 "id long, lang string, text binary, good boolean, out boolean").repartition(2)
+    got = [{r.id: r.log_perplexity for r in kneser.scores(rows, 150, 60, passes).collect()} for passes in ({3: 1, 2: 1, 1: 1}, {3: 2, 2: 4, 1: 3})]
+    assert len(got[0]) == 30 and got[0] == pytest.approx(got[1])
+
+
+def test_stored_chunks_are_not_shuffled_and_spent_tables_go(spark):
+    chunks = session.bucketed(spark.range(50).withColumnRenamed("id", "chunk"), "chunks", "chunk")
+    joined = chunks.join(spark.range(0, 60, 1, 3).withColumnRenamed("id", "chunk").hint("merge"), "chunk")
+    assert joined.count() == 50
+    assert joined._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 0
+    assert joined._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    with session.passing(spark) as stored:
+        table = stored(spark.range(3), "few")
+        assert table.count() == 3
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_near_copies_are_one_family(spark):
     near = {1: [1, 2, 3], 2: [3, 1, 9], 3: [9, 4, 3], 4: [9, 5], 5: [7, 8], 6: [8, 10]}  # two hashes: 1 and 2, 2 and 3
     got = kneser.families(spark.createDataFrame([(0, k, m) for k, own in near.items() for m in own], "chunk long, node long, mark long"))
