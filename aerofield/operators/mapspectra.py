@@ -1,7 +1,8 @@
 """Map spectra: two-dimensional transforms as one round over rows and one over
 columns of the grid, with transfer functions as Columns between them.
 
-A task holds single grid rows or columns, so map size is not limited by memory.
+A task holds single grid rows or columns, so map size is not limited by memory.  Only
+``continued`` takes maps that fit a task as a whole.
 Grids must be full; gaps and masked cells count as 0.  What belongs to a map, a level or a grid
 row is joined to whole grid rows, before they are laid out in cells.
 """
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aerofield.functions.fourier import invert_arrays, transform_arrays
 from aerofield.functions.geodesy import lat_to_north, lon_to_east
+from aerofield.operators import wholemaps
 from aerofield.operators.maps import is_gap, map_meta
 from aerofield.session import small
 
@@ -137,11 +139,28 @@ def continued(cells: DataFrame, altitudes: list[float], alpha: float = 0.0, step
     A map of one level gives one level per altitude.  A map of several keeps its levels;
     altitudes below come from the lowest, those above from the highest, and those
     between its levels are left out.  Components of vector maps are continued one by
-    one (``value``)."""
+    one (``value``).
+
+    Maps of one level that fit a task are continued as a whole there (``wholemaps``), all
+    others in passes over their grid rows and columns."""
+    unfit = wholemaps.unfit(cells, pad)
+    down = F.col("_alt") > min(altitudes) if alpha <= 0 else F.lit(False)
+    other = small(unfit.select("map_id", "_odd", down.alias("_down")).filter("_odd OR _down"))
+    if alpha <= 0 and not other.filter("_down").isEmpty():
+        raise ValueError("downward continuation needs alpha")
+    v = F.col(value)
+    live = ~is_gap(v) & F.coalesce("mask", F.lit(True)) if "mask" in cells.columns else ~is_gap(v)
+    fit = cells.filter("map_id IS NOT NULL").join(other.select("map_id"), "map_id", "left_anti")
+    out = wholemaps.continued(fit, altitudes, alpha, steps, value, pad, live)
+    if other.filter("map_id IS NOT NULL").isEmpty():
+        return out
+    rest = cells.join(other.select("map_id"), "map_id", "left_semi")
+    return out.unionByName(_continued_in_passes(rest, altitudes, alpha, steps, value, pad))
+
+
+def _continued_in_passes(cells: DataFrame, altitudes: list[float], alpha: float, steps: DataFrame | None, value: str, pad: int) -> DataFrame:
     levels = cells.groupBy(*TILE).agg(F.min("alt").alias("_from"))
     ends = levels.groupBy("map_id").agg(F.min("_from").alias("_lo"), F.max("_from").alias("_hi"), F.count("*").alias("_n"))
-    if alpha <= 0 and not ends.filter(F.col("_lo") > min(altitudes)).isEmpty():
-        raise ValueError("downward continuation needs alpha")
     known = levels.join(small(ends), "map_id")
     border = known.filter((F.col("_from") == F.col("_lo")) | (F.col("_from") == F.col("_hi")))
     source = cells.join(small(border.select(*TILE)), TILE, "left_semi")

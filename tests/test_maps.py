@@ -1,10 +1,11 @@
 """Map lookups, filling and spectra against direct computations."""
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from aerofield.operators import maps, mapspectra, spectra
+from aerofield.operators import maps, mapspectra, spectra, wholemaps
 from aerofield.operators.sequence import number_rows
 
 
@@ -251,3 +252,86 @@ def test_padded_continuation_of_a_slope_keeps_its_edges(spark):
     assert len(whole) == ny * nx and set(whole["ix"]) == set(range(5, 5 + nx))
     edge = (whole["xx"] <= 2).to_numpy()
     assert np.abs(whole["val"] - want)[edge].mean() < 0.5 * np.abs(cut["val"] - want)[edge].mean()
+
+
+def test_cells_of_continued_maps_meet_once_and_packed(spark):
+    """Collecting, joining and sorting cells one by one fills an executor."""
+    got = mapspectra.continued(_cells(spark, np.ones((5, 6))), [301.0], pad=2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan and plan.count("RepartitionByExpression") == 1
+    lists = {"iy": range(300), "ix": range(300), "xx": np.arange(300.0), "yy": np.arange(300.0), "_v": np.arange(300.0), "_live": [True] * 300, "mask": [None] * 300}
+    batch = pa.RecordBatch.from_pydict({"map_id": ["a"] * 290 + ["b"] * 10, "alt": [3.0] * 100 + [2.0] * 200} | {c: list(x) for c, x in lists.items()})
+    pieces = next(wholemaps._packed(iter([batch])))
+    assert [len(x) for x in pieces.column("ix")] == [128, 128, 34, 10]
+    assert pieces.column("map_id").to_pylist() == ["a", "a", "a", "b"] and pieces.column("alt").to_pylist() == [2.0, 2.0, 2.0, 2.0]
+
+
+def _odd_maps(spark):
+    rng = np.random.default_rng(3)
+    grid = lambda name, ny, nx, **k: _cells(spark, rng.normal(size=(ny, nx)) + 4, name, **k)
+    gaps = grid("gaps", 5, 4).withColumn("val", F.when(F.col("ix") == 1, F.lit(None)).when(F.col("iy") == 2, F.lit(float("nan"))).otherwise(F.col("val")))
+    masked = grid("masked", 4, 6, x0=3.0, dx=0.5).withColumn("mask", F.when(F.col("ix") == 2, F.lit(None)).otherwise(F.col("iy") != 1))
+    far = grid("far", 3, 5).withColumns({"ix": F.col("ix") + 40, "iy": F.col("iy") - 3})
+    uneven = grid("uneven", 4, 4).withColumn("xx", F.col("xx") * F.col("xx"))
+    holes = grid("holes", 5, 5).filter("NOT (ix = 1 AND iy = 1) AND iy <> 3")
+    out = gaps
+    for more in (masked, far, uneven, holes, twice := grid("twice", 4, 3), twice, grid("row", 1, 6), grid("cell", 1, 1), grid(None, 2, 2)):
+        out = out.unionByName(more)
+    return out.repartition(3)
+
+
+@pytest.mark.parametrize("pad", [0, 3])
+def test_whole_maps_give_what_passes_give(spark, monkeypatch, pad):
+    cells = _odd_maps(spark).persist()
+    steps = cells.select("map_id").distinct().withColumns({"dx": F.lit(2.0), "dy": F.lit(0.5)})
+    order = lambda df: df.toPandas().sort_values(["map_id", "iz", "iy", "ix", "val"], ignore_index=True)
+    for kind in (None, steps):
+        run = lambda: mapspectra.continued(cells, [301.0, 299.5, 301.0], 0.1, kind, pad=pad)
+        whole = run()
+        assert "collect_list" not in whole._jdf.queryExecution().optimizedPlan().toString()
+        got = order(whole)
+        with monkeypatch.context() as patch:
+            patch.setattr(wholemaps, "WHOLE", 0)
+            passes = run()
+            assert passes.schema.simpleString() == whole.schema.simpleString()
+            want = order(passes)
+        assert got.drop(columns="val").equals(want.drop(columns="val"))
+        assert np.allclose(got["val"], want["val"], equal_nan=True) and got["val"].isna().sum() == want["val"].isna().sum()
+    cells.unpersist()
+
+
+def test_many_whole_maps(spark):
+    """More than an Arrow batch and a block of maps hold."""
+    val = np.random.default_rng(9).normal(size=(2100, 8, 8)) + 3
+    m, iy, ix = (x.ravel() for x in np.mgrid[0:2100, 0:8, 0:8])
+    pdf = pd.DataFrame({"map_id": m, "iz": 0, "iy": iy, "ix": ix, "xx": ix * 1.0, "yy": iy * 1.0, "alt": 300.0, "val": val.ravel()})
+    got = mapspectra.continued(spark.createDataFrame(pdf), [301.0]).toPandas().sort_values(["map_id", "iy", "ix"])
+    kx = 2 * np.pi * np.fft.fftfreq(8)
+    k = np.hypot(kx[:, None], kx[None, :])
+    want = np.fft.ifft2(np.fft.fft2(val) * np.exp(-k)).real
+    assert np.allclose(got["val"].to_numpy().reshape(2100, 8, 8), want) and (got["alt"] == 301.0).all() and (got["iz"] == 0).all()
+
+
+def test_whole_maps_whose_cells_alternate(spark):
+    """Each piece holds one cell, and a map's pieces are more than are taken at a time."""
+    val = np.random.default_rng(6).normal(size=(40, 40, 2)) + 3
+    iy, ix, m = (x.ravel() for x in np.mgrid[0:40, 0:40, 0:2])
+    pdf = pd.DataFrame({"map_id": m, "iz": 0, "iy": iy, "ix": ix, "xx": ix * 1.0, "yy": iy * 1.0, "alt": 300.0, "val": val.ravel()})
+    got = mapspectra.continued(spark.createDataFrame(pdf).coalesce(1), [302.0]).toPandas().sort_values(["iy", "ix", "map_id"])
+    kx = 2 * np.pi * np.fft.fftfreq(40)
+    k = np.hypot(kx[:, None], kx[None, :])[..., None]
+    want = np.fft.ifft2(np.fft.fft2(val, axes=(0, 1)) * np.exp(-2 * k), axes=(0, 1)).real
+    assert np.allclose(got["val"].to_numpy().reshape(40, 40, 2), want)
+
+
+def test_deep_and_flat_maps_and_missing_coordinates_together(spark):
+    val = np.random.default_rng(4).normal(size=(4, 4)) + 5
+    flat, low, high = _cells(spark, val, "flat"), _cells(spark, val, "deep"), _cells(spark, val + 1, "deep", iz=1, alt=400.0)
+    lost = _cells(spark, val, "lost").withColumn("xx", F.when(F.col("ix") > 0, F.col("xx")))
+    got = mapspectra.continued(flat.unionByName(low).unionByName(high).unionByName(lost), [500.0], pad=1).toPandas()
+    assert got.groupby(["map_id", "iz"]).size().to_dict() == {("deep", 0): 16, ("deep", 1): 16, ("deep", 2): 16, ("flat", 0): 16, ("lost", 0): 16}
+    alone = mapspectra.continued(flat, [500.0], pad=1).toPandas()
+    order = lambda df: df.sort_values(["iy", "ix"])["val"].to_numpy()
+    assert np.allclose(order(got[got["map_id"] == "flat"]), order(alone))
+    with pytest.raises(ValueError, match="alpha"):
+        mapspectra.continued(flat.unionByName(low), [299.0])
